@@ -17,11 +17,11 @@ FIXTURES: dict[str, str] = {}
 
 # Irregular satellite observations: one row per line item.
 FIXTURES["obs"] = """
-select l_partkey as pixel, l_shipdate as ts, cast(l_shipdate as date) as day,
+select l_partkey as pixel, l_shipdate as ts, cast(cast(l_shipdate as date) as string) as day,
   case when l_linestatus = 'O' then 'L30' else 'S30' end as sensor,
   l_tax * 0.5 + 0.02 as blue, l_discount + 0.03 as green, 0.02 + l_quantity / 200.0 as red,
   case when l_orderkey % 17 = 0 then null else 0.05 + l_extendedprice / 200000.0 end as nir,
-  0.05 + (l_suppkey % 100) / 300.0 as swir1, 0.03 + l_linenumber / 40.0 as swir2,
+  0.05 + (l_suppkey % 100) / 300e0 as swir1, 0.03 + l_linenumber / 40e0 as swir2,
   cast(case when l_orderkey % 5 = 0 then (l_orderkey * 7) % 64 else 0 end as int) as fmask,
   cast((l_orderkey * 5) % 256 as int) as qa, cast(l_suppkey % 2 as int) as radsat
 from {lineitem}"""
@@ -31,7 +31,7 @@ FIXTURES["annual"] = """
 select l_partkey as pixel, cast(floor(l_partkey / 64) as bigint) as prow, l_partkey % 64 as pcol,
   cast(year(l_shipdate) as int) as yr,
   avg(0.05 + l_extendedprice / 200000.0) as nir, avg(0.02 + l_quantity / 200.0) as red,
-  avg(0.05 + (l_suppkey % 100) / 300.0) as swir1, avg(0.03 + l_linenumber / 40.0) as swir2,
+  avg(0.05 + (l_suppkey % 100) / 300e0) as swir1, avg(0.03 + l_linenumber / 40e0) as swir2,
   cast(max(case when l_returnflag = 'R' and l_quantity >= 44 then 7
                 when l_quantity <= 1 and l_tax >= 0.08 then 16
                 when l_discount >= 0.1 then 12 else 11 end) as int) as change
@@ -123,7 +123,7 @@ from (
     select pixel, t_start, lead(t_start) over (partition by pixel order by t_start) as t_end, price, qty, disc, tax
     from (
       select l_partkey as pixel,
-        year(l_shipdate) + (dayofyear(l_shipdate) - 1) / 365.25 as t_start,
+        year(l_shipdate) + (dayofyear(l_shipdate) - 1) / 365.25e0 as t_start,
         max(l_extendedprice) as price, max(l_quantity) as qty, max(l_discount) as disc, max(l_tax) as tax
       from {{lineitem}} group by 1, 2) d) e
   where t_end is not null) f"""
