@@ -137,8 +137,9 @@ class Preset:
     out_max: float = 1.0
 
     def apply(self, x, stats: dict[str, Column | float] | None = None) -> Column:
-        s = {k: v if isinstance(v, Column) else F.lit(float(v)) for k, v in (stats or {}).items()}
-        missing = [k for k in REQUIRED_STATS[self.kind] if k not in s]
+        given = stats or {}
+        missing = [k for k in REQUIRED_STATS[self.kind] if given.get(k) is None]
+        s = {k: given[k] if isinstance(given[k], Column) else F.lit(float(given[k])) for k in REQUIRED_STATS[self.kind] if k not in missing}
         if self.kind == "minmax" and self.in_min is not None:
             s, missing = {"min": F.lit(self.in_min), "max": F.lit(self.in_max)}, []
         if missing:

@@ -228,15 +228,19 @@ def schemes_long(df: DataFrame, schemes: dict[str, str], y: str) -> DataFrame:
 
 def label_response_table(df: DataFrame, label: str, responses: list[str]) -> DataFrame:
     """n plus mean, sd, q75 and zero share of each response per class."""
+    from .quantiles import exact_quantiles
+
     aggs = [F.count("*").alias("n")]
     for y in responses:
         aggs += [
             F.avg(y).alias(f"{y}_mean"),
             F.stddev_samp(y).alias(f"{y}_sd"),
-            F.percentile(y, F.lit(0.75)).alias(f"{y}_q75"),
             F.avg((F.col(y) == 0).cast("double")).alias(f"{y}_zero"),
         ]
-    return df.groupBy(label).agg(*aggs)
+    out = df.groupBy(label).agg(*aggs)
+    for y in responses:
+        out = out.join(exact_quantiles(df, [label], y, [0.75]).withColumnRenamed("q75", f"{y}_q75"), label, "left")
+    return out
 
 
 def remeasured_only(plot: DataFrame, first: int, last: int, invyr="invyr", prev="prev_plt_cn") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from . import (  # noqa: F401  (importing registers the queries)
     q_scalar,
+    q_series,
+    q_stats,
     q_survey,
 )
 from .registry import ORACLE, QUERIES

@@ -142,11 +142,10 @@ def _(spark, d):
 
 def _price_stats(df):
     """One-row struct of the statistics of l_extendedprice, as a scalar subquery."""
-    x = "l_extendedprice"
-    return df.agg(F.struct(
-        F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.percentile(x, F.lit(0.25)).alias("q25"), F.percentile(x, F.lit(0.5)).alias("q50"), F.percentile(x, F.lit(0.75)).alias("q75"),
-    )).scalar()
+    from ..operators.stats import channel_stats
+
+    names = ["mean", "sd", "min", "max", "q25", "q50", "q75"]
+    return channel_stats(df, ["l_extendedprice"], probs=[0.25, 0.5, 0.75]).select(F.struct(*names)).scalar()
 
 
 _ST = """with s as (select avg(l_extendedprice) mean, stddev_pop(l_extendedprice) sd, min(l_extendedprice) mn, max(l_extendedprice) mx,

@@ -23,7 +23,8 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql.replace("round(", f"round({NUDGE!r} + ")
+            # count_if gives HUGEINT in DuckDB; a filtered count gives BIGINT
+            ORACLE[name] = sql.replace("round(", f"round({NUDGE!r} + ").replace("count_if(", "count(*) filter (where ")
         return fn
 
     return register
