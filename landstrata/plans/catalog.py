@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from . import (  # noqa: F401  (importing registers the queries)
+    q_grid,
     q_scalar,
     q_series,
     q_stats,
