@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401  (importing registers the queries)
     q_grid,
+    q_pairs,
     q_scalar,
     q_series,
     q_stats,

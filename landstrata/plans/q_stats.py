@@ -8,7 +8,6 @@ from ..operators import evaluate as E
 from ..operators import features as X
 from ..operators import stats as T
 from ..operators.quantiles import exact_quantiles
-from ..operators.survey import class_bins
 from .fixtures import ctes, fx, read
 from .registry import R, query, rounded, rounds
 
@@ -424,5 +423,3 @@ from lineitem group by 1""")
 def _(spark, d):
     return rounded(exact_quantiles(read(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", [0.05, 0.5, 0.95]), 4)
 
-
-__all__ = ["class_bins"]
