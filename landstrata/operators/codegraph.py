@@ -1,11 +1,15 @@
-"""Code-confusion graph as coordinate tables (a, b, n)."""
+"""Code-confusion graph as coordinate tables (a, b, n).
+
+A code list has at most a few hundred entries, so every table here is small; results that later steps read
+several times are materialised once, which keeps the scans behind the confusion counts from running again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluate import top_classes  # noqa: F401  (the code lists come from here)
+from ..session import cut_lineage
 
 MAX_CODES = 2000
 
@@ -27,7 +31,7 @@ def filter_codes(conf: DataFrame, counts: DataFrame, code: str, n: str, min_coun
     known = conf.select(F.col("a").alias(code)).distinct().join(counts.filter(F.col(n) >= min_count).select(code, n), code)
     inside = conf.join(known.select(F.col(code).alias("a")), "a", "left_semi").join(known.select(F.col(code).alias("b")), "b", "left_semi")
     rows = inside.groupBy(F.col("a").alias(code)).agg(F.sum("n").alias("row_sum"))
-    out = known.join(rows, code, "left").fillna(0.0, subset=["row_sum"]).filter(F.col("row_sum") >= min_samples)
+    out = cut_lineage(known.join(rows, code, "left").fillna(0.0, subset=["row_sum"]).filter(F.col("row_sum") >= min_samples))
     k = out.count()
     if k < 2:
         raise ValueError(f"fewer than 2 codes survive (min_count={min_count}, min_samples={min_samples})")
@@ -54,7 +58,7 @@ def transition_matrix(conf: DataFrame, codes: DataFrame, code: str, laplace: flo
     sym = conf.select("a", "b", "n").unionByName(conf.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     sym = sym.groupBy("a", "b").agg((F.sum("n") / 2.0).alias("n"))
     c = cells.join(sym, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)) + laplace)
-    return _row_normalise(c, "n", codes.agg(F.countDistinct(code)).scalar())
+    return cut_lineage(_row_normalise(c, "n", codes.agg(F.countDistinct(code)).scalar()))
 
 
 def diffuse(p: DataFrame, k: int) -> DataFrame:
@@ -64,7 +68,7 @@ def diffuse(p: DataFrame, k: int) -> DataFrame:
         left = out.filter("p <> 0").select("a", F.col("b").alias("m"), F.col("p").alias("x"))
         right = base.select(F.col("a").alias("m"), "b", F.col("p").alias("y"))
         prod = left.join(right, "m").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
-        out = p.select("a", "b").join(prod, ["a", "b"], "left").fillna(0.0, subset=["p"])
+        out = cut_lineage(p.select("a", "b").join(prod, ["a", "b"], "left").fillna(0.0, subset=["p"]))
     return out
 
 

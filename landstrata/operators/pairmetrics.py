@@ -182,13 +182,13 @@ def variance_covariance(df: DataFrame, vec: str, dim: int, target: float = 1.0,
     return float(var), float((off**2).sum() / dim)
 
 
-def cross_covariance_norm(df: DataFrame, left: list[Column], right: list[Column]) -> DataFrame:
-    """Frobenius norm of the sample covariance between two blocks, one row."""
-    named = {f"_l{i}": c.cast("double") for i, c in enumerate(left)} | {f"_r{i}": c.cast("double") for i, c in enumerate(right)}
-    d = df.select(*[c.alias(n) for n, c in named.items()])
-    aggs = [F.covar_samp(f"_l{i}", f"_r{j}").alias(f"c{i}_{j}") for i in range(len(left)) for j in range(len(right))]
-    row = d.agg(*aggs)
-    return row.select(F.sqrt(sum((F.col(c) * F.col(c) for c in row.columns[1:]), F.col(row.columns[0]) * F.col(row.columns[0]))).alias("frobenius"))
+def cross_covariance_norm(df: DataFrame, left: str, n_left: int, right: str, n_right: int) -> float:
+    """Frobenius norm of the sample covariance between two vector blocks."""
+    from .fit import moment_matrix
+
+    both = df.withColumn("_lr", F.concat(F.col(left).cast("array<double>"), F.col(right).cast("array<double>")))
+    _, _, cov = moment_matrix(both, "_lr", n_left + n_right)
+    return float(np.sqrt((cov[:n_left, n_left:] ** 2).sum()))
 
 
 # element losses ------------------------------------------------------------------------------

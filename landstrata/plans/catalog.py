@@ -1,7 +1,9 @@
 """All registered queries."""
 
 from . import (  # noqa: F401  (importing registers the queries)
+    q_fit,
     q_grid,
+    q_metrics,
     q_pairs,
     q_scalar,
     q_series,

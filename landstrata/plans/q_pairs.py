@@ -92,14 +92,14 @@ def _(spark, d):
     return rounded(P.quantile_pairs(P.knn_pairs(emb(spark, d), 10).select("i", "j", "d"), 0.5, 0.75), 6)
 
 
-@query("j11_radius_pairs", _ALL + "select i, j, round(d, 6) d from ap where d >= 0.5 and d < 0.95")
+@query("j11_radius_pairs", _ALL + "select i, j, round(d, 6) d from ap where d >= 1.1 and d < 1.25")
 def _(spark, d):
-    return rounded(P.radius_pairs(emb(spark, d), 0.5, 0.95), 6)
+    return rounded(P.radius_pairs(emb(spark, d), 1.1, 1.25), 6)
 
 
-@query("j11_radius_pairs_cells", _ALL + "select i, j, round(d, 6) d from ap where d >= 0 and d < 0.9")
+@query("j11_radius_pairs_cells", _ALL + "select i, j, round(d, 6) d from ap where d >= 0 and d < 1.2")
 def _(spark, d):
-    return rounded(P.radius_pairs(emb(spark, d), 0.0, 0.9, pivots=16, ref_block=64, query_block=128), 6)
+    return rounded(P.radius_pairs(emb(spark, d), 0.0, 1.2, pivots=16, ref_block=64, query_block=128), 6)
 
 
 @query("j13_symmetric_pairs", _ALL + f", k as {_knn(5)}, a as (select * from k where i in (select id from emb where split <> 'train')) select i, j from a union all select j, i from a where j in (select id from emb where split <> 'train')")
