@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import cut_lineage
 from .quantiles import exact_quantiles, q_name
 from .sample import fold_assign
 
@@ -232,23 +233,17 @@ def natural_spline(x: Column, knots: list[float]) -> Column:
     return F.array(x, *[bend(k) - bend(prev) for k in knots[:-2]])
 
 
-def spline_knots(df: DataFrame, x: str, df_spline: int) -> list[float]:
-    """Boundary at the range, interior knots at equally spaced quantiles."""
-    probs = [i / df_spline for i in range(1, df_spline)]
-    q = exact_quantiles(df, [], x, [0.0, *probs, 1.0]).first()
-    return [q[q_name(p)] for p in (0.0, *probs, 1.0)]
-
-
 def calibration_variance(df: DataFrame, unit: str, units: list, y: str, fold: str | None, score: Column | None = None, score_dim: int = 0,
                          spline: str | None = None, df_spline: int = 4) -> float:
     """Within-unit residual variance of y on factor(unit) plus a spline or a linear score.
 
-    With ``fold`` the predictions are out of fold and spline knots come from each training set.
+    With ``fold`` the predictions are out of fold and spline knots come from each training set: a row is sent
+    to every training set it belongs to, so the knots of all folds are one quantile job and the Gram matrices
+    one pass.
     """
     from .survey import pooled_within
 
     dummies = F.array(*[(F.col(unit) == u).cast("double") for u in units[1:]])
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect()) if fold else [None]
     if spline is None:
         vec, dim = F.concat(dummies, score), len(units) - 1 + score_dim
         if fold:
@@ -256,14 +251,26 @@ def calibration_variance(df: DataFrame, unit: str, units: list, y: str, fold: st
         else:
             out = df.withColumn("_pred", predict_linear(vec, ridge_fit(df, vec, dim, [y], 0.0), ["p"])[0])
     else:
-        dim, pred = len(units) - 1 + df_spline, None
-        for f in folds:
-            train = df if f is None else df.filter(F.col(fold) != f)
-            kn = spline_knots(train, spline, df_spline)
-            lo, width = kn[0], kn[-1] - kn[0]
-            vec = F.concat(dummies, natural_spline((F.col(spline) - lo) / width, [(k - lo) / width for k in kn]))
-            p = predict_linear(vec, ridge_fit(train, vec, dim, [y], 0.0), ["p"])[0]
-            pred = p if f is None else (F.when(F.col(fold) == f, p) if pred is None else pred.when(F.col(fold) == f, p))
+        df = cut_lineage(df.select(unit, y, spline, *([fold] if fold else [])))
+        held = F.col(fold).cast("string") if fold else F.lit("all")
+        names = sorted(r[0] for r in df.select(held.alias("f")).distinct().collect()) if fold else ["none"]
+        sets = F.filter(F.array(*[F.lit(f) for f in names]), lambda f: f != held)
+        train = df.withColumn("_out", F.explode(sets))
+        probs = [0.0, *[i / df_spline for i in range(1, df_spline)], 1.0]
+        knots = {r["_out"]: [r[q_name(p)] for p in probs] for r in exact_quantiles(train, ["_out"], spline, probs).collect()}
+
+        def design(f: str) -> Column:
+            lo, width = knots[f][0], knots[f][-1] - knots[f][0]
+            return F.concat(dummies, natural_spline((F.col(spline) - lo) / width, [(k - lo) / width for k in knots[f]]))
+
+        dim, vec = len(units) - 1 + df_spline, None
+        for f in names:
+            vec = F.when(F.col("_out") == f, design(f)) if vec is None else vec.when(F.col("_out") == f, design(f))
+        per = moments(train.withColumn("_v", _joint(vec, [y])), "_v", dim + 1, "_out")
+        pred = None
+        for f in names:
+            p = predict_linear(design(f), _solve(per[f], dim, 0.0), ["p"])[0]
+            pred = p if not fold else (F.when(held == f, p) if pred is None else pred.when(held == f, p))
         out = df.withColumn("_pred", pred)
     return pooled_within(out.withColumn("_res", F.col(y) - F.col("_pred")), [unit], "_res").first()["within_var"]
 

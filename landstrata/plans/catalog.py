@@ -7,6 +7,7 @@ from . import (  # noqa: F401  (importing registers the queries)
     q_pairs,
     q_scalar,
     q_series,
+    q_sources,
     q_stats,
     q_survey,
 )

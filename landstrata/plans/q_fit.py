@@ -15,7 +15,8 @@ from .registry import R, query, rounded
 
 # --- linear fits: price on quantity and discount ---------------------------------------------
 
-_X = F.array("l_quantity", "l_discount")
+def _x():
+    return F.array("l_quantity", "l_discount")
 _MOM = """with m as (select count(*) n, avg(l_quantity) mq, avg(l_discount) md, avg(l_extendedprice) my, var_pop(l_quantity) * count(*) sqq, var_pop(l_discount) * count(*) sdd,
  covar_pop(l_quantity, l_discount) * count(*) sqd, covar_pop(l_quantity, l_extendedprice) * count(*) sqy, covar_pop(l_discount, l_extendedprice) * count(*) sdy,
  var_pop(l_extendedprice) * count(*) syy from lineitem), w as (select *, ((sdd + {l}) * sqy - sqd * sdy) / ((sqq + {l}) * (sdd + {l}) - sqd * sqd) wq, ((sqq + {l}) * sdy - sqd * sqy) / ((sqq + {l}) * (sdd + {l}) - sqd * sqd) wd from m) """
@@ -24,7 +25,7 @@ _MOM = """with m as (select count(*) n, avg(l_quantity) mq, avg(l_discount) md,
 @query("c1_ridge_fit", _MOM.format(l=0.5) + """
 select 'quantity' term, round(wq, 4) coef from w union all select 'discount', round(wd, 3) from w union all select 'intercept', round(my - wq * mq - wd * md, 3) from w""")
 def _(spark, d):
-    f = L.ridge_fit(read(spark, d, "lineitem"), _X, 2, ["l_extendedprice"], 0.5)
+    f = L.ridge_fit(read(spark, d, "lineitem"), _x(), 2, ["l_extendedprice"], 0.5)
     rows = [("quantity", float(f.weights[0, 0]), 4), ("discount", float(f.weights[1, 0]), 3), ("intercept", float(f.bias[0]), 3)]
     return spark.createDataFrame([(t, round(v + 1e-9, k)) for t, v, k in rows], "term string, coef double")
 
@@ -34,7 +35,7 @@ with s as (select count(*) n, pow(corr(l_quantity, l_extendedprice), 2) rq, pow(
  (pow(corr(l_quantity, l_extendedprice), 2) + pow(corr(l_discount, l_extendedprice), 2) - 2 * corr(l_quantity, l_extendedprice) * corr(l_discount, l_extendedprice) * corr(l_quantity, l_discount)) / (1 - pow(corr(l_quantity, l_discount), 2)) rb from lineitem)
 select 'quantity' block, round(1 - (1 - rq) * (n - 1) / (n - 2), 8) adj_r2 from s union all select 'discount', round(1 - (1 - rd) * (n - 1) / (n - 2), 8) from s union all select 'both', round(1 - (1 - rb) * (n - 1) / (n - 3), 8) from s""")
 def _(spark, d):
-    li = read(spark, d, "lineitem").withColumn("x", _X)
+    li = read(spark, d, "lineitem").withColumn("x", _x())
     r = L.ols_adj_r2(li, "x", 2, "l_extendedprice", {"quantity": [0], "discount": [1], "both": [0, 1]})
     return rounded(spark.createDataFrame(list(r.items()), "block string, adj_r2 double"), 8)
 
@@ -42,8 +43,8 @@ def _(spark, d):
 @query("c3_predict_linear", _MOM.format(l=0.0) + "select l_orderkey, l_linenumber, l_quantity, l_discount, round(my + wq * (l_quantity - mq) + wd * (l_discount - md), 3) pred from lineitem, w")
 def _(spark, d):
     li = read(spark, d, "lineitem")
-    f = L.ridge_fit(li, _X, 2, ["l_extendedprice"], 0.0)
-    p = L.predict_linear(_X, f, ["pred"])[0]
+    f = L.ridge_fit(li, _x(), 2, ["l_extendedprice"], 0.0)
+    p = L.predict_linear(_x(), f, ["pred"])[0]
     return li.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", R(p, 3).alias("pred"))
 
 
@@ -101,16 +102,28 @@ def _(spark, d):
     return rounded(L.oof_target_rate(o, "cluster", "y", "fold").select("o_orderkey", "cluster", "fold", "rate"), 6)
 
 
-@query("c9_calibration_variance")
+def _units(spark, d):
+    frame = N.fold_assign(fx(spark, d, "frame"), 5, ["cn"], order=F.col("cn"))
+    return frame, sorted(r[0] for r in frame.select("unitcd").distinct().collect())  # survey units, a short list
+
+
+@query("c9_calibration_spline")
+def _(spark, d):
+    frame, units = _units(spark, d)
+    rows = [("spline_oof", L.calibration_variance(frame, "unitcd", units, "balive", "fold", spline="tcc")),
+            ("spline_in_sample", L.calibration_variance(frame, "unitcd", units, "balive", None, spline="tcc"))]
+    return rounded(spark.createDataFrame(rows, "model string, within_var double"), 4)
+
+
+@query("c9_calibration_linear", ctes("frame") + """, f as (select unitcd u, tcc x, balive y, (row_number() over (order by cn) - 1) % 5 + 1 as fold from frame),
+t as (select v.fold o, f.* from f join (select unnest([1, 2, 3, 4, 5]) fold) v on f.fold <> v.fold), tm as (select o, u, avg(x) mx, avg(y) my, covar_pop(x, y) * count(*) sxy, var_pop(x) * count(*) sxx from t group by 1, 2),
+tb as (select o, sum(sxy) / sum(sxx) b from tm group by 1), r as (select f.u, f.y - (tm.my + tb.b * (f.x - tm.mx)) e from f join tm on tm.o = f.fold and tm.u = f.u join tb on tb.o = f.fold),
+g as (select u, count(*) n, var_pop(e) * count(*) ss from r group by 1), im as (select u, count(*) n, covar_pop(x, y) * count(*) sxy, var_pop(x) * count(*) sxx, var_pop(y) * count(*) syy from f group by 1)
+select 'linear_oof' model, round(sum(ss) / (sum(n) - count(*)), 4) within_var from g union all select 'linear_in_sample', round((sum(syy) - sum(sxy) * sum(sxy) / sum(sxx)) / (sum(n) - count(*)), 4) from im""")
 def _(spark, d):
-    frame = N.fold_assign(fx(spark, d, "frame"), 5, ["cn"], seed=1)
-    units = sorted(r[0] for r in frame.select("unitcd").distinct().collect())  # survey units, a short list
-    rows = [
-        ("spline_oof", L.calibration_variance(frame, "unitcd", units, "balive", "fold", spline="tcc")),
-        ("linear_oof", L.calibration_variance(frame, "unitcd", units, "balive", "fold", score=F.array("tcc"), score_dim=1)),
-        ("linear_in_sample", L.calibration_variance(frame, "unitcd", units, "balive", None, score=F.array("tcc"), score_dim=1)),
-        ("units_only", S.pooled_within(frame, ["unitcd"], "balive").first()["within_var"]),
-    ]
+    frame, units = _units(spark, d)
+    rows = [("linear_oof", L.calibration_variance(frame, "unitcd", units, "balive", "fold", score=F.array("tcc"), score_dim=1)),
+            ("linear_in_sample", L.calibration_variance(frame, "unitcd", units, "balive", None, score=F.array("tcc"), score_dim=1))]
     return rounded(spark.createDataFrame(rows, "model string, within_var double"), 4)
 
 

@@ -59,4 +59,4 @@ def write_stats_csv(tidy: DataFrame, path: str, stats: list[str], histogram: Dat
         h = histogram.groupBy("feature").agg(
             F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("code").cast("string"), "n"))))).alias("histogram"))
         flat = flat.join(h, "feature", "full")
-    flat.write.mode("overwrite").option("header", True).csv(path)
+    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
