@@ -15,6 +15,7 @@ from .knn import nearest_centroid, noise_to_nearest
 from .neighbors import _exact, _pair_schema, _side, _stack, _cell_join, block_product, knn_join, MAX_PIVOTS, QUERY_BLOCK, REF_BLOCK
 from .pairmetrics import class_distance_profile
 from .quantiles import exact_quantiles, q_name
+from .ranks import global_rank
 from .sample import reservoir, seeded
 from .survey import pooled_within
 
@@ -454,6 +455,7 @@ def _star_kernel(cut: float):
 def link_within(df: DataFrame, key: str, vec: str, cut: float, ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK, pivots: int | None = None) -> DataFrame:
     """(i, j) edges that connect exactly what pairs at distance <= cut connect, far fewer than those pairs."""
     q, r = _side(df, key, vec, (), "q"), _side(df, key, vec, (), "r")
+    r = cut_lineage(r)
     n = r.count()
     if n <= ref_block and pivots is None:
         parts = block_product(q, r, _star_kernel(cut), _pair_schema(q, r), max(n, 1), ref_block, query_block)
@@ -500,9 +502,8 @@ def density_clusters(df: DataFrame, key: str, vec: str, min_pts: list[int], k_ta
         runs.append({"min_pts": mp, "cut": limit, "k": size.count(), "labels": lab, "noise": 1 - n_lab / max(df.count(), 1)})
     valid = [r for r in runs if r["k"] >= 1] or runs
     best = min(valid, key=lambda r: (abs(r["k"] - k_target), r["min_pts"]))
-    ids = best["labels"].select("component").distinct()
-    # clusters are few; number them by their smallest member
-    ids = ids.withColumn("_c", F.row_number().over(Window.orderBy("component")))
+    # numbered by the smallest member
+    ids = global_rank(best["labels"].select("component").distinct(), [F.col("component")], "_c")
     lab = best["labels"].join(ids, "component").select(key, F.col("_c").cast("int").alias("_c"))
     d = cut_lineage(df.join(lab, key, "left").fillna(0, subset=["_c"]))
     out = noise_to_nearest(d, key, vec, "_c", 0, "cluster") if best["k"] else d.withColumn("cluster", F.lit(0))

@@ -36,16 +36,18 @@ def moments(df: DataFrame, vec: Column | str, dim: int, group: str | None = None
         raise ValueError(f"dimension {dim} above {MAX_DIM}")
     x = (F.col(vec) if isinstance(vec, str) else vec).cast("array<double>")
     src = df.select((F.col(group).cast("string") if group else F.lit("")).alias("g"), x.alias("x"))
-    src = src.filter(F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
-    # a rough centre keeps the products small; any value gives the same answer
-    shift = np.array(src.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(dim)])).first()[0] or [0.0] * dim, dtype=float)
+    # any complete row serves as a rough centre: it keeps the products small and does not change the answer
+    seen = [np.array(r["x"], dtype=float) for r in src.limit(16).collect() if r["x"] is not None]
+    shift = next((v for v in seen if np.isfinite(v).all()), np.zeros(dim))
     iu = np.triu_indices(dim)
 
     def reduce_task(batches):
         acc: dict[str, list] = {}
         for pdf in batches:
+            pdf = pdf[pdf["x"].notna()]
             for g, part in pdf.groupby("g"):
                 a = np.stack(part["x"].to_numpy()).astype(np.float64) - shift
+                a = a[np.isfinite(a).all(1)]
                 s = acc.setdefault(g, [0.0, np.zeros(dim), np.zeros((dim, dim))])
                 s[0] += len(a)
                 s[1] += a.sum(0)

@@ -243,6 +243,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
         r = r.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= need).drop("_rn")
     kernel = _topk_kernel(k, exclude_self, allow)
     schema = _pair_schema(q, r)
+    r = cut_lineage(r)  # counted, sampled for pivots and joined: computed once
     n = r.count()
     if n == 0:
         return q.sparkSession.createDataFrame([], T.StructType([
@@ -263,6 +264,7 @@ def radius_join(queries: DataFrame, refs: DataFrame, min_d: float, max_d: float,
     """(i, j, d) with min_d <= d < max_d; cells farther than ``max_d`` are never visited."""
     q, r = _side(queries, qid, qvec, (), "q"), _side(refs, rid, rvec, (), "r")
     kernel, schema = _radius_kernel(min_d, max_d, exclude_self, None), _pair_schema(q, r)
+    r = cut_lineage(r)
     n = r.count()
     if n <= ref_block and pivots is None:
         parts = block_product(q, r, kernel, schema, max(n, 1), ref_block, query_block)

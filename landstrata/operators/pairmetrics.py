@@ -84,7 +84,7 @@ def soft_neighbourhood_kl(df: DataFrame, pair: list[str], row: str, d_ref: str,
     n = F.sum("rows")
     return per.agg(
         F.coalesce(F.try_divide(F.sum(F.col("_w") * F.col("kl")), F.sum("_w")), F.lit(0.0)).alias("loss"), F.count("*").alias("n_pairs_active"),
-        n.alias("n_rows_valid"), (F.sum("overlap") / n).alias("mean_overlap"), (F.sum("er") / n).alias("mean_entropy_ref"), (F.sum("el") / n).alias("mean_entropy_learned"))
+        F.coalesce(n, F.lit(0)).alias("n_rows_valid"), (F.sum("overlap") / n).alias("mean_overlap"), (F.sum("er") / n).alias("mean_entropy_ref"), (F.sum("el") / n).alias("mean_entropy_learned"))
 
 
 def phase_neighbourhood(aligned: DataFrame, tau_ref: float, tau_learned: float, weight: str | None = None, self_weight: float = 1.0, cross_weight: float = 1.0) -> DataFrame:

@@ -58,7 +58,7 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[flo
         out = df.groupBy(*group).agg(arr.alias("_q"))
         return out.select(*group, *[F.col("_q")[i].cast("double").alias(q_name(p)) for i, p in enumerate(probs)])
     ranks = rank_ranges(df, group, value)
-    totals = df.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("_total"))
+    totals = ranks.groupBy(*group).agg(F.max("_cum").alias("_total"))
     r = _join_null_safe(ranks, totals, group).withColumn("_v", F.col(value).cast("double"))
 
     def at(pos: Column) -> Column:

@@ -361,13 +361,13 @@ def _(spark, d):
 
 
 @query("n10_weighted_bootstrap", """
-with w as (select s_suppkey k, cast(s_nationkey + 1 as double) w from supplier), c as (select k, w, sum(w) over (order by k) hi from w),
-t as (select sum(w) tot from w), d as (select i draw, ((i * 7919 + 13) % 100003 + 0.5) / 100003 * tot u from t, (select unnest(range(0, 2000)) i))
-select draw, k as s_suppkey from d join c on u >= hi - w and u < hi""")
+with w as (select c_custkey k, cast(c_nationkey + 1 as double) w from customer), c as (select k, w, sum(w) over (order by k) hi from w),
+t as (select sum(w) tot from w), d as (select i draw, ((i * 7919 + 13) % 100003 + 0.5) / 100003 * tot u from t, (select unnest(range(0, (select count(*) from customer))) i))
+select draw, k as c_custkey from d join c on u >= hi - w and u < hi""")
 def _(spark, d):
-    s = read(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") + 1).alias("w"))
-    out = N.weighted_bootstrap(s, ["s_suppkey"], "w", 2000, u=lambda i: ((i * 7919 + 13) % 100003 + 0.5) / 100003)
-    return out.select("draw", "s_suppkey")
+    c = read(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") + 1).alias("w"))
+    out = N.weighted_bootstrap(c, ["c_custkey"], "w", c.count(), u=lambda i: ((i * 7919 + 13) % 100003 + 0.5) / 100003)
+    return out.select("draw", "c_custkey")
 
 
 @query("n11_fold_assign", f"select o_orderkey, cast((row_number() over (order by {_MIX.format(k='o_orderkey', s=1)}, o_orderkey) - 1) % 5 + 1 as int) fold from orders")
@@ -398,13 +398,13 @@ def _(spark, d):
 
 @query("a18_derived_feature_stats", ctes("annual") + """, p as (select *, cast(floor(prow / 8) as bigint) patch from annual), ch as (select distinct patch from p order by patch limit 3),
 i as (select * from p where change <> 16 and patch in (select patch from ch)), c as (select *, row_number() over (partition by patch order by pixel, yr) rn from i),
-l as (select 'temporal_position' channel, (yr - 1995) / 6.0 as value from c where rn <= 1000 union all select 'yr', yr from c where rn <= 1000), m as (select channel, avg(value) mu from l group by 1)
+l as (select 'temporal_position' channel, (yr - 1995) / 6.0 as value from c where rn <= 10000 union all select 'yr', yr from c where rn <= 10000), m as (select channel, avg(value) mu from l group by 1)
 select channel, count(*) n, round(avg(value), 5) mean, round(var_samp(value), 5) var, round(avg(abs(value - mu)), 5) mad, round(quantile_cont(value, 0.5), 5) q50 from l join m using (channel) group by 1""")
 def _(spark, d):
     from ..operators.masks import temporal_position
 
     a = fx(spark, d, "annual").withColumns({"patch": F.floor(F.col("prow") / 8), "aoi": (F.col("change") != 16).cast("int")})
-    s = N.derived_feature_sample(a, 3, 1000, ["patch"], ["pixel", "yr"], "aoi", order=F.col("patch"), pixel_order=F.col("pixel"))
+    s = N.derived_feature_sample(a, 3, 10000, ["patch"], ["pixel", "yr"], "aoi", order=F.col("patch"), pixel_order=F.col("pixel"))
     out = T.online_stats(s.withColumn("temporal_position", temporal_position("yr", 1995, 7)), ["temporal_position", "yr"])
     return rounded(out.select("channel", "n", "mean", "var", "mad", "q50"), 5)
 
