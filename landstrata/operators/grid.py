@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import global_rank
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -379,7 +381,6 @@ def bundle_windows(df: DataFrame, end_years: dict[str, int], length: int, year:
 
 
 def dense_bands(df: DataFrame, shard: str, band: str, out: str = "band_no") -> DataFrame:
-    """Consecutive 1-based numbers over (shard, band); the pairs are few, so they are ranked apart."""
-    pairs = df.select(shard, band).distinct()
-    ranked = pairs.withColumn(out, F.dense_rank().over(Window.orderBy(shard, band)))
-    return df.join(ranked, [shard, band])
+    """Consecutive 1-based numbers over (shard, band); the distinct pairs are ranked apart and joined back."""
+    ranked = global_rank(df.select(shard, band).distinct(), [F.col(shard), F.col(band)], out)
+    return df.join(ranked.withColumn(out, F.col(out).cast("int")), [shard, band])

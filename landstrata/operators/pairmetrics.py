@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..functions.special import log_gamma, log_softmax_pick, softplus
+from .ranks import SALTS
+from .stats import with_row
 from .neighbors import QUERY_BLOCK, REF_BLOCK, _exact, _stack, block_product, finite_vectors
 
 # Ordering constraints of three sampled years (closer pair, farther pair, large margin).
@@ -36,14 +38,18 @@ def similarity(a, b, kind: str, dim: int) -> Column:
 def infonce(pairs: DataFrame, vectors: DataFrame, key: str, vec: str, dim: int, tau: float, kind: str = "l2", eps: float = 1e-8) -> DataFrame:
     """One row (loss, n_anchors); ``pairs`` has i, j, w and ``positive``; anchors without positives drop out.
 
-    log-sum-exp per anchor: the window maximum and the sums share one shuffle on i.
+    log-sum-exp in two levels: pairs are summed per (anchor, salt) around their own maximum, then at most
+    ``SALTS`` rows per anchor are brought to a common maximum, so an anchor may own any share of the pairs.
     """
     v = vectors.select(F.col(key).alias("_k"), F.col(vec).cast("array<double>").alias("_v"))
     p = pairs.join(v.withColumnsRenamed({"_k": "i", "_v": "_a"}), "i").join(v.withColumnsRenamed({"_k": "j", "_v": "_b"}), "j")
-    p = p.select("i", "positive", (F.ln("w") + similarity("_a", "_b", kind, dim) / tau).alias("z"))
-    p = p.withColumn("m", F.max("z").over(Window.partitionBy("i")))
+    p = p.select("i", F.pmod(F.xxhash64("j", "positive"), F.lit(SALTS)).alias("_salt"), "positive", (F.ln("w") + similarity("_a", "_b", kind, dim) / tau).alias("z"))
+    p = p.withColumn("m", F.max("z").over(Window.partitionBy("i", "_salt")))
     e = F.exp(F.col("z") - F.col("m"))
-    per = p.groupBy("i").agg(F.sum(e).alias("all"), F.sum(F.when(F.col("positive"), e)).alias("pos"))
+    part = p.groupBy("i", "_salt").agg(F.first("m").alias("m"), F.sum(e).alias("all"), F.sum(F.when(F.col("positive"), e)).alias("pos"))
+    part = part.withColumn("top", F.max("m").over(Window.partitionBy("i")))
+    shift = F.exp(F.col("m") - F.col("top"))
+    per = part.groupBy("i").agg(F.sum(F.col("all") * shift).alias("all"), F.sum(F.col("pos") * shift).alias("pos"))
     per = per.filter(F.col("pos").isNotNull())
     return per.agg(F.avg(F.ln(F.col("all") + eps) - F.ln(F.col("pos") + eps)).alias("loss"), F.count("*").alias("n_anchors"))
 
@@ -91,9 +97,8 @@ def phase_neighbourhood(aligned: DataFrame, tau_ref: float, tau_learned: float,
     """Self-similarity and cross-pixel terms on aligned distances and their weighted sum, one row."""
     s = soft_neighbourhood_kl(aligned, ["i", "j"], "a", "d_ref_self", "d_learned_self", tau_ref, tau_learned, F.col("mask_self"), weight)
     c = soft_neighbourhood_kl(aligned, ["i", "j"], "a", "d_ref_cross", "d_learned_cross", tau_ref, tau_learned, None, weight)
-    s = s.select(F.lit(0).alias("_k"), F.col("loss").alias("loss_self"), F.col("n_rows_valid").alias("rows_self"))
-    c = c.select(F.lit(0).alias("_k"), F.col("loss").alias("loss_cross"), F.col("n_rows_valid").alias("rows_cross"))
-    out = s.join(c, "_k").drop("_k")
+    s = s.select(F.col("loss").alias("loss_self"), F.col("n_rows_valid").alias("rows_self"))
+    out = with_row(s, c.select(F.col("loss").alias("loss_cross"), F.col("n_rows_valid").alias("rows_cross")))
     return out.withColumn("loss", self_weight * F.col("loss_self") + cross_weight * F.col("loss_cross"))
 
 

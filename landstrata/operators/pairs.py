@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from .neighbors import finite_vectors, knn_join, radius_join
 from .quantiles import exact_quantiles, q_name
+from .stats import with_row
 
 MAX_LANDMARKS = 1000
 
@@ -188,9 +189,8 @@ def phase_pair_stats(pairs: DataFrame) -> DataFrame:
         F.countDistinct("i").alias("n_anchors_surviving"), F.count_if(F.col("i") == F.col("j")).alias("n_self_pairs"), F.count("*").alias("n_total_pairs"),
         F.avg("overlap").alias("overlap_mean"), F.min("overlap").alias("overlap_min"),
         F.avg(F.when(F.col("i") != F.col("j"), F.col("w"))).alias("weight_mean"), F.stddev_samp(F.when(F.col("i") != F.col("j"), F.col("w"))).alias("weight_std"),
-    ).withColumn("_k", F.lit(0))
-    q = exact_quantiles(cross.withColumn("_k", F.lit(0)), ["_k"], "d", [0.25, 0.5, 0.75])
-    return base.join(q, "_k").drop("_k")
+    )
+    return with_row(base, exact_quantiles(cross, [], "d", [0.25, 0.5, 0.75]))
 
 
 def selected_steps(runs: DataFrame, key: str, year: str, ysfc: str, spec: list[str], phase: list[str]) -> DataFrame:

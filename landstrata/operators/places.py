@@ -6,9 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import global_rank
 from .sample import seeded
 
 
@@ -96,15 +97,14 @@ def spatial_negative_pairs(anchors: DataFrame, valid: DataFrame, patch: list[str
     return a.groupBy(*patch).cogroup(v.groupBy(*patch)).applyInPandas(pick, "i long, j long, d double")
 
 
-def cross_patch_negatives(anchors: DataFrame, patch: str, key: str, per_anchor: int, seed: int = 0) -> DataFrame:
+def cross_patch_negatives(anchors: DataFrame, patch: str, key: str, per_anchor: int, seed: int = 0, slot_order: Column | None = None, draw=None) -> DataFrame:
     """Random anchor pairs from two different patches, equally many for every ordered patch pair.
 
     Pairs are generated, not joined: each output row is a counter from which the patch pair and the two draws
     follow; two equi-joins on (patch number, draw) look the anchors up.
     """
     counts = anchors.groupBy(patch).agg(F.count("*").alias("n"))
-    # number of patches is bounded by the grid
-    numbered = counts.withColumn("p", F.row_number().over(Window.orderBy(patch)).cast("long") - 1)
+    numbered = global_rank(counts, [F.col(patch)], "p").withColumn("p", F.col("p") - 1)
     total = anchors.count()
     n_patches = counts.count()
     if n_patches < 2:
@@ -112,7 +112,7 @@ def cross_patch_negatives(anchors: DataFrame, patch: str, key: str, per_anchor:
     n_pairs = n_patches * (n_patches - 1)
     per = max(1, per_anchor * total // n_pairs)
     idx = anchors.join(numbered, patch).select(
-        "p", F.col(key).alias("a"), (F.row_number().over(Window.partitionBy("p").orderBy(seeded(seed, key), key)).cast("long") - 1).alias("slot"))
+        "p", F.col(key).alias("a"), (F.row_number().over(Window.partitionBy("p").orderBy(slot_order if slot_order is not None else seeded(seed, key), key)).cast("long") - 1).alias("slot"))
     c = F.col("id")
     pair = F.floor(c / per)
     pi = F.floor(pair / (n_patches - 1))
@@ -121,14 +121,18 @@ def cross_patch_negatives(anchors: DataFrame, patch: str, key: str, per_anchor:
         c.alias("draw"), pi.alias("pi"), F.when(q >= pi, q + 1).otherwise(q).alias("pj"))
     sizes = numbered.select(F.col("p"), F.col("n"))
     rows = rows.join(sizes.withColumnsRenamed({"p": "pi", "n": "ni"}), "pi").join(sizes.withColumnsRenamed({"p": "pj", "n": "nj"}), "pj")
-    rows = rows.withColumns({"si": F.pmod(seeded(seed, F.lit("i"), "draw"), F.col("ni")), "sj": F.pmod(seeded(seed, F.lit("j"), "draw"), F.col("nj"))})
+    draw = draw or (lambda stream, c: seeded(seed, F.lit(stream), c))
+    rows = rows.withColumns({"si": F.pmod(draw(0, F.col("draw")), F.col("ni")), "sj": F.pmod(draw(1, F.col("draw")), F.col("nj"))})
     left = idx.withColumnsRenamed({"p": "pi", "slot": "si", "a": "i"})
     right = idx.withColumnsRenamed({"p": "pj", "slot": "sj", "a": "j"})
     return rows.join(left, ["pi", "si"]).join(right, ["pj", "sj"]).select("i", "j", F.col("pi").alias("patch_i"), F.col("pj").alias("patch_j"))
 
 
 def radius_pairs_2d(points: DataFrame, key: str, x: str, y: str, min_d: float, max_d: float) -> DataFrame:
-    """Ordered pairs with min <= distance < max in the plane, found through square cells of side ``max_d``."""
+    """Ordered pairs with min <= distance < max in the plane, found through square cells of side ``max_d``.
+
+    Points are grid cells, at most one per integer coordinate, so a square holds at most max_d^2 of them.
+    """
     p = points.select(F.col(key).alias("i"), F.col(x).cast("double").alias("xi"), F.col(y).cast("double").alias("yi"))
     p = p.withColumns({"cx": F.floor(F.col("xi") / max_d), "cy": F.floor(F.col("yi") / max_d)})
     around = F.explode(F.array(*[F.struct((F.col("cx") + a).alias("cx"), (F.col("cy") + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))

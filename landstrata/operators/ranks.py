@@ -57,3 +57,49 @@ def global_prefix_sum(df: DataFrame, order: list[Column], value: str, out: str)
     w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     base = F.element_at(F.create_map(*offset), F.col("_part")) if offset else F.lit(0)
     return parts.withColumn(out, F.sum(value).over(w) + base).drop("_part")
+
+
+def rank_cuts(df: DataFrame, cols: list[str], n: int) -> list[tuple]:
+    """Last row of each of the first n-1 equal-count tiles in the order of ``cols`` (unique rows).
+
+    Only the order columns are ranked and only n-1 rows reach the driver, so tiles of a wide table cost one
+    narrow sort; the table itself is neither sorted nor copied.
+    """
+    ranked = global_rank(df.select(*cols), [F.col(c) for c in cols], "_rank", "_total")
+    q, rem = F.floor(F.col("_total") / n), F.col("_total") % n
+    ends = [(q * i + F.least(rem, F.lit(i))) for i in range(1, n)]
+    hit = ranked.filter(F.array_contains(F.array(*ends), F.col("_rank"))).orderBy("_rank")
+    rows = [tuple(r[c] for c in cols) for r in hit.collect()]
+    return list(dict.fromkeys(rows))
+
+
+def tile_of(cols: list[str], cuts: list[tuple]) -> Column:
+    """1 + number of cut rows before this row in the order of ``cols``."""
+    out = F.lit(1)
+    for cut in cuts:
+        after, equal = F.lit(False), F.lit(True)
+        for c, v in zip(cols, cut):
+            after = after | (equal & (F.col(c) > F.lit(v)))
+            equal = equal & (F.col(c) == F.lit(v))
+        out = out + F.when(after, 1).otherwise(0)
+    return out
+
+
+GROUP_LIMIT = 1000  # Spark trims row_number groups before the shuffle up to this k
+SALTS = 32
+
+
+def top_per_group(df: DataFrame, k: int, group: list[str], order: list[str]) -> DataFrame:
+    """The k first rows of every group.
+
+    Up to ``GROUP_LIMIT`` Spark cuts each task's rows to k per group before shuffling.  For larger k the rows
+    of a group are first cut inside salted parts, so a hot group is spread over ``SALTS`` tasks and at most
+    SALTS * k of its rows meet.
+    """
+    rn = F.row_number()
+    if k > GROUP_LIMIT:
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+        w = Window.partitionBy(*group, "_salt").orderBy(*order)
+        df = df.withColumn("_rn", rn.over(w)).filter(F.col("_rn") <= k).drop("_rn", "_salt")
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("_rn", rn.over(w)).filter(F.col("_rn") <= k).drop("_rn")

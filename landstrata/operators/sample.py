@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import global_prefix_sum, global_rank
+from .ranks import global_prefix_sum, global_rank, rank_cuts, tile_of, top_per_group
 
 _M = 2147483647  # 2^31 - 1
 
@@ -36,13 +36,14 @@ def sample_patches(patches: DataFrame, n: int, keys: list[str], seed: int = 42,
     return take(patches, n, order if order is not None else seeded(seed, *keys), *keys)
 
 
-def random_windows(patches: DataFrame, keys: list[str], height: int, width: int, side: int, end_years: list[int], seed: int = 42) -> DataFrame:
-    """A random window origin and end year for each sampled patch row."""
+def random_windows(patches: DataFrame, keys: list[str], height: int, width: int, side: int, end_years: list[int], seed: int = 42, draw=None) -> DataFrame:
+    """A random window origin and end year for each sampled patch row; ``draw(stream)`` replaces the hash."""
     years = F.array(*[F.lit(int(y)) for y in end_years])
+    draw = draw or (lambda stream: seeded(seed, F.lit(stream), *keys))
     return patches.withColumns({
-        "row0": F.pmod(seeded(seed, F.lit("r"), *keys), F.lit(max(height - side + 1, 1))),
-        "col0": F.pmod(seeded(seed, F.lit("c"), *keys), F.lit(max(width - side + 1, 1))),
-        "end_year": F.element_at(years, (F.pmod(seeded(seed, F.lit("y"), *keys), F.lit(len(end_years))) + 1).cast("int")),
+        "row0": F.pmod(draw(0), F.lit(max(height - side + 1, 1))),
+        "col0": F.pmod(draw(1), F.lit(max(width - side + 1, 1))),
+        "end_year": F.element_at(years, (F.pmod(draw(2), F.lit(len(end_years))) + 1).cast("int")),
     })
 
 
@@ -59,16 +60,12 @@ def epoch_sample(df: DataFrame, keys: list[str], mode: str, value: float | None
 
 
 def reservoir(df: DataFrame, k: int, keys: list[str], group: list[str] = (), seed: int = 0, order: Column | None = None) -> DataFrame:
-    """Uniform sample of at most k rows, globally or per group.
-
-    The filter on row_number lets Spark cut each task's rows to k per group before the shuffle, so a group
-    that holds most of the table never reaches one task.
-    """
+    """Uniform sample of at most k rows, globally or per group; a group that holds most of the table never
+    reaches one task (see ``top_per_group``)."""
     h = order if order is not None else seeded(seed, *keys)
     if not group:
         return take(df, k, h, *keys)
-    w = Window.partitionBy(*group).orderBy("_h", *keys)
-    return df.withColumn("_h", h).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_h", "_rn")
+    return top_per_group(df.withColumn("_h", h), k, list(group), ["_h", *keys]).drop("_h")
 
 
 def cap_per_batch(df: DataFrame, n: int, keys: list[str], batch: list[str], seed: int = 0, order: Column | None = None) -> DataFrame:
@@ -115,9 +112,7 @@ def supplement(df: DataFrame, n: int, patch: list[str], keys: list[str], weight:
         total = df.groupBy(*patch).agg(F.sum(w).alias("_tw"))
         out = df.join(total, patch)
         key = F.when(F.col("_tw") == 0, u).when(w > 0, -F.ln(u) / w).otherwise(F.lit(float("inf")))
-    win = Window.partitionBy(*patch).orderBy("_k", *keys)
-    out = out.withColumn("_k", key).withColumn("_rn", F.row_number().over(win)).filter(F.col("_rn") <= n)
-    return out.drop("_k", "_rn", "_tw")
+    return top_per_group(out.withColumn("_k", key), n, patch, ["_k", *keys]).drop("_k", "_tw")
 
 
 def grid_plus_supplement(df: DataFrame, ps: int, stride: int, border: int, jitter: int, mask: str, n: int, keys: list[str],
@@ -170,7 +165,7 @@ def compact_coords(lists: dict[str, DataFrame], coords: list[str]) -> tuple[Data
 
 
 def chunk_batches(df: DataFrame, chunk: list[str], keys: list[str], size: int, drop_last: bool = False, replacement: bool = False,
-                  seed: int = 0, order: Column | None = None) -> DataFrame:
+                  seed: int = 0, order: Column | None = None, draw=None) -> DataFrame:
     """Batch number and position inside a chunk; with replacement each slot draws a row of the chunk.
 
     A chunk is a storage tile, so its row count is bounded by the tile area.
@@ -182,7 +177,7 @@ def chunk_batches(df: DataFrame, chunk: list[str], keys: list[str], size: int, d
         slots = ranked.filter("_rn = 1").select(*chunk, F.col("_n").alias("_cn"))
         total = (F.ceil(F.col("_cn") / size) * size).cast("long")
         slots = slots.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), total - 1)))
-        slots = slots.withColumn("_pick", F.pmod(seeded(seed + 1, *chunk, "slot"), F.col("_cn")) + 1)
+        slots = slots.withColumn("_pick", F.pmod(draw(F.col("slot")) if draw else seeded(seed + 1, *chunk, "slot"), F.col("_cn")) + 1)
         out = slots.join(ranked.withColumnRenamed("_rn", "_pick"), [*chunk, "_pick"])
         out = out.withColumns({"batch": F.floor(F.col("slot") / size), "position": F.col("slot") % size})
         return out.drop("_h", "_n", "_cn", "_pick", "slot")
@@ -214,10 +209,9 @@ def weighted_bootstrap(df: DataFrame, keys: list[str], weight: str, n: int, seed
 
 
 def fold_assign(df: DataFrame, k: int, keys: list[str], seed: int = 0, order: Column | None = None, out: str = "fold") -> DataFrame:
-    """Balanced random folds 1..k from the position in the hash order."""
-    h = order if order is not None else seeded(seed, *keys)
-    r = global_rank(df.withColumn("_h", h), [F.col("_h"), *[F.col(c) for c in keys]], "_r")
-    return r.withColumn(out, ((F.col("_r") - 1) % k + 1).cast("int")).drop("_h", "_r")
+    """Balanced random folds 1..k: equal-count tiles of the hash order."""
+    d = df.withColumn("_h", order if order is not None else seeded(seed, *keys))
+    return d.withColumn(out, tile_of(["_h", *keys], rank_cuts(d, ["_h", *keys], k))).drop("_h")
 
 
 def rank_patches(df: DataFrame, ps: int, ysfc: str, valid: Column, below: float = 10, row: str = "row", col: str = "col") -> DataFrame:

@@ -184,9 +184,13 @@ def online_stats(df: DataFrame, channels: list[str], probs: list[float] = (0.25,
 
 
 def distribution_summary(df: DataFrame, x: str) -> DataFrame:
-    base = df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).withColumn("_k", F.lit(0))
-    q = exact_quantiles(df.withColumn("_k", F.lit(0)), ["_k"], x, [0.25, 0.5, 0.75])
-    return base.join(q, "_k").drop("_k")
+    base = df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return with_row(base, exact_quantiles(df, [], x, [0.25, 0.5, 0.75]))
+
+
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Append the columns of a one-row table as a scalar subquery."""
+    return df.withColumn("_row", row.select(F.struct("*")).scalar()).select("*", "_row.*").drop("_row")
 
 
 def change_moments(df: DataFrame, channels: list[str]) -> DataFrame:

@@ -120,20 +120,15 @@ def dh_strata(x, breaks: list[float]) -> Column:
 
 
 def quantile_bins(df: DataFrame, x: str, n: int, key: str, out: str) -> DataFrame:
-    """Equal-count bins over the whole table, ties by key.
+    """Equal-count bins over the whole table, ties by key; the first bins are one larger when they must be.
 
-    ``ntile`` needs one global order, which would be one task. Here ranks come from range partitions:
-    rows per partition are counted, and each row's global rank is its offset plus its rank inside the
-    partition.
+    ``ntile`` would sort the table in one task.  The n-1 boundary rows come from a distributed rank of the two
+    order columns and every row is then compared with them.
     """
-    from .ranks import global_rank
-
-    ranked = global_rank(df, [F.col(x), F.col(key)], "_rank", "_total")
-    q, rem = F.floor(F.col("_total") / n), F.col("_total") % n
-    big = rem * (q + 1)
-    pos = F.col("_rank") - 1
-    tile = F.when(pos < big, F.floor(pos / (q + 1))).otherwise(rem + F.floor(F.try_divide(pos - big, q)))
-    return ranked.withColumn(out, (tile + 1).cast("int")).drop("_rank", "_total")
+    from .ranks import rank_cuts, tile_of
+
+    cuts = rank_cuts(df.filter(F.col(x).isNotNull()), [x, key], n)
+    return df.withColumn(out, F.when(F.col(x).isNotNull(), tile_of([x, key], cuts)).cast("int"))
 
 
 def pooled_within(df: DataFrame, groups: list[str], y: str) -> DataFrame:

@@ -61,7 +61,7 @@ def _(spark, d):
 
 
 _MIXK = "((o_orderkey * 2654435761 + 1 * 40503) % 2147483647 * 48271) % 2147483647"
-_OOF = f"""with f as (select o_orderkey, o_custkey, o_totalprice, (row_number() over (order by {_MIXK}, o_orderkey) - 1) % 5 + 1 as fold, c_acctbal x from orders join customer on o_custkey = c_custkey),
+_OOF = f"""with f as (select o_orderkey, o_custkey, o_totalprice, ntile(5) over (order by {_MIXK}, o_orderkey) as fold, c_acctbal x from orders join customer on o_custkey = c_custkey),
 g as (select v.fold, regr_slope(f.o_totalprice, f.x) b, regr_intercept(f.o_totalprice, f.x) a from f join (select unnest([1, 2, 3, 4, 5]) fold) v on f.fold <> v.fold group by 1) """
 
 
@@ -92,7 +92,7 @@ def _(spark, d):
     return rounded(L.multinomial_logit(e, "z", "evt", F.col("split") == "train"), 4)
 
 
-@query("c8_oof_target_rate", f"""with f as (select o_orderkey, o_custkey % 50 as cluster, case when o_orderstatus = 'F' then 1 else 0 end y, cast((row_number() over (order by {_MIXK}, o_orderkey) - 1) % 5 + 1 as int) fold from orders),
+@query("c8_oof_target_rate", f"""with f as (select o_orderkey, o_custkey % 50 as cluster, case when o_orderstatus = 'F' then 1 else 0 end y, cast(ntile(5) over (order by {_MIXK}, o_orderkey) as int) fold from orders),
 r as (select a.fold, a.cluster, avg(b.y) r from (select distinct fold, cluster from f) a left join f b on a.cluster = b.cluster and a.fold <> b.fold group by 1, 2),
 g as (select a.fold, avg(b.y) g from (select distinct fold from f) a join f b on a.fold <> b.fold group by 1)
 select o_orderkey, cluster, fold, round(coalesce(r, g), 6) rate from f join r using (fold, cluster) join g using (fold)""")
@@ -103,7 +103,7 @@ def _(spark, d):
 
 
 def _units(spark, d):
-    frame = N.fold_assign(fx(spark, d, "frame"), 5, ["cn"], order=F.col("cn"))
+    frame = N.fold_assign(fx(spark, d, "frame"), 5, ["cn"], order=F.substring("cn", -3, 3))
     return frame, sorted(r[0] for r in frame.select("unitcd").distinct().collect())  # survey units, a short list
 
 
@@ -115,7 +115,7 @@ def _(spark, d):
     return rounded(spark.createDataFrame(rows, "model string, within_var double"), 4)
 
 
-@query("c9_calibration_linear", ctes("frame") + """, f as (select unitcd u, tcc x, balive y, (row_number() over (order by cn) - 1) % 5 + 1 as fold from frame),
+@query("c9_calibration_linear", ctes("frame") + """, f as (select unitcd u, tcc x, balive y, ntile(5) over (order by right(cn, 3), cn) as fold from frame),
 t as (select v.fold o, f.* from f join (select unnest([1, 2, 3, 4, 5]) fold) v on f.fold <> v.fold), tm as (select o, u, avg(x) mx, avg(y) my, covar_pop(x, y) * count(*) sxy, var_pop(x) * count(*) sxx from t group by 1, 2),
 tb as (select o, sum(sxy) / sum(sxx) b from tm group by 1), r as (select f.u, f.y - (tm.my + tb.b * (f.x - tm.mx)) e from f join tm on tm.o = f.fold and tm.u = f.u join tb on tb.o = f.fold),
 g as (select u, count(*) n, var_pop(e) * count(*) ss from r group by 1), im as (select u, count(*) n, covar_pop(x, y) * count(*) sxy, var_pop(x) * count(*) sxx, var_pop(y) * count(*) syy from f group by 1)
@@ -149,6 +149,13 @@ def _(spark, d):
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in scores.items()], "k int, silhouette double"), 3)
 
 
+@query("c13_silhouette", ctes("emb") + """, p as (select a.id i, a.evt own, b.evt lab, avg(list_distance(a.z[57:64]::double[], b.z[57:64]::double[])) m from emb a join emb b on a.id <> b.id group by 1, 2, 3),
+s as (select i, max(m) filter (where own = lab) a, min(m) filter (where own <> lab) b from p group by 1) select round(avg((b - a) / greatest(a, b)), 5) silhouette from s""")
+def _(spark, d):
+    e = fx(spark, d, "emb").select("id", "evt", F.slice("z", 57, 8).cast("array<double>").alias("p"))
+    return rounded(spark.createDataFrame([(C.silhouette(e, "id", "p", "evt"),)], "silhouette double"), 5)
+
+
 @query("c14_kmeans")
 def _(spark, d):
     out, _, _ = C.kmeans(_phase(spark, d), "id", "p", 4, seed=1)
@@ -174,6 +181,13 @@ def _(spark, d):
     return C.ward_on_centroids(e, "id", "p", 8, "evt", 4, 20)[0].select("id", "segment")
 
 
+@query("c17_assign_segments", ctes("emb") + """, x as (select id, evt % 3 + 1 as g, i, z[i]::double v from emb, (select unnest(range(57, 65)) i)), c as (select g, list(m order by i) m from (select g, i, avg(v) m from x group by 1, 2) group by 1),
+p as (select id, c.g, list_distance(z[57:64]::double[], c.m) d from emb, c) select id, g as segment, round(d, 6) d from p qualify row_number() over (partition by id order by round (d * d, 9), g) = 1""")
+def _(spark, d):
+    e = fx(spark, d, "emb").select("id", "evt", F.slice("z", 57, 8).cast("array<double>").alias("p"))
+    return rounded(C.assign_segments(e, "id", "p", 8, "evt", {c: c % 3 + 1 for c in range(10)}), 6)
+
+
 @query("c18_cannot_link_ward")
 def _(spark, d):
     e = _phase(spark, d).withColumn("macro", F.col("evt") < 4)

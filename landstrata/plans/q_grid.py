@@ -254,10 +254,18 @@ def _(spark, d):
     return rounded(P.spatial_negative_pairs(a, v, ["br", "bc"], 4.0, 12.0, 5, "cell", "prow", "pcol", seed=7), 6)
 
 
-@query("j17_cross_patch_negatives")
+_MIXJ = "((({k}) * 2654435761 + {s} * 40503) % 2147483647 * 48271) % 2147483647"
+
+
+@query("j17_cross_patch_negatives", _ANCH + f""", a as (select cell, floor(prow / 32) * 100 + floor(pcol / 32) patch from anchors), n as (select patch, count(*) n, row_number() over (order by patch) - 1 p from a group by 1),
+ix as (select p, cell, row_number() over (partition by p order by {_MIXJ.format(k='cell', s=3)}, cell) - 1 slot from a join n using (patch)), t as (select (select count(*) from n) np, (select count(*) from a) na),
+g as (select np, greatest(1, (20 * na) // (np * (np - 1))) per from t where np >= 2), r as (select unnest(range(0, np * (np - 1) * per)) draw, np, per from g),
+q as (select draw, (draw // per) // (np - 1) pi, case when (draw // per) % (np - 1) >= (draw // per) // (np - 1) then (draw // per) % (np - 1) + 1 else (draw // per) % (np - 1) end pj from r)
+select x.cell i, y.cell j, q.pi as patch_i, q.pj as patch_j from q join n ni on ni.p = q.pi join n nj on nj.p = q.pj join ix x on x.p = q.pi and x.slot = ({_MIXJ.format(k='draw', s=0)}) % ni.n
+ join ix y on y.p = q.pj and y.slot = ({_MIXJ.format(k='draw', s=1)}) % nj.n""")
 def _(spark, d):
     a = anchors(spark, d).withColumn("patch", F.floor(F.col("prow") / 32) * 100 + F.floor(F.col("pcol") / 32))
-    return P.cross_patch_negatives(a, "patch", "cell", 20)
+    return P.cross_patch_negatives(a, "patch", "cell", 20, slot_order=N.mixed("cell", 3), draw=lambda s, c: N.mixed(c, s))
 
 
 @query("j11_radius_pairs_2d", _ANCH + """
@@ -280,10 +288,15 @@ def _(spark, d):
     return N.sample_patches(p, 20, ["patch_row", "patch_col"], order=N.mixed(F.col("patch_row") * 1000 + F.col("patch_col"), 42))
 
 
-@query("n01_random_windows")
+_PK = "patch_row * 1000 + patch_col"
+
+
+@query("n01_random_windows", ctes("px") + f""", p as (select distinct patch_row, patch_col from px)
+select patch_row, patch_col, ({_MIX.format(k=_PK, s=0)}) % 985 as row0, ({_MIX.format(k=_PK, s=1)}) % 49 as col0, cast([1998, 1999, 2000][({_MIX.format(k=_PK, s=2)}) % 3 + 1] as int) end_year from p""")
 def _(spark, d):
-    p = N.sample_patches(fx(spark, d, "px").select("patch_row", "patch_col").distinct(), 40, ["patch_row", "patch_col"])
-    return N.random_windows(p, ["patch_row", "patch_col"], 1000, 64, 16, [1998, 1999, 2000])
+    p = fx(spark, d, "px").select("patch_row", "patch_col").distinct()
+    key = F.col("patch_row") * 1000 + F.col("patch_col")
+    return N.random_windows(p, ["patch_row", "patch_col"], 1000, 64, 16, [1998, 1999, 2000], draw=lambda s: N.mixed(key, s))
 
 
 @query("n02_epoch_sample", f"select o_orderkey from orders order by {_MIX.format(k='o_orderkey', s=3)}, o_orderkey limit (select cast(floor(count(*) * 0.25) as bigint) from orders)")
@@ -347,10 +360,12 @@ def _(spark, d):
     return N.chunk_batches(px, ["cr"], ["cell"], 100, drop_last=True, order=N.mixed("cell", 2))
 
 
-@query("n08_chunk_batches_replacement")
+@query("n08_chunk_batches_replacement", _SP + f""", c as (select cell, cast(floor(prow / 16) as bigint) cr, row_number() over (partition by floor(prow / 16) order by {_MIX.format(k='cell', s=2)}, cell) rn,
+ count(*) over (partition by floor(prow / 16)) n from static_px), s as (select cr, n, unnest(range(0, cast(ceil(n / 100) * 100 as bigint))) slot from (select distinct cr, n from c))
+select c.cell, c.cr, cast(floor(slot / 100) as bigint) batch, slot % 100 as position from s join c on c.cr = s.cr and c.rn = ({_MIX.format(k='slot', s=4)}) % s.n + 1""")
 def _(spark, d):
     px = fx(spark, d, "static_px").select("cell", F.floor(F.col("prow") / 16).alias("cr"))
-    return N.chunk_batches(px, ["cr"], ["cell"], 100, replacement=True)
+    return N.chunk_batches(px, ["cr"], ["cell"], 100, replacement=True, order=N.mixed("cell", 2), draw=lambda c: N.mixed(c, 4))
 
 
 @query("n09_cap_per_batch", ctes("px") + """
@@ -370,7 +385,7 @@ def _(spark, d):
     return out.select("draw", "c_custkey")
 
 
-@query("n11_fold_assign", f"select o_orderkey, cast((row_number() over (order by {_MIX.format(k='o_orderkey', s=1)}, o_orderkey) - 1) % 5 + 1 as int) fold from orders")
+@query("n11_fold_assign", f"select o_orderkey, cast(ntile(5) over (order by {_MIX.format(k='o_orderkey', s=1)}, o_orderkey) as int) fold from orders")
 def _(spark, d):
     return N.fold_assign(read(spark, d, "orders").select("o_orderkey"), 5, ["o_orderkey"], order=N.mixed("o_orderkey", 1))
 

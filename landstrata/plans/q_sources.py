@@ -263,7 +263,7 @@ def _(spark, d):
 @query("t4_stream_windowed_metrics", """with e as (select user_id, ts, value, time_bucket(interval '1 day', ts) s from events), m as (select max(ts) - interval '2 hours' wm from e)
 select user_id, strftime(s, '%Y-%m-%d') as day, round(max(value), 4) value_max, round(min(value), 4) value_min, round(avg(value), 5) value_mean, count(value) n from e, m where s + interval '1 day' <= wm group by 1, 2""")
 def _(spark, d):
-    ev = ST.read_table_stream(spark, d, "events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    ev = ST.read_table_stream(spark, d, "events.parquet").select("user_id", ST.utc_clock("ts").alias("ts"), "value")
     out = ST.run_to_table(ST.stream_windowed_metrics(ev, "user_id", "ts", "value", "1 day", "2 hours"), "append", "windows")
-    return out.select("user_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), R("value_max", 4).alias("value_max"), R("value_min", 4).alias("value_min"), R("value_mean", 5).alias("value_mean"), "n")
+    return out.select("user_id", F.date_format(ST.wall_clock("window_start"), "yyyy-MM-dd").alias("day"), R("value_max", 4).alias("value_max"), R("value_min", 4).alias("value_min"), R("value_mean", 5).alias("value_mean"), "n")
 

@@ -387,7 +387,19 @@ def _whitening(spark, d):
     return px, means, X.whitening_factor(cov)
 
 
-@query("f23_whiten")
+@query("f23_whiten", ctes("px") + """, per as (select patch_row, patch_col, count(*) n, var_samp(quantity) a, covar_samp(quantity, price) b, var_samp(price) c from px group by 1, 2),
+s as (select avg(a) + 1e-6 a, avg(b) b, avg(c) + 1e-6 c from per where n >= 2), m as (select avg(quantity) mq, avg(price) mp from px), t as (select a, b, c, a * c - b * b det from s),
+l as (select sqrt(c / det) l11, -b / det / sqrt(c / det) l21, sqrt(a / det - pow(-b / det / sqrt(c / det), 2)) l22 from t)
+select cell, line_no, round(greatest(-5, least(5, l11 * (quantity - mq) + l21 * (price - mp))), 5) w0, round(greatest(-5, least(5, l22 * (price - mp))), 5) w1 from px, l, m""")
+def _(spark, d):
+    px, ch = fx(spark, d, "px"), ["quantity", "price"]
+    means = {r["channel"]: r["mean"] for r in T.channel_stats(px, ch, probs=[0.5]).collect()}
+    w = X.whitening_factor(T.matrix(T.patch_mean_covariance(px, PATCH, ch), ch))
+    out = px.select("cell", "line_no", X.whiten([F.col(c) for c in ch], [means[c] for c in ch], w).alias("w"))
+    return rounded(out.select("cell", "line_no", F.col("w")[0].alias("w0"), F.col("w")[1].alias("w1")), 5)
+
+
+@query("f23_whiten_all_channels")
 def _(spark, d):
     px, means, w = _whitening(spark, d)
     return rounded(px.select("cell", "line_no", X.whiten([F.col(c) for c in CH], means, w).alias("w")).select("cell", "line_no", *[F.col("w")[i].alias(f"w{i}") for i in range(4)]), 5)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -62,6 +62,16 @@ def stream_class_contingency(df: DataFrame, cluster: str, cls: str) -> DataFrame
     return df.groupBy(F.col(cluster).alias("cluster"), F.col(cls).alias("cls")).agg(F.count("*").alias("n"))
 
 
+def utc_clock(ts) -> Column:
+    """A time without zone as the instant with the same clock in UTC, whatever the session's zone."""
+    return F.from_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone())
+
+
+def wall_clock(ts) -> Column:
+    """Inverse of ``utc_clock``."""
+    return F.to_utc_timestamp(F.col(ts), F.current_timezone()).cast("timestamp_ntz")
+
+
 def stream_windowed_metrics(df: DataFrame, key: str, ts: str, index: str, window: str, delay: str) -> DataFrame:
     """Metrics of an index per key and event-time window; rows later than ``delay`` behind the newest are dropped."""
     return df.withWatermark(ts, delay).groupBy(key, F.window(ts, window).alias("w")).agg(

@@ -368,3 +368,25 @@ def test_stream_ignores_older_years(spark, tmp_path):
     recs = spark.readStream.schema("pixel long, yr int, change int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(src)
     out = ST.run_to_table(ST.stream_change_state(recs, "pixel", "yr", "change"), "append", "late").orderBy("yr").collect()
     assert [(r["yr"], r["last_fast_year"], r["cum_events"]) for r in out] == [(2000, 1980, 0), (2001, 2001, 1), (2002, 2001, 1)]
+
+
+def test_top_per_group_beyond_the_group_limit(spark):
+    from landstrata.operators.ranks import top_per_group
+
+    df = spark.range(9000).select(F.when(F.col("id") % 9 < 6, "hot").otherwise("cold").alias("g"), ((F.col("id") * 7919) % 10007).alias("o"), "id")
+    got = top_per_group(df, 1500, ["g"], ["o", "id"]).toPandas()
+    want = df.toPandas().sort_values(["o", "id"]).groupby("g").head(1500)
+    assert set(got["id"]) == set(want["id"]) and len(got) == 3000
+
+
+def test_stream_windows_ignore_the_session_zone(spark):
+    from landstrata.streaming import streams as ST
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        r = spark.range(1).select(F.lit("2024-01-05 23:30:00").cast("timestamp_ntz").alias("t")).select("t", ST.utc_clock("t").alias("u"))
+        r = r.withColumn("w", F.window("u", "1 day")["start"]).select("t", "u", "w").withColumns({"back": ST.wall_clock("u"), "day": ST.wall_clock("w")}).first()
+        assert r["back"] == r["t"] and str(r["day"]) == "2024-01-05 00:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
