@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .neighbors import knn_join
 from .quantiles import exact_quantiles, q_name
 
@@ -137,7 +138,7 @@ def neighbour_event_rate(pairs: DataFrame, refs: DataFrame, queries: DataFrame,
     """Mean share of neighbours with y > 0 by bin of the query's own value (0 = zero class), with the lift over the base rate."""
     frac = with_response(pairs, refs, key, y).groupBy("i").agg(F.avg((F.col("y") > 0).cast("double")).alias("frac"))
     base = refs.agg(F.avg((F.col(y) > 0).cast("double"))).scalar()
-    q = queries.select(F.col(key).alias("i"), F.col(y).alias("q")).join(frac, "i")
+    q = cut_lineage(queries.select(F.col(key).alias("i"), F.col(y).alias("q")).join(frac, "i"))
     probs = [b / bins for b in range(bins + 1)]
     row = exact_quantiles(q.filter("q > 0"), [], "q", probs).first()
     edges = sorted({row[q_name(p)] for p in probs}) if row else []

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import cut_lineage
 from .neighbors import finite_vectors, knn_join, radius_join
 from .quantiles import exact_quantiles, q_name
 from .stats import with_row
@@ -110,6 +111,7 @@ def mutual_knn_blocked(df: DataFrame, k: int, min_spatial: float, patch: str, ke
 
 def quantile_pairs(pairs: DataFrame, low: float, high: float, d: str = "d") -> DataFrame:
     """Pairs with q_low <= d < q_high over all distances of the given pairs."""
+    pairs = cut_lineage(pairs)  # read for the quantiles and again for the filter
     q = exact_quantiles(pairs, [], d, [low, high])
     lim = q.select(F.struct(F.col(q_name(low)).alias("lo"), F.col(q_name(high)).alias("hi"))).scalar()
     return pairs.withColumn("_q", lim).filter((F.col(d) >= F.col("_q.lo")) & (F.col(d) < F.col("_q.hi"))).drop("_q")
@@ -184,6 +186,7 @@ def phase_pairs(df: DataFrame, series: DataFrame, key: str, vec: str, ysfc: str,
 
 def phase_pair_stats(pairs: DataFrame) -> DataFrame:
     """Counts and distribution of the surviving pairs, one row."""
+    pairs = cut_lineage(pairs)
     cross = pairs.filter(F.col("i") != F.col("j"))
     base = pairs.agg(
         F.countDistinct("i").alias("n_anchors_surviving"), F.count_if(F.col("i") == F.col("j")).alias("n_self_pairs"), F.count("*").alias("n_total_pairs"),

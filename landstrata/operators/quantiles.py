@@ -2,13 +2,16 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer.  That is right
 for many small groups (a pixel, a plot) and wrong for a channel or class with billions of rows.
-``exact_quantiles`` ranks instead: equal values collapse to counts, the counts are range-partitioned
-by (group, value), and running totals per partition plus the totals of earlier partitions give each
-value's rank range.  No task ever holds a whole group.
+``exact_quantiles`` takes two scans instead and shuffles next to nothing: a sketch brackets every wanted
+rank, then one aggregation counts rows between the brackets and keeps values only inside them.  The counts
+prove whether the bracket holds the rank; when one does not, or when there are too many groups, the values
+are ranked by a distributed sort (``rank_quantiles``).  No task ever holds a whole group.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +49,8 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(right, cond, "inner").drop(*[f"{k}__r" for k in keys])
 
 
-def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[float], method: str = "exact") -> DataFrame:
-    """Linear-interpolated quantiles (type 7) per group: one row per group, columns q02, q25, ...
-
-    ``method='approx'`` uses the mergeable sketch instead and needs one pass.
-    """
-    if not group:
-        return exact_quantiles(df.withColumn("_g", F.lit(0)), ["_g"], value, probs, method).drop("_g")
-    if method == "approx":
-        arr = F.percentile_approx(value, [float(p) for p in probs], 10000)
-        out = df.groupBy(*group).agg(arr.alias("_q"))
-        return out.select(*group, *[F.col("_q")[i].cast("double").alias(q_name(p)) for i, p in enumerate(probs)])
+def rank_quantiles(df: DataFrame, group: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Quantiles from the rank range of every distinct value."""
     ranks = rank_ranges(df, group, value)
     totals = ranks.groupBy(*group).agg(F.max("_cum").alias("_total"))
     r = _join_null_safe(ranks, totals, group).withColumn("_v", F.col(value).cast("double"))
@@ -75,3 +69,87 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[flo
         frac = h - F.floor(h)
         cols.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac).alias(q_name(p)))
     return out.select(*group, *cols)
+
+
+ACCURACY = 100_000  # the sketch's rank error is 1/ACCURACY of the group
+MARGIN = 4.0 / ACCURACY
+MAX_GROUPS = 20_000
+
+
+def _brackets(values: list[float], n_probs: int) -> tuple[list[float], list[float]]:
+    """Overlapping [lo, hi] pairs merged to disjoint intervals."""
+    pairs = sorted((values[2 * i], values[2 * i + 1]) for i in range(n_probs))
+    los, his = [pairs[0][0]], [pairs[0][1]]
+    for lo, hi in pairs[1:]:
+        if lo <= his[-1]:
+            his[-1] = max(his[-1], hi)
+        else:
+            los.append(lo)
+            his.append(hi)
+    return los, his
+
+
+def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[float], method: str = "exact",
+                    extra: dict[str, tuple[Column, str]] | None = None) -> DataFrame:
+    """Linear-interpolated quantiles (type 7) per group: one row per group, columns q02, q25, ...
+
+    ``extra`` names further aggregates of the value (column ``_v``) with their types; they ride along with the
+    first scan.  ``method='approx'`` returns the sketch's own answer after that scan.
+    """
+    if not group:
+        return exact_quantiles(df.withColumn("_g", F.lit(0)), ["_g"], value, probs, method, extra).drop("_g")
+    extra = extra or {}
+    spark = df.sparkSession
+    v = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
+    riders = [c.alias(n) for n, (c, _) in extra.items()]
+    if method == "approx":
+        out = v.groupBy(*group).agg(F.percentile_approx("_v", [float(p) for p in probs], 10000).alias("_q"), *riders)
+        return out.select(*group, *[F.col("_q")[i].alias(q_name(p)) for i, p in enumerate(probs)], *extra)
+    wanted = [x for p in probs for x in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
+    sketch = v.groupBy(*group).agg(F.percentile_approx("_v", wanted, ACCURACY).alias("_q"), F.count("*").alias("_n"), *riders)
+    rows = sketch.limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        out = rank_quantiles(df, group, value, probs)
+        return _join_null_safe(out, v.groupBy(*group).agg(*riders), group) if riders else out
+    fields = [df.schema[g] for g in group]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    schema = types + "".join(f", {q_name(p)} double" for p in probs) + "".join(f", `{n}` {t}" for n, (_, t) in extra.items())
+    if not rows:
+        return spark.createDataFrame([], schema)
+    plan, ranks = [], {}
+    for r in rows:
+        key = tuple(r[g] for g in group)
+        h = [(r["_n"] - 1) * float(p) for p in probs]
+        ranks[key] = [(math.floor(x), math.ceil(x), x - math.floor(x)) for x in h]
+        los, his = _brackets(list(r["_q"]), len(probs))
+        plan.append((*key, los, his, sorted({i for lo, hi, _ in ranks[key] for i in (lo, hi)})))
+    # at most MAX_GROUPS short rows: a local table, so the join is a broadcast and the values stay where they are
+    small = spark.createDataFrame(plan, types + ", _los array<double>, _his array<double>, _ranks array<bigint>")
+    j = _join_null_safe(v, small.drop("_ranks"), group)
+    k = F.size(F.filter("_his", lambda x: x < F.col("_v")))
+    inside = F.coalesce(F.col("_v") >= F.try_element_at("_los", k + 1), F.lit(False))
+    t = j.select(*group, k.alias("_k"), inside.alias("_in"), F.when(inside, F.col("_v")).alias("_v")).groupBy(*group, "_k", "_in", "_v").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*group).orderBy("_k", "_in", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    t = _join_null_safe(t.withColumn("_cum", F.sum("_n").over(w)), small.select(*group, "_ranks"), group)
+    hits = t.filter(F.col("_in") & F.exists("_ranks", lambda x: (x < F.col("_cum")) & (x >= F.col("_cum") - F.col("_n"))))
+    found: dict[tuple, list] = {}
+    for r in hits.select(*group, "_v", "_n", "_cum").collect():  # at most two rows per group and probability
+        found.setdefault(tuple(r[g] for g in group), []).append((r["_cum"] - r["_n"], r["_cum"], r["_v"]))
+
+    def value_at(key: tuple, i: int) -> float:
+        return next(x for lo, hi, x in found[key] if lo <= i < hi)
+
+    out = []
+    try:
+        for r in rows:
+            key = tuple(r[g] for g in group)
+            qs = []
+            for lo, hi, frac in ranks[key]:
+                a, b = value_at(key, lo), value_at(key, hi)
+                qs.append(a + (b - a) * frac)
+            out.append((*key, *qs, *[r[n] for n in extra]))
+    except (StopIteration, KeyError):
+        # a bracket missed its rank
+        out = rank_quantiles(df, group, value, probs)
+        return _join_null_safe(out, v.groupBy(*group).agg(*riders), group) if riders else out
+    return spark.createDataFrame(out, schema)

@@ -23,13 +23,15 @@ def long_channels(df: DataFrame, channels: list[str], keep: list[str] = (), mask
 
 def channel_stats(df: DataFrame, channels: list[str], mask: Column | None = None, probs: list[float] = CHANNEL_PROBS,
                   method: str = "exact") -> DataFrame:
-    """Per channel n, mean, sd (population), min, max and quantiles over valid values."""
+    """Per channel n, mean, sd (population), min, max and quantiles over valid values; two scans."""
     long = long_channels(df, channels, mask=mask)
-    base = long.groupBy("channel").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    return base.join(exact_quantiles(long, ["channel"], "value", probs, method), "channel")
+    out = exact_quantiles(long, ["channel"], "value", probs, method, _moments())
+    return out.select("channel", *_moments(), *[q_name(p) for p in probs])
+
+
+def _moments() -> dict:
+    return {"n": (F.count("_v"), "bigint"), "mean": (F.avg("_v"), "double"), "sd": (F.stddev_pop("_v"), "double"),
+            "min": (F.min("_v"), "double"), "max": (F.max("_v"), "double")}
 
 
 def tidy_stats(wide: DataFrame, feature: str, key: str = "channel") -> DataFrame:
@@ -174,13 +176,13 @@ def inverse_covariance(cov: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
 def online_stats(df: DataFrame, channels: list[str], probs: list[float] = (0.25, 0.5, 0.75), method: str = "exact") -> DataFrame:
     """Rows with any missing channel are dropped; var and sd use n-1; mad is the mean absolute deviation."""
     long = long_channels(_complete(df, channels), channels)
-    base = long.groupBy("channel").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"),
-        F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"),
-    )
+    extra = _moments()
+    extra.pop("sd")
+    extra |= {"var": (F.var_samp("_v"), "double"), "sd": (F.stddev_samp("_v"), "double")}
+    base = exact_quantiles(long, ["channel"], "value", list(probs), method, extra)
     dev = long.join(base.select("channel", "mean"), "channel").groupBy("channel").agg(
         F.avg(F.abs(F.col("value") - F.col("mean"))).alias("mad"))
-    return base.join(dev, "channel").join(exact_quantiles(long, ["channel"], "value", list(probs), method), "channel")
+    return base.join(dev, "channel")
 
 
 def distribution_summary(df: DataFrame, x: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import survey as S
+from ..session import cut_lineage
 from .fixtures import ctes, fx, read
 from .registry import R, query
 
@@ -29,7 +30,7 @@ st as (select f.*, {_TCC_SQL} as tcc_bin, ntile(4) over (order by tcc, cn) as tc
 
 def strata_frame(spark, d):
     """The plot frame with fixed, quantile and Dalenius-Hodges strata of canopy cover."""
-    frame = fx(spark, d, "frame")
+    frame = cut_lineage(fx(spark, d, "frame"))  # one row per plot, read by every scheme
     frame = S.quantile_bins(frame, "tcc", 4, "cn", "tcc_q")
     cuts = S.dh_breaks(frame, "tcc", 5)
     return frame.withColumn("tcc_bin", S.fixed_bins("tcc", TCC_EDGES, TCC_LABELS)).withColumn(
@@ -147,13 +148,13 @@ def _(spark, d):
 
 @query("a26_dh_breaks", f"{ctes('frame')}, {_DH} select round(b, 6) as cut from cuts")
 def _(spark, d):
-    cuts = S.dh_breaks(fx(spark, d, "frame"), "tcc", 5)
+    cuts = S.dh_breaks(cut_lineage(fx(spark, d, "frame")), "tcc", 5)
     return spark.createDataFrame([(round(c, 6),) for c in cuts], "cut double")
 
 
 @query("a27_dh_strata", _STRATA + "select cn, cast(tcc_dh as int) tcc_dh from st")
 def _(spark, d):
-    frame = fx(spark, d, "frame")
+    frame = cut_lineage(fx(spark, d, "frame"))
     return frame.select("cn", S.dh_strata("tcc", S.dh_breaks(frame, "tcc", 5)).alias("tcc_dh"))
 
 
@@ -184,7 +185,7 @@ select t.unitcd, t.n, round(t.vt, 4) var_total, round(t.pp, 4) pct_positive, rou
 from (select unitcd, count(balive) n, var_samp(balive) vt, 100 * avg(case when balive > 0 then 1.0 else 0.0 end) pp from st group by 1) t
 join {_UV.format(c='tcc_bin')} a using (unitcd) join {_UV.format(c='tcc_q')} b using (unitcd)""")
 def _(spark, d):
-    frame = S.quantile_bins(fx(spark, d, "frame"), "tcc", 4, "cn", "tcc_q").withColumn(
+    frame = S.quantile_bins(cut_lineage(fx(spark, d, "frame")), "tcc", 4, "cn", "tcc_q").withColumn(
         "tcc_bin", S.fixed_bins("tcc", TCC_EDGES, TCC_LABELS))
     out = S.per_unit_table(frame, "unitcd", {"fixed": "tcc_bin", "quartile": "tcc_q"}, "balive")
     digits = {"var_total": 4, "pct_positive": 4, "var_fixed": 4, "var_quartile": 4, "fixed_ratio": 6, "quartile_ratio": 6}
@@ -214,7 +215,7 @@ def _(spark, d):
 select 'fixed' as method, tcc_bin as stratum, round(balive, 6) as value from st
 union all select 'quartile', cast(tcc_q as string), round(balive, 6) from st""")
 def _(spark, d):
-    frame = S.quantile_bins(fx(spark, d, "frame"), "tcc", 4, "cn", "tcc_q").withColumn(
+    frame = S.quantile_bins(cut_lineage(fx(spark, d, "frame")), "tcc", 4, "cn", "tcc_q").withColumn(
         "tcc_bin", S.fixed_bins("tcc", TCC_EDGES, TCC_LABELS))
     return S.schemes_long(frame, {"fixed": "tcc_bin", "quartile": "tcc_q"}, "balive").withColumn("value", R("value", 6))
 

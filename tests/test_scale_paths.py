@@ -14,7 +14,7 @@ from landstrata.operators import pairs as P
 from landstrata.operators import places as PL
 from landstrata.operators import sample as N
 from landstrata.operators import survey as S
-from landstrata.operators.quantiles import exact_quantiles
+from landstrata.operators.quantiles import exact_quantiles, rank_quantiles
 from landstrata.operators.ranks import global_prefix_sum, global_rank, group_average_rank
 
 
@@ -91,9 +91,34 @@ def test_exact_quantiles_with_hot_value(spark):
     g = np.where(np.arange(3000) % 10 == 0, "b", "a")
     df = spark.createDataFrame(pd.DataFrame({"g": g, "v": v}))
     probs = [0.0, 0.02, 0.25, 0.5, 0.75, 0.98, 1.0]
-    for r in exact_quantiles(df, ["g"], "v", probs).collect():
-        want = np.quantile(v[g == r["g"]], probs)
-        assert np.allclose([r[c] for c in ("q00", "q02", "q25", "q50", "q75", "q98", "q100")], want)
+    for out in (exact_quantiles(df, ["g"], "v", probs), rank_quantiles(df, ["g"], "v", probs)):
+        for r in out.collect():
+            want = np.quantile(v[g == r["g"]], probs)
+            assert np.allclose([r[c] for c in ("q00", "q02", "q25", "q50", "q75", "q98", "q100")], want)
+
+
+def test_exact_quantiles_survive_a_coarse_sketch(spark, monkeypatch):
+    from landstrata.operators import quantiles as Q
+
+    v = np.random.default_rng(5).normal(size=20000)
+    df = spark.createDataFrame(pd.DataFrame({"v": v}))
+    probs = [0.02, 0.5, 0.98]
+    for accuracy, margin in ((100, 0.04), (100, 0.0)):  # wide brackets, then brackets that may miss
+        monkeypatch.setattr(Q, "ACCURACY", accuracy)
+        monkeypatch.setattr(Q, "MARGIN", margin)
+        r = Q.exact_quantiles(df, [], "v", probs).first()
+        assert np.allclose([r["q02"], r["q50"], r["q98"]], np.quantile(v, probs))
+    monkeypatch.setattr(Q, "MAX_GROUPS", 2)
+    many = df.withColumn("g", F.pmod(F.hash("v"), F.lit(5)))
+    out = Q.exact_quantiles(many, ["g"], "v", probs, extra={"n": (F.count("_v"), "bigint")})
+    assert out.count() == 5 and out.agg(F.sum("n")).first()[0] == 20000
+
+
+def test_quantiles_of_null_groups_and_no_rows(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", None)], "g string, v double")
+    got = {r["g"]: r["q50"] for r in exact_quantiles(df, ["g"], "v", [0.5]).collect()}
+    assert got == {None: 2.0, "a": 2.0}
+    assert exact_quantiles(df.filter("v > 9"), ["g"], "v", [0.5]).count() == 0
 
 
 def test_global_ranks(spark):
