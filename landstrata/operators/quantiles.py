@@ -126,8 +126,14 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[flo
     # at most MAX_GROUPS short rows: a local table, so the join is a broadcast and the values stay where they are
     small = spark.createDataFrame(plan, types + ", _los array<double>, _his array<double>, _ranks array<bigint>")
     j = _join_null_safe(v, small.drop("_ranks"), group)
-    k = F.size(F.filter("_his", lambda x: x < F.col("_v")))
-    inside = F.coalesce(F.col("_v") >= F.try_element_at("_los", k + 1), F.lit(False))
+    # brackets passed and bracket hit, as plain comparisons that stay inside generated code
+    most = max(len(p[-3]) for p in plan)
+    past = [F.coalesce((F.get("_his", F.lit(i)) < F.col("_v")).cast("int"), F.lit(0)) for i in range(most)]
+    k = sum(past[1:], past[0])
+    hit = [F.coalesce(F.col("_v").between(F.get("_los", F.lit(i)), F.get("_his", F.lit(i))), F.lit(False)) for i in range(most)]
+    inside = hit[0]
+    for h in hit[1:]:
+        inside = inside | h
     t = j.select(*group, k.alias("_k"), inside.alias("_in"), F.when(inside, F.col("_v")).alias("_v")).groupBy(*group, "_k", "_in", "_v").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*group).orderBy("_k", "_in", "_v").rowsBetween(Window.unboundedPreceding, 0)
     t = _join_null_safe(t.withColumn("_cum", F.sum("_n").over(w)), small.select(*group, "_ranks"), group)
