@@ -86,22 +86,42 @@ def array_reduce(values: Column, how: str) -> Column:
     raise ValueError(f"unknown reducer {how!r}")
 
 
-def _over(segs: Column, fn: Seg, how: str) -> Column:
-    return array_reduce(F.transform(segs, lambda s: fn(s)), how)
+def derive(segs) -> Column:
+    """Per segment the quantities the long-term metrics share, computed once."""
+    nd = {"ndvi": ("nir", "red"), "nbr": ("nir", "swir2"), "ndmi": ("nir", "swir1")}
 
+    def one(s: Column) -> Column:
+        f = {"t_start": s["t_start"], "t_end": s["t_end"], "t_break": s["t_break"], "dur": duration(s), "vel": _velocity(s)}
+        f |= {f"mid_{b}": _mid(s, b) for b in BANDS}
+        f |= {f"amp_{b}": amplitude(b)(s) for b in HARMONIC_BANDS}
+        f |= {f"rmse_{b}": s[b]["rmse"] for b in HARMONIC_BANDS}
+        f |= {f"mid_{n}": normalized_difference(_mid(s, x), _mid(s, y)) for n, (x, y) in nd.items()}
+        f |= {"joint": _add([s[b]["rmse"] for b in BANDS]) / len(BANDS), "slope": coef(s, "nir", 1) - coef(s, "red", 1)}
+        f |= {"absmag": _add([F.abs(s[b]["mag"]) for b in BANDS]) / len(BANDS), "specmag": _spectral_mag(s), "nir_mag": s["nir"]["mag"]}
+        return F.struct(*[c.alias(n) for n, c in f.items()])
 
-def _weighted(segs: Column, fn: Seg) -> Column:
-    num = F.aggregate(segs, F.lit(0.0), lambda acc, s: acc + fn(s) * duration(s))
-    den = F.aggregate(segs, F.lit(0.0), lambda acc, s: acc + duration(s))
-    return num / (den + EPS)
+    return F.transform(_c(segs), one)
 
 
-def _span(segs: Column) -> Column:
-    return _over(segs, lambda s: s["t_end"], "max") - _over(segs, lambda s: s["t_start"], "min")
+def with_derived(df: DataFrame, segs: str = "segs", out: str = "_derived") -> DataFrame:
+    return df.withColumn(out, derive(segs))
 
 
-def _decades(segs: Column) -> Column:
-    return F.greatest(_span(segs) / 10, F.lit(EPS))
+def _d(segs, derived) -> Column:
+    return derive(segs) if derived is None else _c(derived)
+
+
+def _over(d: Column, name: str, how: str) -> Column:
+    return array_reduce(d[name], how)
+
+
+def _weighted(d: Column, name: str) -> Column:
+    num = F.aggregate(d, F.lit(0.0), lambda acc, s: acc + s[name] * s["dur"])
+    return num / (array_reduce(d["dur"], "sum") + EPS)
+
+
+def _decades(d: Column) -> Column:
+    return F.greatest((F.array_max(d["t_end"]) - F.array_min(d["t_start"])) / 10, F.lit(EPS))
 
 
 def segment_at(segs, t) -> Column:
@@ -162,26 +182,26 @@ def annual_snapshots(df: DataFrame, years: range | list[int], month: int, day: i
 # long-term metrics ---------------------------------------------------------------------------
 
 
-def longterm_state(segs) -> dict[str, Column]:
+# each group takes the segment array, or the column made by ``with_derived`` when several groups are wanted
+
+
+def longterm_state(segs, derived=None) -> dict[str, Column]:
     """Duration-weighted mean of mid-segment reflectance and indices."""
-    segs = _c(segs)
-    out = {f"mean_{b}": _weighted(segs, lambda s, b=b: _mid(s, b)) for b in BANDS}
-    for name, a, b in (("ndvi", "nir", "red"), ("nbr", "nir", "swir2"), ("ndmi", "nir", "swir1")):
-        out[f"mean_{name}"] = _weighted(segs, lambda s, a=a, b=b: normalized_difference(_mid(s, a), _mid(s, b)))
-    return out
+    d = _d(segs, derived)
+    return {f"mean_{n}": _weighted(d, f"mid_{n}") for n in (*BANDS, "ndvi", "nbr", "ndmi")}
 
 
-def longterm_harmonic(segs) -> dict[str, Column]:
-    segs = _c(segs)
+def longterm_harmonic(segs, derived=None) -> dict[str, Column]:
+    d = _d(segs, derived)
     out: dict[str, Column] = {}
     for b in HARMONIC_BANDS:
-        mean_amp = _weighted(segs, amplitude(b))
+        mean_amp = _weighted(d, f"amp_{b}")
         out[f"mean_seasonal_amp_{b}"] = mean_amp
-        out[f"mean_seasonal_snr_{b}"] = mean_amp / (_over(segs, lambda s, b=b: s[b]["rmse"], "mean") + EPS)
-        out[f"variance_seasonal_amp_{b}"] = _over(segs, amplitude(b), "variance")
+        out[f"mean_seasonal_snr_{b}"] = mean_amp / (_over(d, f"rmse_{b}", "mean") + EPS)
+        out[f"variance_seasonal_amp_{b}"] = _over(d, f"amp_{b}", "variance")
     for b in ("nir", "swir1"):
-        out[f"max_seasonal_amp_{b}"] = _over(segs, amplitude(b), "max")
-        out[f"net_change_seasonal_amp_{b}"] = _over(segs, amplitude(b), "last") - _over(segs, amplitude(b), "first")
+        out[f"max_seasonal_amp_{b}"] = _over(d, f"amp_{b}", "max")
+        out[f"net_change_seasonal_amp_{b}"] = _over(d, f"amp_{b}", "last") - _over(d, f"amp_{b}", "first")
     return out
 
 
@@ -189,51 +209,49 @@ def _velocity(s: Column) -> Column:
     return F.sqrt(_add([coef(s, b, 1) * coef(s, b, 1) for b in BANDS]))
 
 
-def longterm_trajectory(segs) -> dict[str, Column]:
-    segs = _c(segs)
-    distance = _over(segs, lambda s: _velocity(s) * duration(s), "sum")
+def longterm_trajectory(segs, derived=None) -> dict[str, Column]:
+    d, segs = _d(segs, derived), _c(segs)
+    distance = F.aggregate(d, F.lit(0.0), lambda acc, s: acc + s["vel"] * s["dur"])
+    distance = F.when(F.size(d) > 0, distance)
     first, last = F.try_element_at(segs, F.lit(1)), F.try_element_at(segs, F.lit(-1))
     start = {b: coef(first, b, 0) + coef(first, b, 1) * first["t_start"] for b in ("nir", "red")}
     end = {b: coef(last, b, 0) + coef(last, b, 1) * last["t_end"] for b in ("nir", "red")}
-    slope = lambda s: coef(s, "nir", 1) - coef(s, "red", 1)
     return {
         "total_spectral_distance": distance,
-        "spectral_distance_per_decade": distance / _decades(segs),
-        "mean_spectral_velocity": _over(segs, _velocity, "mean"),
+        "spectral_distance_per_decade": distance / _decades(d),
+        "mean_spectral_velocity": _over(d, "vel", "mean"),
         "net_change_ndvi": ndvi(end["nir"], end["red"]) - ndvi(start["nir"], start["red"]),
         "net_change_nir": end["nir"] - start["nir"],
-        "mean_recovery_rate": _over(segs, lambda s: F.greatest(slope(s), F.lit(0.0)), "mean"),
-        "mean_decline_rate": _over(segs, lambda s: F.abs(F.least(slope(s), F.lit(0.0))), "mean"),
+        "mean_recovery_rate": array_reduce(F.transform(d["slope"], lambda x: F.greatest(x, F.lit(0.0))), "mean"),
+        "mean_decline_rate": array_reduce(F.transform(d["slope"], lambda x: F.abs(F.least(x, F.lit(0.0)))), "mean"),
     }
 
 
-def disturbance_metrics(segs) -> dict[str, Column]:
+def disturbance_metrics(segs, derived=None) -> dict[str, Column]:
     """``years_since_last_break`` is the duration of the last segment."""
-    segs = _c(segs)
-    breaks = F.size(F.filter(segs, lambda s: s["t_break"] > 0))
-    mag = lambda s: _add([F.abs(s[b]["mag"]) for b in BANDS]) / len(BANDS)
+    d = _d(segs, derived)
+    breaks = F.size(F.filter(d["t_break"], lambda x: x > 0))
     return {
-        "num_segments": F.size(segs),
+        "num_segments": F.size(d),
         "break_count": breaks,
-        "break_rate_per_decade": breaks / _decades(segs),
-        "years_since_last_break": _over(segs, duration, "last"),
-        "mean_segment_duration": _over(segs, duration, "mean"),
-        "max_segment_duration": _over(segs, duration, "max"),
-        "min_segment_duration": _over(segs, duration, "min"),
-        "mean_break_magnitude": _over(segs, mag, "mean"),
-        "max_break_magnitude": _over(segs, mag, "max"),
+        "break_rate_per_decade": breaks / _decades(d),
+        "years_since_last_break": _over(d, "dur", "last"),
+        "mean_segment_duration": _over(d, "dur", "mean"),
+        "max_segment_duration": _over(d, "dur", "max"),
+        "min_segment_duration": _over(d, "dur", "min"),
+        "mean_break_magnitude": _over(d, "absmag", "mean"),
+        "max_break_magnitude": _over(d, "absmag", "max"),
     }
 
 
-def variability_metrics(segs) -> dict[str, Column]:
-    segs = _c(segs)
-    joint = lambda s: _add([s[b]["rmse"] for b in BANDS]) / len(BANDS)
+def variability_metrics(segs, derived=None) -> dict[str, Column]:
+    d = _d(segs, derived)
     return {
-        "variance_ndvi": _over(segs, lambda s: normalized_difference(_mid(s, "nir"), _mid(s, "red")), "variance"),
-        "variance_nir": _over(segs, lambda s: _mid(s, "nir"), "variance"),
-        "cv_segment_duration": _over(segs, duration, "stddev") / (_over(segs, duration, "mean") + EPS),
-        "mean_rmse_joint": _over(segs, joint, "mean"),
-        "max_rmse_joint": _over(segs, joint, "max"),
+        "variance_ndvi": _over(d, "mid_ndvi", "variance"),
+        "variance_nir": _over(d, "mid_nir", "variance"),
+        "cv_segment_duration": _over(d, "dur", "stddev") / (_over(d, "dur", "mean") + EPS),
+        "mean_rmse_joint": _over(d, "joint", "mean"),
+        "max_rmse_joint": _over(d, "joint", "max"),
     }
 
 
@@ -241,12 +259,9 @@ def _spectral_mag(s: Column) -> Column:
     return F.sqrt(_add([s[b]["mag"] * s[b]["mag"] for b in BANDS]))
 
 
-def rapid_losses(segs, max_duration=1.5, min_magnitude=0.10) -> Column:
-    """Short segments that end in a large drop of near-infrared."""
-    return F.filter(
-        _c(segs),
-        lambda s: (duration(s) < max_duration) & (_spectral_mag(s) > min_magnitude) & (s["nir"]["mag"] < 0),
-    )
+def rapid_losses(segs, derived=None, max_duration=1.5, min_magnitude=0.10) -> Column:
+    """Short segments that end in a large drop of near-infrared, with their derived quantities."""
+    return F.filter(_d(segs, derived), lambda s: (s["dur"] < max_duration) & (s["specmag"] > min_magnitude) & (s["nir_mag"] < 0))
 
 
 def nth_recent(values: Column, n: int) -> Column:
@@ -254,22 +269,21 @@ def nth_recent(values: Column, n: int) -> Column:
     return F.try_element_at(F.sort_array(values, asc=False), F.lit(n))
 
 
-def rapid_loss(segs, n_recent: int = 4) -> dict[str, Column]:
-    segs = _c(segs)
-    losses = rapid_losses(segs)
-    years = F.transform(losses, lambda s: s["t_break"])
+def rapid_loss(segs, derived=None, n_recent: int = 4) -> dict[str, Column]:
+    d = _d(segs, derived)
+    losses = rapid_losses(segs, derived)
     out = {
-        "rapid_loss_rate_per_decade": F.size(losses) / _decades(segs),
-        "rapid_loss_mean_magnitude": F.coalesce(_over(losses, _spectral_mag, "mean"), F.lit(0.0)),
+        "rapid_loss_rate_per_decade": F.size(losses) / _decades(d),
+        "rapid_loss_mean_magnitude": F.coalesce(_over(losses, "specmag", "mean"), F.lit(0.0)),
     }
     for i in range(1, n_recent + 1):
-        out[f"rapid_loss_year_{i}"] = nth_recent(years, i)
+        out[f"rapid_loss_year_{i}"] = nth_recent(losses["t_break"], i)
     return out
 
 
-def loss_recovery(segs) -> dict[str, Column]:
+def loss_recovery(segs, derived=None) -> dict[str, Column]:
     """Mean gap between losses (two or more) and its sd (four or more)."""
-    years = F.transform(rapid_losses(segs), lambda s: s["t_break"])
+    years = rapid_losses(segs, derived)["t_break"]
     n = F.size(years)
     gaps = F.zip_with(
         F.slice(years, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(years, F.lit(1), F.greatest(n - 1, F.lit(0))),
@@ -297,8 +311,8 @@ def all_segment_metrics(df: DataFrame, snapshots: dict[str, float], segs: str =
     cols: dict[str, Column] = {}
     for name, fn in LONGTERM_GROUPS.items():
         if name not in skip:
-            cols.update(fn(segs))
-    return out.withColumns(cols)
+            cols.update(fn(segs, "_derived"))
+    return with_derived(out, segs).withColumns(cols).drop("_derived")
 
 
 def with_sentinel(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -169,7 +169,7 @@ def recovery_discrimination(series: DataFrame, key: str, ysfc: str, vec: Column
 
     total = F.aggregate("lo", F.lit(0.0), lambda acc, a: acc + F.aggregate("hi", F.lit(0.0), lambda x, b: x + term(a, b)))
     n = F.size("lo") * F.size("hi")
-    return s.agg(F.coalesce(F.try_divide(F.sum(total), F.sum(n)), F.lit(0.0)).alias("loss"), F.sum(n).alias("n_pairs"), F.count("*").alias("n_active_pixels"))
+    return s.agg(F.coalesce(F.try_divide(F.sum(total), F.sum(n)), F.lit(0.0)).alias("loss"), F.coalesce(F.sum(n), F.lit(0)).alias("n_pairs"), F.count("*").alias("n_active_pixels"))
 
 
 # covariance terms ----------------------------------------------------------------------------

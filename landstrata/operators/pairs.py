@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import cut_lineage
-from .neighbors import finite_vectors, knn_join, radius_join
+from .neighbors import DIGITS, finite_vectors, knn_join, radius_join
 from .quantiles import exact_quantiles, q_name
 from .stats import with_row
 
@@ -55,7 +55,7 @@ def pair_distance(pairs: DataFrame, vectors: DataFrame, key: str, vec: str, out:
     """Distance of listed pairs: two equi-joins, then an expression."""
     v = vectors.select(F.col(key).alias("_k"), F.col(vec).cast("array<double>").alias("_v"))
     p = pairs.join(v.withColumnsRenamed({"_k": "i", "_v": "_vi"}), "i").join(v.withColumnsRenamed({"_k": "j", "_v": "_vj"}), "j")
-    return p.withColumn(out, V.l2_distance("_vi", "_vj")).drop("_vi", "_vj")
+    return p.withColumn(out, F.round(V.l2_distance("_vi", "_vj"), DIGITS)).drop("_vi", "_vj")
 
 
 def knn_pairs(df: DataFrame, k: int, key: str = "id", vec: str = "z", anchors: DataFrame | None = None, **kw) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import cluster as C
 from ..operators import fit as L
 from ..operators import sample as N
-from ..operators import survey as S
 from ..operators.features import train_standardise
 from .fixtures import ctes, fx, read
 from .q_pairs import emb

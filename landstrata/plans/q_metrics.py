@@ -205,7 +205,7 @@ def _(spark, d):
 
 
 @query("m6_recovery_discrimination", CHANGE + """, p as (select a.pixel, sqrt(greatest(pow(a.swir1 - b.swir1, 2) + pow(a.swir2 - b.swir2, 2), 1e-12)) d from cs a join cs b on a.pixel = b.pixel and a.ysfc <= 1 and b.ysfc >= 5)
-select round(avg(ln(1 + exp(0.5 - d))), 6) loss, count(*) n_pairs, count(distinct pixel) n_active_pixels from p""")
+select round(coalesce(avg(ln(1 + exp(0.5 - d))), 0), 6) loss, count(*) n_pairs, count(distinct pixel) n_active_pixels from p""")
 def _(spark, d):
     return rounded(M.recovery_discrimination(change(spark, d), "pixel", "ysfc", F.array("swir1", "swir2")), {"loss": 6})
 

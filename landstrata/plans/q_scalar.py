@@ -322,7 +322,7 @@ def _nd(a, b):
 def _longterm(name, fn, sql, digits=6):
     @query(name, _LT + f"select pixel, {sql} from l group by pixel")
     def _(spark, d):
-        return rounded(_segs(spark, d).select("pixel", *[v.alias(k) for k, v in fn("segs").items()]), digits)
+        return rounded(G.with_derived(_segs(spark, d)).select("pixel", *[v.alias(k) for k, v in fn("segs", "_derived").items()]), digits)
 
 
 _longterm("f36_longterm_state", G.longterm_state, ", ".join(
@@ -372,7 +372,7 @@ h as (select pixel, count(*) n, avg(gap) m, stddev_pop(gap) s from g group by 1)
 select p.pixel, round(case when n >= 2 then m end, 6) mean_loss_recovery_duration, round(case when n >= 4 then s end, 6) std_loss_recovery_duration
 from (select distinct pixel from seg_rows) p left join h using (pixel)""")
 def _(spark, d):
-    return rounded(_segs(spark, d).select("pixel", *[v.alias(k) for k, v in G.loss_recovery("segs").items()]), 6)
+    return rounded(G.with_derived(_segs(spark, d)).select("pixel", *[v.alias(k) for k, v in G.loss_recovery("segs", "_derived").items()]), 6)
 
 
 @query("n14_nth_recent", _LT + f"select pixel, round({_LOSSY}[2], 5) second_recent from l group by 1")
