@@ -121,12 +121,12 @@ def _(spark, d):
 
 # --- contrastive and neighbourhood metrics ---------------------------------------------------
 
-_PN = _ALL + f", k as {_knn(12)}, pn as (select i, j, case when rk <= 4 then exp(-d) else 1.0 end w, rk <= 4 as positive from k where rk <= 4 or i % 2 = 0 or rk > 6) "
+_PN = _ALL + f", k as {_knn(12)}, pn as (select i, j, case when rk <= 4 then exp(-d) else 1.0 end w, rk <= 4 as positive from k where rk <= 4 or rk > 6) "
 
 
 def _contrast_pairs(spark, d):
     p = P.knn_pairs(emb(spark, d), 12)
-    keep = (F.col("rank") <= 4) | (F.col("i") % 2 == 0) | (F.col("rank") > 6)
+    keep = (F.col("rank") <= 4) | (F.col("rank") > 6)
     return p.filter(keep).select("i", "j", F.when(F.col("rank") <= 4, F.exp(-F.col("d"))).otherwise(1.0).alias("w"), (F.col("rank") <= 4).alias("positive"))
 
 
