@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landstrata.session import scratch_path
 
-from . import chat, secrets, warc
+from . import chat, decontam, jaccard, licenses, packing, secrets, tokencount, topk, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -89,6 +90,40 @@ def op2(spark, sf_dir):
         field["refers_to"].cast("bigint").alias("refers_to"))
 
 
+# --- 3 ---------------------------------------------------------------------------------------------------------------
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+@query("op3_exact_top_k", OP3_SQL)
+def op3(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    best = topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), 10)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+# --- 4 ---------------------------------------------------------------------------------------------------------------
+
+
+@query("op4_benchmark_decontamination")
+def op4(spark, sf_dir):
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+# --- 5 ---------------------------------------------------------------------------------------------------------------
+
+
+@query("op5_packing")
+def op5(spark, sf_dir):
+    packed = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 _ADDED = "</s>[INST] ok [/INST]"
@@ -126,3 +161,48 @@ def op6(spark, sf_dir):
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+# --- 7 ---------------------------------------------------------------------------------------------------------------
+
+OP7_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+e AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id
+FROM (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)"""
+
+
+@query("op7_ngram_jaccard_join", OP7_SQL)
+def op7(spark, sf_dir):
+    return jaccard.link_documents(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+# --- 8 ---------------------------------------------------------------------------------------------------------------
+
+
+@query("op8_license_scans")
+def op8(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+# --- 9 ---------------------------------------------------------------------------------------------------------------
+
+
+@query("op9_token_counts")
+def op9(spark, sf_dir):
+    return tokencount.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+# --- 10 --------------------------------------------------------------------------------------------------------------
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    scored = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
