@@ -152,16 +152,15 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, cover: float
     # cells of a bitmap of fixed size, whatever the number of items; and the few widths below ``width``
     cells = of_items.select(F.shiftrightunsigned("hash", 64 - BITS).alias("cell")).distinct()
     bitmap = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in cells.groupBy(F.shiftright("cell", 3).alias("byte")).agg(F.bit_or(F.shiftleft(F.lit(1), (F.col("cell") % 8).cast("int"))).alias("bits")).toLocalIterator():
-        bitmap[r["byte"]] = r["bits"]
-    total = of_items.groupBy("item_key", "item_id").agg(F.countDistinct("place").alias("windows"), F.max(F.lit(0)).alias("z")).drop("z")
+    octets = cells.groupBy(F.shiftright("cell", 3).alias("octet")).agg(F.expr("bit_or(shiftleft(1, cast(cell % 8 AS int)))").alias("bits"))
+    for r in octets.collect():  # 2**(BITS - 3) rows at most
+        bitmap[r["octet"]] = r["bits"]
+    total = of_items.groupBy("item_key", "item_id").agg(F.countDistinct("place").alias("windows"))
     widths = sorted({min(width, r[0]) for r in asked.mapInArrow(_lengths(2, width), "n int").distinct().collect()} - {0})
 
     names = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     of_docs = names.mapInArrow(_window_rows(1, widths, bitmap, None), _schema("doc_id " + names.schema["doc_id"].dataType.simpleString())).drop("place")
-    met = of_docs.join(of_items, "hash").select("doc_id", "item_id", "item_key", "place", "slots", "item_slots").withColumn(
-        "same", F.col("slots") == F.col("item_slots"))
-    met = met.distinct()
+    met = of_docs.join(of_items, "hash").select("doc_id", "item_id", "item_key", "place", "slots", "item_slots").distinct()
     # for each value of the item, the value that most windows of this document have in its place
     pair = ["doc_id", "item_id", "item_key"]
     slots = met.select(*pair, F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("s")).select(

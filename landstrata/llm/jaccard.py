@@ -76,7 +76,7 @@ def _fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _short_sketches(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """Parity sketches of at least two bits per element, a power of two long."""
     n = _sizes(bounds)
-    words = np.maximum(1, 2 ** np.ceil(np.log2(np.maximum(n, 1) / 32)).astype(np.int64))
+    words = 1 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(words)])
     cells = np.zeros(first[-1], U)
     row = np.repeat(np.arange(len(n)), n)
