@@ -32,6 +32,6 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
     out = steps[0]
     for step in steps[1:]:
-        after = step.withColumnsRenamed({"id": "root", "root": "next"})
+        after = step.select(F.col("id").alias("root"), F.col("root").alias("next"))
         out = out.join(after, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
     return out

@@ -120,17 +120,17 @@ def _part_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int):
 
 
 def signatures(docs: DataFrame, k: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n, fp, sketch``: size, fingerprint and short sketch of each document's set."""
+    """``doc_id, text_key, n, fp, sketch``: a hash of the text; size, fingerprint and short sketch of its set."""
     def run(batches):
         for batch in batches:
             for at, hashes, bounds in _text.word_sets(batch.column(1), k):
                 m = len(bounds) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, m), pa.array(_sizes(bounds)), pa.array(_fingerprints(hashes, bounds)),
-                     pa.array(_short_sketches(hashes, bounds), pa.binary())], ["doc_id", "n", "fp", "sketch"])
+                    [batch.column(0).slice(at, m), batch.column(2).slice(at, m), pa.array(_sizes(bounds)), pa.array(_fingerprints(hashes, bounds)),
+                     pa.array(_short_sketches(hashes, bounds), pa.binary())], ["doc_id", "text_key", "n", "fp", "sketch"])
 
-    return docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id bigint, n bigint, fp bigint, sketch binary")
+    rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, fp bigint, sketch binary")
 
 
 def _keys(docs: DataFrame, k: int, percent: int, text: str) -> DataFrame:
@@ -229,7 +229,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
                         [pa.array(fp[a : a + 256]), pa.array([hashes[x:y].tobytes() for x, y in cuts[a : a + 256]], pa.binary())],
                         ["fp", "elements"])
 
-    rows = docs.join(ids, F.col(doc).cast("bigint").eqNullSafe(F.col("__id")), "left_semi").select(F.col(text).alias("text"))
+    rows = docs.select(F.col(doc), F.col(text)).join(ids, F.col(doc).cast("bigint").eqNullSafe(F.col("__id")), "left_semi").select(F.col(text).alias("text"))
     path = scratch_path(spark, "sets")
     rows.mapInArrow(sets, "fp bigint, elements binary").groupBy("fp").agg(F.first("elements").alias("elements")).write.parquet(
         path, compression="none")
@@ -311,7 +311,7 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row: documents link at ``percent`` of Jaccard similarity or more."""
+    """``doc_id, text_key, n_shingles, component_id, group`` for every row (``group`` is null without words): documents link at ``percent`` of Jaccard similarity or more."""
     spark = docs.sparkSession
 
     def stored(df: DataFrame, name: str) -> DataFrame:
@@ -339,8 +339,9 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, doc: str = "d
         links = links.unionByName(stored(_verified(more, docs, classes, k, percent, doc, text), "links"))
         known = components(links)
 
-    placed = rows.select("doc_id", "n", "fp").join(known.withColumnRenamed("id", "fp"), "fp", "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
+    placed = rows.select("doc_id", "text_key", "n", "fp").join(known.withColumnRenamed("id", "fp"), "fp", "left").select(
+        "doc_id", "text_key", "n", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
     names = placed.filter(F.col("n") > 0).groupBy("root").agg(F.min("doc_id").alias("name"))
     return placed.join(names, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "text_key", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"), F.col("root").alias("group"))

@@ -180,7 +180,7 @@ FROM (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) LEFT JOIN n USING (
 
 @query("op7_ngram_jaccard_join", OP7_SQL)
 def op7(spark, sf_dir):
-    return jaccard.link_documents(read(spark, sf_dir, "documents"), k=4, percent=85)
+    return jaccard.link_documents(read(spark, sf_dir, "documents"), k=4, percent=85).drop("text_key", "group")
 
 
 # --- 8 ---------------------------------------------------------------------------------------------------------------

@@ -5,8 +5,8 @@ From each rule's regex a Boolean trigram query is derived: alternatives of trigr
 Rules without a mandatory trigram search every text.
 
 Places count code points, end exclusive. Defined cases: a null text is empty; a document without id is searched by every
-rule; rows that repeat an id are searched each on their own; other columns are kept by ``scan`` and must not be named
-``spans``; an empty table gives no rows.
+rule; rows that repeat an id are searched each on their own; ``scan`` keeps other columns, but one named ``spans`` is replaced;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -129,17 +129,18 @@ def scan(docs: DataFrame, rules=RULES, doc: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     path = scratch_path(spark, "secret-candidates")
     candidates(postings(docs, rules, doc, text), rules).write.parquet(path)
-    found = spark.read.parquet(path).select(F.col("doc").alias("__doc"), F.col("kinds").alias("__kinds"))
-    joined = docs.join(found, F.col(doc) == F.col("__doc"), "left")
+    key, asked_kinds = (next(f"_{n}{i}" for i in range(len(docs.columns) + 1) if f"_{n}{i}" not in docs.columns) for n in ("doc", "kinds"))
+    found = spark.read.parquet(path).select(F.col("doc").alias(key), F.col("kinds").alias(asked_kinds))
+    joined = docs.join(found, F.col(doc) == F.col(key), "left")
     whole = F.coalesce(F.col(text), F.lit(""))
     parts = []
     for i, rule in enumerate(rules):
         spans = _matches(whole, rule, i)
         if trigram_query(rule.regex):
-            asked = F.col(doc).isNull() | F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False))
+            asked = F.col(doc).isNull() | F.coalesce(F.array_contains(asked_kinds, rule.kind), F.lit(False))
             spans = F.when(asked, spans).otherwise(F.array().cast(SPANS))
         parts.append(spans)
-    return joined.withColumn("spans", F.sort_array(F.concat(*parts))).drop("__doc", "__kinds")
+    return joined.withColumn("spans", F.sort_array(F.concat(*parts))).drop(key, asked_kinds)
 
 
 def spans_text(spans: Column) -> Column:

@@ -21,7 +21,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,21 +147,23 @@ _NO_CAPITALS = {i: None for i in range(65, 91)}
 
 
 def features(docs: DataFrame, lexicon: dict[str, float], doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and the dense features of every document."""
+    """``doc_id, text_key`` (a hash of the text) and the dense features ``x`` of every row."""
     def run(batches):
         featurize = Featurizer(lexicon)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 values = [featurize(t.as_py() or "") for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "text_key", "x"])
 
-    return docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, x array<double>")
+    rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, x array<double>")
 
 
 def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, doc: str = "doc_id", text: str = "text", label: str = "toxic",
           label_doc: str = "doc_id") -> DataFrame:
-    """``doc_id, score`` for every row of ``docs``; at most ``rows`` labelled documents are learnt from."""
+    """``doc_id, text_key, score`` for every row of ``docs``; at most ``rows`` labelled documents are learnt from."""
     spark = docs.sparkSession
     sample = sample_labels(labels, rows, label_doc, label)
     lexicon = learn_lexicon(docs, sample, doc, text)
@@ -176,16 +178,15 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, doc: str = "do
     kinds = {(r["role"] < 8, r["label"]) for r in known.select("role", "label").distinct().collect()}
     if len({x for role, x in kinds if role}) < 2:
         share = sample.agg(F.coalesce(F.avg(F.col("toxic").cast("double")), F.lit(0.0))).first()[0]
-        return dense.select("doc_id", F.lit(share).alias("score"))
+        return dense.select("doc_id", "text_key", F.lit(share).alias("score"))
     trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.3, minInstancesPerNode=5, subsamplingRate=1.0, seed=7).fit(known.filter("role < 8"))
 
     def margin(df):
-        from pyspark.ml.functions import vector_to_array
-
         return df.withColumn("p", vector_to_array("probability")[1])
 
     fitted = margin(trees.transform(known.filter("role >= 8" if any(not role for role, _ in kinds) else "role < 8")))
     steps = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(fitted.select("p", "label"))
     scored = steps.transform(margin(trees.transform(dense.withColumn("features", array_to_vector("x")))))
     # steps of the calibration are flat; a small share of the trees' own estimate keeps the order inside them
-    return scored.select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.98 * F.col("calibrated") + 0.02 * F.col("p"))).alias("score"))
+    blend = 0.98 * F.col("calibrated") + 0.02 * F.col("p")
+    return scored.select("doc_id", "text_key", F.greatest(F.lit(0.0), F.least(F.lit(1.0), blend)).alias("score"))
