@@ -51,7 +51,7 @@ def _unit_hashes() -> np.ndarray:
 
 
 def template(data: np.ndarray, offsets: np.ndarray):
-    """(hash, kind, start, end, row) of each template word; kind 0: literal, else 1 number, 2 unit, 3 name."""
+    """(hash, kind, start, end, row, literal) of each template word; kind 0: literal, else 1 number, 2 unit, 3 name."""
     digit, member = _DIGIT[data], _ASCII_WORD[data]
     n = len(data)
     if n > 2:  # a point or comma between digits belongs to the number
@@ -64,8 +64,9 @@ def template(data: np.ndarray, offsets: np.ndarray):
     start, end, row = _text.runs(member, offsets, breaks)
     hashes = _text.hash_runs(_text.LOWER[data], start, end)
     kind = np.zeros(len(start), np.int8)
+    literal = hashes.copy()
     if not len(start):
-        return hashes, kind, start, end, row
+        return hashes, kind, start, end, row, literal
     kind[digit[start]] = 1
     after_number = np.zeros(len(start), bool)
     after_number[1:] = (kind[:-1] == 1) & (row[1:] == row[:-1])
@@ -82,21 +83,31 @@ def template(data: np.ndarray, offsets: np.ndarray):
     kind[capital & ~opening & (kind == 0)] = 3
     for i, mark in enumerate((NUMBER, UNIT, NAME), 1):
         hashes[kind == i] = mark
-    return hashes, kind, start, end, row
+    return hashes, kind, start, end, row, literal
 
 
-def _windows(hashes: np.ndarray, row: np.ndarray, width: int):
-    """(hash, first word) of all windows of ``width`` words within a row."""
+def _windows(hashes: np.ndarray, row: np.ndarray, width: int, kind: np.ndarray | None = None, literal: np.ndarray | None = None):
+    """(hash, first word, whether that is taken literally) of all windows of ``width`` words within a row.
+
+    With ``literal`` a window that starts with a name has a second hash with that word itself: an item's first word has
+    its capital also where the item stands inside a sentence.
+    """
     m = max(0, len(hashes) - width + 1)
     total = np.full(m, U(_text.mix_int(width)), U)
     for i in range(width):
         total += hashes[i : i + m] * U(_text.mix_int(31 + i) | 1)
     inside = np.flatnonzero(row[:m] == row[width - 1 : width - 1 + m]) if m else np.empty(0, np.int64)
-    return _text.mix(total[inside]).view(np.int64), inside
+    plain = np.zeros(len(inside), bool)
+    if literal is not None:
+        again = inside[kind[inside] == 3]
+        second = total[again] + (literal[again] - hashes[again]) * U(_text.mix_int(31) | 1)
+        return (_text.mix(np.concatenate([total[inside], second])).view(np.int64), np.concatenate([inside, again]),
+                np.concatenate([plain, np.ones(len(again), bool)]))
+    return _text.mix(total[inside]).view(np.int64), inside, plain
 
 
-def _slots(data: bytes, kind, start, end, first: int, width: int) -> list[str]:
-    at = range(first, first + width)
+def _slots(data: bytes, kind, start, end, first: int, width: int, plain: bool) -> list[str]:
+    at = range(first + plain, first + width)
     return [f"{kind[i]}{data[start[i]:end[i]].decode('utf8', 'replace').lower()}" for i in at if kind[i]]
 
 
@@ -105,24 +116,24 @@ def _window_rows(column: int, widths, bitmap: np.ndarray | None, whole_only: int
     def run(batches):
         for batch in batches:
             for at, data, offsets in _text.slices(batch.column(column)):
-                hashes, kind, start, end, row = template(data, offsets)
+                hashes, kind, start, end, row, literal = template(data, offsets)
                 raw = data.tobytes()
                 out_row, out_hash, out_place, out_slots = [], [], [], []
                 first_word = np.searchsorted(row, np.arange(len(offsets)))
                 for width in widths:
-                    found, first = _windows(hashes, row, width)
+                    found, first, plain = _windows(hashes, row, width, *((kind, literal) if whole_only is None else ()))
                     if whole_only:
                         words = np.diff(np.concatenate([first_word, [len(row)]]))[row[first]]
                         keep = (words == width) if width < whole_only else np.ones(len(first), bool)
-                        found, first = found[keep], first[keep]
+                        found, first, plain = found[keep], first[keep], plain[keep]
                     if bitmap is not None:
                         cell = found.view(U) >> U(64 - BITS)
                         keep = (bitmap[(cell >> U(3)).astype(np.int64)] >> (cell & U(7)).astype(np.uint8) & 1).astype(bool)
-                        found, first = found[keep], first[keep]
+                        found, first, plain = found[keep], first[keep], plain[keep]
                     seen = set()
-                    for h, f in zip(found.tolist(), first.tolist()):
+                    for h, f, p in zip(found.tolist(), first.tolist(), plain.tolist()):
                         r = int(row[f])
-                        slots = _slots(raw, kind, start, end, f, width)
+                        slots = _slots(raw, kind, start, end, f, width, p)
                         if whole_only is None:  # a document's repeated windows say nothing new
                             mark = (r, h, tuple(slots))
                             if mark in seen:

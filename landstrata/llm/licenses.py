@@ -3,8 +3,8 @@
 Words around a cue ("licence", "CC BY", "redistribution" ...) form candidate blocks. A block is compressed plainly and
 with each license template as a raw zstandard dictionary; templates are ranked by the bytes that their dictionary saves.
 The best ranked ones are compared with the block word by word (insertions, deletions, replacements against the best
-matching stretch), and the one with the fewest differences wins if they are few enough and numbers agree exactly. Its
-words are taken out and the rest of the block is tried again, so a block may hold several licenses.
+matching stretch); those with few enough differences and the same numbers are confirmed, and of them the one wins that has
+most words in common less those that differ. Its words are taken out and the rest of the block is tried again, so a block may hold several licenses.
 
 Places count code points, end exclusive. Defined cases: null or empty texts hold no license; repeated rows are scanned
 each; a null id stays null; other columns are ignored; no rows give no rows.
@@ -123,16 +123,16 @@ class Scanner:
                 best = None
                 while ranked and best is None:  # the next ranked ones where none of the first is confirmed
                     for i in ranked[:RANKED]:
-                        name, template = self.templates[i]
+                        template = self.templates[i][1]
                         edits, a, b = differences(template, words)
                         numbers = sorted(w for w in template if w[0].isdigit()) == sorted(w for w in words[a:b] if w[0].isdigit())
                         if numbers and edits <= self.share * len(template):
-                            found = (edits / len(template), -len(template), i, edits, a, b)
+                            found = (2 * edits - len(template), i, edits, a, b)
                             best = min(best or found, found)
                     ranked = ranked[RANKED:]
                 if best is None:
                     break
-                _, _, i, edits, a, b = best
+                _, i, edits, a, b = best
                 yield self.templates[i][0], saved[i], edits, len(self.templates[i][1]), spans[a][0], spans[b - 1][1]
                 words[a:b] = ["\0"] * (b - a)  # taken: no template has this word
 
