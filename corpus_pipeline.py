@@ -63,10 +63,9 @@ def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts become a mark; every document stays."""
-    found = secrets.scan(docs.select(*COLUMNS))
-    text = secrets.redact(F.col("text"), F.col("spans"))
-    n_chars = F.when(F.size("spans") > 0, F.length(text).cast("bigint")).otherwise(F.col("n_chars"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    marked = secrets.scan(docs.select(*COLUMNS)).withColumn("marked", secrets.redact(F.col("text"), F.col("spans")))
+    n_chars = F.when(F.size("spans") > 0, F.length("marked").cast("bigint")).otherwise(F.col("n_chars"))
+    return marked.withColumn("n_chars", n_chars).withColumn("text", F.col("marked")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
