@@ -38,7 +38,7 @@ SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deinen deiner euch euer eure ihr tu te toi ton ta tes vous votre vos "
     "tú ti tuyo tuya vosotros usted ustedes vuestro".split())
 #: Signs that stand for letters.
-_LETTERS = str.maketrans("0134578@$!|", "oleastbasil")
+_LETTERS = str.maketrans("0134578@$!|", "oieastbasil")
 _WORD = re.compile(r"[^\W_]+")
 _MIXED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[0-9@$*!|]\S*[^\W\d_])\S+")
 _SIZES = range(5, 10)  # lengths of word beginnings
@@ -131,7 +131,7 @@ class Featurizer:
             there = np.concatenate([[-(10**9)], person, [10**9]])
             near = int((np.minimum(np.array(strong) - there[at], there[at + 1] - np.array(strong)) <= NEAR).sum())
         mixed = _MIXED.findall(text)
-        hidden = sum(self.weight(w) >= STRONG for x in mixed for w in _WORD.findall(x.lower().translate(_LETTERS)))
+        hidden = sum(self.weight(w) >= STRONG for x in mixed for w in _WORD.findall(x.strip("!?.,;:|").lower().translate(_LETTERS)))
         upper = sum(map(str.isupper, text)) if not text.isascii() else len(text) - len(text.translate(_NO_CAPITALS))
         letters = max(1, sum(map(len, words)))
         shout = text.count("!") + text.count("?")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from landstrata.session import scratch_path
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 HEX = "0123456789abcdef" * 2
 
 
