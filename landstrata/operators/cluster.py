@@ -20,7 +20,6 @@ from .sample import reservoir, seeded
 from .survey import pooled_within
 
 MAX_CLASSES = 2000
-SILHOUETTE_SAMPLE = 20_000
 
 
 def group_means(df: DataFrame, group: str, vec: str, dim: int) -> DataFrame:
@@ -166,11 +165,8 @@ def gmm_fit(df: DataFrame, vec: str, k: int, kind: str = "diag", n_init: int = 1
     best = None
     for init in range(n_init):
         _, means, _ = kmeans(src.withColumn("id", F.monotonically_increasing_id()), "id", "x", k, seed + init, 1, 20)
-        if len(means) < k:
-            # fewer distinct rows than components
-            k = len(means)
-        d = means.shape[1]
-        weights, cov = np.full(k, 1.0 / k), np.ones((k, d))
+        kk, d = means.shape  # fewer than k where the rows have fewer distinct values; another start may still find k
+        weights, cov = np.full(kk, 1.0 / kk), np.ones((kk, d))
         prev, converged, hard = -np.inf, False, True
         for it in range(1, max_iter + 1):
             ll, n, nk, new_means, shift, q = _em_step(src, kind, weights, means, cov, hard)
@@ -188,7 +184,7 @@ def gmm_fit(df: DataFrame, vec: str, k: int, kind: str = "diag", n_init: int = 1
             means, hard = new_means, False
             if converged:
                 break
-        if best is None or fit.loglik > best.loglik:
+        if best is None or (len(fit.weights), fit.loglik) > (len(best.weights), best.loglik):
             best = fit
     return best
 
@@ -215,20 +211,56 @@ def bic_sweep(df: DataFrame, vec: str, ks: list[int], kind: str = "diag", n_init
     return gmm_fit(df, vec, best, kind, n_init=n_init_final, **kw), scores
 
 
-def silhouette(df: DataFrame, key: str, vec: str, label: str, sample: int | None = SILHOUETTE_SAMPLE, seed: int = 0) -> float:
-    """Mean Euclidean silhouette of a seeded sample; one label gives -1, one-row clusters 0.
+def silhouette(df: DataFrame, key: str, vec: str, label: str) -> float:
+    """Mean silhouette on squared distances, of all rows; one label gives -1, one-row clusters 0.
 
-    The score is quadratic in its rows, so the reference scores a sample too.  Distances are summed per row
-    and cluster inside the tasks.
+    The mean squared distance of a row to a cluster needs only the cluster's n, sum of x and sum of |x|^2, so the
+    score takes two scans, whatever the number of rows.
     """
-    s = df.select(key, vec, label)
+    x = df.filter(F.col(vec).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("own"), F.col(vec).cast("array<double>").alias("v"))
+    dim = x.agg(F.max(F.size("v"))).first()[0]
+    if dim is None:
+        return -1.0
+    square = F.aggregate("v", F.lit(0.0), lambda acc, e: acc + e * e)
+    sums = x.groupBy("own").agg(F.count("*").alias("n"), F.sum(square).alias("q"), F.array(*[F.sum(F.col("v")[i]) for i in range(dim)]).alias("s"))
+    rows = sorted(_bounded_rows(sums, "clusters"), key=lambda r: r["own"])
+    if len(rows) < 2:
+        return -1.0
+    place = {r["own"]: i for i, r in enumerate(rows)}
+    n, q, s = np.array([r["n"] for r in rows], float), np.array([r["q"] for r in rows]), np.array([r["s"] for r in rows])
+
+    def task(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            v, own = np.stack(pdf["v"].to_numpy()).astype(np.float64), pdf["own"].map(place).to_numpy()
+            at = np.arange(len(v))
+            total = np.maximum(n[None] * (v * v).sum(1)[:, None] + q[None] - 2 * v @ s.T, 0)
+            a = total[at, own] / np.maximum(n[own] - 1, 1)
+            other = total / n[None]
+            other[at, own] = np.inf
+            b = other.min(1)
+            most = np.maximum(a, b)
+            yield pd.DataFrame({"s": [float(np.where((n[own] > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1), 0.0).sum())], "n": [len(v)]})
+
+    total = x.mapInPandas(task, "s double, n bigint").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    return float(total["s"] / total["n"])
+
+
+def silhouette_euclidean(df: DataFrame, key: str, vec: str, label: str, sample: int | None, seed: int = 0) -> float:
+    """Mean silhouette on plain distances; one label gives -1, one-row clusters 0.
+
+    This score compares all pairs of the rows it is given, so the caller says how many: ``sample`` rows by a hash of the
+    key, or None for all. Distances are summed per row and cluster inside the tasks.
+    """
+    rows = df.select(key, vec, label)
     if sample is not None:
-        s = reservoir(s, sample, [key], seed=seed)
-    s = cut_lineage(s)
-    if s.select(label).distinct().count() < 2:
+        rows = reservoir(rows, sample, [key], seed=seed)
+    rows = cut_lineage(rows)
+    if rows.select(label).distinct().count() < 2:
         return -1.0
-    prof = class_distance_profile(s, s, key, vec, label, 1.0)
-    own = s.select(F.col(key).alias("i"), F.col(label).alias("own"))
+    prof = class_distance_profile(rows, rows, key, vec, label, 1.0)
+    own = rows.select(F.col(key).alias("i"), F.col(label).alias("own"))
     mean = F.col("s") / F.col("n")
     per = own.join(prof, "i").groupBy("i").agg(
         F.max(F.when(F.col("label") == F.col("own"), mean)).alias("a"), F.min(F.when(F.col("label") != F.col("own"), mean)).alias("b"))
@@ -247,7 +279,7 @@ def silhouette_sweep(df: DataFrame, key: str, vec: str, ks: list[int], kind: str
     scores = {}
     for k in ks:
         m = gmm_fit(fit_rows, vec, k, kind, seed=seed, **kw)
-        scores[k] = silhouette(df.select(key, vec).join(gmm_predict(df, key, vec, m, "_c"), key), key, vec, "_c", seed=seed)
+        scores[k] = silhouette(df.select(key, vec).join(gmm_predict(df, key, vec, m, "_c"), key), key, vec, "_c")
     best = max(scores, key=scores.get)
     return gmm_fit(fit_rows, vec, best, kind, n_init=n_init_final, seed=seed, **kw), scores
 
@@ -490,7 +522,7 @@ def density_clusters(df: DataFrame, key: str, vec: str, min_pts: list[int], k_ta
     """
     top = max(min_pts)
     nn = cut_lineage(knn_join(df, df, max(top - 1, 1), qid=key, rid=key, qvec=vec, rvec=vec))
-    runs = []
+    runs, n_rows = [], max(df.count(), 1)
     for mp in min_pts:
         core = nn.filter(F.col("rank") == max(mp - 1, 1)).select(F.col("i").alias(key), F.col("d").alias("core"))
         limit = cut if cut is not None else exact_quantiles(core, [], "core", [cut_quantile]).first()[q_name(cut_quantile)]

@@ -40,12 +40,13 @@ def knn_purity(pairs: DataFrame, refs: DataFrame, queries: DataFrame, key: str,
 def nearest_centroid(df: DataFrame, key: str, vec: str, centroids: DataFrame, ckey: str, cvec: str, same: str | None = None) -> DataFrame:
     """Closest centroid per row, first id on ties; with ``same`` only centroids of the row's own group.
 
-    The centroid list is checked and shipped with the function; rows never shuffle.
+    Up to MAX_CENTROIDS centroids are shipped with the function and rows never shuffle; more are searched like neighbours.
     """
     cols = [ckey, cvec] + ([same] if same else [])
     rows = sorted(centroids.select(*cols).limit(MAX_CENTROIDS + 1).collect(), key=lambda r: r[0])
     if len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids; use knn_join with k=1")
+        near = knn_join(df, centroids, 1, qid=key, rid=ckey, qvec=vec, rvec=cvec, exclude_self=False, within=(same,) if same else ())
+        return near.select(F.col("i").alias(key), F.col("j").alias("centroid"), "d")
     ids = np.array([r[0] for r in rows])
     mat = np.array([r[1] for r in rows], dtype=np.float64)
     grp = np.array([r[2] for r in rows]) if same else None

@@ -41,8 +41,9 @@ def finite_vectors(df: DataFrame, vec: str) -> DataFrame:
     return df.filter(F.col(vec).isNotNull() & ok)
 
 
-def _side(df: DataFrame, key: str, vec: str, extra: tuple[str, ...], tag: str) -> DataFrame:
-    v = df.select(F.col(key).alias(f"_{tag}"), F.col(vec).cast("array<double>").alias(f"_{tag}v"), *[F.col(c).alias(f"{tag}_{c}") for c in extra])
+def _side(df: DataFrame, key: str, vec: str, extra: tuple[str, ...], tag: str, within: tuple[str, ...] = ()) -> DataFrame:
+    v = df.select(F.col(key).alias(f"_{tag}"), F.col(vec).cast("array<double>").alias(f"_{tag}v"), *[F.col(c).alias(f"{tag}_{c}") for c in extra],
+                  *[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)])
     return finite_vectors(v, f"_{tag}v")
 
 
@@ -136,6 +137,26 @@ def block_product(q: DataFrame, r: DataFrame, kernel, schema: str | T.StructType
     return qb.groupBy("_sub", "_qc").cogroup(rb.groupBy("_sub", "_qc")).applyInPandas(kernel, schema)
 
 
+def scoped_blocks(q: DataFrame, r: DataFrame, scope: list[str], ref_block: int, query_block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_sub`` and ``_qc``: rows of one scope key meet, in blocks of bounded size, and no others.
+
+    A query is copied once per block of its own key's references, a reference once per block of its key's queries.
+    """
+    sizes = r.groupBy(*scope).agg(F.count("*").alias("_nr")).join(q.groupBy(*scope).agg(F.count("*").alias("_nq")), scope).select(
+        *scope, F.ceil(F.col("_nr") / ref_block).alias("_subs"), F.ceil(F.col("_nq") / query_block).alias("_chunks"))
+    qb, rb = q.join(sizes, scope), r.join(sizes, scope)
+    zero = F.lit(0).cast("long")
+    qb = qb.withColumns({"_qc": F.pmod(F.xxhash64("_q"), F.col("_chunks")), "_sub": F.explode(F.sequence(zero, F.col("_subs") - 1))})
+    rb = rb.withColumns({"_sub": F.pmod(F.xxhash64("_r"), F.col("_subs")), "_qc": F.explode(F.sequence(zero, F.col("_chunks") - 1))})
+    return qb.drop("_subs", "_chunks"), rb.drop("_subs", "_chunks")
+
+
+def _scoped_join(q: DataFrame, r: DataFrame, kernel, schema, scope: list[str], ref_block: int, query_block: int) -> DataFrame:
+    qb, rb = scoped_blocks(q, r, scope, ref_block, query_block)
+    keys = [*scope, "_sub", "_qc"]
+    return qb.groupBy(*keys).cogroup(rb.groupBy(*keys)).applyInPandas(kernel, schema)
+
+
 def _assign_cells(df: DataFrame, vec: str, pivots: np.ndarray) -> DataFrame:
     """Append the nearest pivot and the distance to it."""
     schema = T.StructType(df.schema.fields + [T.StructField("_cell", T.IntegerType()), T.StructField("_dp", T.DoubleType())])
@@ -228,21 +249,31 @@ def _pair_schema(q: DataFrame, r: DataFrame) -> T.StructType:
 
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", rid: str = "id", qvec: str = "z", rvec: str = "z",
              exclude_self: bool = True, q_extra: tuple[str, ...] = (), r_extra: tuple[str, ...] = (), allow: Allow | None = None,
-             max_excluded: int | None = 0, ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK, pivots: int | None = None) -> DataFrame:
+             max_excluded: int | None = 0, ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK, pivots: int | None = None,
+             within: tuple[str, ...] = ()) -> DataFrame:
     """(i, j, d, rank): the k nearest references of every query by Euclidean distance, ties by smaller id.
 
+    ``within`` names key columns of both sides (a batch, a patch): only rows of one key are compared, a null key
+    matches none, and no row is copied beyond its key.  Without it the whole table is searched; where vectors have many
+    dimensions of like weight, pivots exclude little and that search compares nearly all blocks.
+
     ``allow`` is a vectorised pair predicate on the extra columns (``q_*`` and ``r_*``).  ``max_excluded``
     says how many references it can forbid to one query; with None no pruning and no de-duplication happen.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    q, r = _side(queries, qid, qvec, q_extra, "q"), _side(refs, rid, rvec, r_extra, "r")
+    q, r = _side(queries, qid, qvec, q_extra, "q", within), _side(refs, rid, rvec, r_extra, "r", within)
+    scope = [f"_w{i}" for i in range(len(within))]
     need = None if (allow is not None and max_excluded is None) else k + int(exclude_self) + (max_excluded or 0 if allow is not None else 0)
     if need is not None:
-        w = Window.partitionBy("_rv").orderBy("_r")
-        r = r.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= need).drop("_rn")
+        # the hash comes first, so vectors are compared only where hashes are equal
+        r = r.withColumn("_rh", F.xxhash64("_rv"))
+        w = Window.partitionBy(*scope, "_rh", "_rv").orderBy("_r")
+        r = r.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= need).drop("_rn", "_rh")
     kernel = _topk_kernel(k, exclude_self, allow)
     schema = _pair_schema(q, r)
+    if scope:
+        return _ranked(_scoped_join(q, cut_lineage(r), kernel, schema, scope, ref_block, query_block), k)
     r = cut_lineage(r)  # counted, sampled for pivots and joined: computed once
     n = r.count()
     if n == 0:
@@ -253,6 +284,10 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
     else:
         n_pivots = pivots or min(MAX_PIVOTS, max(2, math.ceil(math.sqrt(n))))
         parts = _cell_join(q, r, kernel, schema, n, need, None, n_pivots, ref_block, query_block)
+    return _ranked(parts, k)
+
+
+def _ranked(parts: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("_q").orderBy("d", "_r")
     best = parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return best.select(F.col("_q").alias("i"), F.col("_r").alias("j"), "d", "rank")
@@ -260,10 +295,13 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
 
 def radius_join(queries: DataFrame, refs: DataFrame, min_d: float, max_d: float, *, qid: str = "id", rid: str = "id", qvec: str = "z",
                 rvec: str = "z", exclude_self: bool = True, ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK,
-                pivots: int | None = None) -> DataFrame:
-    """(i, j, d) with min_d <= d < max_d; cells farther than ``max_d`` are never visited."""
-    q, r = _side(queries, qid, qvec, (), "q"), _side(refs, rid, rvec, (), "r")
+                pivots: int | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """(i, j, d) with min_d <= d < max_d; cells farther than ``max_d`` are never visited, nor rows of another ``within`` key."""
+    q, r = _side(queries, qid, qvec, (), "q", within), _side(refs, rid, rvec, (), "r", within)
     kernel, schema = _radius_kernel(min_d, max_d, exclude_self, None), _pair_schema(q, r)
+    if within:
+        parts = _scoped_join(q, r, kernel, schema, [f"_w{i}" for i in range(len(within))], ref_block, query_block)
+        return parts.select(F.col("_q").alias("i"), F.col("_r").alias("j"), "d")
     r = cut_lineage(r)
     n = r.count()
     if n <= ref_block and pivots is None:

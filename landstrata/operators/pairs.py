@@ -11,44 +11,62 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import cut_lineage
-from .neighbors import DIGITS, finite_vectors, knn_join, radius_join
+from .neighbors import DIGITS, block_product, finite_vectors, knn_join, radius_join
 from .quantiles import exact_quantiles, q_name
 from .stats import with_row
 
-MAX_LANDMARKS = 1000
+LANDMARKS = 1000  # so many are shipped with the function; more meet the rows in blocks
 
 
-def pairwise_distance(df: DataFrame, key: str, vec: str, landmarks: DataFrame, lkey: str, lvec: str, metric: str = "l2") -> DataFrame:
-    """Rectangular distance table against a bounded list of landmarks (centroids, codes, reference series).
+def _distances(v: np.ndarray, mat: np.ndarray, metric: str) -> np.ndarray:
+    """Rectangular distances by one formula, in slices of bounded size."""
+    if metric == "cosine":
+        return 1 - (v / np.linalg.norm(v, axis=1, keepdims=True)) @ (mat / np.linalg.norm(mat, axis=1, keepdims=True)).T
+    if metric not in ("l1", "l2"):
+        raise ValueError(f"unknown metric {metric!r}")
+    out = np.empty((len(v), len(mat)))
+    step = max(1, 4_000_000 // max(1, mat.size))
+    for s in range(0, len(v), step):
+        diff = v[s : s + step, None, :] - mat[None]
+        out[s : s + step] = np.sqrt((diff * diff).sum(2)) if metric == "l2" else np.abs(diff).sum(2)
+    return out
 
-    The landmark list is checked; the large side is streamed, no shuffle.  For two large sides use
-    ``knn_join`` or ``radius_join``, which never form all pairs.
+
+def pairwise_distance(df: DataFrame, key: str, vec: str, landmarks: DataFrame, lkey: str, lvec: str, metric: str = "l2",
+                      shipped: int = LANDMARKS) -> DataFrame:
+    """Rectangular distance table of all rows against a list of landmarks (centroids, codes, reference series).
+
+    Up to ``shipped`` landmarks go with the function and the rows don't shuffle; more of them meet the rows in blocks.
+    Its size is rows times landmarks, as asked; for nearest ones only use ``knn_join`` or ``radius_join``.
     """
-    rows = landmarks.select(lkey, F.col(lvec).cast("array<double>")).limit(MAX_LANDMARKS + 1).collect()
-    if len(rows) > MAX_LANDMARKS:
-        raise ValueError(f"more than {MAX_LANDMARKS} landmarks; use knn_join or radius_join")
-    ids, mat = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
+    if metric not in ("l1", "l2", "cosine"):
+        raise ValueError(f"unknown metric {metric!r}")
+    rows = landmarks.select(lkey, F.col(lvec).cast("array<double>")).limit(shipped + 1).collect()
     ltype = landmarks.schema[lkey].dataType.simpleString()
     ktype = df.schema[key].dataType.simpleString()
+    src = finite_vectors(df.select(F.col(key).alias("_q"), F.col(vec).cast("array<double>").alias("_qv")), "_qv")
+    schema = f"i {ktype}, j {ltype}, d double"
+
+    def table(ids, v, names, mat):
+        return pd.DataFrame({"i": np.repeat(ids, len(names)), "j": np.tile(names, len(ids)), "d": _distances(v, mat, metric).ravel()})
+
+    if len(rows) > shipped:
+        refs = finite_vectors(landmarks.select(F.col(lkey).alias("_r"), F.col(lvec).cast("array<double>").alias("_rv")), "_rv")
+
+        def kernel(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(r):
+                return pd.DataFrame({"i": q["_q"].iloc[:0], "j": r["_r"].iloc[:0], "d": np.array([], dtype=float)})
+            return table(q["_q"].to_numpy(), np.stack(q["_qv"].to_numpy()), r["_r"].to_numpy(), np.stack(r["_rv"].to_numpy()))
+
+        return block_product(src, refs, kernel, schema, refs.count(), shipped, shipped)
+    ids, mat = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
 
     def run(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            if metric == "l2":
-                d = np.sqrt(((v[:, None, :] - mat[None]) ** 2).sum(2)) if len(v) * mat.size < 5e7 else np.sqrt(
-                    np.maximum((v * v).sum(1)[:, None] + (mat * mat).sum(1)[None] - 2 * v @ mat.T, 0))
-            elif metric == "cosine":
-                d = 1 - (v / np.linalg.norm(v, axis=1, keepdims=True)) @ (mat / np.linalg.norm(mat, axis=1, keepdims=True)).T
-            elif metric == "l1":
-                d = np.abs(v[:, None, :] - mat[None]).sum(2)
-            else:
-                raise ValueError(f"unknown metric {metric!r}")
-            yield pd.DataFrame({"i": np.repeat(pdf["k"].to_numpy(), len(ids)), "j": np.tile(np.array(ids), len(pdf)), "d": d.ravel()})
-
-    src = finite_vectors(df.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")), "v")
-    return src.mapInPandas(run, f"i {ktype}, j {ltype}, d double")
+            if len(pdf) and len(ids):
+                yield table(pdf["_q"].to_numpy(), np.stack(pdf["_qv"].to_numpy()).astype(np.float64), ids, mat)
+
+    return src.mapInPandas(run, schema)
 
 
 def pair_distance(pairs: DataFrame, vectors: DataFrame, key: str, vec: str, out: str = "d") -> DataFrame:
@@ -92,17 +110,19 @@ def _cells_within(radius: float) -> int:
 
 
 def knn_pairs_spatial(df: DataFrame, k: int, min_spatial: float, key: str = "id", vec: str = "z", row: str = "row", col: str = "col",
-                      patch: str | None = None, cells_unique: bool = True, **kw) -> DataFrame:
+                      patch: str | None = None, **kw) -> DataFrame:
     """kNN among pixels at least ``min_spatial`` apart; with ``patch`` only pairs of one patch are restricted.
 
-    On a grid a pixel can lose at most the cells inside the circle, which keeps pruning exact.
+    On a grid a pixel can lose at most the cells inside the circle, times the most vectors that share a cell (counted
+    once), which keeps pruning exact.
     """
+    most = df.groupBy(row, col).count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
     d = df.withColumns({"row": F.col(row), "col": F.col(col)})
     extra = ("row", "col")
     if patch is not None:
         d, extra = d.withColumn("patch", F.col(patch)), ("row", "col", "patch")
     return knn_join(d, d, k, qid=key, rid=key, qvec=vec, rvec=vec, q_extra=extra, r_extra=extra, allow=_far_enough(min_spatial, patch is not None),
-                    max_excluded=_cells_within(min_spatial) if cells_unique else None, **kw)
+                    max_excluded=_cells_within(min_spatial) * most, **kw)
 
 
 def mutual_knn_blocked(df: DataFrame, k: int, min_spatial: float, patch: str, key: str = "id", vec: str = "z", row: str = "row", col: str = "col", **kw) -> DataFrame:

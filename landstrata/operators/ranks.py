@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,20 +19,21 @@ def global_rank(df: DataFrame, order: list[Column], rank: str, total: str | None
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = cut_lineage(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    counts = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    offset, run = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        offset += [F.lit(p), F.lit(run)]
-        run += counts.get(p, 0)
-    if not offset:
-        out = parts.withColumn(rank, F.lit(None).cast("long"))
-    else:
-        w = Window.partitionBy("_part").orderBy(*order)
-        base = F.element_at(F.create_map(*offset), F.col("_part"))
-        out = parts.withColumn(rank, (F.row_number().over(w) + base).cast("long"))
+    offsets, run = _offsets(parts, F.count("*"), "bigint")
+    w = Window.partitionBy("_part").orderBy(*order)
+    out = parts.withColumn("_rn", F.row_number().over(w)).join(offsets, "_part").withColumn(rank, (F.col("_rn") + F.col("_base")).cast("long"))
     if total:
         out = out.withColumn(total, F.lit(run).cast("long"))
-    return out.drop("_part")
+    return out.drop("_part", "_base", "_rn")
+
+
+def _offsets(parts: DataFrame, measure: Column, kind: str) -> tuple[DataFrame, float]:
+    """(``_part``, ``_base``): what the partitions before each one add up to, and the sum of all; a row per partition."""
+    rows, run = [], 0.0 if kind == "double" else Decimal(0) if kind.startswith("decimal") else 0
+    for r in sorted(parts.groupBy("_part").agg(measure.alias("n")).collect()):
+        rows.append((r["_part"], run))
+        run += r["n"] or 0
+    return parts.sparkSession.createDataFrame(rows, f"_part int, _base {kind}"), run
 
 
 def group_average_rank(df: DataFrame, value: str, rank: str) -> DataFrame:
@@ -49,14 +52,10 @@ def global_prefix_sum(df: DataFrame, order: list[Column], value: str, out: str)
     """Running total of ``value`` over the whole table by ``order``."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = cut_lineage(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    sums = {r["_part"]: r["s"] for r in parts.groupBy("_part").agg(F.sum(value).alias("s")).collect()}
-    offset, run = [], 0
-    for p in range(max(sums, default=-1) + 1):
-        offset += [F.lit(p), F.lit(run)]
-        run += sums.get(p, 0) or 0
+    total = parts.select(F.sum(value).alias("s")).schema["s"].dataType.simpleString()
+    offsets, _ = _offsets(parts, F.sum(value), total)
     w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    base = F.element_at(F.create_map(*offset), F.col("_part")) if offset else F.lit(0)
-    return parts.withColumn(out, F.sum(value).over(w) + base).drop("_part")
+    return parts.withColumn("_run", F.sum(value).over(w)).join(offsets, "_part").withColumn(out, F.col("_run") + F.col("_base")).drop("_part", "_base", "_run")
 
 
 def rank_cuts(df: DataFrame, cols: list[str], n: int) -> list[tuple]:
@@ -85,21 +84,55 @@ def tile_of(cols: list[str], cuts: list[tuple]) -> Column:
     return out
 
 
-GROUP_LIMIT = 1000  # Spark trims row_number groups before the shuffle up to this k
-SALTS = 32
+def first_rows(df: DataFrame, cols: list[str], n: int) -> DataFrame:
+    """The n first rows in the order of ``cols`` (unique rows), by the rank-n row as a cut: no task gathers the n rows."""
+    if n <= 0:
+        return df.limit(0)
+    ranked = global_rank(df.select(*cols), [F.col(c) for c in cols], "_rank")
+    last = ranked.filter(F.col("_rank") == n).first()
+    if last is None:
+        return df
+    before, equal = F.lit(False), F.lit(True)
+    for c in cols:
+        before = before | (equal & (F.col(c) < F.lit(last[c])))
+        equal = equal & (F.col(c) == F.lit(last[c]))
+    return df.filter(before | equal)
 
 
+SALTS = 32  # parts of a partial sum
+GROUP_LIMIT = 1000  # Spark trims row_number groups before the shuffle up to this k
+
 def top_per_group(df: DataFrame, k: int, group: list[str], order: list[str]) -> DataFrame:
     """The k first rows of every group.
 
-    Up to ``GROUP_LIMIT`` Spark cuts each task's rows to k per group before shuffling.  For larger k the rows
-    of a group are first cut inside salted parts, so a hot group is spread over ``SALTS`` tasks and at most
-    SALTS * k of its rows meet.
+    Up to ``GROUP_LIMIT`` Spark cuts each task's rows to k per group before shuffling.  For larger k the k-th row of each
+    group is found from the range-sorted keys of all groups, so no task gathers a group or k of its rows.
     """
     rn = F.row_number()
     if k > GROUP_LIMIT:
-        df = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
-        w = Window.partitionBy(*group, "_salt").orderBy(*order)
-        df = df.withColumn("_rn", rn.over(w)).filter(F.col("_rn") <= k).drop("_rn", "_salt")
+        return _top_of_large_groups(df, k, group, order)
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_rn", rn.over(w)).filter(F.col("_rn") <= k).drop("_rn")
+
+
+def _top_of_large_groups(df: DataFrame, k: int, group: list[str], order: list[str]) -> DataFrame:
+    """Rows of small groups stay; of larger ones those up to the group's k-th row in a global sort by group and order."""
+    sizes = df.groupBy(*group).agg(F.count("*").alias("_size"))
+    same = [F.col(f"_g{i}").eqNullSafe(F.col(g)) for i, g in enumerate(group)]
+    names = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    large = sizes.filter(F.col("_size") > k).select(*names)
+    keys = df.select(*group, *order).join(large, condition, "left_semi")
+    ranked = global_rank(keys, [F.col(c) for c in [*group, *order]], "_rank")
+    first = cut_lineage(ranked.groupBy(*names).agg((F.min("_rank") + k - 1).alias("_last")))
+    cut = ranked.join(first, condition).filter(F.col("_rank") == F.col("_last"))
+    cut = cut.select(*[f"_g{i}" for i in range(len(group))], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    before, equal = F.lit(False), F.lit(True)
+    for i, c in enumerate(order):
+        before = before | (equal & (F.col(c) < F.col(f"_o{i}")))
+        equal = equal & (F.col(c) == F.col(f"_o{i}"))
+    # a row per large group is joined; small groups find none and stay whole
+    joined = df.join(cut.withColumn("_cut", F.lit(True)), condition, "left")
+    return joined.filter(F.col("_cut").isNull() | before | equal).select(*df.columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import global_prefix_sum, global_rank, rank_cuts, tile_of, top_per_group
+from ..session import cut_lineage
+from .ranks import first_rows, global_prefix_sum, global_rank, rank_cuts, tile_of, top_per_group
 
 _M = 2147483647  # 2^31 - 1
 
@@ -28,8 +29,8 @@ def uniform(h: Column) -> Column:
 
 
 def take(df: DataFrame, n: int, order: Column, *tie: str) -> DataFrame:
-    """The n rows smallest in ``order``: a per-task top-n, then a merge of the survivors."""
-    return df.withColumn("_h", order).orderBy("_h", *tie).limit(n).drop("_h")
+    """The n rows smallest in ``order``, ties by key: rows up to the n-th, which a range sort of the keys finds."""
+    return first_rows(df.withColumn("_h", order), ["_h", *tie], n).drop("_h")
 
 
 def sample_patches(patches: DataFrame, n: int, keys: list[str], seed: int = 42, order: Column | None = None) -> DataFrame:
@@ -187,25 +188,30 @@ def chunk_batches(df: DataFrame, chunk: list[str], keys: list[str], size: int, d
     return out.drop("_h", "_rn", "_n")
 
 
-def weighted_bootstrap(df: DataFrame, keys: list[str], weight: str, n: int, seed: int = 0, buckets: int = 1024, u=None) -> DataFrame:
+def weighted_bootstrap(df: DataFrame, keys: list[str], weight: str, n: int, seed: int = 0, u=None) -> DataFrame:
     """n draws with replacement in proportion to a weight (negative -> 0).
 
-    Each row owns an interval of the running weight; draws and intervals meet on equal slices of the total,
-    so the range condition is an equi-join on the slice.
+    Each row owns an interval of the running weight. Interval starts and draws are sorted together by their place in
+    range partitions; a draw takes the last start before it, from an earlier partition where its own has none. The work
+    grows with rows plus draws.
     """
     w = df.withColumn("_w", F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))).filter("_w > 0")
     cum = global_prefix_sum(w, [F.col(k) for k in keys], "_w", "_hi")
     total = w.agg(F.sum("_w")).first()[0]
     if not total:
         raise ValueError("all weights are zero")
-    width = total / buckets
-    lo = F.col("_hi") - F.col("_w")
-    spans = cum.withColumn("_lo", lo).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
+    spans = cum.select((F.col("_hi") - F.col("_w")).alias("_at"), F.struct(*df.columns).alias("_row"), F.lit(None).cast("long").alias("draw"))
     draws = df.sparkSession.range(n).withColumnRenamed("id", "draw")
-    draws = draws.withColumn("_u", (u(F.col("draw")) if u else uniform(seeded(seed, "draw"))) * total)
-    draws = draws.withColumn("_b", F.floor(F.col("_u") / width))
-    hit = draws.join(spans, "_b").filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
-    return hit.drop("_b", "_lo", "_hi", "_w", "_u")
+    draws = draws.select(((u(F.col("draw")) if u else uniform(seeded(seed, "draw"))) * total).alias("_at"), F.lit(None).cast(spans.schema["_row"].dataType).alias("_row"), "draw")
+    order = [F.col("_at"), F.col("draw").asc_nulls_first()]  # an interval starts before the draws at its place
+    both = cut_lineage(spans.unionByName(draws).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    # the last start of each partition, carried over partitions without one; a row per partition
+    ends = both.groupBy("_part").agg(F.max_by("_row", F.when(F.col("_row").isNotNull(), F.col("_at"))).alias("_end"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_part", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    so_far = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    hit = both.withColumn("_own", F.last("_row", ignorenulls=True).over(so_far)).filter(F.col("draw").isNotNull()).join(carried, "_part")
+    return hit.select("draw", F.coalesce("_own", "_carried").alias("_row")).select("draw", "_row.*")
 
 
 def fold_assign(df: DataFrame, k: int, keys: list[str], seed: int = 0, order: Column | None = None, out: str = "fold") -> DataFrame:

@@ -82,10 +82,11 @@ def legacy_stats(df: DataFrame, channels: list[str], method: str = "exact") -> D
 
 
 def legacy_class_table(df: DataFrame, code: str, n_codes: int = 255) -> DataFrame:
-    """Counts for every code 0..n_codes-1, absent codes as 0."""
-    codes = df.sparkSession.range(n_codes).select(F.col("id").cast("int").alias(code))
+    """Counts for every code 0..n_codes-1, absent codes as 0; other codes and nulls, if any, have their own rows."""
+    codes = df.sparkSession.range(n_codes).select(F.col("id").cast("int").alias("_c"))
     c = df.groupBy(F.col(code).cast("int").alias(code)).agg(F.count("*").alias("n"))
-    return codes.join(c, code, "left").fillna(0, subset=["n"])
+    both = codes.join(c, F.col("_c") == F.col(code), "full")
+    return both.select(F.coalesce(code, "_c").alias(code), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def band_patch_quantiles(df: DataFrame, patch: list[str], channels: list[str], probs: list[float]) -> DataFrame:

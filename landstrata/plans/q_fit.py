@@ -137,14 +137,14 @@ def _phase(spark, d):
 
 @query("c12_gmm_fit")
 def _(spark, d):
-    m = C.gmm_fit(_phase(spark, d), "p", 3, "diag", max_iter=15)
+    m = C.gmm_fit(_phase(spark, d), "p", 3, "diag")
     rows = [(i, float(m.weights[i]), float(m.means[i][0]), float(m.bic), float(m.aic)) for i in range(len(m.weights))]
     return rounded(spark.createDataFrame(rows, "component int, weight double, mean_0 double, bic double, aic double"), 2)
 
 
 @query("c13_silhouette_sweep")
 def _(spark, d):
-    _, scores = C.silhouette_sweep(_phase(spark, d), "id", "p", [2, 3], n_init_final=1, max_iter=6)
+    _, scores = C.silhouette_sweep(_phase(spark, d), "id", "p", [2, 3], n_init_final=1)
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in scores.items()], "k int, silhouette double"), 3)
 
 
@@ -152,7 +152,17 @@ def _(spark, d):
 s as (select i, max(m) filter (where own = lab) a, min(m) filter (where own <> lab) b from p group by 1) select round(avg((b - a) / greatest(a, b)), 5) silhouette from s""")
 def _(spark, d):
     e = fx(spark, d, "emb").select("id", "evt", F.slice("z", 57, 8).cast("array<double>").alias("p"))
-    return rounded(spark.createDataFrame([(C.silhouette(e, "id", "p", "evt"),)], "silhouette double"), 5)
+    return rounded(spark.createDataFrame([(C.silhouette_euclidean(e, "id", "p", "evt", None),)], "silhouette double"), 5)
+
+
+@query("c13_silhouette_squared", ctes("emb") + """, v as (select id, evt, z[57:64]::double[] p from emb),
+e as (select id, evt, i, p[i] x from v, (select unnest(range(1, 9)) i)), k as (select evt, count(*) n from v group by 1), m as (select evt, i, sum(x) s, sum(x * x) q from e group by 1, 2),
+t as (select e.id, e.evt own, m.evt lab, sum(k.n * e.x * e.x + m.q - 2 * e.x * m.s) t, max(k.n) n from e join m using (i) join k on k.evt = m.evt group by 1, 2, 3),
+s as (select id, max(t / greatest(n - 1, 1)) filter (where own = lab) a, max(n) filter (where own = lab) n, min(t / n) filter (where own <> lab) b from t group by 1)
+select round(avg(case when n > 1 then (b - a) / greatest(a, b) else 0 end), 6) silhouette from s""")
+def _(spark, d):
+    e = fx(spark, d, "emb").select("id", "evt", F.slice("z", 57, 8).cast("array<double>").alias("p"))
+    return rounded(spark.createDataFrame([(C.silhouette(e, "id", "p", "evt"),)], "silhouette double"), 6)
 
 
 @query("c14_kmeans")

@@ -211,7 +211,7 @@ def _(spark, d):
 select pixel, count(yr) n_years, round(min_by(nir, yr) filter (where yr is not null), 6) first_nir, round(max_by(red, yr), 6) last_red from pts left join annual using (pixel) group by 1""")
 def _(spark, d):
     pts = read(spark, d, "supplier").select(F.col("s_suppkey").alias("pixel"))
-    out = P.features_at_locations(pts, fx(spark, d, "annual").filter("nir is not null or true"), ["pixel"], ["nir", "red"], "yr")
+    out = P.features_at_locations(pts, fx(spark, d, "annual"), ["pixel"], ["nir", "red"], "yr")
     f = F.col("features")
     # min_by in SQL skips rows whose value is missing
     nir = F.filter(F.transform(f, lambda s: s["v"][0]), lambda v: v.isNotNull())

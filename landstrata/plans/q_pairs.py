@@ -61,6 +61,41 @@ def _(spark, d):
     return rounded(P.mutual_knn_pairs(emb(spark, d), 8).select("i", "j", "d"), 6)
 
 
+_SAME = _E + f", ap as (select a.id i, b.id j, {_DIST} d from emb a join emb b on a.id <> b.id and a.brow = b.brow and a.bcol = b.bcol) "
+_KEY = ("brow", "bcol")  # a patch: only its own rows are neighbours
+
+
+@query("j07_knn_pairs_in_patch", _SAME + f"select i, j, round(d, 6) d, cast(rk as int) as rank from {_knn(8)}")
+def _(spark, d):
+    return rounded(P.knn_pairs(emb(spark, d), 8, within=_KEY), 6)
+
+
+@query("j08_mutual_knn_pairs_in_patch", _SAME + f", k as {_knn(8)} select a.i, a.j, round(a.d, 6) d from k a join k b on a.i = b.j and a.j = b.i")
+def _(spark, d):
+    return rounded(P.mutual_knn_pairs(emb(spark, d), 8, within=_KEY).select("i", "j", "d"), 6)
+
+
+@query("j11_radius_pairs_in_patch", _SAME + "select i, j, round(d, 6) d from ap where d >= 1.1 and d < 1.25")
+def _(spark, d):
+    return rounded(P.radius_pairs(emb(spark, d), 1.1, 1.25, within=_KEY), 6)
+
+
+@query("j10_quantile_pairs_in_patch", _SAME + ", q as (select quantile_cont(d, 0.5) lo, quantile_cont(d, 0.75) hi from ap) select i, j, round(d, 6) d from ap, q where d >= lo and d < hi")
+def _(spark, d):
+    # the band of all distances inside the patches, near and far
+    return rounded(P.quantile_pairs(P.radius_pairs(emb(spark, d), 0.0, float("inf"), within=_KEY), 0.5, 0.75), 6)
+
+
+@query("j12_negatives_in_patch", _SAME + """, f as (select ap.* from ap join emb a on a.id = i join emb b on b.id = j
+ where sqrt((a.prow - b.prow) * (a.prow - b.prow) + (a.pcol - b.pcol) * (a.pcol - b.pcol)) >= 3), q as (select quantile_cont(d, 0.5) lo, quantile_cont(d, 0.75) hi from f)
+select i, j, round(d, 6) d from f, q where d >= lo and d < hi""")
+def _(spark, d):
+    e = emb(spark, d)
+    pairs = P.radius_pairs(e, 0.0, float("inf"), within=_KEY).select("i", "j")
+    _pos, neg = P.spatially_constrained_pairs(e, 8, pairs, row="prow", col="pcol", neg_min=3.0)
+    return rounded(neg, 6)
+
+
 _SPAT = _E + f""", ap as (select a.id i, b.id j, {_DIST} d from emb a join emb b on a.id <> b.id
  where sqrt((a.prow - b.prow) * (a.prow - b.prow) + (a.pcol - b.pcol) * (a.pcol - b.pcol)) >= 4 """
 

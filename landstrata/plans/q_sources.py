@@ -243,7 +243,8 @@ def _(spark, d):
     path = scratch_path(spark, "changes")
     fx(spark, d, "annual").select("pixel", "yr", "change").write.parquet(path)
     recs = ST.read_table_stream(spark, path, "*.parquet")
-    return ST.run_to_table(ST.stream_change_state(recs, "pixel", "yr", "change"), "append", "change-state")
+    out = ST.run_to_table(ST.stream_change_state(recs, "pixel", "yr", "change"), "append", "change-state")
+    return out.filter(~F.col("late")).drop("late")
 
 
 @query("t2_stream_channel_moments", """select channel, count(*) n, round(avg(v), 5) mean, round(var_pop(v) * count(*) / 1e3, 4) m2, round(min(v), 5) "min", round(max(v), 5) "max"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,11 @@ def read_table_stream(spark: SparkSession, folder: str, file_glob: str, max_file
 
 
 def stream_change_state(records: DataFrame, key: str, year: str, change: str, fast_codes: list[int] = FAST_CODES, base: int = BASE_YEAR) -> DataFrame:
-    """Yearly change records to (key, year, last_fast_year, cum_events, ysfc, censored).
+    """Yearly change records to (key, year, last_fast_year, cum_events, ysfc, censored, late).
 
     The state of a pixel is (last fast year, events, last seen year): three numbers.  Records of a batch are
-    applied in year order; a record older than the state's year is ignored, so years must not run backwards
-    per pixel.
+    applied in year order, the first of a year counts.  A record that is not newer than the state's year changes
+    nothing and comes out with ``late`` true and no state, so a caller can count or replay such rows.
     """
     ktype = records.schema[key].dataType.simpleString()
     fast = set(fast_codes)
@@ -33,19 +34,19 @@ def stream_change_state(records: DataFrame, key: str, year: str, change: str, fa
     def fold(k: tuple, batches, state: GroupState):
         last, events, seen = state.get if state.exists else (base, 0, -1)
         pdf = pd.concat(list(batches), ignore_index=True).sort_values([year, change], kind="stable")
-        rows = []
-        for y, c in zip(pdf[year].tolist(), pdf[change].tolist()):
-            if y <= seen:
-                continue
-            if c in fast:
-                last, events = y, events + 1
-            seen = y
-            rows.append((k[0], y, last, events, y - last, last == base))
-        state.update((last, events, seen))
-        yield pd.DataFrame(rows, columns=[key, year, "last_fast_year", "cum_events", "ysfc", "censored"])
+        years = pdf[year].to_numpy(np.int64)
+        late = (years <= seen) | pdf.duplicated(year).to_numpy()
+        hit = pdf[change].isin(fast).to_numpy() & ~late
+        lasts, counts = np.maximum.accumulate(np.where(hit, years, last)), events + np.cumsum(hit)
+        out = pd.DataFrame({key: k[0], year: years, "last_fast_year": lasts, "cum_events": counts, "ysfc": years - lasts, "censored": lasts == base})
+        for c, kind in (("last_fast_year", "Int64"), ("cum_events", "Int64"), ("ysfc", "Int64"), ("censored", "boolean")):
+            out[c] = out[c].astype(kind).mask(late)
+        if len(out):
+            state.update((int(lasts[-1]), int(counts[-1]), int(max(seen, years[-1]))))
+        yield out.assign(late=late)
 
     return records.select(key, F.col(year).cast("int").alias(year), F.col(change).cast("int").alias(change)).groupBy(key).applyInPandasWithState(
-        fold, f"`{key}` {ktype}, `{year}` int, last_fast_year int, cum_events int, ysfc int, censored boolean",
+        fold, f"`{key}` {ktype}, `{year}` int, last_fast_year int, cum_events int, ysfc int, censored boolean, late boolean",
         "last_fast_year int, cum_events int, seen int", "append", GroupStateTimeout.NoTimeout)
 
 

@@ -70,6 +70,93 @@ def test_knn_spatial_exclusion(spark, pivots):
     assert got == brute_knn(ids, x, 3, far)
 
 
+@pytest.mark.parametrize("block", [4096, 17])
+def test_search_within_a_key(spark, block):
+    rng = np.random.default_rng(8)
+    n = 260
+    x, key = rng.normal(size=(n, 4)), np.where(np.arange(n) % 3 == 0, 0, np.arange(n) % 11 + 1)
+    df = frame(spark, np.arange(n), x, g=key)
+    same = key[:, None] == key[None]
+    got = {(r["i"], r["j"], r["rank"]) for r in P.knn_pairs(df, 4, within=("g",), ref_block=block, query_block=block).collect()}
+    assert got == brute_knn(np.arange(n), x, 4, same)
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    want = {(a, b) for a in range(n) for b in range(n) if a != b and same[a, b] and d[a, b] < 1.5}
+    got = {(r["i"], r["j"]) for r in NB.radius_join(df, df, 0.0, 1.5, within=("g",), ref_block=block, query_block=block).collect()}
+    assert got == want
+
+
+def test_rows_are_copied_within_their_key_only(spark):
+    df = spark.range(600).select(F.col("id").alias("_q"), F.when(F.col("id") < 200, 0).otherwise(F.col("id") % 50 + 1).cast("int").alias("_w0"))
+    q, r = NB.scoped_blocks(df, df.withColumnRenamed("_q", "_r"), ["_w0"], 64, 32)
+    copies = {x["_w0"]: x["m"] for x in q.groupBy("_w0", "_q").count().groupBy("_w0").agg(F.max("count").alias("m")).collect()}
+    assert copies.pop(0) == 4 and set(copies.values()) == {1}  # 200 references in blocks of 64; 8 in one block
+    assert r.groupBy("_w0", "_sub", "_qc").count().agg(F.max("count")).first()[0] < 200
+
+
+def test_landmarks_beyond_the_shipped_ones(spark):
+    rng = np.random.default_rng(5)
+    x, m = rng.normal(size=(40, 3)), rng.normal(size=(25, 3))
+    df, marks = frame(spark, np.arange(40), x), frame(spark, np.arange(100, 125), m)
+    for metric in ("l2", "l1", "cosine"):
+        few, many = ({(r["i"], r["j"]): r["d"] for r in P.pairwise_distance(df, "id", "z", marks, "id", "z", metric, shipped=s).collect()} for s in (25, 7))
+        assert few.keys() == many.keys() and len(few) == 1000 and all(abs(few[p] - many[p]) < 1e-12 for p in few)
+    near = x[:1] + 1e-9
+    got = P.pairwise_distance(frame(spark, [0], x[:1] * 1e4), "id", "z", frame(spark, [1], near * 1e4), "id", "z").first()["d"]
+    assert abs(got - np.sqrt(3) * 1e-5) < 1e-9  # digits that an expanded square would lose
+
+
+def test_centroids_beyond_the_shipped_ones(spark, monkeypatch):
+    from landstrata.operators import knn as K
+
+    rng = np.random.default_rng(6)
+    df, c = frame(spark, np.arange(60), rng.normal(size=(60, 3)), g=np.arange(60) % 2), frame(spark, np.arange(30), rng.normal(size=(30, 3)), g=np.arange(30) % 2)
+    for same in (None, "g"):
+        few = {r["id"]: (r["centroid"], round(r["d"], 6)) for r in K.nearest_centroid(df, "id", "z", c, "id", "z", same).collect()}
+        monkeypatch.setattr(K, "MAX_CENTROIDS", 5)
+        assert few == {r["id"]: (r["centroid"], round(r["d"], 6)) for r in K.nearest_centroid(df, "id", "z", c, "id", "z", same).collect()}
+        monkeypatch.undo()
+
+
+def test_large_samples_are_cut_at_a_rank(spark):
+    from landstrata.operators import sample as N
+
+    df = spark.range(5000).withColumn("w", (F.col("id") % 7).cast("double"))
+    got = {r["id"] for r in N.epoch_sample(df, ["id"], "number", 1234, seed=3).collect()}
+    want = [r["id"] for r in df.withColumn("h", N.seeded(3, "id")).orderBy("h", "id").limit(1234).collect()]
+    assert got == set(want)
+    for out in (N.epoch_sample(df, ["id"], "frac", 0.3), N.reservoir(df, 2000, ["id"]), N.cap_pairs(df.select(F.col("id").alias("i"), F.col("id").alias("j")), 900)):
+        assert "TakeOrderedAndProject" not in out._jdf.queryExecution().executedPlan().toString()
+    draws = N.weighted_bootstrap(df, ["id"], "w", 20_000, seed=1)
+    assert "Join [_b" not in draws._jdf.queryExecution().executedPlan().toString()
+    share = {r["w"]: r["count"] / 20_000 for r in draws.groupBy("w").count().collect()}
+    assert draws.count() == 20_000 and 0.0 not in share and all(abs(share[w] - w / 21) < 0.02 for w in share)
+
+
+def test_codes_outside_the_class_table(spark):
+    from landstrata.operators import stats as T
+
+    df = spark.createDataFrame([(3,), (3,), (300,), (None,), (-1,)], "code int")
+    got = {r["code"]: r["n"] for r in T.legacy_class_table(df, "code").collect()}
+    assert len(got) == 258 and got[3] == 2 and got[300] == 1 and got[None] == 1 and got[-1] == 1 and got[0] == 0
+
+
+def test_silhouette_on_squared_distances(spark):
+    rng = np.random.default_rng(7)
+    x, lab = rng.normal(size=(80, 3)), np.append(rng.integers(0, 3, 79), 9)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    s = []
+    for i in range(80):
+        own = (lab == lab[i]) & (np.arange(80) != i)
+        if not own.any():
+            s.append(0.0)
+            continue
+        a, b = d2[i, own].mean(), min(d2[i, lab == c].mean() for c in set(lab) - {lab[i]})
+        s.append((b - a) / max(a, b))
+    from landstrata.operators import cluster as C
+
+    assert abs(C.silhouette(frame(spark, np.arange(80), x, lab=lab), "id", "z", "lab") - np.mean(s)) < 1e-9
+
+
 def test_mutual_is_symmetric(spark):
     ids, x = skewed(200)
     got = {(r["i"], r["j"]) for r in P.mutual_knn_pairs(frame(spark, ids, x), 5).collect()}
@@ -279,7 +366,8 @@ def test_silhouette(spark):
         a = d[i, (c == c[i]) & (np.arange(90) != i)].mean()
         b = min(d[i, c == k].mean() for k in range(3) if k != c[i])
         s.append((b - a) / max(a, b))
-    assert abs(C.silhouette(df, "id", "z", "lab") - np.mean(s)) < 1e-6
+    assert abs(C.silhouette_euclidean(df, "id", "z", "lab", None) - np.mean(s)) < 1e-6
+    assert C.silhouette_euclidean(df.withColumn("lab", F.lit(1)), "id", "z", "lab", None) == -1.0
     assert C.silhouette(df.withColumn("lab", F.lit(1)), "id", "z", "lab") == -1.0
 
 
@@ -392,7 +480,8 @@ def test_stream_ignores_older_years(spark, tmp_path):
         spark.createDataFrame(rows, "pixel long, yr int, change int").coalesce(1).write.mode("append").parquet(f"{src}/{i}")
     recs = spark.readStream.schema("pixel long, yr int, change int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(src)
     out = ST.run_to_table(ST.stream_change_state(recs, "pixel", "yr", "change"), "append", "late").orderBy("yr").collect()
-    assert [(r["yr"], r["last_fast_year"], r["cum_events"]) for r in out] == [(2000, 1980, 0), (2001, 2001, 1), (2002, 2001, 1)]
+    assert [(r["yr"], r["last_fast_year"], r["cum_events"], r["late"]) for r in out] == [
+        (1999, None, None, True), (2000, 1980, 0, False), (2001, 2001, 1, False), (2002, 2001, 1, False)]
 
 
 def test_top_per_group_beyond_the_group_limit(spark):
