@@ -118,7 +118,7 @@ def _radius_kernel(lo: float, hi: float, exclude_self: bool, allow: Allow | None
             if allow is not None:
                 d2[~allow(qp.iloc[s : s + rows], rp)] = np.inf
             tol = 1e-8 * (1.0 + (part * part).sum(1) + rmax)
-            qi, ri = np.nonzero(d2 <= hi * hi + tol[:, None])
+            qi, ri = np.nonzero((d2 <= hi * hi + tol[:, None]) & np.isfinite(d2))
             d = _exact(part, r, qi, ri)
             ok = (d >= lo) & (d < hi)
             out.append(pd.DataFrame({"_q": qid[s : s + rows][qi[ok]], "_r": rid[ri[ok]], "d": d[ok]}))
