@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from landstrata.session import scratch_path
 
-SF = "/root/testdata/sf0.01"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 HEX = "0123456789abcdef" * 2
 
 
@@ -17,6 +17,8 @@ HEX = "0123456789abcdef" * 2
 def corpus(spark):
     path = scratch_path(spark, "pipeline-test")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    toxic = spark.read.parquet(f"{LARGER}/labels.parquet").filter("toxic = 1 AND doc_id >= 200")  # enough to learn from
+    docs = docs.unionByName(spark.read.parquet(f"{LARGER}/documents.parquet").join(toxic, "doc_id", "left_semi"))
     item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
     base = " ".join(f"river{i} stone" for i in range(60))
     rows = [(9001, base), (9002, base + " more"), (9003, base), (None, base), (9003, base), (9004, f"A tale. {item} The end."), (9005, f"token = {HEX} of mine {base[:200]}"),
@@ -25,8 +27,8 @@ def corpus(spark):
     added = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     both = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(added).withColumn("doc", F.lit(1)).withColumn("hash", F.lit("x"))
     both.write.parquet(f"{path}/documents.parquet")
-    for name in ("labels", "benchmark"):
-        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{path}/benchmark.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").unionByName(toxic).write.parquet(f"{path}/labels.parquet")
     return path
 
 
@@ -54,7 +56,7 @@ def test_toxic_documents_go(stages):
     before, after = map(rows, stages["toxicity"])
     gone = [r for r in before if r not in after]
     assert any(i == 9008 for i, _ in gone) and not any(i in (9001, 9005, 9006, 9007) for i, _ in gone)
-    assert len(gone) < 0.35 * len(before) and all(before.count(r) == after.count(r) for r in after)
+    assert len(gone) < 0.5 * len(before) and all(before.count(r) == after.count(r) for r in after)
 
 
 def test_one_document_of_each_group_stays(stages):
@@ -74,6 +76,7 @@ def test_one_document_of_each_group_stays(stages):
 def test_benchmark_passages_go(stages):
     before, after = map(rows, stages["decontamination"])
     gone = {i for i, t in before if (i, t) not in after}
+    assert any(i == 9004 for i, _ in before)
     assert 9004 in gone and not gone & {9001, 9005, 9006, 9007} and len(gone) < 0.1 * len(before)
 
 
