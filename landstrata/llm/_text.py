@@ -29,6 +29,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_BACK = [U(pow(c, -1, 1 << 64)) for c in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
+
+
+def unmix(x: np.ndarray) -> np.ndarray:
+    """What ``mix`` made this of."""
+    x = x ^ (x >> U(31)) ^ (x >> U(62))
+    x = x * _BACK[0]
+    x = x ^ (x >> U(27)) ^ (x >> U(54))
+    x = x * _BACK[1]
+    return x ^ (x >> U(30)) ^ (x >> U(60))
+
+
 def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], U))[0])
 

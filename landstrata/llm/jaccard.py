@@ -9,8 +9,8 @@ upper band. There the sketch has more parts than D can touch: linked sets agree
 An empty part says little, so it is left out; to keep the guarantee there are some more parts than needed, and a set
 with more empty parts than those joins on its empty parts too.
 
-Sets that are equal are one class from the start. In the bucket of a part value each class is paired with the smallest
-one. Pairs whose short sketches are near enough are verified on the full sets, and links give components. Buckets that
+Sets that are equal are one class from the start. In the bucket of a part value each class is paired with the first one
+in one of ORDERS orders, which the part chooses, so a class meets different pivots in its buckets. Pairs whose short sketches are near enough are verified on the full sets, and links give components. Buckets that
 hold several components still are compared inside tasks, in blocks of bounded size, and only pairs of different
 components with near sketches leave them and are verified. So no link between components is lost, and a large group of
 near copies costs one pair a document instead of all pairs.
@@ -35,6 +35,7 @@ from . import _text
 from ._components import components
 
 U = np.uint64
+ORDERS = 8
 BLOCK = 2048  # classes of a bucket that meet in one task, at most twice as many
 
 
@@ -74,9 +75,9 @@ def _fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _short_sketches(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Parity sketches of at least two bits per element, a power of two long."""
+    """Parity sketches of at least four bits per element, a power of two long."""
     n = _sizes(bounds)
-    words = 1 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64)
+    words = 1 << np.ceil(np.log2(np.maximum(n, 16) / 16)).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(words)])
     cells = np.zeros(first[-1], U)
     row = np.repeat(np.arange(len(n)), n)
@@ -133,21 +134,32 @@ def signatures(docs: DataFrame, k: int, doc: str = "doc_id", text: str = "text")
     return rows.mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, fp bigint, sketch binary")
 
 
+def _place(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """The class's place in the order that the key chooses."""
+    return _text.mix(fp.view(U) ^ _text.mix(key.view(U) & U(ORDERS - 1))).view(np.int64)
+
+
+def _class(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The class at a place, see ``_place``."""
+    return (_text.unmix(place.view(U)) ^ _text.mix(key.view(U) & U(ORDERS - 1))).view(np.int64)
+
+
 def _keys(docs: DataFrame, k: int, percent: int, text: str) -> DataFrame:
+    """``key, place``: the parts on which each document's class joins."""
     def run(batches):
         for batch in batches:
             for _, hashes, bounds in _text.word_sets(batch.column(0), k):
                 key, owner = _part_keys(hashes, bounds, percent)
-                fp = _fingerprints(hashes, bounds)
+                place = _place(key, _fingerprints(hashes, bounds)[owner])
                 for a in range(0, len(key), 1 << 18):
                     part = slice(a, a + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(fp[owner[part]])], ["key", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(place[part])], ["key", "place"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "key bigint, fp bigint")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "key bigint, place bigint")
 
 
 def _shared_buckets(keys: DataFrame) -> DataFrame:
-    """``key, fp, pivot`` of keys with two classes or more; the pivot is the smallest. Sorted rows stream by."""
+    """``key, fp, pivot`` of keys with two classes or more; the pivot is the first of the key's order. Sorted rows stream by."""
     def run(batches):
         open_key = pivot = last = None
         waiting = False  # the open run's pivot isn't out yet
@@ -172,11 +184,13 @@ def _shared_buckets(keys: DataFrame) -> DataFrame:
             out = shared & ~ghosts
             pivots = fp[first][run_of]
             waiting = not shared[-1]
-            open_key, pivot, last = key[-1], pivots[-1], fp[-1]
+            open_key, pivot, last = key[-1], pivots[-1], fp[-1]  # here classes are still places
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(fp[out]), pa.array(pivots[out])], ["key", "fp", "pivot"])
+                key = key[out]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(_class(key, fp[out])), pa.array(_class(key, pivots[out]))], ["key", "fp", "pivot"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "key bigint, fp bigint, pivot bigint")
+    return keys.repartition("key").sortWithinPartitions("key", "place").mapInArrow(run, "key bigint, fp bigint, pivot bigint")
 
 
 def _fold(sketch: bytes, words: int) -> np.ndarray:
@@ -324,7 +338,7 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, doc: str = "d
         rows.filter(F.col("n") >= _least_size(percent)).groupBy("fp")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     buckets = stored(_shared_buckets(_keys(docs, k, percent, text)), "buckets")
-    pairs = buckets.filter("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
+    pairs = buckets.filter("fp <> pivot").select(F.least("pivot", "fp").alias("a"), F.greatest("pivot", "fp").alias("b")).distinct()
     tested = stored(_near_pairs(pairs, classes, percent), "near")
     links = stored(_verified(tested, docs, classes, k, percent, doc, text), "links")
 

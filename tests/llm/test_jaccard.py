@@ -92,6 +92,12 @@ def test_sketches_are_sound():
             assert set(key[owner == 0].tolist()) & set(key[owner == 1].tolist())
 
 
+def test_orders_are_reversible():
+    rng = np.random.default_rng(1)
+    key, fp = (rng.integers(-(2**63), 2**63 - 1, 1000) for _ in range(2))
+    assert (jaccard._class(key, jaccard._place(key, fp)) == fp).all()
+
+
 def test_word_hashes_do_not_depend_on_the_slice(monkeypatch):
     import pyarrow as pa
 
