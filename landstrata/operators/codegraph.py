@@ -85,7 +85,11 @@ def reference_distance(pairs: DataFrame, sim: DataFrame, code_i: str = "code_i",
     return out.withColumns({"d_ref": 1.0 - F.coalesce("_s", F.lit(0.0)), "valid_ref": F.col("_s").isNotNull()}).drop("_s")
 
 
-def tau_sweep(sim: DataFrame, taus: list[float]) -> DataFrame:
+#: Upper ends of the shares of log(K-1), and what a sharpness below them is called; the last has none.
+VERDICTS = ((20.0, "too peaked"), (35.0, "sharp"), (65.0, "good range"), (80.0, "soft"), (None, "too flat"))
+
+
+def tau_sweep(sim: DataFrame, taus: list[float], verdicts: tuple = VERDICTS) -> DataFrame:
     """Per tau the mean entropy of softmax(-(1-S)/tau) over other codes, its % of log(K-1) and a verdict."""
     t = sim.filter(F.col("a") != F.col("b")).withColumn("tau", F.explode(F.array(*[F.lit(float(x)) for x in taus])))
     t = t.withColumn("z", -(1 - F.col("p")) / F.col("tau"))
@@ -96,8 +100,8 @@ def tau_sweep(sim: DataFrame, taus: list[float]) -> DataFrame:
     h = row.withColumn("h", F.col("m") + F.ln("s") - F.col("sz") / F.col("s"))
     k = sim.agg(F.countDistinct("a")).scalar()
     out = h.groupBy("tau").agg(F.avg("h").alias("entropy")).withColumn("pct_of_max", 100 * F.col("entropy") / F.ln(k - 1))
-    p = F.col("pct_of_max")
-    return out.withColumn("verdict", F.when(p < 20, "too peaked").when(p < 35, "sharp").when(p <= 65, "good range").when(p <= 80, "soft").otherwise("too flat"))
+    below = [F.when(F.col("pct_of_max") <= end, name) for end, name in verdicts if end is not None]
+    return out.withColumn("verdict", F.coalesce(*below, F.lit(verdicts[-1][1])))
 
 
 def graph_diagnostics(conf: DataFrame, p1: DataFrame, pk: DataFrame) -> DataFrame:

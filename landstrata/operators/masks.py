@@ -114,15 +114,12 @@ def reindex_years(df: DataFrame, key: list[str], year: str, first: int, last: in
                   fills: dict[str, object] | None = None) -> DataFrame:
     """Every key on the full year axis; missing values take the given fill (NULL by default).
 
-    One shuffle by key: the rows of a key are gathered (at most one per year) and expanded inside the
-    group, so no key-by-year scaffold is joined back.
+    One scan and one shuffle by key: the rows of a key are gathered (at most one per year) and expanded inside
+    the group; rows outside the axis only keep their key.
     """
     values = [c for c in df.columns if c not in (*key, year)]
-    inside = df.filter(F.col(year).between(first, last))
-    packed = df.select(*key).distinct().join(
-        inside.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(year).cast("int"), F.struct(*values)))).alias("_m")),
-        key, "left",
-    )
+    entry = F.when(F.col(year).between(first, last), F.struct(F.col(year).cast("int"), F.struct(*values)))
+    packed = df.groupBy(*key).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
     out = packed.withColumn(year, F.explode(F.sequence(F.lit(first), F.lit(last))))
     cell = F.try_element_at(F.col("_m"), F.col(year))
     cols = []

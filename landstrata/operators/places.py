@@ -98,8 +98,9 @@ def spatial_negative_pairs(anchors: DataFrame, valid: DataFrame, patch: list[str
 
 
 def cross_patch_negatives(anchors: DataFrame, patch: str, key: str, per_anchor: int, seed: int = 0, slot_order: Column | None = None, draw=None) -> DataFrame:
-    """Random anchor pairs from two different patches, equally many for every ordered patch pair.
+    """``per_anchor`` random anchor pairs per anchor, from two different patches.
 
+    Where that is enough for every ordered patch pair, all get equally many; otherwise each draw picks its patch pair.
     Pairs are generated, not joined: each output row is a counter from which the patch pair and the two draws
     follow; two equi-joins on (patch number, draw) look the anchors up.
     """
@@ -110,18 +111,20 @@ def cross_patch_negatives(anchors: DataFrame, patch: str, key: str, per_anchor:
     if n_patches < 2:
         return anchors.sparkSession.createDataFrame([], "i long, j long, patch_i long, patch_j long")
     n_pairs = n_patches * (n_patches - 1)
-    per = max(1, per_anchor * total // n_pairs)
+    per = per_anchor * total // n_pairs
     idx = anchors.join(numbered, patch).select(
         "p", F.col(key).alias("a"), (F.row_number().over(Window.partitionBy("p").orderBy(slot_order if slot_order is not None else seeded(seed, key), key)).cast("long") - 1).alias("slot"))
     c = F.col("id")
-    pair = F.floor(c / per)
-    pi = F.floor(pair / (n_patches - 1))
-    q = pair % (n_patches - 1)
-    rows = anchors.sparkSession.range(n_pairs * per).select(
+    draw = draw or (lambda stream, c: seeded(seed, F.lit(stream), c))
+    if per:
+        pair = F.floor(c / per)
+        pi, q = F.floor(pair / (n_patches - 1)), pair % (n_patches - 1)
+    else:  # fewer draws than patch pairs
+        pi, q = F.pmod(draw(2, c), F.lit(n_patches)), F.pmod(draw(3, c), F.lit(n_patches - 1))
+    rows = anchors.sparkSession.range(n_pairs * per or per_anchor * total).select(
         c.alias("draw"), pi.alias("pi"), F.when(q >= pi, q + 1).otherwise(q).alias("pj"))
     sizes = numbered.select(F.col("p"), F.col("n"))
     rows = rows.join(sizes.withColumnsRenamed({"p": "pi", "n": "ni"}), "pi").join(sizes.withColumnsRenamed({"p": "pj", "n": "nj"}), "pj")
-    draw = draw or (lambda stream, c: seeded(seed, F.lit(stream), c))
     rows = rows.withColumns({"si": F.pmod(draw(0, F.col("draw")), F.col("ni")), "sj": F.pmod(draw(1, F.col("draw")), F.col("nj"))})
     left = idx.withColumnsRenamed({"p": "pi", "slot": "si", "a": "i"})
     right = idx.withColumnsRenamed({"p": "pj", "slot": "sj", "a": "j"})

@@ -102,6 +102,8 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[flo
     spark = df.sparkSession
     v = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
     riders = [c.alias(n) for n, (c, _) in extra.items()]
+    if not probs:
+        return v.groupBy(*group).agg(*riders) if riders else v.select(*group).distinct()
     if method == "approx":
         out = v.groupBy(*group).agg(F.percentile_approx("_v", [float(p) for p in probs], 10000).alias("_q"), *riders)
         return out.select(*group, *[F.col("_q")[i].alias(q_name(p)) for i, p in enumerate(probs)], *extra)

@@ -23,7 +23,7 @@ def long_channels(df: DataFrame, channels: list[str], keep: list[str] = (), mask
 
 def channel_stats(df: DataFrame, channels: list[str], mask: Column | None = None, probs: list[float] = CHANNEL_PROBS,
                   method: str = "exact") -> DataFrame:
-    """Per channel n, mean, sd (population), min, max and quantiles over valid values; two scans."""
+    """Per channel n, mean, sd (population), min, max and quantiles over valid values; two scans, one without ``probs``."""
     long = long_channels(df, channels, mask=mask)
     out = exact_quantiles(long, ["channel"], "value", probs, method, _moments())
     return out.select("channel", *_moments(), *[q_name(p) for p in probs])
@@ -92,7 +92,8 @@ def legacy_class_table(df: DataFrame, code: str, n_codes: int = 255) -> DataFram
 def band_patch_quantiles(df: DataFrame, patch: list[str], channels: list[str], probs: list[float]) -> DataFrame:
     """Quantiles per patch and channel; a patch has a bounded number of pixels."""
     long = long_channels(df, channels, patch)
-    return long.groupBy(*patch, "channel").agg(*[F.percentile("value", F.lit(p)).alias(q_name(p)) for p in probs])
+    out = long.groupBy(*patch, "channel").agg(F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("_q"))
+    return out.select(*patch, "channel", *[F.col("_q")[i].alias(q_name(p)) for i, p in enumerate(probs)])
 
 
 # covariance ----------------------------------------------------------------------------------
@@ -137,6 +138,13 @@ def global_correlation(df: DataFrame, channels: list[str]) -> DataFrame:
     return _symmetric(wide, channels, "_c", ["n"])
 
 
+def correlation_of(covariance: DataFrame) -> DataFrame:
+    """(ci, cj, value, corr) from a symmetric covariance table, one row per channel pair."""
+    own = covariance.filter(F.col("ci") == F.col("cj")).select(F.col("ci").alias("c"), F.col("value").alias("v"))
+    both = covariance.join(own.withColumnsRenamed({"c": "ci", "v": "_vi"}), "ci").join(own.withColumnsRenamed({"c": "cj", "v": "_vj"}), "cj")
+    return both.select("ci", "cj", "value", F.try_divide(F.col("value"), F.sqrt(F.col("_vi") * F.col("_vj"))).alias("corr"))
+
+
 def patch_mean_covariance(df: DataFrame, patch: list[str], channels: list[str]) -> DataFrame:
     """Unweighted mean of per-patch covariance matrices; identity when no patch has two rows."""
     per = group_covariance(df, patch, channels).filter("n >= 2")

@@ -188,17 +188,19 @@ def strata_efficiency(df: DataFrame, unit: str, schemes: dict[str, str], y: str,
 
 def per_unit_table(df: DataFrame, unit: str, schemes: dict[str, str], y: str) -> DataFrame:
     """Per unit: n, total variance, within variance and ratio per scheme, best scheme, share of y > 0."""
-    total = df.groupBy(unit).agg(
-        F.count(y).alias("n"),
-        F.var_samp(y).alias("var_total"),
-        (100 * F.avg((F.col(y) > 0).cast("double"))).alias("pct_positive"),
-    )
-    out = total
-    for name, col in schemes.items():
-        g = df.groupBy(unit, col).agg(F.count(y).alias("n_"), _ss(y).alias("ss_"))
-        v = g.groupBy(unit).agg(F.try_divide(F.sum("ss_"), F.sum("n_") - F.count("*")).alias(f"var_{name}"))
-        out = out.join(v, unit, "left")
+    # one scan: every row counts for the whole unit (scheme 0) and for its stratum of each scheme
     names = list(schemes)
+    strata = [F.lit(None).cast("string"), *[F.col(schemes[n]).cast("string") for n in names]]
+    long = df.select(F.col(unit), F.col(y), F.posexplode(F.array(*strata)).alias("_scheme", "_stratum"))
+    cells = long.groupBy(unit, "_scheme", "_stratum").agg(F.count(y).alias("n_"), _ss(y).alias("ss_"), F.count_if(F.col(y) > 0).alias("pos_"))
+
+    def of(i: int, c: str) -> Column:
+        return F.sum(F.when(F.col("_scheme") == i, F.col(c)))
+
+    within = [F.try_divide(of(i, "ss_"), of(i, "n_") - F.count_if(F.col("_scheme") == i)).alias(f"var_{n}") for i, n in enumerate(names, 1)]
+    out = cells.groupBy(unit).agg(
+        of(0, "n_").alias("n"), F.try_divide(of(0, "ss_"), of(0, "n_") - 1).alias("var_total"),
+        F.try_divide(100.0 * of(0, "pos_"), of(0, "n_")).alias("pct_positive"), *within)
     best = F.least(*[F.col(f"var_{n}") for n in names]) if len(names) > 1 else F.col(f"var_{names[0]}")
     winner = F.coalesce(*[F.when(F.col(f"var_{n}") == best, F.lit(n)) for n in names])
     return out.withColumns(
@@ -233,9 +235,10 @@ def label_response_table(df: DataFrame, label: str, responses: list[str]) -> Dat
             F.avg((F.col(y) == 0).cast("double")).alias(f"{y}_zero"),
         ]
     out = df.groupBy(label).agg(*aggs)
-    for y in responses:
-        out = out.join(exact_quantiles(df, [label], y, [0.75]).withColumnRenamed("q75", f"{y}_q75"), label, "left")
-    return out
+    # all responses in one long table, so the quantiles take two scans in all
+    long = df.select(F.col(label), F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.col(y).cast("double").alias("v")) for y in responses])).alias("_r"))
+    q = exact_quantiles(long.select(label, "_r.y", "_r.v"), [label, "y"], "v", [0.75])
+    return out.join(q.groupBy(label).agg(*[F.max(F.when(F.col("y") == y, F.col("q75"))).alias(f"{y}_q75") for y in responses]), label, "left")
 
 
 def remeasured_only(plot: DataFrame, first: int, last: int, invyr="invyr", prev="prev_plt_cn") -> DataFrame:

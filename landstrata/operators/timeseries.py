@@ -97,10 +97,11 @@ def index_annual_metrics(df: DataFrame, key: list[str], indices: list[str], doy:
             F.max_by(at, F.when(v.isNotNull(), F.struct(v, -F.col(doy)))).alias(f"{i}_max_doy"),
             F.min(i).alias(f"{i}_min"),
             F.min_by(at, F.when(v.isNotNull(), F.struct(v, F.col(doy)))).alias(f"{i}_min_doy"),
-            F.percentile(i, F.lit(0.05)).alias(f"{i}_p05"),
-            F.percentile(i, F.lit(0.95)).alias(f"{i}_p95"),
+            F.percentile(i, F.array(F.lit(0.05), F.lit(0.95))).alias(f"_{i}_p"),  # one buffer for both
         ]
-    return df.groupBy(*key).agg(*aggs)
+    out = df.groupBy(*key).agg(*aggs)
+    names = [n for i in indices for n in (f"{i}_max", f"{i}_max_doy", f"{i}_min", f"{i}_min_doy", F.col(f"_{i}_p")[0].alias(f"{i}_p05"), F.col(f"_{i}_p")[1].alias(f"{i}_p95"))]
+    return out.select(*key, *names)
 
 
 def seasonal_metrics(df: DataFrame, key: list[str], season: str = "season") -> DataFrame:

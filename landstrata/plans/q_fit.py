@@ -180,7 +180,7 @@ def _(spark, d):
 @query("c16_landscape_taxonomy")
 def _(spark, d):
     e = _phase(spark, d).withColumns({"tv": F.aggregate("p", F.lit(0.0), lambda a, x: a + x * x) / 8, "pm": F.col("p")[0], "ysfc": (F.col("prow") * 7 + F.col("pcol")) % 31})
-    rows, _, _ = C.landscape_taxonomy(e, "id", "p", "p", 8, "tv", "pm", [2], (2,), 0.25, 50, max_iter=5)
+    rows, _, _ = C.landscape_taxonomy(e, "id", "p", "p", 8, "tv", "pm", [2], (2,), 0.25, 50)
     return rounded(C.sub_cluster_summary(rows, "ysfc"), 4)
 
 
@@ -206,7 +206,7 @@ def _(spark, d):
 
 @query("c19_subdivide_by_phase")
 def _(spark, d):
-    return C.subdivide_by_phase(_phase(spark, d), "id", "evt", "p", 8, 0.3, 2, max_iter=4).select("id", "evt", "phase_sub")
+    return C.subdivide_by_phase(_phase(spark, d), "id", "evt", "p", 8, 0.3, 2).select("id", "evt", "phase_sub")
 
 
 @query("c19_phase_variance", ctes("emb") + """, s as (select i, avg(z[i]::double) m, stddev_samp(z[i]::double) sd from emb, (select unnest(range(57, 65)) i) where split = 'train' group by 1),

@@ -407,11 +407,11 @@ def _(spark, d):
 r as (select *, row_number() over (order by sd, channel) - 1 i, count(*) over () n from l where sd >= 0.1)
 select channel, round(sd, 5) sd from r where i in (select floor(q * (n - 1) / 2) from r, (select unnest([0, 1, 2]) q))""")
 def _(spark, d):
-    st = T.channel_stats(fx(spark, d, "px"), ["quantity", "price", "discount", "code", "line_no"], probs=[0.5])
+    st = T.channel_stats(fx(spark, d, "px"), ["quantity", "price", "discount", "code", "line_no"], probs=[])
     return rounded(N.spread_channels(st, 3), 5)
 
 
-@query("a18_derived_feature_stats", ctes("annual") + """, p as (select *, cast(floor(prow / 8) as bigint) patch from annual), ch as (select distinct patch from p order by patch limit 3),
+@query("a18_derived_feature_stats", ctes("annual") + """, p as (select *, cast(floor(prow / 8) as bigint) patch from annual), ch as (select patch from (select distinct patch from p) order by ((patch * 2654435761 + 18 * 40503) % 2147483647 * 48271) % 2147483647, patch limit 3),
 i as (select * from p where change <> 16 and patch in (select patch from ch)), c as (select *, row_number() over (partition by patch order by pixel, yr) rn from i),
 l as (select 'temporal_position' channel, (yr - 1995) / 6.0 as value from c where rn <= 10000 union all select 'yr', yr from c where rn <= 10000), m as (select channel, avg(value) mu from l group by 1)
 select channel, count(*) n, round(avg(value), 5) mean, round(var_samp(value), 5) var, round(avg(abs(value - mu)), 5) mad, round(quantile_cont(value, 0.5), 5) q50 from l join m using (channel) group by 1""")
@@ -419,7 +419,7 @@ def _(spark, d):
     from ..operators.masks import temporal_position
 
     a = fx(spark, d, "annual").withColumns({"patch": F.floor(F.col("prow") / 8), "aoi": (F.col("change") != 16).cast("int")})
-    s = N.derived_feature_sample(a, 3, 10000, ["patch"], ["pixel", "yr"], "aoi", order=F.col("patch"), pixel_order=F.col("pixel"))
+    s = N.derived_feature_sample(a, 3, 10000, ["patch"], ["pixel", "yr"], "aoi", order=N.mixed("patch", 18), pixel_order=F.col("pixel"))
     out = T.online_stats(s.withColumn("temporal_position", temporal_position("yr", 1995, 7)), ["temporal_position", "yr"])
     return rounded(out.select("channel", "n", "mean", "var", "mad", "q50"), 5)
 

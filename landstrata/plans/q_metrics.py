@@ -16,12 +16,13 @@ from .registry import R, query, rounded
 
 # --- confusion tables ------------------------------------------------------------------------
 
-_CF = ctes("confusion") + ", cb as (select a, b, sum(n) n from confusion where tbl in ('F', 'O') group by 1, 2) "
+_CF = ctes("confusion") + ", cb as (select a, b, sum(n) n from confusion group by 1, 2) "
 
 
 def combined(spark, d):
     c = cut_lineage(fx(spark, d, "confusion"))  # codes x codes x tables
-    return cut_lineage(C.confusion_combine(c.filter("tbl = 'F'"), c.filter("tbl = 'O'")))
+    first = C.confusion_combine(c.filter("tbl = 'F'"), c.filter("tbl = 'O'"))
+    return cut_lineage(C.confusion_combine(first, c.filter("tbl = 'P'")))
 
 
 @query("a52_confusion_combine", _CF + "select a, b, n from cb")
@@ -121,13 +122,12 @@ def _(spark, d):
 
 # --- contrastive and neighbourhood metrics ---------------------------------------------------
 
-_PN = _ALL + f", k as {_knn(12)}, pn as (select i, j, case when rk <= 4 then exp(-d) else 1.0 end w, rk <= 4 as positive from k where rk <= 4 or rk > 6) "
+_PN = _ALL + f", k as {_knn(12)}, pn as (select i, j, case when rk <= 4 then exp(-d) else 1.0 end w, rk <= 4 as positive from k) "
 
 
 def _contrast_pairs(spark, d):
     p = P.knn_pairs(emb(spark, d), 12)
-    keep = (F.col("rank") <= 4) | (F.col("rank") > 6)
-    return p.filter(keep).select("i", "j", F.when(F.col("rank") <= 4, F.exp(-F.col("d"))).otherwise(1.0).alias("w"), (F.col("rank") <= 4).alias("positive"))
+    return p.select("i", "j", F.when(F.col("rank") <= 4, F.exp(-F.col("d"))).otherwise(1.0).alias("w"), (F.col("rank") <= 4).alias("positive"))
 
 
 _SIM = {
@@ -242,12 +242,10 @@ _L9 = {"l1": "abs(e)", "l2": "e * e", "huber": "case when abs(e) < 0.2 then 0.5
 def _(spark, d):
     a = fx(spark, d, "annual")
     m = (F.col("change") != 16) & F.col("nir").isNotNull()
-    out = None
-    for k in _L9:
-        loss = M.reconstruction_error("red", "nir", k, 0.2)
-        r = a.agg(F.lit(k).alias("kind"), F.avg(F.when(m, loss)).alias("mean_loss"), F.sum(F.when(m, loss)).alias("sum_loss"))
-        out = r if out is None else out.unionByName(r)
-    return rounded(out, {"mean_loss": 7, "sum_loss": 4})
+    loss = {k: F.when(m, M.reconstruction_error("red", "nir", k, 0.2)) for k in _L9}
+    row = a.agg(*[f(x).alias(f"{k}_{n}") for k, x in loss.items() for n, f in (("mean", F.avg), ("sum", F.sum))])
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_mean").alias("mean_loss"), F.col(f"{k}_sum").alias("sum_loss")) for k in loss]))
+    return rounded(row.select(parts.alias("p")).select("p.*"), {"mean_loss": 7, "sum_loss": 4})
 
 
 @query("m10_count_nll", """with v as (select greatest(l_tax * 100, 1e-8) r, l_quantity y, l_discount > 0.01 m from lineitem)

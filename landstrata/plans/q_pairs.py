@@ -278,9 +278,14 @@ pb as (select a.id i, b.id j, round (list_distance(a.z[57:64]::double[], b.z[57:
 ga as (select k.i, k.rk, abs(e.y - q.y) gap from ka k join e on e.id = k.j join e q on q.id = k.i), gb as (select k.i, k.rk, abs(e.y - q.y) gap from kb k join e on e.id = k.j join e q on q.id = k.i) """
 
 
+def _gap(spark, d):
+    q, r = tables(spark, d)
+    return K.rank_gaps(NB.knn_join(q, r, 20), r, q, "id", "y")
+
+
 def _gaps(spark, d):
+    a = _gap(spark, d)
     q, r = tables(spark, d)
-    a = K.rank_gaps(NB.knn_join(q, r, 20), r, q, "id", "y")
     ph = F.slice("z", 57, 8)
     b = K.rank_gaps(NB.knn_join(q.withColumn("z", ph), r.withColumn("z", ph), 20), r, q, "id", "y")
     return a, b
@@ -294,7 +299,7 @@ def _(spark, d):
 
 @query("w12_cumulative_rank_profile", _W2 + ", m as (select rk, avg(gap) over (partition by i order by rk rows unbounded preceding) m from ga) select cast(rk as int) as rank, round(avg(m), 6) cumulative from m group by 1")
 def _(spark, d):
-    return rounded(K.cumulative_rank_profile(_gaps(spark, d)[0]), 6)
+    return rounded(K.cumulative_rank_profile(_gap(spark, d)), 6)
 
 
 @query("w13_banded_paired_gap", _W2 + """, p as (select i, cast(floor((rk - 1) / 5) + 1 as bigint) band, avg(gb.gap - ga.gap) g, avg(rk) mid from ga join gb using (i, rk) group by 1, 2)

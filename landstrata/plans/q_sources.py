@@ -207,10 +207,12 @@ def _(spark, d):
     return rounded(out.withColumnRenamed("year", "year_"), 6)
 
 
-@query("s22_label_crosswalk", "select s_suppkey, s_nationkey, case when n_nationkey > 0 and n_nationkey < 18 then n_name else 'EVT_' || s_nationkey end as label from supplier left join nation on s_nationkey = n_nationkey")
+@query("s22_label_crosswalk", "select s_suppkey, code as s_nationkey, case when n_nationkey > 0 then n_name else 'EVT_' || code end as label from (select s_suppkey, s_nationkey + case when s_suppkey % 4 = 0 then 100 else 0 end as code from supplier) left join nation on code = n_nationkey")
 def _(spark, d):
-    lookup = read(spark, d, "nation").filter("n_nationkey < 18").select(F.col("n_nationkey").alias("VALUE"), F.col("n_name").alias("EVT_NAME"))
-    return SC.label_crosswalk(read(spark, d, "supplier").select("s_suppkey", "s_nationkey"), lookup, "s_nationkey")
+    lookup = read(spark, d, "nation").select(F.col("n_nationkey").alias("VALUE"), F.col("n_name").alias("EVT_NAME"))
+    # every fourth supplier has a code that the lookup doesn't know
+    code = F.col("s_nationkey") + F.when(F.col("s_suppkey") % 4 == 0, 100).otherwise(0)
+    return SC.label_crosswalk(read(spark, d, "supplier").select("s_suppkey", code.alias("s_nationkey")), lookup, "s_nationkey")
 
 
 @query("s24_read_aoi_strata", _SP + "select cell, cast(ysfc - 3 > 0 as int) aoi, evt as strata from static_px")

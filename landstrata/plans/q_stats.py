@@ -8,6 +8,7 @@ from ..operators import evaluate as E
 from ..operators import features as X
 from ..operators import stats as T
 from ..operators.quantiles import exact_quantiles
+from ..session import cut_lineage
 from .fixtures import ctes, fx, read
 from .registry import R, query, rounded, rounds
 
@@ -29,7 +30,7 @@ def _(spark, d):
 select 'px' as feature, channel, 'n' as stat, round(n, 5) as value from s union all select 'px', channel, 'mean', round(mean, 5) from s
 union all select 'px', channel, 'max', round(mx, 5) from s""")
 def _(spark, d):
-    wide = T.channel_stats(fx(spark, d, "px"), CH, F.col("valid"), probs=[0.5]).select("channel", "n", "mean", "max")
+    wide = T.channel_stats(fx(spark, d, "px"), CH, F.col("valid"), probs=[]).select("channel", "n", "mean", "max")
     return rounded(T.tidy_stats(wide, "px"), 5)
 
 
@@ -88,9 +89,8 @@ def _(spark, d):
 select g.ci, g.cj, round(g.value, 3) as value, round(c.value, 6) as corr from g join c using (ci, cj)""")
 def _(spark, d):
     px = fx(spark, d, "px")
-    cov = T.global_covariance(px, CH).drop("n")
-    cor = T.global_correlation(px, CH).select("ci", "cj", F.col("value").alias("corr"))
-    return rounded(cov.join(cor, ["ci", "cj"]), {"value": 3, "corr": 6})
+    cov = cut_lineage(T.global_covariance(px, CH).drop("n"))  # a row per channel pair
+    return rounded(T.correlation_of(cov), {"value": 3, "corr": 6})
 
 
 @query("a16_weighted_patch_covariance", ctes("px") + _PER + "select ci, cj, round(sum(n * value) / sum(n), 4) as value from per where n >= 2 group by 1, 2")
@@ -374,7 +374,7 @@ def _(spark, d):
 
     px = fx(spark, d, "px")
     tr = px.select(F.log1p("price").alias("price"), F.sqrt("quantity").alias("quantity"))
-    st = {r["channel"]: r.asDict() for r in T.channel_stats(tr, ["price", "quantity"], probs=[0.5]).collect()}  # two rows
+    st = {r["channel"]: r.asDict() for r in T.channel_stats(tr, ["price", "quantity"], probs=[]).collect()}  # two rows
     feat = X.Feature("f", (X.Channel("price", Preset("zscore", -6.0, 6.0), "log1p"), X.Channel("quantity", Preset("minmax"), "sqrt")), ("valid", "tax"))
     out = X.build_feature(px, feat, st)
     return out.select("cell", "line_no", F.col("f_valid").alias("ok"), R(F.col("f")[0], 6).alias("f0"), R(F.col("f")[1], 6).alias("f1"))
@@ -382,7 +382,7 @@ def _(spark, d):
 
 def _whitening(spark, d):
     px = fx(spark, d, "px")
-    means = [r["mean"] for r in sorted(T.channel_stats(px, CH, probs=[0.5]).collect(), key=lambda r: CH.index(r["channel"]))]
+    means = [r["mean"] for r in sorted(T.channel_stats(px, CH, probs=[]).collect(), key=lambda r: CH.index(r["channel"]))]
     cov = T.matrix(T.patch_mean_covariance(px, PATCH, CH), CH)
     return px, means, X.whitening_factor(cov)
 
@@ -393,7 +393,7 @@ l as (select sqrt(c / det) l11, -b / det / sqrt(c / det) l21, sqrt(a / det - pow
 select cell, line_no, round(greatest(-5, least(5, l11 * (quantity - mq) + l21 * (price - mp))), 5) w0, round(greatest(-5, least(5, l22 * (price - mp))), 5) w1 from px, l, m""")
 def _(spark, d):
     px, ch = fx(spark, d, "px"), ["quantity", "price"]
-    means = {r["channel"]: r["mean"] for r in T.channel_stats(px, ch, probs=[0.5]).collect()}
+    means = {r["channel"]: r["mean"] for r in T.channel_stats(px, ch, probs=[]).collect()}
     w = X.whitening_factor(T.matrix(T.patch_mean_covariance(px, PATCH, ch), ch))
     out = px.select("cell", "line_no", X.whiten([F.col(c) for c in ch], [means[c] for c in ch], w).alias("w"))
     return rounded(out.select("cell", "line_no", F.col("w")[0].alias("w0"), F.col("w")[1].alias("w1")), 5)

@@ -221,9 +221,10 @@ def _(spark, d):
 
 
 @query("j33_macro_flag", """
-select s_suppkey, s_nationkey, coalesce(n_regionkey = 2, false) as is_tree
-from supplier left join (select * from nation where n_nationkey < 20) on s_nationkey = n_nationkey""")
+select s_suppkey, code as s_nationkey, coalesce(n_regionkey = 2, false) as is_tree
+from (select s_suppkey, s_nationkey + case when s_suppkey % 4 = 0 then 100 else 0 end as code from supplier) left join nation on code = n_nationkey""")
 def _(spark, d):
-    lookup = read(spark, d, "nation").filter("n_nationkey < 20").select(
+    lookup = read(spark, d, "nation").select(
         "n_nationkey", F.when(F.col("n_regionkey") == 2, "Tree").otherwise("Shrub").alias("life_form"))
-    return S.macro_flag(read(spark, d, "supplier").select("s_suppkey", "s_nationkey"), lookup, "s_nationkey", "n_nationkey", "life_form")
+    code = F.col("s_nationkey") + F.when(F.col("s_suppkey") % 4 == 0, 100).otherwise(0)  # codes that the lookup doesn't know
+    return S.macro_flag(read(spark, d, "supplier").select("s_suppkey", code.alias("s_nationkey")), lookup, "s_nationkey", "n_nationkey", "life_form")

@@ -157,6 +157,30 @@ def test_silhouette_on_squared_distances(spark):
     assert abs(C.silhouette(frame(spark, np.arange(80), x, lab=lab), "id", "z", "lab") - np.mean(s)) < 1e-9
 
 
+def test_cross_patch_pairs_follow_the_anchors(spark):
+    from landstrata.operators import places as PL
+
+    for patches, per in ((3, 4), (200, 2)):
+        a = spark.range(600).select("id", (F.col("id") % patches).alias("patch"))
+        got = PL.cross_patch_negatives(a, "patch", "id", per).collect()
+        assert 0 < len(got) <= per * 600 and all(r["patch_i"] != r["patch_j"] and r["i"] % patches != r["j"] % patches for r in got)
+        assert len(got) > 0.9 * per * 600
+
+
+def test_one_scan_where_one_is_enough(spark, tmp_path):
+    from landstrata.operators import masks, survey
+    from landstrata.operators import stats as T
+
+    path = str(tmp_path / "t")
+    spark.range(200).select((F.col("id") % 20).alias("k"), (F.col("id") % 9).cast("int").alias("yr"), (F.col("id") % 3).cast("string").alias("g"),
+                            F.col("id").cast("double").alias("y")).dropDuplicates(["k", "yr"]).write.parquet(path)
+    df = spark.read.parquet(path)
+    for out in (masks.reindex_years(df.select("k", "yr", "y"), ["k"], "yr", 2, 5), survey.per_unit_table(df, "k", {"a": "g", "b": "yr"}, "y"), T.channel_stats(df, ["y"], probs=[])):
+        assert out._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    full = masks.reindex_years(df.select("k", "yr", "y"), ["k"], "yr", 2, 5)
+    assert full.count() == 4 * df.select("k").distinct().count()
+
+
 def test_mutual_is_symmetric(spark):
     ids, x = skewed(200)
     got = {(r["i"], r["j"]) for r in P.mutual_knn_pairs(frame(spark, ids, x), 5).collect()}
