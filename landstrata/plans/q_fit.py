@@ -85,6 +85,19 @@ def _(spark, d):
     return rounded(L.oof_logistic(_labelled(spark, d), "z", "y", "fold", [1, 2, 3, 4, 5]).select("id", "fold", "y", "prob"), 3)
 
 
+@query("c6_oof_logistic_by_group", f"""with f as (select o_orderkey, o_custkey % 3 as g,
+ case when o_orderstatus = 'F' or o_custkey % 3 = 1 and o_orderkey % 5 = 0 then 1 else 0 end y, cast(ntile(5) over (order by {_MIXK}, o_orderkey) as int) fold from orders),
+c as (select fold, g, sum(y) s, count(*) n from f group by 1, 2), r as (select v.fold, c.g, sum(s) / sum(n) p from c join (select unnest([1, 2, 3, 4, 5]) fold) v on c.fold <> v.fold group by 1, 2)
+select o_orderkey, f.fold, round(p, 4) prob from f join r on r.fold = f.fold and r.g = f.g""")
+def _(spark, d):
+    # one indicator per group: the fit is the logit of the group's rate in the other folds
+    o = read(spark, d, "orders")
+    g, hit = F.col("o_custkey") % 3, (F.col("o_orderstatus") == "F") | ((F.col("o_custkey") % 3 == 1) & (F.col("o_orderkey") % 5 == 0))
+    o = o.select("o_orderkey", F.array((g == 1).cast("double"), (g == 2).cast("double")).alias("x"), hit.cast("int").alias("y"))
+    o = N.fold_assign(o, 5, ["o_orderkey"], order=N.mixed("o_orderkey", 1))
+    return rounded(L.oof_logistic(o, "x", "y", "fold", [1, 2, 3, 4, 5]).select("o_orderkey", "fold", "prob"), 4)
+
+
 @query("c7_multinomial_logit")
 def _(spark, d):
     e = fx(spark, d, "emb").select("evt", "split", F.col("z").cast("array<double>").alias("z"))

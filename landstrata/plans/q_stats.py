@@ -399,7 +399,21 @@ def _(spark, d):
     return rounded(out.select("cell", "line_no", F.col("w")[0].alias("w0"), F.col("w")[1].alias("w1")), 5)
 
 
-@query("f23_whiten_all_channels")
+# the factor's inverse is the upper triangle M with M M' = covariance, found from the last channel up
+_WHITE4 = ctes("px") + ", per as (select patch_row, patch_col, count(*) n, " + ", ".join(
+    f"covar_samp({CH[i]}, {CH[j]}) s{i}{j}" for i in range(4) for j in range(i, 4)) + " from px group by 1, 2), s as (select " + ", ".join(
+    f"avg(s{i}{j}){' + 1e-6' if i == j else ''} s{i}{j}" for i in range(4) for j in range(i, 4)) + " from per where n >= 2), m as (select " + ", ".join(
+    f"avg({c}) a{i}" for i, c in enumerate(CH)) + """ from px),
+c3 as (select *, sqrt(s33) m33 from s), d3 as (select *, s23 / m33 m23, s13 / m33 m13, s03 / m33 m03 from c3),
+c2 as (select *, sqrt(s22 - m23 * m23) m22 from d3), d2 as (select *, (s12 - m13 * m23) / m22 m12, (s02 - m03 * m23) / m22 m02 from c2),
+c1 as (select *, sqrt(s11 - m12 * m12 - m13 * m13) m11 from d2), d1 as (select *, (s01 - m02 * m12 - m03 * m13) / m11 m01 from c1),
+f as (select *, sqrt(s00 - m01 * m01 - m02 * m02 - m03 * m03) m00 from d1),
+y3 as (select cell, line_no, f.*, """ + ", ".join(f"{c} - a{i} x{i}" for i, c in enumerate(CH)) + """, x3 / m33 y3 from px, f, m),
+y2 as (select *, (x2 - m23 * y3) / m22 y2 from y3), y1 as (select *, (x1 - m12 * y2 - m13 * y3) / m11 y1 from y2), y0 as (select *, (x0 - m01 * y1 - m02 * y2 - m03 * y3) / m00 y0 from y1)
+select cell, line_no, """ + ", ".join(f"round(greatest(-5, least(5, y{i})), 5) w{i}" for i in range(4)) + " from y0"
+
+
+@query("f23_whiten_all_channels", _WHITE4)
 def _(spark, d):
     px, means, w = _whitening(spark, d)
     return rounded(px.select("cell", "line_no", X.whiten([F.col(c) for c in CH], means, w).alias("w")).select("cell", "line_no", *[F.col("w")[i].alias(f"w{i}") for i in range(4)]), 5)
