@@ -3,9 +3,10 @@
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer.  That is right
 for many small groups (a pixel, a plot) and wrong for a channel or class with billions of rows.
 ``exact_quantiles`` takes two scans instead and shuffles next to nothing: a sketch brackets every wanted
-rank, then one aggregation counts rows between the brackets and keeps values only inside them.  The counts
-prove whether the bracket holds the rank; when one does not, or when there are too many groups, the values
-are ranked by a distributed sort (``rank_quantiles``).  No task ever holds a whole group.
+rank, then one aggregation counts rows between the brackets and keeps values only inside them.  Each bracket
+is cut into CELLS equal widths; counts say which cell holds the rank, and only that cell's values are sorted.
+The counts prove whether the bracket holds the rank; when one does not, or when there are too many groups, the
+values are ranked by a distributed sort (``rank_quantiles``).  No task ever holds a whole group or bracket.
 """
 
 from __future__ import annotations
@@ -71,7 +72,8 @@ def rank_quantiles(df: DataFrame, group: list[str], value: str, probs: list[floa
     return out.select(*group, *cols)
 
 
-ACCURACY = 100_000  # the sketch's rank error is 1/ACCURACY of the group
+ACCURACY = 10_000  # the sketch's rank error is 1/ACCURACY of the group
+CELLS = 4096  # of a bracket
 MARGIN = 4.0 / ACCURACY
 MAX_GROUPS = 20_000
 
@@ -136,10 +138,20 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[flo
     inside = hit[0]
     for h in hit[1:]:
         inside = inside | h
-    t = j.select(*group, k.alias("_k"), inside.alias("_in"), F.when(inside, F.col("_v")).alias("_v")).groupBy(*group, "_k", "_in", "_v").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*group).orderBy("_k", "_in", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    t = _join_null_safe(t.withColumn("_cum", F.sum("_n").over(w)), small.select(*group, "_ranks"), group)
-    hits = t.filter(F.col("_in") & F.exists("_ranks", lambda x: (x < F.col("_cum")) & (x >= F.col("_cum") - F.col("_n"))))
+    t = j.select(*group, "_v", "_los", "_his", k.alias("_k"), inside.alias("_in"))
+    low, high = F.get("_los", F.col("_k")), F.get("_his", F.col("_k"))
+    at = F.coalesce(F.floor(F.try_divide(F.col("_v") - low, high - low) * CELLS), F.lit(0))
+    t = t.select(*group, "_k", "_in", F.when(F.col("_in"), F.least(at, F.lit(CELLS - 1))).otherwise(-1).alias("_b"), F.when(F.col("_in"), F.col("_v")).alias("_v"))
+    t = cut_lineage(t.groupBy(*group, "_k", "_in", "_b", "_v").agg(F.count("*").alias("_n")))  # a small share of the rows
+    # rows before each cell: at most CELLS + 1 cells per group and bracket
+    before = Window.partitionBy(*group).orderBy("_k", "_in", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    cells = t.groupBy(*group, "_k", "_in", "_b").agg(F.sum("_n").alias("_s")).withColumn("_off", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    cells = _join_null_safe(cells, small.select(*group, "_ranks"), group)
+    cells = cells.filter(F.col("_in") & F.exists("_ranks", lambda x: (x >= F.col("_off")) & (x < F.col("_off") + F.col("_s"))))
+    inside_cell = Window.partitionBy(*group, "_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    t = _join_null_safe(t.filter("_in"), cells.select(*group, "_k", "_b", "_off", "_ranks"), [*group, "_k", "_b"])
+    t = t.withColumn("_cum", F.col("_off") + F.sum("_n").over(inside_cell))
+    hits = t.filter(F.exists("_ranks", lambda x: (x < F.col("_cum")) & (x >= F.col("_cum") - F.col("_n"))))
     found: dict[tuple, list] = {}
     for r in hits.select(*group, "_v", "_n", "_cum").collect():  # at most two rows per group and probability
         found.setdefault(tuple(r[g] for g in group), []).append((r["_cum"] - r["_n"], r["_cum"], r["_v"]))
