@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from landstrata.session import scratch_path
 
-CACHE = 1_000_000  # remembered strings of a Python worker
+CACHE = 250_000  # remembered strings of a Python worker, some 50 MB
 _tokenizers: dict = {}
 
 #: Letters whose class no Unicode version changes; texts with others are split by the tokenizer itself.

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 SHIFT = 40  # a score is (cost << SHIFT) + tokens
-CACHE = 500_000  # remembered words of a Python worker
+CACHE = 250_000  # remembered words of a Python worker
 _models: dict = {}
 
 
