@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes handled at once; one longer text is handled alone.
-SLICE = 4 << 20
+SLICE = 1 << 20
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict = {}

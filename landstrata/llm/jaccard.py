@@ -10,7 +10,7 @@ An empty part says little, so it is left out; to keep the guarantee there are so
 with more empty parts than those joins on its empty parts too.
 
 Sets that are equal are one class from the start. In the bucket of a part value each class is paired with the first one
-in one of ORDERS orders, which the part chooses, so a class meets different pivots in its buckets. Pairs whose short sketches are near enough are verified on the full sets, and links give components. Buckets that
+in one of ORDERS orders, which the part chooses, so a class meets different pivots in its buckets. Pairs whose short parity sketches, with sizes of about the sets', are near enough are verified on the full sets, and links give components. Buckets that
 hold several components still are compared inside tasks, in blocks of bounded size, and only pairs of different
 components with near sketches leave them and are verified. So no link between components is lost, and a large group of
 near copies costs one pair a document instead of all pairs.
@@ -33,9 +33,11 @@ from landstrata.session import scratch_path
 
 from . import _text
 from ._components import components
+from ._joins import shipped_if_small
 
 U = np.uint64
 ORDERS = 8
+PART_BITS = 1 << 20  # so many that parts with a single element rarely agree by chance
 BLOCK = 2048  # classes of a bucket that meet in one task, at most twice as many
 
 
@@ -101,7 +103,7 @@ def _part_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int):
     inside = (n >= _least_size(percent))[member]
     member, hashes = member[inside], hashes[inside]
     which = _text.mix(hashes + U(1))
-    toggle = _text.mix((_text.mix(hashes + U(2)) & U(4095)) + U(0x51ED270B))  # one of 4096 bits of a part
+    toggle = _text.mix((_text.mix(hashes + U(2)) & U(PART_BITS - 1)) + U(0x51ED270B))  # a bit of a part
     for step in (0, 1):
         join = band + step
         parts = np.array([table[j][0] for j in join.tolist()], np.int64)
@@ -115,23 +117,26 @@ def _part_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int):
         empty = np.bincount(owner[cells == 0], minlength=len(n))
         keep = (cells != 0) | (empty > spare)[owner]
         name = _text.mix((join[owner] * 1_000_003 + number).astype(U) + U(0xC0FFEE))
-        keys.append(_text.mix(cells[keep] ^ name[keep]).view(np.int64))
+        keys.append((_text.mix(cells[keep] ^ name[keep]) >> U(16)).view(np.int64))  # 48 bits tell parts apart, and pack
         owners.append(owner[keep])
     return np.concatenate(keys), np.concatenate(owners)
 
 
 def signatures(docs: DataFrame, k: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text_key, n, fp, sketch``: a hash of the text; size, fingerprint and short sketch of its set."""
+    """``doc_id, text_key, n, fp, sketch, short``: a hash of the text; size, fingerprint and sketches of its set, of at
+    least four bits per element and the same folded to at least one."""
     def run(batches):
         for batch in batches:
             for at, hashes, bounds in _text.word_sets(batch.column(1), k):
                 m = len(bounds) - 1
+                sketches = _short_sketches(hashes, bounds)
+                short = [_fold(s, max(1, len(s) // 32)).tobytes() for s in sketches]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, m), batch.column(2).slice(at, m), pa.array(_sizes(bounds)), pa.array(_fingerprints(hashes, bounds)),
-                     pa.array(_short_sketches(hashes, bounds), pa.binary())], ["doc_id", "text_key", "n", "fp", "sketch"])
+                     pa.array(sketches, pa.binary()), pa.array(short, pa.binary())], ["doc_id", "text_key", "n", "fp", "sketch", "short"])
 
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, fp bigint, sketch binary")
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, fp bigint, sketch binary, short binary")
 
 
 def _place(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
@@ -204,8 +209,8 @@ def _ratio(a, b, percent: int):
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def _near_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and short sketches allow a link."""
+def _near_pairs(pairs: DataFrame, classes: DataFrame, percent: int, sketch: str) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches of that column allow a link."""
     def run(batches):
         for batch in batches:
             a, b, na, nb = (np.asarray(batch.column(i)) for i in range(4))
@@ -219,8 +224,8 @@ def _near_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    left = classes.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = classes.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    left = classes.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col(sketch).alias("sa"))
+    right = classes.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col(sketch).alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -231,7 +236,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     ids = classes.join(asked, "fp").select(F.col("doc_id").alias("__id"))
     path = scratch_path(spark, "ids")
     ids.distinct().write.parquet(path)
-    ids = spark.read.parquet(path)
+    ids = shipped_if_small(spark.read.parquet(path))
 
     def sets(batches):
         for batch in batches:
@@ -245,9 +250,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
 
     rows = docs.select(F.col(doc), F.col(text)).join(ids, F.col(doc).cast("bigint").eqNullSafe(F.col("__id")), "left_semi").select(F.col(text).alias("text"))
     path = scratch_path(spark, "sets")
-    rows.mapInArrow(sets, "fp bigint, elements binary").groupBy("fp").agg(F.first("elements").alias("elements")).write.parquet(
-        path, compression="none")
+    rows.mapInArrow(sets, "fp bigint, elements binary").write.parquet(path, compression="none")
     found = spark.read.parquet(path)
+    if found.count() > found.select("fp").distinct().count():  # rows that share an id or a text
+        found = found.groupBy("fp").agg(F.first("elements").alias("elements"))
 
     def verify(batches):
         for batch in batches:
@@ -336,10 +342,11 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, doc: str = "d
     rows = stored(signatures(docs, k, doc, text), "signatures")
     classes = stored(
         rows.filter(F.col("n") >= _least_size(percent)).groupBy("fp")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short")), "classes")
     buckets = stored(_shared_buckets(_keys(docs, k, percent, text)), "buckets")
     pairs = buckets.filter("fp <> pivot").select(F.least("pivot", "fp").alias("a"), F.greatest("pivot", "fp").alias("b")).distinct()
-    tested = stored(_near_pairs(pairs, classes, percent), "near")
+    near = stored(_near_pairs(pairs, classes, percent, "short"), "near")
+    tested = stored(_near_pairs(near, classes, percent, "sketch"), "near")
     links = stored(_verified(tested, docs, classes, k, percent, doc, text), "links")
 
     # buckets that hold several components besides their pivot's pairs

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from helpers import docs, groups, shingle_set
 
-from landstrata.llm import _text, jaccard
+from landstrata.llm import _joins, _text, jaccard
 
 
 def run(spark, rows, k, percent):
@@ -41,9 +41,10 @@ def check(rows, got, k, percent):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == want
 
 
-@pytest.mark.parametrize("k, percent, block", [(4, 85, 2048), (5, 80, 4), (3, 60, 8)])
-def test_equals_comparing_all(spark, monkeypatch, k, percent, block):
+@pytest.mark.parametrize("k, percent, block, shipped", [(4, 85, 2048, 500_000), (5, 80, 4, 3), (3, 60, 8, 500_000)])
+def test_equals_comparing_all(spark, monkeypatch, k, percent, block, shipped):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(_joins, "SHIPPED", shipped)
     rows = list(enumerate(families(k, 90)))
     check(rows, run(spark, rows, k, percent), k, percent)
 
