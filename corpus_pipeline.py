@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landstrata.llm import decontam, jaccard, packing, secrets, toxicity
+from landstrata.llm._joins import shipped_if_small
 from landstrata.session import scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,7 +27,7 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 def _rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, hash of the text) is (left_semi) or is not (left_anti) among ``keys``."""
-    keys = keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    keys = shipped_if_small(keys).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
     return docs.select(*COLUMNS).join(keys, same, how)
 
@@ -50,7 +51,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if again.isEmpty():
         return _rows(docs, gone, "left_anti")
     once = _rows(docs, again, "left_semi").dropDuplicates(["doc_id", "text"])
-    return _rows(docs, gone.unionByName(again), "left_anti").unionByName(once)
+    dropped = _stored(gone.unionByName(again), "dropped")
+    return _rows(docs, dropped, "left_anti").unionByName(once)
 
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +60,7 @@ def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))
     found = decontam.contaminated(docs.withColumn("row_key", key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc="row_key")
     hit = _stored(found.select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
-    return docs.select(*COLUMNS).join(hit, key == F.col("_key"), "left_anti")
+    return docs.select(*COLUMNS).join(shipped_if_small(hit), key == F.col("_key"), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
