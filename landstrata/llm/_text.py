@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,6 +47,14 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], U))[0])
 
 
+def give_back() -> None:
+    """Return memory that this Python worker has freed to the system; workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def slices(texts: pa.Array):
     """(first row, bytes, offsets) of successive parts of a text column; a null text is empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -144,3 +154,4 @@ def word_sets(texts: pa.Array, k: int):
         hashes = hash_runs(LOWER[data], starts, ends)
         found, of = shingles(hashes, row, len(offsets) - 1, k)
         yield (at, *distinct(found, of, len(offsets) - 1))
+    give_back()

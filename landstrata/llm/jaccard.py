@@ -77,9 +77,9 @@ def _fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _short_sketches(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Parity sketches of at least four bits per element, a power of two long."""
+    """Parity sketches of at least two bits per element, a power of two long."""
     n = _sizes(bounds)
-    words = 1 << np.ceil(np.log2(np.maximum(n, 16) / 16)).astype(np.int64)
+    words = 1 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(words)])
     cells = np.zeros(first[-1], U)
     row = np.repeat(np.arange(len(n)), n)
@@ -124,13 +124,13 @@ def _part_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int):
 
 def signatures(docs: DataFrame, k: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text_key, n, fp, sketch, short``: a hash of the text; size, fingerprint and sketches of its set, of at
-    least four bits per element and the same folded to at least one."""
+    least two bits per element and the same folded to at least one."""
     def run(batches):
         for batch in batches:
             for at, hashes, bounds in _text.word_sets(batch.column(1), k):
                 m = len(bounds) - 1
                 sketches = _short_sketches(hashes, bounds)
-                short = [_fold(s, max(1, len(s) // 32)).tobytes() for s in sketches]
+                short = [_fold(s, max(1, len(s) // 16)).tobytes() for s in sketches]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, m), batch.column(2).slice(at, m), pa.array(_sizes(bounds)), pa.array(_fingerprints(hashes, bounds)),
                      pa.array(sketches, pa.binary()), pa.array(short, pa.binary())], ["doc_id", "text_key", "n", "fp", "sketch", "short"])

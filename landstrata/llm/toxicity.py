@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from landstrata.session import scratch_path
 
+from ._text import give_back
+
 SAMPLE = 30_000  # labelled documents to learn from, at most
 TERMS = 3_000  # entries of the lexicon, at most
 STRONG, WEAK = 3.0, 1.4  # log odds
@@ -156,6 +158,7 @@ def features(docs: DataFrame, lexicon: dict[str, float], doc: str = "doc_id", te
                 values = [featurize(t.as_py() or "") for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "text_key", "x"])
+            give_back()
 
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
     return rows.mapInArrow(run, "doc_id bigint, text_key bigint, x array<double>")
