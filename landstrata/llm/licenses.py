@@ -1,10 +1,12 @@
 """License scan by conditional compression.
 
-Words around a cue ("licence", "CC BY", "redistribution" ...) form candidate blocks. A block is compressed plainly and
-with each license template as a raw zstandard dictionary; templates are ranked by the bytes that their dictionary saves.
-The best ranked ones are compared with the block word by word (insertions, deletions, replacements against the best
-matching stretch); those with few enough differences and the same numbers are confirmed, and of them the one wins that has
-most words in common less those that differ. Its words are taken out and the rest of the block is tried again, so a block may hold several licenses.
+Words around a cue ("licence", "CC BY", "redistribution" ...) form candidate blocks, of any length. A block is read in
+pieces of bounded size that overlap by more than a license can be long. A piece is compressed plainly and with each license
+template as a raw zstandard dictionary; templates are ranked by the bytes that their dictionary saves, which may be none.
+The ranking only settles ties: every template of which the piece has enough words is compared with it word by word
+(insertions, deletions, replacements against each matching stretch). Stretches with few enough differences and the same numbers
+are confirmed, and of them the one wins that has most words in common less those that differ. Its words are taken out and
+the rest of the piece is tried again, so a block may hold several licenses.
 
 Places count code points, end exclusive. Defined cases: null or empty texts hold no license; repeated rows are scanned
 each; a null id stays null; other columns are ignored; no rows give no rows.
@@ -13,6 +15,7 @@ each; a null id stays null; other columns are ignored; no rows give no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +53,7 @@ TEMPLATES = (
 CUE = re.compile(r"(?i)licen[sc]|copyright|\bcc\W{1,4}by\b|redistribut|permission\W+(?:is|to)\b")
 _WORD = re.compile(r"\d+(?:\.\d+)+|[^\W_]+")
 AROUND = 16  # words before a cue and behind the longest template
-RANKED = 4  # templates that are compared word by word
+PIECE = 4  # words of a piece, as a multiple of the longest stretch that a license can take
 
 
 def _words(text: str):
@@ -77,8 +80,8 @@ def blocks(text: str, longest: int) -> list[tuple[list[str], list[tuple[int, int
     return [(words[a:b], spans[a:b]) for a, b in out]
 
 
-def differences(template: list[str], block: list[str]) -> tuple[int, int, int]:
-    """Fewest word edits that turn a stretch of the block into the template, and that stretch (the shortest, then first)."""
+def edits_by_end(template: list[str], block: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each end of a stretch of the block: fewest word edits that turn a stretch with that end into the template, and its start."""
     n = len(block)
     words = np.array(block, object)
     cost, begin = np.zeros(n + 1, np.int64), np.arange(n + 1)
@@ -93,16 +96,29 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int, int]:
         best = np.minimum.accumulate(base)
         source = np.maximum.accumulate(np.where(base == best, np.arange(n + 1), 0))
         cost, begin = best + np.arange(n + 1), start[source]
+    return cost, begin
+
+
+def differences(template: list[str], block: list[str]) -> tuple[int, int, int]:
+    """Fewest word edits that turn a stretch of the block into the template, and that stretch (the shortest, then first)."""
+    cost, begin = edits_by_end(template, block)
     ends = np.flatnonzero(cost == cost.min())
     end = int(ends[np.argmin(ends - begin[ends])])
     return int(cost[end]), int(begin[end]), end
 
 
+def _numbers(words: list[str]) -> list[str]:
+    return sorted(w for w in words if w[0].isdigit())
+
+
 class Scanner:
-    def __init__(self, templates, share: float, least: int):
+    def __init__(self, templates, share: float):
         self.templates = [(name, *_words(text)[:1]) for name, text in templates]
+        self.counts = [Counter(w) for _, w in self.templates]
+        self.numbers = [_numbers(w) for _, w in self.templates]
+        self.most = [int(share * len(w)) for _, w in self.templates]  # differing words
         self.longest = max(len(w) for _, w in self.templates)
-        self.share, self.least = share, least
+        self.reach = max(len(w) + m for (_, w), m in zip(self.templates, self.most))  # words of a stretch
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.with_template = [
             zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
@@ -113,36 +129,49 @@ class Scanner:
         size = len(self.plain.compress(body))
         return [size - len(c.compress(body)) for c in self.with_template]
 
+    def possible(self, words: list[str]) -> list[int]:
+        """Templates that may be confirmed: each word that the piece lacks is a difference."""
+        there = Counter(words)
+        return [i for i, count in enumerate(self.counts)
+                if sum(n - there[w] for w, n in count.items() if there[w] < n) <= self.most[i] and all(w in there for w in self.numbers[i])]
+
+    def best(self, i: int, words: list[str], before: int) -> tuple[int, int, int] | None:
+        """Differing words and place of the best stretch with the numbers of template ``i`` that starts before ``before``."""
+        cost, begin = edits_by_end(self.templates[i][1], words)
+        ends = np.flatnonzero((cost <= self.most[i]) & (begin < before))
+        for end in ends[np.lexsort((ends, ends - begin[ends], cost[ends]))].tolist():
+            if _numbers(words[begin[end] : end]) == self.numbers[i]:
+                return int(cost[end]), int(begin[end]), end
+        return None
+
     def __call__(self, text: str):
         """(license, saved bytes, differing words, template words, start, end) of every license found."""
         for words, spans in blocks(text, self.longest):
-            words = list(words)
-            while words:
-                saved = self.saved(words)
-                ranked = sorted((i for i in range(len(saved)) if saved[i] >= self.least), key=lambda i: (-saved[i], i))
-                best = None
-                while ranked and best is None:  # the next ranked ones where none of the first is confirmed
-                    for i in ranked[:RANKED]:
-                        template = self.templates[i][1]
-                        edits, a, b = differences(template, words)
-                        numbers = sorted(w for w in template if w[0].isdigit()) == sorted(w for w in words[a:b] if w[0].isdigit())
-                        if numbers and edits <= self.share * len(template):
-                            found = (2 * edits - len(template), i, edits, a, b)
-                            best = min(best or found, found)
-                    ranked = ranked[RANKED:]
-                if best is None:
-                    break
-                _, i, edits, a, b = best
-                yield self.templates[i][0], saved[i], edits, len(self.templates[i][1]), spans[a][0], spans[b - 1][1]
-                words[a:b] = ["\0"] * (b - a)  # taken: no template has this word
-
-
-def scan(docs: DataFrame, templates=TEMPLATES, share: float = 0.15, least: int = 6, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per license found; at most ``share`` of a template's words may differ, ``least`` bytes have to be saved."""
+            words, at = list(words), 0
+            while at < len(words):
+                piece = words[at : at + PIECE * self.reach]
+                last = at + len(piece) == len(words)
+                own = len(piece) if last else len(piece) - self.reach  # a stretch that starts later is whole in the next piece
+                while possible := self.possible(piece):
+                    saved = self.saved(piece)
+                    found = []
+                    for rank, i in enumerate(sorted(possible, key=lambda i: (-saved[i], i))):
+                        if stretch := self.best(i, piece, own):
+                            found.append((2 * stretch[0] - len(self.templates[i][1]), rank, i, *stretch))
+                    if not found:
+                        break
+                    _, _, i, edits, a, b = min(found)
+                    yield self.templates[i][0], saved[i], edits, len(self.templates[i][1]), spans[at + a][0], spans[at + b - 1][1]
+                    piece[a:b] = words[at + a : at + b] = ["\0"] * (b - a)  # taken: no template has this word
+                at += len(piece) if last else own
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, share: float = 0.15, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per license found; at most ``share`` of a template's words may differ. ``saved_bytes`` is for the piece that holds it."""
     names = ["license", "saved_bytes", "differing", "words", "start", "end"]
 
     def run(batches):
-        scanner = Scanner(templates, share, least)
+        scanner = Scanner(templates, share)
         for batch in batches:
             rows = [(i, *found) for i, t in enumerate(batch.column(1)) if t.is_valid for found in scanner(t.as_py())]
             if rows:

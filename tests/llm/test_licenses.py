@@ -39,6 +39,40 @@ def test_several_licenses_nulls_repeats_long(spark):
     assert [(d, n) for d, n, *_ in got] == sorted([(i, n) for i in (-1, 1, 1, 4) for n in ("CC-BY-NC-4.0", "MIT")])
 
 
+def test_a_notice_inside_long_blocks():
+    rng = random.Random(5)
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.15)
+    vocabulary = ["w" + "".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(3000)]
+    for size in (1000, 5000, 20_000, 100_000):
+        for name, notice in licenses.TEMPLATES:
+            words = rng.choices(vocabulary, k=size)
+            words[::60] = ["copyright"] * len(words[::60])
+            at = rng.randrange(size)
+            before = " ".join(words[:at])
+            text = f"{before}\n{notice}\n{' '.join(words[at:])}"
+            assert len(licenses.blocks(text, scanner.longest)) == 1
+            got = [(n, e, s, t) for n, _, e, _, s, t in scanner(text)]
+            assert got == [(name, 0, len(before) + 1, len(before) + 1 + len(notice.rstrip(".:,")))], (size, notice)
+
+
+def test_a_notice_at_every_place_of_a_piece_and_several_at_once():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.15)
+    notice = licenses.TEMPLATES[1][1]
+    for at in range(0, 2 * licenses.PIECE * scanner.reach, 7):
+        words = ["copyright" if i % 50 == 0 else f"w{i}" for i in range(1500)]
+        text = " ".join([*words[:at], notice, *words[at:]])
+        assert [(n, e) for n, _, e, *_ in scanner(text)] == [("MIT", 0)], at
+    text = " license ".join([t for _, t in licenses.TEMPLATES] * 5)
+    assert sorted(n for n, *_ in scanner(text)) == sorted([n for n, _ in licenses.TEMPLATES] * 5)
+
+
+def test_another_version_does_not_hide_a_notice():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.15)
+    other = "Licensed under the Apache License, Version 3.0. "
+    assert [n for n, *_ in scanner(other + "Licensed under the Apache License, Version 2.0.")] == ["Apache-2.0"]
+    assert [n for n, *_ in scanner(other + "x " * 20 + "Licensed under the Apache Licence, Version 2.0.")] == ["Apache-2.0"]
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
