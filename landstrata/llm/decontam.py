@@ -2,15 +2,19 @@
 
 Words lose case and punctuation, and typed placeholders take the place of numbers, of units behind a number and of names
 (capitalised words inside a sentence). Windows of ``width`` template words of documents and items are hash-joined; an item
-with fewer words is one window. The values behind the placeholders are kept as slots: for one document and item a value
-of the item has to become the same value everywhere, so windows that contradict the usual replacement are dropped. A
-document is contaminated by an item if the windows left cover at least ``cover`` of the item's windows. That finds exact
-copies and questions that were asked anew with other numbers, names or units.
+with fewer words is one window.
+
+The values behind the placeholders are kept as slots: within one occurrence a value of the item has to become the same value
+everywhere, so windows that contradict its usual replacement there are dropped; windows with the item's own values
+always count. An occurrence is what lies in a row's text at one distance from the item's words; or at distances that differ by less
+than half of the item's words from one to the next, for words put in or left out; or the whole document. A document is
+contaminated by an item if the windows left of an occurrence cover at least ``cover`` of the item's windows. That finds
+exact copies and questions that were asked anew with other numbers, names or units, also several times in a document.
 
 Before the join a bitmap of fixed size, made from the items' window hashes, drops document windows that match none.
 
 Defined cases: null or empty texts have no words and match nothing; repeated rows of an item count once, rows that share
-an item's id are one item each; rows that repeat a document's id share their matches; a null document or item id is
+an item's id are one item each; rows that repeat a document's id share their matches as one document; a null document or item id is
 reported as null; other columns are ignored; empty tables give no rows.
 """
 
@@ -18,9 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from landstrata.session import scratch_path
+
 from . import _text
 
 U = np.uint64
@@ -52,6 +58,11 @@ def _unit_hashes() -> np.ndarray:
 
 def template(data: np.ndarray, offsets: np.ndarray):
     """(hash, kind, start, end, row, literal) of each template word; kind 0: literal, else 1 number, 2 unit, 3 name."""
+    return _template(data, offsets)[:6]
+
+
+def _template(data: np.ndarray, offsets: np.ndarray):
+    """The columns of ``template``, and whether a literal word is capitalised and opens a sentence."""
     digit, member = _DIGIT[data], _ASCII_WORD[data]
     n = len(data)
     if n > 2:  # a point or comma between digits belongs to the number
@@ -66,7 +77,7 @@ def template(data: np.ndarray, offsets: np.ndarray):
     kind = np.zeros(len(start), np.int8)
     literal = hashes.copy()
     if not len(start):
-        return hashes, kind, start, end, row, literal
+        return hashes, kind, start, end, row, literal, np.zeros(0, bool)
     kind[digit[start]] = 1
     after_number = np.zeros(len(start), bool)
     after_number[1:] = (kind[:-1] == 1) & (row[1:] == row[:-1])
@@ -83,27 +94,34 @@ def template(data: np.ndarray, offsets: np.ndarray):
     kind[capital & ~opening & (kind == 0)] = 3
     for i, mark in enumerate((NUMBER, UNIT, NAME), 1):
         hashes[kind == i] = mark
-    return hashes, kind, start, end, row, literal
-
+    return hashes, kind, start, end, row, literal, capital & opening & (kind == 0)
 
-def _windows(hashes: np.ndarray, row: np.ndarray, width: int, kind: np.ndarray | None = None, literal: np.ndarray | None = None):
-    """(hash, first word, whether that is taken literally) of all windows of ``width`` words within a row.
 
-    With ``literal`` a window that starts with a name has a second hash with that word itself: an item's first word has
-    its capital also where the item stands inside a sentence.
-    """
+def _windows(hashes: np.ndarray, row: np.ndarray, width: int):
+    """(sum before scrambling, first word) of all windows of ``width`` words within a row."""
     m = max(0, len(hashes) - width + 1)
     total = np.full(m, U(_text.mix_int(width)), U)
     for i in range(width):
         total += hashes[i : i + m] * U(_text.mix_int(31 + i) | 1)
     inside = np.flatnonzero(row[:m] == row[width - 1 : width - 1 + m]) if m else np.empty(0, np.int64)
-    plain = np.zeros(len(inside), bool)
-    if literal is not None:
-        again = inside[kind[inside] == 3]
-        second = total[again] + (literal[again] - hashes[again]) * U(_text.mix_int(31) | 1)
-        return (_text.mix(np.concatenate([total[inside], second])).view(np.int64), np.concatenate([inside, again]),
-                np.concatenate([plain, np.ones(len(again), bool)]))
-    return _text.mix(total[inside]).view(np.int64), inside, plain
+    return total[inside], inside
+
+
+def _forms(words, width: int, of_items: bool):
+    """(hash, first word, kinds) of the windows in each form; forms in which a window says the same as in another leave it out.
+
+    In documents a window that starts with a name also has that word itself: an item's first word has its capital also
+    where the item stands inside a sentence.
+    """
+    hashes, kind, _, _, row, literal, _ = words
+    total, first = _windows(hashes, row, width)
+    yield _text.mix(total).view(np.int64), first, kind
+
+    name = kind == 3
+    if not of_items:
+        again = first[name[first]]
+        second = total[name[first]] + (literal[again] - hashes[again]) * U(_text.mix_int(31) | 1)
+        yield _text.mix(second).view(np.int64), again, None
 
 
 def _slots(data: bytes, kind, start, end, first: int, width: int, plain: bool) -> list[str]:
@@ -116,33 +134,26 @@ def _window_rows(column: int, widths, bitmap: np.ndarray | None, whole_only: int
     def run(batches):
         for batch in batches:
             for at, data, offsets in _text.slices(batch.column(column)):
-                hashes, kind, start, end, row, literal = template(data, offsets)
+                words = _template(data, offsets)
+                _, kind, start, end, row, _, _ = words
                 raw = data.tobytes()
                 out_row, out_hash, out_place, out_slots = [], [], [], []
                 first_word = np.searchsorted(row, np.arange(len(offsets)))
                 for width in widths:
-                    found, first, plain = _windows(hashes, row, width, *((kind, literal) if whole_only is None else ()))
-                    if whole_only:
-                        words = np.diff(np.concatenate([first_word, [len(row)]]))[row[first]]
-                        keep = (words == width) if width < whole_only else np.ones(len(first), bool)
-                        found, first, plain = found[keep], first[keep], plain[keep]
-                    if bitmap is not None:
-                        cell = found.view(U) >> U(64 - BITS)
-                        keep = (bitmap[(cell >> U(3)).astype(np.int64)] >> (cell & U(7)).astype(np.uint8) & 1).astype(bool)
-                        found, first, plain = found[keep], first[keep], plain[keep]
-                    seen = set()
-                    for h, f, p in zip(found.tolist(), first.tolist(), plain.tolist()):
-                        r = int(row[f])
-                        slots = _slots(raw, kind, start, end, f, width, p)
-                        if whole_only is None:  # a document's repeated windows say nothing new
-                            mark = (r, h, tuple(slots))
-                            if mark in seen:
-                                continue
-                            seen.add(mark)
-                        out_row.append(r)
-                        out_hash.append(h)
-                        out_place.append(f - int(first_word[r]))
-                        out_slots.append(slots)
+                    for found, first, kinds in _forms(words, width, whole_only is not None):
+                        keep = np.ones(len(first), bool)
+                        if whole_only and width < whole_only:
+                            keep = np.diff(np.concatenate([first_word, [len(row)]]))[row[first]] == width
+                        if bitmap is not None:
+                            cell = found.view(U) >> U(64 - BITS)
+                            keep &= (bitmap[(cell >> U(3)).astype(np.int64)] >> (cell & U(7)).astype(np.uint8) & 1).astype(bool)
+                        found, first = found[keep], first[keep]
+                        for h, f in zip(found.tolist(), first.tolist()):
+                            r = int(row[f])
+                            out_row.append(r)
+                            out_hash.append(h)
+                            out_place.append(f - int(first_word[r]))
+                            out_slots.append(_slots(raw, kind if kinds is None else kinds, start, end, f, width, kinds is None))
                 if out_row:
                     others = [batch.column(i).slice(at, len(offsets) - 1).take(pa.array(out_row)) for i in range(batch.num_columns) if i != column]
                     yield pa.RecordBatch.from_arrays(
@@ -154,8 +165,8 @@ def _window_rows(column: int, widths, bitmap: np.ndarray | None, whole_only: int
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, cover: float = 0.5, doc: str = "doc_id", text: str = "text",
                  item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id, item_id, windows, matched, changed``: contaminated documents, with the item's windows, those found
-    and the number of slots of which the value differs."""
+    """``doc_id, item_id, windows, matched, changed``: contaminated documents, with the item's windows and, of the
+    occurrence that has most of them, those found and the number of slots of which the value differs."""
     asked = items.select(F.col(item).alias("item_id"), F.col(item_text).alias("text")).distinct()
     asked = asked.select("item_id", F.xxhash64("text").alias("item_key"), "text")
     of_items = asked.mapInArrow(_window_rows(2, range(1, width + 1), None, width), _schema("item_id " + asked.schema["item_id"].dataType.simpleString() + ", item_key bigint"))
@@ -166,29 +177,45 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, cover: float
     octets = cells.groupBy(F.shiftright("cell", 3).alias("octet")).agg(F.expr("bit_or(shiftleft(1, cast(cell % 8 AS int)))").alias("bits"))
     for r in octets.collect():  # 2**(BITS - 3) rows at most
         bitmap[r["octet"]] = r["bits"]
-    total = of_items.groupBy("item_key", "item_id").agg(F.countDistinct("place").alias("windows"))
+    total = of_items.groupBy(F.col("item_key").alias("_k"), F.col("item_id").alias("_i")).agg(F.countDistinct("place").alias("windows"))
+    of_items = of_items.join(total, F.col("item_key").eqNullSafe(F.col("_k")) & F.col("item_id").eqNullSafe(F.col("_i"))).drop("_k", "_i")
     widths = sorted({min(width, r[0]) for r in asked.mapInArrow(_lengths(2, width), "n int").distinct().collect()} - {0})
 
-    names = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
-    of_docs = names.mapInArrow(_window_rows(1, widths, bitmap, None), _schema("doc_id " + names.schema["doc_id"].dataType.simpleString())).drop("place")
-    met = of_docs.join(of_items, "hash").select("doc_id", "item_id", "item_key", "place", "slots", "item_slots").distinct()
-    # for each value of the item, the value that most windows of this document have in its place
+    names = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
+    of_docs = names.mapInArrow(
+        _window_rows(1, widths, bitmap, None), _schema("doc_id " + names.schema["doc_id"].dataType.simpleString() + ", text_key bigint"))
+    of_docs = of_docs.withColumnRenamed("place", "doc_place")
     pair = ["doc_id", "item_id", "item_key"]
-    slots = met.select(*pair, F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("s")).select(
-        *pair, F.col("s.a").alias("a"), F.col("s.b").alias("b"))
-    usual = slots.groupBy(*pair, "a", "b").agg(F.count("*").alias("n")).groupBy(*pair, "a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
-    chosen = usual.groupBy(*[F.col(c).alias("_" + c) for c in pair]).agg(
-        F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("chosen"), F.sum((F.col("a") != F.col("b")).cast("bigint")).alias("changed"))
-    same_pair = F.lit(True)
-    for c in pair:
-        same_pair = same_pair & F.col(c).eqNullSafe(F.col("_" + c))
-    joined = met.join(chosen, same_pair, "left")
-    agrees = F.forall(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda s: F.element_at("chosen", s["a"]) == s["b"])
-    kept = joined.filter((F.size("slots") == 0) | agrees).groupBy(*pair).agg(
-        F.countDistinct("place").alias("matched"), F.coalesce(F.max("changed"), F.lit(0)).alias("changed"))
-    counted = kept.join(total.withColumnsRenamed({"item_key": "_k", "item_id": "_i"}), F.col("item_key").eqNullSafe(F.col("_k")) & F.col("item_id").eqNullSafe(F.col("_i")))
-    return counted.filter(F.col("matched") >= cover * F.col("windows")).groupBy("doc_id", "item_id").agg(
-        F.max("windows").alias("windows"), F.max("matched").alias("matched"), F.min("changed").alias("changed"))
+    met = of_docs.join(of_items, "hash").withColumn("shift", F.col("doc_place") - F.col("place"))
+    by_shift = Window.partitionBy(*pair, "text_key").orderBy("shift")
+    far = 2 * (F.col("shift") - F.lag("shift").over(by_shift)) >= F.col("windows") + (width - 1)
+    met = met.withColumn("far", F.coalesce(far.cast("int"), F.lit(0))).withColumn("chain", F.sum("far").over(by_shift))
+    path = scratch_path(docs.sparkSession, "windows")
+    met.select(*pair, "text_key", "shift", "chain", "place", "slots", "item_slots", "windows").write.parquet(path)
+
+    def scope(i, *at):
+        return F.struct(F.lit(i).alias("i"), *[x.cast("bigint").alias(n) for n, x in zip(("text_key", "at"), at)])
+
+    scopes = F.array(scope(0, F.col("text_key"), F.col("shift")), scope(1, F.col("text_key"), F.col("chain")), scope(2, F.lit(0), F.lit(0)))
+    met = docs.sparkSession.read.parquet(path).withColumn("scope", F.explode(scopes))
+    group = [*pair, "scope"]
+    both = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
+    # for each value of the item, the value that most windows of this occurrence have in its place
+    slots = met.select(*group, "place", F.explode(both).alias("s")).select(*group, "place", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
+    usual = slots.groupBy(*group, "a", "b").agg(F.size(F.collect_set("place")).alias("n")).groupBy(*group, "a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
+    chosen = usual.groupBy(*[F.col(c).alias("_" + c) for c in group]).agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("chosen"))
+    same_group = F.lit(True)
+    for c in group:
+        same_group = same_group & F.col(c).eqNullSafe(F.col("_" + c))
+    joined = met.join(chosen, same_group, "left")
+    agrees = F.forall(both, lambda s: F.element_at("chosen", s["a"]) == s["b"])
+    changes = F.transform(F.filter(both, lambda s: s["a"] != s["b"]), lambda s: s["a"])
+    kept = joined.filter((F.col("slots") == F.col("item_slots")) | agrees).withColumn("changes", changes).groupBy(*group).agg(
+        F.size(F.collect_set("place")).cast("bigint").alias("matched"), F.first("windows").alias("windows"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("changes")))).cast("bigint").alias("changed"))
+    best = F.max(F.struct("matched", (-F.col("changed")).alias("kept"), "windows"))
+    found = kept.filter(F.col("matched") >= cover * F.col("windows")).groupBy("doc_id", "item_id").agg(best.alias("best"))
+    return found.select("doc_id", "item_id", F.col("best.windows").alias("windows"), F.col("best.matched").alias("matched"), (-F.col("best.kept")).alias("changed"))
 
 
 def _schema(names: str) -> str:

@@ -70,6 +70,22 @@ def test_inconsistent_slots_are_not_the_same_question(spark):
     assert got.keys() == {(2, 1)}
 
 
+SUM = "What is 17 plus 25 times 3?"
+
+
+def test_variants_of_one_item_in_one_document(spark):
+    first, second = "What is 12 plus 31 times 4?", "What is 80 plus 99 times 5?"
+    many = " ".join(f"What is {i} plus {i + 7} times {i + 3}?" for i in range(40, 90))
+    anew = TOM.replace("Tom", "Ann").replace("12", "40").replace("5", "9")
+    other = TOM.replace("Tom", "Bob").replace("12", "71").replace("5", "2")
+    inserted = [x.replace("at the market", "at the old market") for x in (anew, other)]
+    rows = [(1, f"{SUM} {first}"), (2, f"{first} {second}"), (3, f"{many} {SUM} {many}"), (4, many), (5, f"{anew}\n{PROSE}.\n{other}"),
+            (6, f"{anew}\n{TOM}\n{other}"), (7, f"{inserted[0]}\n{PROSE}\n{inserted[1]}"), (8, first), (8, second), (9, "What is plus times?")]
+    got = run(spark, rows, [(1, SUM), (2, TOM)])
+    assert {d for d, i in got if i == 1} == {1, 2, 3, 4, 8} and {d for d, i in got if i == 2} == {5, 6, 7}
+    assert got[1, 1]["changed"] == got[3, 1]["changed"] == got[6, 2]["changed"] == 0 and got[2, 1]["changed"] == 3
+
+
 def test_equals_brute_force_on_prose(spark):
     rng = random.Random(2)
     words = "the of and in was on that river stone wall mill 12 7 km Paris".split()
