@@ -2,7 +2,9 @@
 
 Words lose case and punctuation, and typed placeholders take the place of numbers, of units behind a number and of names
 (capitalised words inside a sentence). Windows of ``width`` template words of documents and items are hash-joined; an item
-with fewer words is one window.
+with fewer words is one window. A window also has the forms where capitalised words that open a sentence are names too,
+where names are literal words, and where all words are, in lower case: a name may open a sentence, and a copy may be in
+small letters or capitals throughout.
 
 The values behind the placeholders are kept as slots: within one occurrence a value of the item has to become the same value
 everywhere, so windows that contradict its usual replacement there are dropped; windows with the item's own values
@@ -113,15 +115,28 @@ def _forms(words, width: int, of_items: bool):
     In documents a window that starts with a name also has that word itself: an item's first word has its capital also
     where the item stands inside a sentence.
     """
-    hashes, kind, _, _, row, literal, _ = words
+    hashes, kind, _, _, row, literal, opens = words
     total, first = _windows(hashes, row, width)
     yield _text.mix(total).view(np.int64), first, kind
 
+    def holds(mark):  # windows with such a word
+        before = np.concatenate([[0], np.cumsum(mark)])
+        return before[first + width] > before[first]
+
+    def other(keep, kinds):
+        values = literal.copy()
+        for i, mark in enumerate((NUMBER, UNIT, NAME), 1):
+            values[kinds == i] = mark
+        return _text.mix(_windows(values, row, width)[0][keep]).view(np.int64), first[keep], kinds
+
     name = kind == 3
     if not of_items:
         again = first[name[first]]
         second = total[name[first]] + (literal[again] - hashes[again]) * U(_text.mix_int(31) | 1)
         yield _text.mix(second).view(np.int64), again, None
+    yield other(holds(opens), np.where(opens, np.int8(3), kind))
+    yield other(holds(name), np.where(name, np.int8(0), kind))
+    yield other(holds((kind == 1) | (kind == 2)), np.zeros_like(kind))
 
 
 def _slots(data: bytes, kind, start, end, first: int, width: int, plain: bool) -> list[str]:

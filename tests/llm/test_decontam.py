@@ -83,7 +83,25 @@ def test_variants_of_one_item_in_one_document(spark):
             (6, f"{anew}\n{TOM}\n{other}"), (7, f"{inserted[0]}\n{PROSE}\n{inserted[1]}"), (8, first), (8, second), (9, "What is plus times?")]
     got = run(spark, rows, [(1, SUM), (2, TOM)])
     assert {d for d, i in got if i == 1} == {1, 2, 3, 4, 8} and {d for d, i in got if i == 2} == {5, 6, 7}
-    assert got[1, 1]["changed"] == got[3, 1]["changed"] == got[6, 2]["changed"] == 0 and got[2, 1]["changed"] == 3
+    assert got[1, 1]["changed"] == got[3, 1]["changed"] == got[6, 2]["changed"] == 0 and got[2, 1]["changed"] == 3 and got[5, 2]["matched"] == got[5, 2]["windows"]
+
+
+MARIA = "Maria has 5 apples. Maria buys 12 more apples. Maria then gives 3 apples away. How many apples does Maria have now?"
+
+
+def test_names_that_open_sentences(spark):
+    anna = MARIA.replace("Maria", "Anna").replace("12", "15")
+    mixed = "Anna has 5 apples. Eve buys 12 more apples. Zoe then gives 3 apples away. How many apples does Kim have now?"
+    got = run(spark, [(1, anna), (2, f"{PROSE}. {anna}"), (3, "Ann runs 9 km daily"), (4, PROSE), (5, mixed), (6, "So Ann runs 9 km daily")], [(1, MARIA), (2, "Tom runs 5 km daily")])
+    assert got.keys() == {(1, 1), (2, 1), (3, 2), (6, 2)}
+    assert got[1, 1]["matched"] == got[1, 1]["windows"] and got[1, 1]["changed"] == 2
+
+
+def test_copies_in_small_letters_and_capitals(spark):
+    rows = [(i, f"{PROSE} {x}") for i, x in enumerate([MARIA.lower(), MARIA.upper(), TOM.lower(), TOM.upper(), MARIA.lower().replace("12", "15")])]
+    got = run(spark, rows, [(1, MARIA), (2, TOM)])
+    assert got.keys() == {(0, 1), (1, 1), (2, 2), (3, 2), (4, 1)} and all(r["matched"] == r["windows"] for r in got.values())
+    assert got[0, 1]["changed"] == 0 and got[4, 1]["changed"] == 1
 
 
 def test_equals_brute_force_on_prose(spark):
