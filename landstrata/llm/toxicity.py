@@ -7,7 +7,7 @@ the lexicon, its nearness to second-person words, capitals, punctuation and obfu
 are never among them. The trees' margin and the calibration are applied to every document.
 
 Defined cases: a null text is empty; an empty text gets the score of a text without any sign of toxicity; rows that
-repeat an id are scored each; a document is labelled toxic if any of its labels says so, null labels are ignored; a null
+repeat an id are scored each, and one of them is learnt from; a document is labelled toxic if any of its labels says so, null labels are ignored; a null
 id is not held out; without labels of both kinds every score is the share of toxic labels (0 without labels); other
 columns are ignored; an empty table gives no rows.
 """
@@ -88,7 +88,8 @@ def learn_lexicon(docs: DataFrame, sample: DataFrame, doc: str, text: str) -> di
         return run
 
     part = F.broadcast(sample.filter("role < 4").select(F.col("id").alias("__id"), F.col("toxic").alias("__toxic")))  # at most SAMPLE rows
-    texts = docs.select(F.col(doc).cast("bigint").alias("__id"), F.col(text).alias("__text")).join(part, "__id").select("__text", "__toxic")
+    texts = docs.select(F.col(doc).cast("bigint").alias("__id"), F.col(text).alias("__text")).join(part, "__id")
+    texts = texts.groupBy("__id", "__toxic").agg(F.min("__text").alias("__text")).select("__text", "__toxic")  # one text of an id
     path = scratch_path(docs.sparkSession, "lexicon-texts")
     texts.write.parquet(path)
     texts = docs.sparkSession.read.parquet(path)
@@ -164,6 +165,13 @@ def features(docs: DataFrame, lexicon: dict[str, float], doc: str = "doc_id", te
     return rows.mapInArrow(run, "doc_id bigint, text_key bigint, x array<double>")
 
 
+def training_rows(dense: DataFrame, part: DataFrame) -> DataFrame:
+    """``doc_id, text_key, x, toxic, role``: one row of ``dense`` for each labelled id, gathered in two tasks behind the join."""
+    one = F.min_by(F.struct("text_key", "x"), "text_key").alias("one")
+    rows = dense.join(part, "doc_id").groupBy("doc_id", "toxic", "role").agg(one)
+    return rows.select("doc_id", "one.*", "toxic", "role").repartition(2)
+
+
 def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, doc: str = "doc_id", text: str = "text", label: str = "toxic",
           label_doc: str = "doc_id") -> DataFrame:
     """``doc_id, text_key, score`` for every row of ``docs``; at most ``rows`` labelled documents are learnt from."""
@@ -176,7 +184,7 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, doc: str = "do
 
     part = F.broadcast(sample.filter("role >= 4").withColumnRenamed("id", "doc_id"))  # at most SAMPLE rows
     path = scratch_path(spark, "training")
-    dense.join(part, "doc_id").coalesce(2).write.parquet(path)
+    training_rows(dense, part).write.parquet(path)
     known = spark.read.parquet(path).select(array_to_vector("x").alias("features"), F.col("toxic").cast("double").alias("label"), "role")
     kinds = {(r["role"] < 8, r["label"]) for r in known.select("role", "label").distinct().collect()}
     if len({x for role, x in kinds if role}) < 2:

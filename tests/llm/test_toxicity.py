@@ -50,6 +50,25 @@ def test_held_out_labels_are_never_read(spark):
     assert len(ids) == len(set(ids)) == 100 and all(zlib.crc32(str(i).encode()) % 5 for i in ids)
 
 
+def test_one_row_of_a_labelled_id_is_learnt_from(spark, monkeypatch):
+    dense = spark.range(0, 900, 1, 6).selectExpr("id % 30 AS doc_id", "hash(id) * 1L AS text_key", "array(CAST(id AS double)) AS x")
+    part = F.broadcast(spark.createDataFrame([(i, i % 2, 4) for i in range(20)], "doc_id bigint, toxic int, role int"))
+    got = toxicity.training_rows(dense, part)
+    least = {r["doc_id"]: r["x"] for r in dense.groupBy("doc_id").agg(F.min_by("x", "text_key").alias("x")).collect()}
+    assert sorted((r["doc_id"], r["x"], r["toxic"]) for r in got.collect()) == [(i, least[i], i % 2) for i in range(20)]
+    plan = got._jdf.queryExecution().toString()
+    assert got.rdd.getNumPartitions() == 2 and "RoundRobinPartitioning(2)" in plan and "Coalesce " not in plan
+
+    rows, labels = corpus(300)
+    again = [(i, " ".join(reversed(t.split()))) for i, t in rows[:5] for _ in range(100)]
+    written = []
+    monkeypatch.setattr(toxicity, "scratch_path", lambda s, name, f=toxicity.scratch_path: written.append((name, f(s, name))) or written[-1][1])
+    scored = toxicity.score(docs(spark, rows + again), label_table(spark, labels))
+    assert scored.count() == 800
+    learnt = [spark.read.parquet(path).count() for name, path in written if name in ("lexicon-texts", "training")]
+    assert sum(learnt) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i, _ in labels)
+
+
 def test_without_labels_or_rows(spark):
     rows, labels = corpus(40)
     none = toxicity.score(docs(spark, rows), label_table(spark, []))
