@@ -13,7 +13,8 @@ Sets that are equal are one class from the start. In the bucket of a part value
 in one of ORDERS orders, which the part chooses, so a class meets different pivots in its buckets. Pairs whose short parity sketches, with sizes of about the sets', are near enough are verified on the full sets, and links give components. Buckets that
 hold several components still are compared inside tasks, in blocks of bounded size, and only pairs of different
 components with near sketches leave them and are verified. So no link between components is lost, and a large group of
-near copies costs one pair a document instead of all pairs.
+near copies costs one pair a document instead of all pairs. The result is components only, as its contract asks: links
+inside a component are not all looked for, and neither they nor their number are returned.
 
 Elements, sets and sketches use 64-bit hashes. Defined cases: a null text or one without words is an empty set, linked
 with nothing; a text with fewer than k words has its whole sequence as its one shingle; repeated rows are equal sets;
