@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from landstrata.session import scratch_path
 
-from . import chat, decontam, jaccard, licenses, packing, secrets, tokencount, topk, toxicity, warc
+from . import chat, decontam, jaccard, licenses, mixing, packing, resampling, secrets, spelling, tokencount, topk, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -206,3 +206,86 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     scored = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+# --- 11 --------------------------------------------------------------------------------------------------------------
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+#: CRC-32 of each row's ``x`` of the table ``strings``, byte by byte.
+_CRC_SQL = """
+tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END, i)) AS t),
+bytes AS (SELECT x, list_transform(range(octet_length(encode(x))), lambda i: ('0x' || substr(hex(encode(x)), 2 * i + 1, 2))::BIGINT) AS b FROM strings),
+crc AS (SELECT x, xor(4294967295::BIGINT, list_reduce(b, lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1]), 4294967295::BIGINT)) AS crc FROM bytes, tab)"""
+
+OP11_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS k, true AS own, doc_id, text FROM documents UNION ALL
+               SELECT row_number() OVER (), false, NULL, text FROM benchmark),
+w AS (SELECT k, own, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+f AS (SELECT k, own, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS x FROM w),
+strings AS (SELECT DISTINCT x FROM f), {_CRC_SQL},
+h AS (SELECT k, own, crc % 10000 AS bucket, count(*) AS n FROM f JOIN crc USING (x) GROUP BY ALL),
+b AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM h GROUP BY bucket),
+z AS (SELECT sum(s) AS s, sum(t) AS t FROM b),
+g AS (SELECT bucket, floor(1000 * ln((b.t + 1)::DOUBLE * (z.s + 10000)::DOUBLE / ((b.s + 1)::DOUBLE * (z.t + 10000)::DOUBLE))) AS gain FROM b, z),
+d AS (SELECT k, sum(n) AS n, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM h JOIN g USING (bucket) WHERE own GROUP BY k),
+p AS (SELECT w.k, doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM w LEFT JOIN d USING (k) WHERE own),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY words >= 20) AS n FROM p)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM r"""
+
+
+@query("op11_importance_resampling", OP11_SQL)
+def op11(spark, sf_dir):
+    drawn = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=25, least_words=20, n=2, buckets=10_000, seed=7)
+    return drawn.drop("n_words")
+
+
+# --- 12 --------------------------------------------------------------------------------------------------------------
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+             coalesce(doc_id::VARCHAR, sha256(coalesce(text, ''))) AS name,
+             greatest(coalesce(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[!-@\\[-`{{-~]+', '', 'g')) / length(text) END, {mixing.LEAST}), {mixing.LEAST}) AS w FROM documents),
+x AS (SELECT *, -ln((('0x' || substr(sha256('1:' || name), 1, {mixing.DIGITS}))::BIGINT + 0.5::DOUBLE) / {16**mixing.DIGITS}) / w AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+c AS (SELECT *, [5.0::DOUBLE, 2, 1][(place - 1) % 3 + 1] AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
+o AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM c),
+l AS (SELECT rest, share FROM o WHERE cap >= weight * rest / share ORDER BY cap / weight, place LIMIT 1),
+t AS (SELECT source, source_size, least(cap, weight * l.rest / l.share) AS target, round(least(cap, weight * l.rest / l.share))::BIGINT AS words FROM c, l),
+r AS (SELECT x.*, source_size, target, words, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS epochs,
+             sum(size) OVER (PARTITION BY x.source ORDER BY key, doc_id, size, k ROWS UNBOUNDED PRECEDING) - size AS before
+      FROM x JOIN t ON x.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, size, source_size, target,
+       (epochs * size + greatest(0, least(words - epochs * source_size - before, size)))::BIGINT AS taken FROM r"""
+
+
+@query("op12_source_mixing", OP12_SQL)
+def op12(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3, quality=mixing.prose_share(F.col("text")), seed=1)
+
+
+# --- 13 --------------------------------------------------------------------------------------------------------------
+
+OP13_SQL = f"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), {_LOWER}) AS run FROM documents),
+c AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS x, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+strings AS (SELECT DISTINCT x FROM c), {_CRC_SQL},
+m AS (SELECT n, CASE WHEN crc % 97 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word FROM c JOIN crc USING (x)),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+         UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS at, form AS next FROM forms UNION ALL SELECT w.word, f.word, f.form FROM way w JOIN forms f ON f.word = w.next)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, w.at AS root FROM forms f JOIN way w ON w.word = f.word AND w.next IS NULL"""
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13(spark, sf_dir):
+    return spelling.variants(spelling.vocabulary(read(spark, sf_dir, "documents"), least_length=5, least_count=3, every=97), ratio=2)
