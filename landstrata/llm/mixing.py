@@ -39,8 +39,8 @@ def n_words(text: Column) -> Column:
 
 
 def prose_share(text: Column) -> Column:
-    """Share of a text's characters that are neither ASCII digits nor ASCII punctuation, a plain measure of quality."""
-    return F.length(F.regexp_replace(text, r"[!-@\[-`{-~]+", "")) / F.length(text)
+    """Share of a text's characters that are neither ASCII digits nor ASCII punctuation, a plain measure of quality; null without text."""
+    return F.length(F.regexp_replace(text, r"[!-@\[-`{-~]+", "")) / F.nullif(F.length(text), F.lit(0))
 
 
 def key(name: Column, weight: Column, seed: int) -> Column:
