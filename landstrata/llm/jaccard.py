@@ -9,12 +9,23 @@ upper band. There the sketch has more parts than D can touch: linked sets agree
 An empty part says little, so it is left out; to keep the guarantee there are some more parts than needed, and a set
 with more empty parts than those joins on its empty parts too.
 
+Passages that many documents share make large buckets of documents that are not alike. So there are some more parts still,
+``_parts`` says how many: linked sets then agree in more parts than a set may leave out, and each set leaves out its largest
+buckets, in one order of all buckets. The smallest bucket that two linked sets share is among the largest ones of
+neither, so they still meet there.
+
 Sets that are equal are one class from the start. In the bucket of a part value each class is paired with the first one
-in one of ORDERS orders, which the part chooses, so a class meets different pivots in its buckets. Pairs whose short parity sketches, with sizes of about the sets', are near enough are verified on the full sets, and links give components. Buckets that
-hold several components still are compared inside tasks, in blocks of bounded size, and only pairs of different
-components with near sketches leave them and are verified. So no link between components is lost, and a large group of
-near copies costs one pair a document instead of all pairs. The result is components only, as its contract asks: links
-inside a component are not all looked for, and neither they nor their number are returned.
+in one of ORDERS orders, which the part chooses, so a class meets different pivots in its buckets. Pairs whose parity
+sketches are near enough are verified on the full sets, and links give components. Buckets that hold several components
+still are compared inside tasks, in blocks of bounded size, and only pairs of different components with near sketches
+leave them and are verified. So no link between components is lost, and a large group of near copies costs one pair a
+document instead of all pairs. The verified links span each component (``verified_links``); those inside a component are
+not all looked for.
+
+What travels with the rows of a bucket is bounded: sets of more than SAMPLED elements are compared there on a sketch of the
+elements whose hash begins with some zero bits, so many that at most SAMPLED are expected. The symmetric difference among
+them follows a binomial law, and the limit on it is set so that a linked pair fails with a probability below 1e-18. Pairs
+that pass are compared on sketches of all elements before they are verified.
 
 Elements, sets and sketches use 64-bit hashes. Defined cases: a null text or one without words is an empty set, linked
 with nothing; a text with fewer than k words has its whole sequence as its one shingle; repeated rows are equal sets;
@@ -27,7 +38,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landstrata.session import scratch_path
@@ -40,6 +51,9 @@ U = np.uint64
 ORDERS = 8
 PART_BITS = 1 << 20  # so many that parts with a single element rarely agree by chance
 BLOCK = 2048  # classes of a bucket that meet in one task, at most twice as many
+SAMPLED = 512  # elements of the sketch that travels with buckets
+LEFT_OUT = 20  # one part for so many of the needed ones may be left out
+HELD = 1 << 16  # rows of a bucket that wait in a task for its size; larger buckets count as this large
 
 
 def bound(a, b, percent: int):
@@ -51,12 +65,24 @@ def _band(n: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(n) / math.log(100 / percent) + 1e-9).astype(np.int64)
 
 
-def _parts(band: int, percent: int) -> tuple[int, int]:
-    """Parts of a join band's sketch, and how many of them are spare."""
+def _parts(band: int, percent: int) -> tuple[int, int, int]:
+    """Parts of a join band's sketch, how many of them are spare for empty ones, and how many may be left out."""
     largest = math.ceil((100 / percent) ** (band + 1) * (1 + 1e-9))
     need = bound(largest, largest, percent) + 1
-    spare = 1 + need // 50
-    return need + spare, spare
+    spare, left_out = 1 + need // 50, need // LEFT_OUT
+    return need + spare + left_out, spare, left_out
+
+
+def _allowances(n: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Parts that sets of n elements may leave out in join bands of even and of odd number."""
+    out = [np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)]
+    rows = np.flatnonzero(n >= _least_size(percent))
+    if len(rows):
+        band = _band(n[rows], percent)
+        table = np.array([_parts(j, percent)[2] for j in range(int(band.max()) + 2)], np.int64)
+        for parity in (0, 1):
+            out[parity][rows] = table[band + ((band & 1) != parity)]
+    return out
 
 
 def _least_size(percent: int) -> int:
@@ -77,16 +103,29 @@ def _fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return _text.mix(sums[bounds[1:]] - sums[bounds[:-1]] + _sizes(bounds).astype(U) * U(0x2545F4914F6CDD1D)).view(np.int64)
 
 
-def _short_sketches(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Parity sketches of at least four bits per element, a power of two long."""
+def _words(n: np.ndarray) -> np.ndarray:
+    return 1 << np.ceil(np.log2(np.maximum(n, 16) / 16)).astype(np.int64)
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """Zero bits that a hash must begin with to be sampled."""
+    return np.maximum(np.frexp(np.maximum(n, 1) - 1)[1] - (SAMPLED.bit_length() - 1), 0).astype(np.int64)
+
+
+def _sketches(hashes: np.ndarray, bounds: np.ndarray, sampled: bool = False) -> list[bytes]:
+    """Parity sketches of at least four bits per element, a power of two long; of the sampled elements, or of all."""
     n = _sizes(bounds)
-    words = 1 << np.ceil(np.log2(np.maximum(n, 16) / 16)).astype(np.int64)
+    words = np.minimum(_words(n), SAMPLED // 16) if sampled else _words(n)
     first = np.concatenate([[0], np.cumsum(words)])
     cells = np.zeros(first[-1], U)
     row = np.repeat(np.arange(len(n)), n)
     bit = _text.mix(hashes + U(77))
-    at = first[row] + ((bit >> U(6)) & (words[row] - 1).astype(U)).astype(np.int64)
-    np.bitwise_xor.at(cells, at, U(1) << (bit & U(63)))
+    above = (bit >> U(32)).astype(np.int64)
+    if sampled:
+        level = _level(n)[row]
+        inside = above & ((1 << level) - 1) == 0
+        row, bit, above = row[inside], bit[inside], (above >> level)[inside]
+    np.bitwise_xor.at(cells, first[row] + (above & (words[row] - 1)), U(1) << (bit & U(63)))
     return [cells[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
@@ -115,29 +154,31 @@ def _part_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int):
         np.bitwise_xor.at(cells, first[member] + (which % parts[member].astype(U)).astype(np.int64), toggle)
         owner = np.repeat(np.arange(len(n)), parts)
         number = np.arange(len(cells)) - first[owner]
+        parity = (join[owner] & 1).astype(U)
         empty = np.bincount(owner[cells == 0], minlength=len(n))
         keep = (cells != 0) | (empty > spare)[owner]
         name = _text.mix((join[owner] * 1_000_003 + number).astype(U) + U(0xC0FFEE))
-        keys.append((_text.mix(cells[keep] ^ name[keep]) >> U(16)).view(np.int64))  # 48 bits tell parts apart, and pack
+        # 47 bits tell parts apart, and pack; the last one is the join band's
+        keys.append(((_text.mix(cells[keep] ^ name[keep]) >> U(17)) << U(1) | parity[keep]).view(np.int64))
         owners.append(owner[keep])
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def signatures(docs: DataFrame, k: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text_key, n, fp, sketch, short``: a hash of the text; size, fingerprint and sketches of its set, of at
-    least four bits per element and the same folded to at least one."""
+def signatures(docs: DataFrame, k: int, percent: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, text_key, n, fp, sketch, sampled, even, odd``: a hash of the text; size, fingerprint and sketches of its
+    set, of all elements and of sampled ones; parts it may leave out in join bands of even and of odd number."""
     def run(batches):
         for batch in batches:
             for at, hashes, bounds in _text.word_sets(batch.column(1), k):
-                m = len(bounds) - 1
-                sketches = _short_sketches(hashes, bounds)
-                short = [_fold(s, max(1, len(s) // 32)).tobytes() for s in sketches]
+                n = _sizes(bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, m), batch.column(2).slice(at, m), pa.array(_sizes(bounds)), pa.array(_fingerprints(hashes, bounds)),
-                     pa.array(sketches, pa.binary()), pa.array(short, pa.binary())], ["doc_id", "text_key", "n", "fp", "sketch", "short"])
+                    [batch.column(0).slice(at, len(n)), batch.column(2).slice(at, len(n)), pa.array(n), pa.array(_fingerprints(hashes, bounds)),
+                     pa.array(_sketches(hashes, bounds), pa.binary()), pa.array(_sketches(hashes, bounds, True), pa.binary()),
+                     *[pa.array(x) for x in _allowances(n, percent)]],
+                    ["doc_id", "text_key", "n", "fp", "sketch", "sampled", "even", "odd"])
 
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, fp bigint, sketch binary, short binary")
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, fp bigint, sketch binary, sampled binary, even bigint, odd bigint")
 
 
 def _place(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
@@ -165,66 +206,115 @@ def _keys(docs: DataFrame, k: int, percent: int, text: str) -> DataFrame:
 
 
 def _shared_buckets(keys: DataFrame) -> DataFrame:
-    """``key, fp, pivot`` of keys with two classes or more; the pivot is the first of the key's order. Sorted rows stream by."""
+    """``key, fp, pivot, size`` of keys with two classes or more; the pivot is the first of the key's order. Sorted rows
+    stream by; a task keeps back the bucket that is still open, up to HELD rows of it."""
     def run(batches):
-        open_key = pivot = last = None
-        waiting = False  # the open run's pivot isn't out yet
-        for batch in batches:
-            key, fp = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        held = np.empty(0, np.int64), np.empty(0, np.int64)
+        large = False  # more than HELD rows of the open bucket are out; its first and its last one are held
+        for batch in _ended(batches):
+            key, place = held
+            if batch is not None:
+                key, place = np.concatenate([key, np.asarray(batch.column(0))]), np.concatenate([place, np.asarray(batch.column(1))])
             if not len(key):
                 continue
-            if open_key is not None:  # the open run goes on: its pivot and its last class stand before the batch
-                key, fp = np.concatenate([[open_key] * 2, key]), np.concatenate([[pivot, last], fp])
             new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-            ghosts = np.zeros(len(key), bool)
-            if open_key is not None:
-                ghosts[:2] = True
-                ghosts[0] = not waiting
-            key, fp, ghosts = key[new], fp[new], ghosts[new]
+            new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
+            out = np.ones(len(key), bool)
+            out[: 2 if large else 0] = False
+            key, place, out = key[new], place[new], out[new]
             start = np.ones(len(key), bool)
             start[1:] = key[1:] != key[:-1]
-            run_of = np.cumsum(start) - 1
-            first = np.flatnonzero(start)
-            shared = np.bincount(run_of)[run_of] > 1
-            out = shared & ~ghosts
-            pivots = fp[first][run_of]
-            waiting = not shared[-1]
-            open_key, pivot, last = key[-1], pivots[-1], fp[-1]  # here classes are still places
+            run_of, first = np.cumsum(start) - 1, np.flatnonzero(start)
+            size = np.minimum(np.bincount(run_of), HELD)
+            if large:
+                size[0] = HELD
+            large = batch is not None and bool(size[-1] == HELD)
+            if large:
+                held = key[[first[-1], -1]], place[[first[-1], -1]]
+            elif batch is not None:
+                held = key[first[-1] :], place[first[-1] :]
+                out[first[-1] :] = False
+            out &= (size > 1)[run_of]
             if out.any():
-                key = key[out]
+                k = key[out]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(_class(key, fp[out])), pa.array(_class(key, pivots[out]))], ["key", "fp", "pivot"])
+                    [pa.array(k), pa.array(_class(k, place[out])), pa.array(_class(k, place[first][run_of][out])), pa.array(size[run_of][out])],
+                    ["key", "fp", "pivot", "size"])
+
+    return keys.repartition("key").sortWithinPartitions("key", "place").mapInArrow(run, "key bigint, fp bigint, pivot bigint, size bigint")
+
+
+def _ended(batches):
+    """The batches, then None."""
+    yield from batches
+    yield None
+
+
+def _without_largest(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``key, place`` without the largest buckets that each class may leave out."""
+    place = F.row_number().over(Window.partitionBy("fp", "parity").orderBy(F.desc("size"), "key"))
+    rows = buckets.select("key", "fp", "size", F.col("key").bitwiseAND(1).alias("parity")).join(classes.select("fp", "even", "odd"), "fp")
+    kept = rows.withColumn("nth", place).filter(F.col("nth") > F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")))
+
+    def run(batches):
+        for batch in batches:
+            key = np.asarray(batch.column(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_place(key, np.asarray(batch.column(1))))], ["key", "place"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "place").mapInArrow(run, "key bigint, fp bigint, pivot bigint")
+    return kept.select("key", "fp").mapInArrow(run, "key bigint, place bigint")
 
 
-def _fold(sketch: bytes, words: int) -> np.ndarray:
-    cells = np.frombuffer(sketch, U)
-    while len(cells) > words:
-        cells = cells[: len(cells) // 2] ^ cells[len(cells) // 2 :]
+def _fold(cells: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, one a row, brought to fewer words."""
+    while cells.shape[1] > words:
+        half = cells.shape[1] // 2
+        cells = cells[:, :half] ^ cells[:, half:]
     return cells
 
 
+def _lift(cells: np.ndarray, levels: int) -> np.ndarray:
+    """Sketches of the elements whose hashes have so many further zero bits; without words where none are left to tell."""
+    for _ in range(levels):
+        cells = cells[:, 0::2] if cells.shape[1] > 1 else cells[:, :0]
+    return cells
+
+
+def _stack(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), U).reshape(len(sketches), -1)
+
+
+def _limit(most, level):
+    """Largest difference among sampled elements, for sets that differ by ``most`` elements at the most."""
+    mean = most / (1 << level)
+    return np.where(level == 0, most, np.minimum(most, mean + 13.9 + np.sqrt(193 + 83 * mean)))
+
+
 def _ratio(a, b, percent: int):
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def _near_pairs(pairs: DataFrame, classes: DataFrame, percent: int, sketch: str) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches of that column allow a link."""
+def _near_pairs(pairs: DataFrame, classes: DataFrame, percent: int, sampled: bool) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
     def run(batches):
         for batch in batches:
             a, b, na, nb = (np.asarray(batch.column(i)) for i in range(4))
             keep = _ratio(na, nb, percent)
-            most = bound(na, nb, percent)
-            left, right = batch.column(4), batch.column(5)
+            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            la, lb = (_level(na), _level(nb)) if sampled else (np.zeros_like(na), np.zeros_like(nb))
+            alike: dict = {}
             for i in np.flatnonzero(keep).tolist():
-                x, y = left[i].as_py(), right[i].as_py()
-                words = min(len(x), len(y)) // 8
-                keep[i] = int(np.bitwise_count(_fold(x, words) ^ _fold(y, words)).sum()) <= most[i]
+                alike.setdefault((len(left[i]), len(right[i]), int(la[i]), int(lb[i])), []).append(i)
+            for (_, _, x, y), rows in alike.items():
+                level = max(x, y)
+                u, v = _lift(_stack([left[i] for i in rows]), level - x), _lift(_stack([right[i] for i in rows]), level - y)
+                words = min(u.shape[1], v.shape[1])
+                if words:
+                    near = np.bitwise_count(_fold(u, words) ^ _fold(v, words)).sum(axis=1)
+                    keep[rows] = near <= _limit(bound(na[rows], nb[rows], percent), level)
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
+    sketch = "sampled" if sampled else "sketch"
     left = classes.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col(sketch).alias("sa"))
     right = classes.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col(sketch).alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
@@ -277,7 +367,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
 
 
 def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Near pairs of different components within buckets; ``rows``: key, fp, comp, n, sketch, size of the bucket.
+    """Near pairs of different components within buckets; ``rows``: key, fp, comp, n, sampled, size of the bucket.
 
     A bucket is dealt into chunks of about BLOCK classes, and each two chunks meet in one task.
     """
@@ -285,12 +375,15 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     dealt = (
         rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp", "comp", "n", "sketch")
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp", "comp", "n", "sampled")
     )
 
     def compare(own, fp, comp, n, sketches, lo, hi):
-        words = min(len(s) for s in sketches) // 8
-        cells = np.stack([_fold(s, words) for s in sketches])
+        levels = _level(n)
+        level = int(levels.max())
+        lifted = [_lift(_stack([x]), level - at) for x, at in zip(sketches, levels.tolist())]
+        words = min(x.shape[1] for x in lifted)
+        cells = np.concatenate([_fold(x, words) for x in lifted]) if words else np.zeros((len(fp), 0), U)
         a, b = [], []
         for i in range(len(fp) - 1):
             j = slice(i + 1, None)
@@ -299,7 +392,7 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 ok &= own[j] != own[i]
             if ok.any():
                 at = np.flatnonzero(ok) + i + 1
-                near = np.bitwise_count(cells[at] ^ cells[i]).sum(axis=1) <= bound(n[at], n[i], percent)
+                near = np.bitwise_count(cells[at] ^ cells[i]).sum(axis=1) <= _limit(bound(n[at], n[i], percent), level)
                 a += [fp[i]] * int(near.sum())
                 b += fp[at[near]].tolist()
         return a, b
@@ -331,8 +424,8 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text_key, n_shingles, component_id, group`` for every row (``group`` is null without words): documents link at ``percent`` of Jaccard similarity or more."""
+def _linked(docs: DataFrame, k: int, percent: int, doc: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with their class, classes, verified links between classes, and the component of each linked class."""
     spark = docs.sparkSession
 
     def stored(df: DataFrame, name: str) -> DataFrame:
@@ -340,27 +433,46 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, doc: str = "d
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    rows = stored(signatures(docs, k, doc, text), "signatures")
+    rows = stored(signatures(docs, k, percent, doc, text), "signatures")
     classes = stored(
         rows.filter(F.col("n") >= _least_size(percent)).groupBy("fp")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short")), "classes")
-    buckets = stored(_shared_buckets(_keys(docs, k, percent, text)), "buckets")
+        .agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "sketch", "sampled", "even", "odd")]), "classes")
+    met = stored(_shared_buckets(_keys(docs, k, percent, text)), "met")
+    buckets = stored(_shared_buckets(_without_largest(met, classes)), "buckets")
     pairs = buckets.filter("fp <> pivot").select(F.least("pivot", "fp").alias("a"), F.greatest("pivot", "fp").alias("b")).distinct()
-    near = stored(_near_pairs(pairs, classes, percent, "short"), "near")
-    tested = stored(_near_pairs(near, classes, percent, "sketch"), "near")
-    links = stored(_verified(tested, docs, classes, k, percent, doc, text), "links")
+
+    def links_of(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        near = stored(_near_pairs(pairs, classes, percent, True), "near")
+        near = stored(_near_pairs(near, classes, percent, False), "near")
+        return near, stored(_verified(near, docs, classes, k, percent, doc, text), "links")
+
+    tested, links = links_of(pairs)
 
     # buckets that hold several components besides their pivot's pairs
     known = components(links)
     other = buckets.filter("fp <> pivot").join(known.withColumnsRenamed({"id": "fp", "root": "comp"}), "fp", "left")
     other = other.select("key", "fp", F.coalesce("comp", "fp").alias("comp"))
     mixed = other.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
-    members = other.join(mixed.select("key", "size"), "key").join(classes.select("fp", "n", "sketch"), "fp")
-    more = stored(_block_pairs(members, percent).join(tested, ["a", "b"], "left_anti"), "near")
+    members = other.join(mixed.select("key", "size"), "key").join(classes.select("fp", "n", "sampled"), "fp")
+    more = stored(_block_pairs(members, percent).join(tested, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        links = links.unionByName(stored(_verified(more, docs, classes, k, percent, doc, text), "links"))
+        links = links.unionByName(links_of(more)[1])
         known = components(links)
+    return rows, classes, links, known
+
 
+def verified_links(docs: DataFrame, k: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``a, b``: links that were verified, between the smallest ids of sets that differ; a null id where a set has no other.
+    They span each component, and documents with equal sets are linked besides."""
+    _, classes, links, _ = _linked(docs, k, percent, doc, text)
+    name = classes.select("fp", "doc_id")
+    return links.join(name.withColumnsRenamed({"fp": "a", "doc_id": "x"}), "a").join(name.withColumnsRenamed({"fp": "b", "doc_id": "y"}), "b").select(
+        F.least("x", "y").alias("a"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.greatest("x", "y")).alias("b"))
+
+
+def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, text_key, n_shingles, component_id, group`` for every row (``group`` is null without words): documents link at ``percent`` of Jaccard similarity or more."""
+    rows, _, _, known = _linked(docs, k, percent, doc, text)
     placed = rows.select("doc_id", "text_key", "n", "fp").join(known.withColumnRenamed("id", "fp"), "fp", "left").select(
         "doc_id", "text_key", "n", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
     names = placed.filter(F.col("n") > 0).groupBy("root").agg(F.min("doc_id").alias("name"))

@@ -86,11 +86,19 @@ def test_sketches_are_sound():
                 most += 1
             b = np.unique(np.concatenate([a[most:], rng.integers(0, 2**63, most).astype(np.uint64)]))
             both, bounds = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
-            x, y = (np.frombuffer(s, np.uint64) for s in jaccard._short_sketches(both, bounds))
+            x, y = (np.frombuffer(s, np.uint64) for s in jaccard._sketches(both, bounds))
             if len(x) == len(y):
                 assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b)) <= jaccard.bound(len(a), len(b), 85)
+            # they share a part even after each has left out the worst ones it may leave out
             key, owner = jaccard._part_keys(both, bounds, 85)
-            assert set(key[owner == 0].tolist()) & set(key[owner == 1].tolist())
+            may = jaccard._allowances(np.diff(bounds), 85)
+            for parity in (0, 1):
+                own = [set(key[(owner == i) & (key & 1 == parity)].tolist()) for i in (0, 1)]
+                if own[0] & own[1]:
+                    assert len(own[0] & own[1]) > max(may[parity])
+                    break
+            else:
+                raise AssertionError("no part is shared")
 
 
 def test_orders_are_reversible():
@@ -109,3 +117,101 @@ def test_word_hashes_do_not_depend_on_the_slice(monkeypatch):
     parts = list(_text.word_sets(texts, 3))
     joined = [h for _, h, _ in parts]
     assert np.concatenate(joined).tolist() == whole[0][0] and len(parts) > 1
+
+
+def test_sampled_sketches_keep_linked_sets_of_any_size():
+    """Sets at the limit stay within the sampled limit, also where their sizes lie on two levels; unlike ones do not."""
+    rng = np.random.default_rng(8)
+    for n in (300, 511, 512, 513, 600, 1100, 5000, 40_000):
+        most = 0
+        while 100 * (n - most - 1) >= 80 * (n + most + 1):
+            most += 1
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for cut, linked in ((0, True), (most, True), (n * 9 // 10, False)):
+            fresh = np.unique(rng.integers(0, 2**63, cut).astype(np.uint64))
+            for b in (np.unique(np.concatenate([a[cut:], fresh])), a[:len(a) - min(cut, n // 5)]):
+                both, bounds = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+                x, y = (jaccard._stack([s]) for s in jaccard._sketches(both, bounds, True))
+                assert x.nbytes <= jaccard.SAMPLED // 2
+                p, q = jaccard._level(np.diff(bounds)).tolist()
+                x, y = jaccard._lift(x, max(p, q) - p), jaccard._lift(y, max(p, q) - q)
+                words = min(x.shape[1], y.shape[1])
+                far = int(np.bitwise_count(jaccard._fold(x, words) ^ jaccard._fold(y, words)).sum())
+                if linked:
+                    assert far <= jaccard._limit(jaccard.bound(len(a), len(b), 80), max(p, q))
+                elif len(b) > 0.85 * n:
+                    assert far > jaccard._limit(jaccard.bound(len(a), len(b), 80), max(p, q))
+
+
+@pytest.mark.parametrize("held, size", [(4, 3), (4, 50), (1 << 16, 7)])
+def test_buckets_stream_in_batches_of_any_size(spark, monkeypatch, held, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "HELD", held)
+    rng = np.random.default_rng(held + size)
+    key = np.sort(rng.choice([2, 3, 8, 9, 10, 41, 42], 90, p=[.5, .3, .04, .04, .04, .04, .04]))
+    place = rng.integers(-40, 40, 90)
+    order = np.lexsort([place, key])
+    key, place = key[order], place[order]
+    caught = {}
+
+    class Keys:  # stands for the sorted rows of one task
+        def repartition(self, *_): return self
+        def sortWithinPartitions(self, *_): return self
+        def mapInArrow(self, run, schema): caught["run"] = run
+
+    jaccard._shared_buckets(Keys())
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[a:a + size]), pa.array(place[a:a + size])], ["key", "place"]) for a in range(0, 90, size)]
+    got = sorted(tuple(r.values()) for b in caught["run"](iter(batches)) for r in b.to_pylist())
+    want = []
+    for k in np.unique(key):
+        p = np.unique(place[key == k])
+        fp = jaccard._class(np.full(len(p), k), p)
+        want += [(int(k), int(f), int(fp[0]), min(len(p), held)) for f in fp] if len(p) > 1 else []
+    assert got == sorted(want)
+
+
+def test_links_span_the_components(spark):
+    rows = list(enumerate(families(11, 60)))
+    links = jaccard.verified_links(docs(spark, rows), k=4, percent=85).collect()
+    sets = {i: shingle_set(t, 4) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        x, y = sets[a], sets[b]
+        assert 100 * len(x & y) >= 85 * len(x | y) and x != y
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    first = {}
+    for i, s in sets.items():
+        if s:
+            first.setdefault(s, i)
+    whole = groups(list(sets.values()), 85)
+    name = {}
+    for i, s in sets.items():
+        if s:
+            name.setdefault(whole[i], i)
+    assert {i: find(first[s]) for i, s in sets.items() if s} == {i: find(first[sets[name[whole[i]]]]) for i, s in sets.items() if s}
+    assert len({find(first[s]) for s in sets.values() if s}) == len(name)
+
+
+def test_a_passage_in_all_documents_and_long_texts(spark):
+    """Documents that are alike only by a common passage, and long families just below and above the limit."""
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = [f"d{i}x{rng.randrange(10**6)}" for _ in range(rng.choice([10, 30, 90]))]
+        rows.append((len(rows), " ".join(own[:5] + passage + own[5:])))
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(3000)]
+        for changes in (0, 40, 80, 100, 120, 160, 200):
+            copy = list(base)
+            for at in rng.sample(range(3000), changes):
+                copy[at] = f"n{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    check(rows, run(spark, rows, 4, 85), 4, 85)
