@@ -10,7 +10,7 @@ coarse score comes within twice that bound of the k-th may be among the best; th
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do null ids; vectors of
 different lengths have no common score; rows that repeat an id are candidates each, but none for their own id's query;
 queries that repeat id and vector count once; equal scores go to the smaller id; other columns are ignored.
-Components have to stay below 2**24 once scaled, so that scores are exact.
+Components have to stay below 2**24 once scaled, so that scores are exact; a larger one fails the job.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from landstrata.session import scratch_path
 
 BLOCK = 16_384  # rows of a block
 QUERIES = 256  # queries that meet a block at once
+LARGEST = 1 << 24  # scaled components stay below it
 STEPS = 4  # bits of a coarse value and of a coarse weight, besides the sign
 
 
@@ -35,7 +36,12 @@ def usable(vector: Column) -> Column:
 
 
 def quantised(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    whole = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("bigint"))
+    """``id, v``: whole numbers; one of LARGEST or more fails the job, since scores would no longer be exact."""
+    def step(x):
+        scaled = x.cast("double") * F.lit(float(scale))
+        return F.when(F.abs(scaled) < LARGEST, F.floor(scaled)).otherwise(F.raise_error(F.concat(F.lit("component too large for exact scores: "), x.cast("string"))).cast("bigint"))
+
+    whole = F.transform(F.col(vector), step)
     return df.filter(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), whole.alias("v"))
 
 

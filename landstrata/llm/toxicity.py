@@ -31,7 +31,7 @@ from landstrata.session import scratch_path
 from ._text import give_back
 
 SAMPLE = 30_000  # labelled documents to learn from, at most
-TERMS = 3_000  # entries of the lexicon, at most
+TERMS = 3_000  # entries of the lexicon, at most, chosen among ten times as many of the most frequent terms of toxic documents
 STRONG, WEAK = 3.0, 1.4  # log odds
 NEAR = 5  # words
 
@@ -42,7 +42,8 @@ SECOND_PERSON = frozenset(
 #: Signs that stand for letters.
 _LETTERS = str.maketrans("0134578@$!|", "oieastbasil")
 _WORD = re.compile(r"[^\W_]+")
-_MIXED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[0-9@$*!|]\S*[^\W\d_])\S+")
+#: What white space separates, if a letter follows on a sign or digit; possessive, so that a token is read once.
+_MIXED = re.compile(r"(?<!\S)[^\s0-9@$*!|]*+[0-9@$*!|](?:[\d_]|[^\w\s])*+[^\W\d_]\S*+")
 _SIZES = range(5, 10)  # lengths of word beginnings
 FEATURES = 17
 
@@ -56,17 +57,19 @@ def _terms(text: str) -> set[str]:
     return {w + "." for w in words} | {w[:n] for w in words for n in _SIZES if len(w) >= n}
 
 
-def sample_labels(labels: DataFrame, rows: int, doc: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """``id, toxic, role`` of at most ``rows`` documents outside the held-out fifth, drawn by a hash of the id."""
+def sample_labels(labels: DataFrame, rows: int, doc: str = "doc_id", label: str = "toxic", ids: DataFrame | None = None) -> DataFrame:
+    """``id, toxic, role`` of at most ``rows`` documents outside the held-out fifth, drawn by a hash of the id; with ``ids``
+    (one column ``id``) only labels of these documents are drawn."""
     spark, path = labels.sparkSession, scratch_path(labels.sparkSession, "labels")
     known = labels.filter(F.col(label).isNotNull() & F.col(doc).isNotNull() & ~held_out(F.col(doc)))
     known = known.groupBy(F.col(doc).cast("bigint").alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
+    known = known if ids is None else known.join(ids, "id", "left_semi")
     drawn = known.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(rows)
     drawn.withColumn("role", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(10)).cast("int")).write.parquet(path)
     return spark.read.parquet(path)
 
 
-def learn_lexicon(docs: DataFrame, sample: DataFrame, doc: str, text: str) -> dict[str, float]:
+def learn_lexicon(docs: DataFrame, sample: DataFrame, doc: str, text: str, terms: int = TERMS) -> dict[str, float]:
     """Log odds of words ("word.") and word beginnings among the toxic documents of roles 0 to 3."""
     def count(batches):
         seen = (Counter(), Counter())
@@ -95,11 +98,11 @@ def learn_lexicon(docs: DataFrame, sample: DataFrame, doc: str, text: str) -> di
     texts = docs.sparkSession.read.parquet(path)
     n = dict(texts.groupBy("__toxic").count().collect())
     bad = texts.filter("__toxic = 1").mapInArrow(count, "term string, bad bigint").groupBy("term").agg(F.sum("bad").alias("bad"))
-    often = {r["term"]: r["bad"] for r in bad.filter(f"bad >= {max(4, n.get(1, 0) // 500)}").orderBy(F.desc("bad"), "term").limit(10 * TERMS).collect()}
+    often = {r["term"]: r["bad"] for r in bad.filter(f"bad >= {max(4, n.get(1, 0) // 500)}").orderBy(F.desc("bad"), "term").limit(10 * terms).collect()}
     good = texts.filter("__toxic = 0").select("__text").mapInArrow(count_clean(frozenset(often)), "term string, good bigint")
     clean = {r["term"]: r["good"] for r in good.groupBy("term").agg(F.sum("good").alias("good")).collect()}
     odds = {t: math.log((a + 0.5) / (n.get(1, 0) + 1)) - math.log((clean.get(t, 0) + 0.5) / (n.get(0, 0) + 1)) for t, a in often.items()}
-    best = sorted((t for t in odds if odds[t] >= WEAK), key=lambda t: (-odds[t] * often[t], t))[:TERMS]
+    best = sorted((t for t in odds if odds[t] >= WEAK), key=lambda t: (-odds[t] * often[t], t))[:terms]
     return {t: round(odds[t], 6) for t in best}
 
 
@@ -173,11 +176,12 @@ def training_rows(dense: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, doc: str = "doc_id", text: str = "text", label: str = "toxic",
-          label_doc: str = "doc_id") -> DataFrame:
-    """``doc_id, text_key, score`` for every row of ``docs``; at most ``rows`` labelled documents are learnt from."""
+          label_doc: str = "doc_id", terms: int = TERMS) -> DataFrame:
+    """``doc_id, text_key, score`` for every row of ``docs``; at most ``rows`` labelled documents are learnt from, and the
+    lexicon has at most ``terms`` entries."""
     spark = docs.sparkSession
-    sample = sample_labels(labels, rows, label_doc, label)
-    lexicon = learn_lexicon(docs, sample, doc, text)
+    sample = sample_labels(labels, rows, label_doc, label, docs.select(F.col(doc).cast("bigint").alias("id")))
+    lexicon = learn_lexicon(docs, sample, doc, text, terms)
     path = scratch_path(spark, "features")
     features(docs, lexicon, doc, text).write.parquet(path)
     dense = spark.read.parquet(path)

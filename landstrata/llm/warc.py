@@ -65,13 +65,16 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The original records: ``key, header, payload, record`` (header, payload and the two closing line breaks)."""
+    """The original records: ``key, header, payload, record`` (header, payload and the two closing line breaks).
+
+    A payload that is missing or differs from its digest fails the job, so no record is left out silently."""
     stored = spark.read.parquet(f"{path}/payloads").withColumn(
         "payload",
         F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload"))
         .otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("digest"))).cast("binary")))
     return (
-        spark.read.parquet(f"{path}/headers").join(stored, "digest")
+        spark.read.parquet(f"{path}/headers").join(stored, "digest", "left")
+        .withColumn("payload", F.coalesce("payload", F.raise_error(F.concat(F.lit("no payload has the digest "), F.col("digest"))).cast("binary")))
         .select("key", "header", "payload", F.concat("header", "payload", F.lit((END * 2).encode())).alias("record"))
     )
 

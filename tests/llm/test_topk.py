@@ -68,3 +68,11 @@ def test_bitmap_sums_and_selection():
     assert set(topk._rows(topk._top(slices, alive, 20))) == set(np.flatnonzero(total >= kth))
     for limit in (-5, 0, int(kth), int(total.max()), int(total.max()) + 1, 10**6):
         assert set(topk._rows(topk._at_least(slices, alive, limit))) == set(np.flatnonzero(total >= limit))
+
+
+def test_components_too_large_for_exact_scores_fail(spark):
+    rows = [(0, [0.5, 1.0]), (1, [1e15, 0.0])]
+    with pytest.raises(Exception, match="component too large"):
+        run(spark, rows, {0}, 3)
+    rows[1] = (1, [16383.99, 0.0])
+    assert run(spark, rows, {0}, 3) == brute(rows, {0}, 3)

@@ -84,3 +84,26 @@ def test_features():
     bad = f("You SCUM, you 1d10t! achlichkeit")
     assert len(plain) == len(bad) == toxicity.FEATURES and plain[1] == 0 and bad[1] > 0 and bad[4] > 0 and bad[9] > 0 and bad[15] > 0 and bad[11] > plain[11]
     assert f("") == f("  ")[:13] + f("")[13:]
+
+
+def test_features_of_long_tokens_take_linear_time():
+    import re
+    import time
+
+    featurize = toxicity.Featurizer({"idiot.": 4.0, "moron": 2.0})
+    for token in ("a" + "1" * 5_000_000, "1" * 5_000_000, "x" * 5_000_000, "@_" * 2_500_000 + "a"):
+        start = time.perf_counter()
+        featurize(token)
+        assert time.perf_counter() - start < 5
+    slow = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[0-9@$*!|]\S*[^\W\d_])\S+")
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choices("aé1٣@_ .!\n\t-Z", k=rng.randint(0, 14)))
+        assert toxicity._MIXED.findall(text) == slow.findall(text), text
+
+
+def test_labels_without_documents_are_not_drawn(spark):
+    _, labels = corpus(200)
+    ids = spark.range(50, 60).toDF("id")
+    drawn = toxicity.sample_labels(label_table(spark, labels), 5, ids=ids).collect()
+    assert len(drawn) == 5 and all(50 <= r["id"] < 60 for r in drawn)

@@ -55,3 +55,13 @@ def test_damaged_payload_is_noticed(spark):
 
 def test_empty_table(spark):
     assert fields(spark, archive(spark, [])).count() == 0
+
+
+def test_a_missing_payload_fails(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 200), (2, "v", "x" * 200), (3, "w", "y")], "page_id bigint, url string, html string")
+    path = scratch_path(spark, "broken")
+    warc.write_archive(pages, f"{path}/whole")
+    spark.read.parquet(f"{path}/whole/headers").write.parquet(f"{path}/less/headers")
+    spark.read.parquet(f"{path}/whole/payloads").filter("length(payload) > 1").write.parquet(f"{path}/less/payloads")
+    with pytest.raises(Exception, match="no payload has the digest"):
+        warc.read_archive(spark, f"{path}/less").collect()
