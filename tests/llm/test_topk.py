@@ -74,5 +74,5 @@ def test_components_too_large_for_exact_scores_fail(spark):
     rows = [(0, [0.5, 1.0]), (1, [1e15, 0.0])]
     with pytest.raises(Exception, match="component too large"):
         run(spark, rows, {0}, 3)
-    rows[1] = (1, [16383.99, 0.0])
+    rows[1] = (1, [16383.5, 0.0])
     assert run(spark, rows, {0}, 3) == brute(rows, {0}, 3)
