@@ -69,10 +69,10 @@ def nearest_centroid(df: DataFrame, key: str, vec: str, centroids: DataFrame, ck
     return src.mapInPandas(run, schema)
 
 
-def noise_to_nearest(df: DataFrame, key: str, vec: str, label: str, noise: int = 0, out: str = "label_filled") -> DataFrame:
-    """Rows labelled ``noise`` take the label of their nearest labelled row."""
+def noise_to_nearest(df: DataFrame, key: str, vec: str, label: str, noise: int = 0, out: str = "label_filled", **kw) -> DataFrame:
+    """Rows labelled ``noise`` take the label of their nearest labelled row; further arguments go to the search."""
     good, bad = df.filter(F.col(label) != noise), df.filter(F.col(label) == noise)
-    nn = knn_join(bad, good, 1, qid=key, rid=key, qvec=vec, rvec=vec, exclude_self=False)
+    nn = knn_join(bad, good, 1, qid=key, rid=key, qvec=vec, rvec=vec, exclude_self=False, **kw)
     filled = nn.join(good.select(F.col(key).alias("j"), F.col(label).alias(out)), "j").select(F.col("i").alias(key), out)
     return df.join(filled, key, "left").withColumn(out, F.coalesce(F.col(out), F.col(label)))
 

@@ -10,6 +10,8 @@ Plan, for n reference vectors:
 3. Cells larger than one block are split by a hash of the id, and the queries of a cell are split the
    same way, so a task sees at most one block of references and one block of queries, whatever the skew.
 4. A task returns the best k per query; a window merges the partial lists.
+5. Beyond one block the references that travel are their approximations (``vafile``): one byte a dimension with bounds on
+   the distance, and whole vectors are joined for the few pairs that the bounds leave.
 
 The pivots and the per-cell bounds (a few numbers per pivot) are all that reaches the driver.
 """
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
+from . import vafile
 
 REF_BLOCK = 4096
 QUERY_BLOCK = 8192
+FILE_BLOCK = 8 * REF_BLOCK  # approximations are an eighth of the vectors
 MAX_PIVOTS = 256
 DIGITS = 9  # distances are rounded before ties are broken by id
 
@@ -215,7 +219,8 @@ def _lookup(values: dict[int, int], key: Column) -> Column:
 
 
 def _cell_join(q: DataFrame, r: DataFrame, kernel, schema, n_refs: int, need: int | None, radius: float | None,
-               n_pivots: int, ref_block: int, query_block: int) -> DataFrame:
+               n_pivots: int, ref_block: int, query_block: int, grid: vafile.Grid | None = None) -> DataFrame:
+    """Pairs of blocks whose cells may hold an answer; with ``grid`` the references' approximations meet the queries."""
     # pivots: a bounded, seeded sample of the references
     sample = r.select("_rv").orderBy(F.xxhash64("_rv"), "_rv").limit(n_pivots).collect()
     pivots = np.unique(np.array([row[0] for row in sample], dtype=np.float64), axis=0)
@@ -236,6 +241,7 @@ def _cell_join(q: DataFrame, r: DataFrame, kernel, schema, n_refs: int, need: in
     qb = routed.withColumn("_qc", F.pmod(F.xxhash64("_q"), _lookup(chunks, F.col("_cell"))))
     qb = qb.withColumn("_sub", F.explode(F.sequence(F.lit(0), _lookup(subs, F.col("_cell")) - 1)))
     rb = ra.filter(F.col("_cell").isin(*load) if load else F.lit(False))
+    rb = rb if grid is None else vafile.approximate(rb, "_rv", grid)
     rb = rb.withColumn("_sub", F.pmod(F.xxhash64("_r"), _lookup(subs, F.col("_cell"))).cast("int"))
     rb = rb.withColumn("_qc", F.explode(F.sequence(F.lit(0).cast("long"), (_lookup(chunks, F.col("_cell")) - 1).cast("long"))))
     keys = ["_cell", "_sub", "_qc"]
@@ -250,12 +256,13 @@ def _pair_schema(q: DataFrame, r: DataFrame) -> T.StructType:
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", rid: str = "id", qvec: str = "z", rvec: str = "z",
              exclude_self: bool = True, q_extra: tuple[str, ...] = (), r_extra: tuple[str, ...] = (), allow: Allow | None = None,
              max_excluded: int | None = 0, ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK, pivots: int | None = None,
-             within: tuple[str, ...] = ()) -> DataFrame:
+             within: tuple[str, ...] = (), bits: int | None = None) -> DataFrame:
     """(i, j, d, rank): the k nearest references of every query by Euclidean distance, ties by smaller id.
 
     ``within`` names key columns of both sides (a batch, a patch): only rows of one key are compared, a null key
     matches none, and no row is copied beyond its key.  Without it the whole table is searched; where vectors have many
-    dimensions of like weight, pivots exclude little and that search compares nearly all blocks.
+    dimensions of like weight, pivots exclude little and that search compares nearly all blocks, then of the vectors'
+    approximations: ``bits`` a dimension, 8 by default for tables of more than one block.
 
     ``allow`` is a vectorised pair predicate on the extra columns (``q_*`` and ``r_*``).  ``max_excluded``
     says how many references it can forbid to one query; with None no pruning and no de-duplication happen.
@@ -279,12 +286,20 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
     if n == 0:
         return q.sparkSession.createDataFrame([], T.StructType([
             T.StructField("i", schema[0].dataType), T.StructField("j", schema[1].dataType), T.StructField("d", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
-    if n <= ref_block and pivots is None:
-        parts = block_product(q, r, kernel, schema, n, ref_block, query_block)
-    else:
-        n_pivots = pivots or min(MAX_PIVOTS, max(2, math.ceil(math.sqrt(n))))
-        parts = _cell_join(q, r, kernel, schema, n, need, None, n_pivots, ref_block, query_block)
-    return _ranked(parts, k)
+    if n <= ref_block and pivots is None and bits is None:
+        return _ranked(block_product(q, r, kernel, schema, n, ref_block, query_block), k)
+    n_pivots = pivots or min(MAX_PIVOTS, max(2, math.ceil(math.sqrt(n))))
+    if pivots is not None and bits is None:
+        return _ranked(_cell_join(q, r, kernel, schema, n, need, None, n_pivots, ref_block, query_block), k)
+    grid = vafile.learn_grid(r, "_rv", bits or vafile.BITS)
+    kernel = vafile.candidate_kernel(grid, k, 0.0, math.inf, exclude_self, allow, _forbid)
+    file_block = FILE_BLOCK if ref_block == REF_BLOCK else ref_block
+    parts = _cell_join(q, r, kernel, _bound_schema(q, r), n, need, None, n_pivots, file_block, query_block, grid)
+    return _ranked(vafile.exact_distances(vafile.nearest_candidates(parts, k), q, r, DIGITS), k)
+
+
+def _bound_schema(q: DataFrame, r: DataFrame) -> T.StructType:
+    return T.StructType([*_pair_schema(q, r).fields[:2], T.StructField("lo", T.DoubleType()), T.StructField("up", T.DoubleType())])
 
 
 def _ranked(parts: DataFrame, k: int) -> DataFrame:
@@ -295,8 +310,12 @@ def _ranked(parts: DataFrame, k: int) -> DataFrame:
 
 def radius_join(queries: DataFrame, refs: DataFrame, min_d: float, max_d: float, *, qid: str = "id", rid: str = "id", qvec: str = "z",
                 rvec: str = "z", exclude_self: bool = True, ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK,
-                pivots: int | None = None, within: tuple[str, ...] = ()) -> DataFrame:
-    """(i, j, d) with min_d <= d < max_d; cells farther than ``max_d`` are never visited, nor rows of another ``within`` key."""
+                pivots: int | None = None, within: tuple[str, ...] = (), bits: int | None = None) -> DataFrame:
+    """(i, j, d) with min_d <= d < max_d; cells farther than ``max_d`` are never visited, nor rows of another ``within`` key.
+
+    With ``bits`` approximations of the references meet the queries and the pairs that their bounds allow are joined with
+    whole vectors: better where few pairs lie within the radius, worse for a band that holds many.
+    """
     q, r = _side(queries, qid, qvec, (), "q", within), _side(refs, rid, rvec, (), "r", within)
     kernel, schema = _radius_kernel(min_d, max_d, exclude_self, None), _pair_schema(q, r)
     if within:
@@ -304,7 +323,12 @@ def radius_join(queries: DataFrame, refs: DataFrame, min_d: float, max_d: float,
         return parts.select(F.col("_q").alias("i"), F.col("_r").alias("j"), "d")
     r = cut_lineage(r)
     n = r.count()
-    if n <= ref_block and pivots is None:
+    if bits is not None and n:
+        grid = vafile.learn_grid(r, "_rv", bits)
+        kernel = vafile.candidate_kernel(grid, None, min_d, max_d, exclude_self, None, _forbid)
+        found = _cell_join(q, r, kernel, _bound_schema(q, r), n, None, max_d, pivots or min(MAX_PIVOTS, max(2, math.ceil(math.sqrt(n)))), ref_block, query_block, grid)
+        parts = vafile.exact_distances(found.select("_q", "_r"), q, r, DIGITS).filter((F.col("d") >= min_d) & (F.col("d") < max_d))
+    elif n <= ref_block and pivots is None:
         parts = block_product(q, r, kernel, schema, max(n, 1), ref_block, query_block)
     else:
         parts = _cell_join(q, r, kernel, schema, n, None, max_d, pivots or min(MAX_PIVOTS, max(2, math.ceil(math.sqrt(n)))), ref_block, query_block)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import cut_lineage
+from .bands import band_pairs
 from .neighbors import DIGITS, block_product, finite_vectors, knn_join, radius_join
+from .products import inner_product_join
 from .quantiles import exact_quantiles, q_name
 from .stats import with_row
 
@@ -141,15 +143,19 @@ def radius_pairs(df: DataFrame, min_d: float, max_d: float, key: str = "id", vec
     return radius_join(df, df, min_d, max_d, qid=key, rid=key, qvec=vec, rvec=vec, **kw)
 
 
-def spatially_constrained_pairs(df: DataFrame, k: int, candidates: DataFrame, key: str = "id", vec: str = "z", row: str = "row", col: str = "col",
-                                strategy: str = "mutual-knn", pos_min: float = 4.0, neg_min: float = 8.0, low: float = 0.5, high: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """Positives: (mutual) kNN at least ``pos_min`` apart.  Negatives: the quantile band of the candidate
-    pairs at least ``neg_min`` apart (candidates come from a bounded sampler, never all pairs)."""
-    pos = knn_pairs_spatial(df, k, pos_min, key, vec, row, col)
+def spatially_constrained_pairs(df: DataFrame, k: int, candidates: DataFrame | None = None, key: str = "id", vec: str = "z", row: str = "row", col: str = "col",
+                                strategy: str = "mutual-knn", pos_min: float = 4.0, neg_min: float = 8.0, low: float = 0.5, high: float = 0.75,
+                                within: tuple[str, ...] = (), **kw) -> tuple[DataFrame, DataFrame]:
+    """Positives: (mutual) kNN at least ``pos_min`` apart.  Negatives: the quantile band of all pairs at least
+    ``neg_min`` apart, or of the ``candidates`` (i, j) among them.  ``within`` keeps both to pairs of one key."""
+    pos = knn_pairs_spatial(df, k, pos_min, key, vec, row, col, within=within, **kw)
     if strategy == "mutual-knn":
         pos = mutual(pos)
     elif strategy != "knn":
         raise ValueError(f"unknown strategy {strategy!r}")
+    if candidates is None:
+        d = df.withColumns({"row": F.col(row), "col": F.col(col)})
+        return pos, band_pairs(d, low, high, key, vec, within, ("row", "col"), _far_enough(neg_min, False))
     at = df.select(F.col(key).alias("_k"), F.col(row).cast("double").alias("_r"), F.col(col).cast("double").alias("_c"))
     c = pair_distance(candidates.select("i", "j"), df, key, vec)
     c = c.join(at.withColumnsRenamed({"_k": "i", "_r": "ri", "_c": "ci"}), "i").join(at.withColumnsRenamed({"_k": "j", "_r": "rj", "_c": "cj"}), "j")
@@ -266,19 +272,16 @@ def top_projection(df: DataFrame, vec: str, dim: int, rank: int) -> np.ndarray:
     return mean, top / np.sqrt(np.maximum(val[order] * (n - 1), 1e-300))
 
 
-def baseline_demean_by_neighbours(df: DataFrame, key: str, vec: str, dim: int, channels: list[str], rank: int = 8, k: int = 20) -> DataFrame:
+def baseline_demean_by_neighbours(df: DataFrame, key: str, vec: str, dim: int, channels: list[str], rank: int = 8, k: int = 20,
+                                  projection: tuple[np.ndarray, np.ndarray] | None = None, **kw) -> DataFrame:
     """Channels minus their mean over the k rows most similar (inner product) in a rank-K projection.
 
-    The largest inner products are the nearest neighbours after one extra coordinate: with
-    x' = (x, sqrt(M^2 - |x|^2)) on the reference side and (q, 0) on the query side, |q - x'|^2 equals
-    |q|^2 + M^2 - 2<q, x>, so the exact kNN join applies.
+    ``projection`` is (mean, matrix of one column a component); by default the leading principal directions of the rows.
     """
-    mean, proj = top_projection(df, vec, dim, rank)
+    mean, proj = projection if projection is not None else top_projection(df, vec, dim, rank)
     p = df.withColumn("_p", V.linear_map(F.zip_with(F.col(vec).cast("array<double>"), V.literal_vector(mean), lambda x, m: x - m), proj.T))
-    m2 = p.agg(F.max(V.dot("_p", "_p"))).scalar()
-    refs = p.withColumn("_m2", m2).withColumn("_v", F.concat("_p", F.array(F.sqrt(F.greatest(F.col("_m2") - V.dot("_p", "_p"), F.lit(0.0))))))
-    queries = p.withColumn("_v", F.concat("_p", F.array(F.lit(0.0))))
-    nn = knn_join(queries, refs, k, qid=key, rid=key, qvec="_v", rvec="_v")
+    p = cut_lineage(p.select(key, "_p"))
+    nn = inner_product_join(p, p, k, qid=key, rid=key, qvec="_p", rvec="_p", **kw)
     vals = df.select(F.col(key).alias("j"), *channels)
     base = nn.join(vals, "j").groupBy(F.col("i").alias(key)).agg(*[F.avg(c).alias(f"{c}_base") for c in channels])
     return df.join(base, key).withColumns({f"{c}_demeaned": F.col(c) - F.col(f"{c}_base") for c in channels})

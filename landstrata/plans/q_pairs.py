@@ -56,6 +56,12 @@ def _(spark, d):
     return rounded(NB.knn_join(e, e, 5, pivots=16, ref_block=64, query_block=128), 6)
 
 
+@query("j07_knn_pairs_file", _ALL + f"select i, j, round(d, 6) d, cast(rk as int) as rank from {_knn(8)}")
+def _(spark, d):
+    # approximations of one byte a dimension meet the queries, whole vectors only the pairs they leave
+    return rounded(P.knn_pairs(emb(spark, d), 8, bits=8, ref_block=128, query_block=128), 6)
+
+
 @query("j08_mutual_knn_pairs", _ALL + f", k as {_knn(8)} select a.i, a.j, round(a.d, 6) d from k a join k b on a.i = b.j and a.j = b.i")
 def _(spark, d):
     return rounded(P.mutual_knn_pairs(emb(spark, d), 8).select("i", "j", "d"), 6)
@@ -82,20 +88,32 @@ def _(spark, d):
 
 @query("j10_quantile_pairs_in_patch", _SAME + ", q as (select quantile_cont(d, 0.5) lo, quantile_cont(d, 0.75) hi from ap) select i, j, round(d, 6) d from ap, q where d >= lo and d < hi")
 def _(spark, d):
-    # the band of all distances inside the patches, near and far
-    return rounded(P.quantile_pairs(P.radius_pairs(emb(spark, d), 0.0, float("inf"), within=_KEY), 0.5, 0.75), 6)
+    # the band of all distances inside the patches, near and far; no other pair leaves a task
+    return rounded(P.band_pairs(emb(spark, d), 0.5, 0.75, within=_KEY), 6)
+
+
+@query("j10_quantile_pairs_all", _ALL + ", q as (select quantile_cont(d, 0.02) lo, quantile_cont(d, 0.06) hi from ap) select i, j, round(d, 6) d from ap, q where d >= lo and d < hi")
+def _(spark, d):
+    # all pairs of the table, in blocks; ranks found by cutting cells twice
+    return rounded(P.band_pairs(emb(spark, d), 0.02, 0.06, ref_block=128, query_block=256, few=20), 6)
 
 
 @query("j12_negatives_in_patch", _SAME + """, f as (select ap.* from ap join emb a on a.id = i join emb b on b.id = j
  where sqrt((a.prow - b.prow) * (a.prow - b.prow) + (a.pcol - b.pcol) * (a.pcol - b.pcol)) >= 3), q as (select quantile_cont(d, 0.5) lo, quantile_cont(d, 0.75) hi from f)
 select i, j, round(d, 6) d from f, q where d >= lo and d < hi""")
 def _(spark, d):
-    e = emb(spark, d)
-    pairs = P.radius_pairs(e, 0.0, float("inf"), within=_KEY).select("i", "j")
-    _pos, neg = P.spatially_constrained_pairs(e, 8, pairs, row="prow", col="pcol", neg_min=3.0)
+    _pos, neg = P.spatially_constrained_pairs(emb(spark, d), 8, row="prow", col="pcol", neg_min=3.0, within=_KEY)
     return rounded(neg, 6)
 
 
+@query("j12_positives_in_patch", _SAME + f""", f as (select ap.* from ap join emb a on a.id = i join emb b on b.id = j
+ where sqrt((a.prow - b.prow) * (a.prow - b.prow) + (a.pcol - b.pcol) * (a.pcol - b.pcol)) >= 2), k as {_knn(6, "f")}
+select a.i, a.j, round(a.d, 6) d from k a join k b on a.i = b.j and a.j = b.i""")
+def _(spark, d):
+    pos, _neg = P.spatially_constrained_pairs(emb(spark, d), 6, row="prow", col="pcol", pos_min=2.0, neg_min=3.0, within=_KEY)
+    return rounded(pos.select("i", "j", "d"), 6)
+
+
 _SPAT = _E + f""", ap as (select a.id i, b.id j, {_DIST} d from emb a join emb b on a.id <> b.id
  where sqrt((a.prow - b.prow) * (a.prow - b.prow) + (a.pcol - b.pcol) * (a.pcol - b.pcol)) >= 4 """
 
@@ -106,6 +124,12 @@ def _(spark, d):
     return rounded(P.mutual_knn_blocked(e, 8, 4.0, "patch", row="prow", col="pcol").select("i", "j", "d"), 6)
 
 
+@query("j09_mutual_knn_file", _SPAT + f" or a.brow * 1000 + a.bcol <> b.brow * 1000 + b.bcol), k as {_knn(8)} select a.i, a.j, round(a.d, 6) d from k a join k b on a.i = b.j and a.j = b.i")
+def _(spark, d):
+    e = emb(spark, d).withColumn("patch", F.col("brow") * 1000 + F.col("bcol"))
+    return rounded(P.mutual_knn_blocked(e, 8, 4.0, "patch", row="prow", col="pcol", bits=8, ref_block=128, query_block=128).select("i", "j", "d"), 6)
+
+
 @query("j12_spatially_constrained_pairs", _SPAT + f"), k as {_knn(8)} select a.i, a.j, round(a.d, 6) d from k a join k b on a.i = b.j and a.j = b.i")
 def _(spark, d):
     e = emb(spark, d)
@@ -137,6 +161,11 @@ def _(spark, d):
     return rounded(P.radius_pairs(emb(spark, d), 0.0, 1.2, pivots=16, ref_block=64, query_block=128), 6)
 
 
+@query("j11_radius_pairs_file", _ALL + "select i, j, round(d, 6) d from ap where d >= 0.9 and d < 1.15")
+def _(spark, d):
+    return rounded(P.radius_pairs(emb(spark, d), 0.9, 1.15, bits=8, ref_block=128, query_block=128), 6)
+
+
 @query("j13_symmetric_pairs", _ALL + f", k as {_knn(5)}, a as (select * from k where i in (select id from emb where split <> 'train')) select i, j from a union all select j, i from a where j in (select id from emb where split <> 'train')")
 def _(spark, d):
     e = emb(spark, d)
@@ -264,12 +293,23 @@ def _(spark, d):
     return rounded(K.nearest_centroid(e.withColumn("macro", F.col("pcol") < 12), "id", "z", cents, "evt", "v", "macro"), 6)
 
 
-@query("j28_noise_to_nearest", _ALL + """, l as (select id, case when prow % 3 = 0 then 0 else evt + 1 end lab from emb),
+_NOISE = _ALL + """, l as (select id, case when prow % 3 = 0 then 0 else evt + 1 end lab from emb),
 n as (select i, j from ap join l a on a.id = i and a.lab = 0 join l b on b.id = j and b.lab <> 0 qualify row_number() over (partition by i order by d, j) = 1)
-select l.id, l.lab, coalesce(b.lab, l.lab) as label_filled from l left join n on n.i = l.id left join l b on b.id = n.j""")
+select l.id, l.lab, coalesce(b.lab, l.lab) as label_filled from l left join n on n.i = l.id left join l b on b.id = n.j"""
+
+
+def _noisy(spark, d):
+    return emb(spark, d).withColumn("lab", F.when(F.col("prow") % 3 == 0, 0).otherwise(F.col("evt") + 1))
+
+
+@query("j28_noise_to_nearest", _NOISE)
+def _(spark, d):
+    return K.noise_to_nearest(_noisy(spark, d), "id", "z", "lab").select("id", "lab", "label_filled")
+
+
+@query("j28_noise_to_nearest_file", _NOISE)
 def _(spark, d):
-    e = emb(spark, d).withColumn("lab", F.when(F.col("prow") % 3 == 0, 0).otherwise(F.col("evt") + 1))
-    return K.noise_to_nearest(e, "id", "z", "lab").select("id", "lab", "label_filled")
+    return K.noise_to_nearest(_noisy(spark, d), "id", "z", "lab", bits=6, ref_block=128, query_block=128).select("id", "lab", "label_filled")
 
 
 _W2 = ctes("emb", "response") + f""", e as (select emb.*, y, y2 from emb join response using (id)),
@@ -378,6 +418,29 @@ def _(spark, d):
     return rounded(out.select("id", "y_demeaned", "y2_demeaned"), 5)
 
 
+_IP = ctes("emb", "response") + """, e as (select emb.*, y, y2 from emb join response using (id)),
+ip as (select a.id i, b.id j, round (list_dot_product(list_transform(a.z[1:8], lambda x: x::double - 0.01), list_transform(b.z[1:8], lambda x: x::double - 0.01)), 9) s from e a join e b on a.id <> b.id),
+k as (select i, j, s, row_number() over (partition by i order by s desc, j) rk from ip qualify rk <= 20) """
+
+
+@query("j23_inner_product_neighbours", _IP + "select i, j, round(s, 6) score, cast(rk as int) as rank from k")
+def _(spark, d):
+    from ..operators.products import inner_product_join
+
+    e = emb(spark, d).join(fx(spark, d, "response"), "id")
+    e = e.withColumn("p", F.transform(F.slice("z", 1, 8), lambda x: x - F.lit(0.01)))
+    return rounded(inner_product_join(e, e, 20, qvec="p", rvec="p", band=64, query_block=128), 6)
+
+
+@query("j23_baseline_demean_given_projection", _IP + "select e.id, round(e.y - b.y, 5) y_demeaned, round(e.y2 - b.y2, 5) y2_demeaned from e join (select i, avg(e.y) y, avg(e.y2) y2 from k join e on e.id = k.j group by 1) b on b.i = e.id")
+def _(spark, d):
+    import numpy as np
+
+    e = emb(spark, d).join(fx(spark, d, "response"), "id")
+    out = P.baseline_demean_by_neighbours(e, "id", "z", 64, ["y", "y2"], projection=(np.full(64, 0.01), np.eye(64)[:, :8]))
+    return rounded(out.select("id", "y_demeaned", "y2_demeaned"), 5)
+
+
 @query("s23_write_embeddings", _E + "select id, prow as pixel_row, pcol as pixel_col, split, evt, round(z[1]::double, 6) z_type_0, round(z[48]::double, 6) z_type_47, round(z[64]::double, 6) z_phase_7 from emb")
 def _(spark, d):
     from ..sources.sinks import embedding_rows
