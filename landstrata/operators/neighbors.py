@@ -294,6 +294,8 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
     grid = vafile.learn_grid(r, "_rv", bits or vafile.BITS)
     kernel = vafile.candidate_kernel(grid, k, 0.0, math.inf, exclude_self, allow, _forbid)
     file_block = FILE_BLOCK if ref_block == REF_BLOCK else ref_block
+    # a block returns k references a query or more, so cells are not made smaller than a block
+    n_pivots = pivots or min(MAX_PIVOTS, math.ceil(n / ref_block))
     parts = _cell_join(q, r, kernel, _bound_schema(q, r), n, need, None, n_pivots, file_block, query_block, grid)
     return _ranked(vafile.exact_distances(vafile.nearest_candidates(parts, k), q, r, DIGITS), k)
 
