@@ -49,7 +49,7 @@ def test_few_exact_distances_on_the_test_vectors(spark, monkeypatch):
     left = []
     real = vafile.nearest_candidates
     monkeypatch.setattr(vafile, "nearest_candidates", lambda p, k: (left.append(p.count()), real(p, k))[1])
-    neighbors.knn_join(e, e, 8, bits=8, ref_block=128).count()
+    neighbors.knn_join(e, e, 8, bits=8).count()
     assert left[0] < 0.1 * n * (n - 1)  # also what the blocks return stays below a tenth of all pairs
 
 
