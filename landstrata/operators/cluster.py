@@ -287,27 +287,55 @@ def silhouette_sweep(df: DataFrame, key: str, vec: str, ks: list[int], kind: str
 # Ward on bounded lists -----------------------------------------------------------------------
 
 
-def ward_labels(dist: np.ndarray, k: int) -> np.ndarray:
-    """Ward.D2 cut of a small distance matrix; labels 1..k in order of first appearance."""
+def ward_merges(dist: np.ndarray) -> list[tuple[float, int, int]]:
+    """Merges of Ward.D2 as (squared height, row, row), a row of each side, from low to high.
+
+    A chain of nearest neighbours ends in a pair that are each other's nearest; Ward's heights never fall, so such
+    pairs may be merged at once and the order is restored by sorting. That takes time quadratic in the rows.
+    """
     n = len(dist)
     d2 = dist.astype(float) ** 2
     np.fill_diagonal(d2, np.inf)
-    size, member, active = np.ones(n), [[i] for i in range(n)], list(range(n))
-    while len(active) > max(k, 1):
-        sub = d2[np.ix_(active, active)]
-        a, b = np.unravel_index(sub.argmin(), sub.shape)
-        i, j = sorted((active[a], active[b]))
-        for m in active:
-            if m not in (i, j):
-                t = size[i] + size[j] + size[m]
-                d2[i, m] = d2[m, i] = ((size[i] + size[m]) * d2[i, m] + (size[j] + size[m]) * d2[j, m] - size[m] * d2[i, j]) / t
+    size, active, chain, out = np.ones(n), np.ones(n, bool), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(active.argmax())]
+        while True:
+            x = chain[-1]
+            y = int(d2[x].argmin())
+            if len(chain) > 1 and d2[x, chain[-2]] <= d2[x, y]:
+                break
+            chain.append(y)
+        x, y = chain.pop(), chain.pop()
+        i, j = min(x, y), max(x, y)
+        height = float(d2[i, j])
+        out.append((height, i, j))
+        active[j] = False
+        others = active.copy()
+        others[i] = False
+        row = np.full(n, np.inf)
+        row[others] = ((size[i] + size[others]) * d2[i, others] + (size[j] + size[others]) * d2[j, others] - size[others] * height) / (size[i] + size[j] + size[others])
+        d2[i], d2[:, i], d2[j], d2[:, j] = row, row, np.inf, np.inf
         size[i] += size[j]
-        member[i] += member[j]
-        active.remove(j)
-    lab = np.zeros(n, dtype=int)
-    for c, root in enumerate(sorted(active, key=lambda r: min(member[r])), start=1):
-        lab[member[root]] = c
-    return lab
+    return sorted(out, key=lambda m: m[0])
+
+
+def ward_labels(dist: np.ndarray, k: int) -> np.ndarray:
+    """Ward.D2 cut of a distance matrix; labels 1..k in order of first appearance."""
+    n = len(dist)
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for _, i, j in ward_merges(dist)[: max(0, n - max(k, 1))]:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    names: dict[int, int] = {}
+    return np.array([names.setdefault(find(i), len(names) + 1) for i in range(n)], dtype=int)
 
 
 def _distances(x: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ from ..functions import vectors as V
 from ..functions.special import log_gamma, log_softmax_pick, softplus
 from .ranks import SALTS
 from .stats import with_row
-from .neighbors import QUERY_BLOCK, REF_BLOCK, _exact, _stack, block_product, finite_vectors
+from .neighbors import QUERY_BLOCK, REF_BLOCK, _exact, _scoped_join, _stack, block_product, finite_vectors
 
 # Ordering constraints of three sampled years (closer pair, farther pair, large margin).
 TRIPLET_CASES = {
@@ -253,16 +253,18 @@ def reduced(df: DataFrame, loss: Column, mask: Column | None, how: str, out: str
 
 
 def class_distance_profile(queries: DataFrame, refs: DataFrame, key: str, vec: str, label: str, tau: float, exclude_self: bool = True,
-                           ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+                           ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK, within: tuple[str, ...] = ()) -> DataFrame:
     """(i, label, n, s, lo, e): per query and class of references the number, sum and minimum of the distances and
     sum exp(-(d - lo)/tau).
 
     Pairs exist only inside a task, in slices; what leaves it is one row per query, class and block, and
-    blocks merge by shifting the exponentials to the common minimum.
+    blocks merge by shifting the exponentials to the common minimum. ``within`` names key columns (a batch, a patch): only
+    rows of one key are compared.
     """
+    scope = [F.col(c).alias(f"_w{i}") for i, c in enumerate(within)]
     lt = refs.schema[label].dataType
-    q = finite_vectors(queries.select(F.col(key).alias("_q"), F.col(vec).cast("array<double>").alias("_qv")), "_qv")
-    r = finite_vectors(refs.filter(F.col(label).isNotNull()).select(F.col(key).alias("_r"), F.col(vec).cast("array<double>").alias("_rv"), F.col(label).alias("_l")), "_rv")
+    q = finite_vectors(queries.select(F.col(key).alias("_q"), F.col(vec).cast("array<double>").alias("_qv"), *scope), "_qv")
+    r = finite_vectors(refs.filter(F.col(label).isNotNull()).select(F.col(key).alias("_r"), F.col(vec).cast("array<double>").alias("_rv"), F.col(label).alias("_l"), *scope), "_rv")
     schema = T.StructType([T.StructField("i", q.schema["_q"].dataType), T.StructField("label", lt), T.StructField("n", T.LongType()),
                            T.StructField("s", T.DoubleType()), T.StructField("lo", T.DoubleType()), T.StructField("e", T.DoubleType())])
 
@@ -294,21 +296,25 @@ def class_distance_profile(queries: DataFrame, refs: DataFrame, key: str, vec: s
                                              "e": np.where(o, np.exp(-(b - lo[keep][:, None]) / tau), 0).sum(1)}))
         return pd.concat(out, ignore_index=True)
 
-    parts = block_product(q, r, kernel, schema, max(r.count(), 1), ref_block, query_block)
+    if within:
+        parts = _scoped_join(q, r, kernel, schema, [f"_w{i}" for i in range(len(within))], ref_block, query_block)
+    else:
+        parts = block_product(q, r, kernel, schema, max(r.count(), 1), ref_block, query_block)
     parts = parts.withColumn("m", F.min("lo").over(Window.partitionBy("i", "label")))
     return parts.groupBy("i", "label").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"),
                                            F.sum(F.col("e") * F.exp(-(F.col("lo") - F.col("m")) / tau)).alias("e"))
 
 
-def code_neighbourhood_kl(df: DataFrame, sim: DataFrame, weights: DataFrame, key: str, vec: str, code: str, tau_ref: float, tau_learned: float) -> DataFrame:
+def code_neighbourhood_kl(df: DataFrame, sim: DataFrame, weights: DataFrame, key: str, vec: str, code: str, tau_ref: float, tau_learned: float,
+                          within: tuple[str, ...] = ()) -> DataFrame:
     """KL between the code graph's and the embedding's neighbour distribution over rows of other codes, one row.
 
     Reference distances depend on the two codes only, so a row needs its distance profile per code: N x codes
-    numbers instead of N x N.
+    numbers instead of N x N. ``within`` keeps rows to those of their own key, a batch say.
     """
     known = sim.select(F.col("a").alias(code)).distinct()
     valid = df.join(known, code, "left_semi")
-    prof = class_distance_profile(valid, valid, key, vec, code, tau_learned)
+    prof = class_distance_profile(valid, valid, key, vec, code, tau_learned, within=within)
     own = valid.select(F.col(key).alias("i"), F.col(code).alias("own"))
     p = prof.join(own, "i").filter(F.col("label") != F.col("own"))
     p = p.join(sim.select(F.col("a").alias("own"), F.col("b").alias("label"), (1 - F.col("p")).alias("dr")), ["own", "label"])

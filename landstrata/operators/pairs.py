@@ -194,9 +194,11 @@ def ysfc_overlap(pairs: DataFrame, series: DataFrame, key: str, ysfc: str) -> Da
 
 
 def phase_pairs(df: DataFrame, series: DataFrame, key: str, vec: str, ysfc: str, k: int = 16, min_overlap: int = 3, min_pairs: int = 5,
-                include_self: bool = True, sigma: float = 5.0, self_weight: float = 1.0) -> DataFrame:
-    """(i, j, d, overlap, w): kNN pairs with enough shared ysfc values, anchors with enough pairs, self pairs."""
-    cand = knn_pairs(df, k, key, vec).select("i", "j", "d")
+                include_self: bool = True, sigma: float = 5.0, self_weight: float = 1.0, **kw) -> DataFrame:
+    """(i, j, d, overlap, w): kNN pairs with enough shared ysfc values, anchors with enough pairs, self pairs.
+
+    Further arguments go to the search: ``within=("patch",)`` pairs rows of one patch only."""
+    cand = knn_pairs(df, k, key, vec, **kw).select("i", "j", "d")
     ok = ysfc_overlap(cand, series, key, ysfc).filter(F.col("overlap") >= min_overlap).drop("shared")
     kept = ok.withColumn("_n", F.count("*").over(Window.partitionBy("i"))).filter(F.col("_n") >= min_pairs).drop("_n")
     cross = kept.withColumn("w", F.exp(-F.col("d") / sigma)).select("i", "j", "d", "overlap", "w")

@@ -218,20 +218,33 @@ def _(spark, d):
     return rounded(spark.createDataFrame([(v, c)], "variance_term double, covariance_term double"), {"variance_term": 6, "covariance_term": 10})
 
 
-@query("m8_code_neighbourhood_kl", _P1 + ", " + ctes("emb")[5:] + """, f as (select code, n / (select sum(n) from codes) fr from codes), cw as (select code, least(5, (select median(fr) from f) / fr) w from f),
+_M8 = _P1 + ", " + ctes("emb")[5:] + """, f as (select code, n / (select sum(n) from codes) fr from codes), cw as (select code, least(5, (select median(fr) from f) / fr) w from f),
 va as (select id, z, evt from emb where evt in (select code from codes)),
 ap as (select x.id i, x.evt own, 1 - pb.p dr, round (list_distance(x.z::double[], y.z::double[]), 9) dl from va x join va y on x.evt <> y.evt join pb on pb.a = x.evt and pb.b = y.evt),
 l as (select *, count(*) over p n, -dr / 0.3 - ln(sum(exp(-dr / 0.3)) over p) lp, -dl / 0.2 - ln(sum(exp(-dl / 0.2)) over p) lq from ap window p as (partition by i)),
 r as (select i, own, sum(exp(lp) * (lp - lq)) kl, -sum(exp(lp) * lp) h, count_if(dr < 1 - 1e-6) nc from l group by 1, 2)
 select round(sum(w * kl) / sum(w), 5) loss, count(*) n_rows_active, round(avg(h), 5) mean_entropy_ref, round(exp(avg(h)), 4) eff_n_ref,
- round((select avg(dl) from ap where dr < 1 - 1e-6), 5) d_confused, round((select avg(dl) from ap where dr >= 1 - 1e-6), 5) d_other, round(avg(nc), 5) n_confused_pairs from r join cw on cw.code = r.own""")
-def _(spark, d):
+ round((select avg(dl) from ap where dr < 1 - 1e-6), 5) d_confused, round((select avg(dl) from ap where dr >= 1 - 1e-6), 5) d_other, round(avg(nc), 5) n_confused_pairs from r join cw on cw.code = r.own"""
+
+
+def _code_kl(spark, d, within=()):
     _conf, codes, _p1, _p2, pb = graph(spark, d)
     w = median_frequency_weights(codes, "code", "n", 5.0)
-    out = M.code_neighbourhood_kl(emb(spark, d).withColumnRenamed("evt", "code"), pb, w, "id", "z", "code", 0.3, 0.2)
+    out = M.code_neighbourhood_kl(emb(spark, d).withColumnRenamed("evt", "code"), pb, w, "id", "z", "code", 0.3, 0.2, within)
     return rounded(out, {"loss": 5, "mean_entropy_ref": 5, "eff_n_ref": 4, "d_confused": 5, "d_other": 5, "n_confused_pairs": 5})
 
 
+@query("m8_code_neighbourhood_kl", _M8)
+def _(spark, d):
+    return _code_kl(spark, d)
+
+
+@query("m8_code_neighbourhood_kl_in_patch", _M8.replace("va as (select id, z, evt from", "va as (select id, z, evt, brow, bcol from").replace(
+    "pb.b = y.evt)", "pb.b = y.evt where x.brow = y.brow and x.bcol = y.bcol qualify count(*) over (partition by x.id) >= 2)"))
+def _(spark, d):
+    return _code_kl(spark, d, ("brow", "bcol"))
+
+
 # --- element losses --------------------------------------------------------------------------
 
 _L9 = {"l1": "abs(e)", "l2": "e * e", "huber": "case when abs(e) < 0.2 then 0.5 * e * e else 0.2 * (abs(e) - 0.1) end", "smooth_l1": "case when abs(e) < 1 then 0.5 * e * e else abs(e) - 0.5 end"}

@@ -208,6 +208,12 @@ def _(spark, d):
     return rounded(P.phase_pairs(emb(spark, d), c, "id", "z", "ysfc", k=16, min_overlap=1, min_pairs=3), 6)
 
 
+@query("j18_phase_pairs_in_patch", _PP.replace(_ALL[5:], _SAME[5:]) + "select i, j, round(d, 6) d, cast(overlap as int) overlap, round(w, 6) w from pp")
+def _(spark, d):
+    c = change(spark, d).withColumnRenamed("pixel", "id")
+    return rounded(P.phase_pairs(emb(spark, d), c, "id", "z", "ysfc", k=16, min_overlap=1, min_pairs=3, within=_KEY), 6)
+
+
 @query("j18_phase_pair_stats", _PP + """
 select count(distinct i) n_anchors_surviving, count_if(i = j) n_self_pairs, count(*) n_total_pairs, round(avg(overlap), 6) overlap_mean, cast(min(overlap) as int) overlap_min,
  round(avg(w) filter (where i <> j), 6) weight_mean, round(stddev_samp(w) filter (where i <> j), 6) weight_std,

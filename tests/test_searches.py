@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from landstrata.operators import bands, neighbors, pairs, products, vafile
+from landstrata.operators import bands, cluster, neighbors, pairs, products, vafile
 
 
 def table(spark, v, extra=None, names=""):
@@ -127,3 +127,12 @@ def test_queries_skip_bands_of_small_norms(spark, monkeypatch):
     assert sent[0][0] < 0.6 * sent[0][1]
     none = t.filter("id < 0")
     assert products.inner_product_join(t, none, 3).count() == 0 and products.inner_product_join(none, t, 3).count() == 0
+
+
+def test_ward_of_two_thousand_rows_is_quick():
+    import time
+
+    x = np.random.default_rng(1).normal(size=(2000, 4))
+    start = time.perf_counter()
+    labels = cluster.ward_labels(cluster._distances(x), 12)
+    assert time.perf_counter() - start < 30 and set(labels) == set(range(1, 13))
