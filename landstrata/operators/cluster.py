@@ -17,6 +17,7 @@ from .pairmetrics import class_distance_profile
 from .quantiles import exact_quantiles, q_name
 from .ranks import global_rank
 from .sample import reservoir, seeded
+from .spanning import density_components, density_links
 from .survey import pooled_within
 
 MAX_CLASSES = 2000
@@ -541,33 +542,62 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key: str, out: str
     raise RuntimeError(f"components not stable after {max_rounds} rounds")
 
 
-def density_clusters(df: DataFrame, key: str, vec: str, min_pts: list[int], k_target: int, cut_quantile: float = 0.5, cut: float | None = None) -> tuple[DataFrame, list[dict]]:
+def _density_runs(df: DataFrame, key: str, vec: str, min_pts: list[int], cut_quantiles: list[float], cut: float | None, **kw) -> tuple[list, DataFrame, DataFrame]:
+    """Runs (minPts, quantile, cut), their components of minPts rows or more, and the rows of each run and component."""
+    top = max(min_pts)
+    nn = cut_lineage(knn_join(df, df, max(top - 1, 1), qid=key, rid=key, qvec=vec, rvec=vec))
+    if cut is not None:
+        runs = [(mp, None, float(cut)) for mp in min_pts]
+    else:
+        ranks = nn.filter(F.col("rank").isin(*{max(mp - 1, 1) for mp in min_pts}))
+        at = {r["rank"]: r for r in exact_quantiles(ranks, ["rank"], "d", cut_quantiles).collect()}  # a row per minPts
+        runs = [(mp, p, at[max(mp - 1, 1)][q_name(p)]) for mp in min_pts for p in cut_quantiles if max(mp - 1, 1) in at]
+    if not runs:
+        return [], None, None
+    links = density_links(df, key, vec, nn, top, max(c for _, _, c in runs), **kw)
+    comp = cut_lineage(density_components(links, nn, key, [(mp, c) for mp, _, c in runs]))
+    least = F.element_at(F.array(*[F.lit(mp) for mp, _, _ in runs]), F.col("run") + 1)
+    size = cut_lineage(comp.groupBy("run", "component").agg(F.count("*").alias("n")).filter(F.col("n") >= least))
+    return runs, size, comp
+
+
+def density_grid(df: DataFrame, key: str, vec: str, min_pts: list[int], cut_quantiles: list[float] = (0.5,), cut: float | None = None, **kw) -> DataFrame:
+    """(min_pts, cut_quantile, cut, k, noise): clusters and share of noise for each minPts and cut, from one set of spanning links.
+
+    A cut is a quantile of the core distances of its minPts, or ``cut`` for all. Noise are rows in no component of minPts rows.
+    An empty table, or one without neighbours of the wanted ranks, gives no rows.
+    """
+    runs, size, _ = _density_runs(df, key, vec, list(min_pts), list(cut_quantiles), cut, **kw)
+    schema = "run int, min_pts int, cut_quantile double, cut double"
+    grid = df.sparkSession.createDataFrame([(i, mp, p, float(c)) for i, (mp, p, c) in enumerate(runs)], schema)
+    if not runs:
+        return grid.select("min_pts", "cut_quantile", "cut", F.lit(0).cast("bigint").alias("k"), F.lit(0.0).alias("noise"))
+    per = size.groupBy("run").agg(F.count("*").alias("k"), F.sum("n").alias("rows"))
+    share = F.lit(1.0) - F.coalesce("rows", F.lit(0)) / F.lit(max(df.count(), 1))
+    return grid.join(per, "run", "left").select("min_pts", "cut_quantile", "cut", F.coalesce("k", F.lit(0)).alias("k"), share.alias("noise"))
+
+
+def density_clusters(df: DataFrame, key: str, vec: str, min_pts: list[int], k_target: int, cut_quantile: float = 0.5, cut: float | None = None, **kw) -> tuple[DataFrame, list[dict]]:
     """Density clustering at one mutual-reachability cut, minPts chosen to come closest to ``k_target`` clusters.
 
-    Core distances of every minPts come from one neighbour search.  Rows whose core distance exceeds the cut
+    One neighbour search and one set of spanning links serve every minPts.  Rows whose core distance exceeds the cut
     are noise; the others connect when closer than the cut; components smaller than minPts are noise too; noise
     joins its nearest labelled row.  Returns (key, cluster from 1, noise) and one record per minPts.
     """
-    top = max(min_pts)
-    nn = cut_lineage(knn_join(df, df, max(top - 1, 1), qid=key, rid=key, qvec=vec, rvec=vec))
-    runs, n_rows = [], max(df.count(), 1)
-    for mp in min_pts:
-        core = nn.filter(F.col("rank") == max(mp - 1, 1)).select(F.col("i").alias(key), F.col("d").alias("core"))
-        limit = cut if cut is not None else exact_quantiles(core, [], "core", [cut_quantile]).first()[q_name(cut_quantile)]
-        dense = cut_lineage(df.select(key, vec).join(core.filter(F.col("core") <= limit).select(key), key, "left_semi"))
-        comp = connected_components(dense, link_within(dense, key, vec, limit), key)
-        size = comp.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= mp)
-        lab = comp.join(size.select("component"), "component", "left_semi")
-        n_lab = lab.count()
-        runs.append({"min_pts": mp, "cut": limit, "k": size.count(), "labels": lab, "noise": 1 - n_lab / max(df.count(), 1)})
-    valid = [r for r in runs if r["k"] >= 1] or runs
-    best = min(valid, key=lambda r: (abs(r["k"] - k_target), r["min_pts"]))
+    runs, size, comp = _density_runs(df, key, vec, list(min_pts), [cut_quantile], cut, **kw)
+    if not runs:
+        return df.withColumns({"cluster": F.lit(0), "noise": F.lit(True)}), []
+    n_rows = max(df.count(), 1)
+    per = {r["run"]: r for r in size.groupBy("run").agg(F.count("*").alias("k"), F.sum("n").alias("rows")).collect()}  # a row per run
+    records = [{"min_pts": mp, "cut": c, "k": per[i]["k"] if i in per else 0, "noise": 1 - (per[i]["rows"] if i in per else 0) / n_rows} for i, (mp, _, c) in enumerate(runs)]
+    order = [i for i in range(len(runs)) if records[i]["k"] >= 1] or list(range(len(runs)))
+    best = min(order, key=lambda i: (abs(records[i]["k"] - k_target), records[i]["min_pts"]))
     # numbered by the smallest member
-    ids = global_rank(best["labels"].select("component").distinct(), [F.col("component")], "_c")
-    lab = best["labels"].join(ids, "component").select(key, F.col("_c").cast("int").alias("_c"))
+    ids = global_rank(size.filter(F.col("run") == best).select("component"), [F.col("component")], "_c")
+    lab = comp.filter(F.col("run") == best).join(ids, "component").select(key, F.col("_c").cast("int").alias("_c"))
     d = cut_lineage(df.join(lab, key, "left").fillna(0, subset=["_c"]))
-    out = noise_to_nearest(d, key, vec, "_c", 0, "cluster") if best["k"] else d.withColumn("cluster", F.lit(0))
-    return out.withColumn("noise", F.col("_c") == 0).drop("_c"), [{k: v for k, v in r.items() if k != "labels"} for r in runs]
+    out = noise_to_nearest(d, key, vec, "_c", 0, "cluster") if records[best]["k"] else d.withColumn("cluster", F.lit(0))
+    return out.withColumn("noise", F.col("_c") == 0).drop("_c"), records
 
 
 # taxonomy ------------------------------------------------------------------------------------

@@ -245,12 +245,34 @@ def _(spark, d):
     return rounded(out.groupBy("stratum").agg(F.count("*").alias("n"), F.avg("balive").alias("mean_y")), 4)
 
 
-@query("c21_density_clusters")
+_DENSITY = "with recursive " + ctes("emb").removeprefix("with ") + """, s as (select i, avg(z[i]::double) m, stddev_samp(z[i]::double) sd from emb, (select unnest(range(57, 65)) i) where split = 'train' group by 1),
+p as materialized (select id, list((z[i]::double - m) / sd order by i) p from emb, s group by id),
+pairs as materialized (select a.id i, b.id j, round (list_distance(a.p, b.p), 9) d from p a join p b on a.id <> b.id),
+nn as (select *, row_number() over (partition by i order by d, j) rk from pairs),
+core as materialized (select i, mp, d core from nn join (values {mps}) t(mp) on rk = mp - 1),
+lim as materialized (select mp, unnest({qs}) q, unnest(cuts) cut from (select mp, quantile_cont(core, {qs}) cuts from core group by mp)),
+dense as materialized (select core.i, mp, q, cut from core join lim using (mp) where core <= cut),
+e as materialized (select a.mp, a.q, a.i, b.i j from pairs join dense a on a.i = pairs.i join dense b on b.i = pairs.j and b.mp = a.mp and b.q = a.q where d <= a.cut),
+reach as (select mp, q, i, i j from dense union select r.mp, r.q, r.i, e.j from reach r join e on e.mp = r.mp and e.q = r.q and e.i = r.j),
+comp as materialized (select mp, q, i, min(j) c from reach group by 1, 2, 3), size as materialized (select mp, q, c, count(*) n from comp group by 1, 2, 3 having count(*) >= mp),
+runs as (select mp, q, any_value(cut) cut, count(c) k, coalesce(sum(n), 0) n from lim left join size using (mp, q) group by mp, q) """
+
+
+@query("c21_density_clusters", _DENSITY.format(mps="(4), (8)", qs="[0.5]") + """, best as (select mp from runs order by k = 0, abs(k - 5), mp limit 1),
+nr as (select c, dense_rank() over (order by c) cluster from size where mp = (select mp from best)),
+lab as (select comp.i, cluster from comp join nr using (c) where mp = (select mp from best)),
+fill as (select pairs.i, cluster from pairs join lab on lab.i = pairs.j qualify row_number() over (partition by pairs.i order by d, j) = 1)
+select id, cast(coalesce(lab.cluster, fill.cluster) as int) as cluster, lab.cluster is null as noise from p left join lab on lab.i = id left join fill on fill.i = id""")
 def _(spark, d):
     out, _ = C.density_clusters(_phase(spark, d).select("id", "p"), "id", "p", [4, 8], 5)
     return out.select("id", "cluster", "noise")
 
 
+@query("c21_density_grid", _DENSITY.format(mps="(3), (5), (9)", qs="[0.3, 0.6]") + "select mp min_pts, cast(q as double) cut_quantile, round(cut, 6) cut, k, round(1 - n / (select count(*) from p), 6) noise from runs")
+def _(spark, d):
+    return rounded(C.density_grid(_phase(spark, d).select("id", "p"), "id", "p", [3, 5, 9], [0.3, 0.6]), {"cut": 6, "noise": 6})
+
+
 @query("c22_transfer_table")
 def _(spark, d):
     return rounded(C.transfer_table(_binned(spark, d), "unitcd", ["fine_bin", "invyr"], "removal", "balive", 4), 4)
