@@ -6,6 +6,11 @@ with fewer words is one window. A window also has the forms where capitalised wo
 where names are literal words, and where all words are, in lower case: a name may open a sentence, and a copy may be in
 small letters or capitals throughout.
 
+Questions are also asked anew in other words for the same slots. So windows over number words, units away from a number,
+pronouns and names or number words of several words have a looser form, too: number words are numbers, words of the unit list with three
+letters or more are units wherever they stand, personal pronouns are placeholders without a slot, and up to ``RUN``
+number words or capitalised words in a row are one placeholder.
+
 The values behind the placeholders are kept as slots: within one occurrence a value of the item has to become the same value
 everywhere, so windows that contradict its usual replacement there are dropped; windows with the item's own values
 always count. An occurrence is what lies in a row's text at one distance from the item's words; or at distances that differ by less
@@ -37,9 +42,29 @@ UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t ton tons tonne tonnes gram grams kilogram kilograms "
     "oz ounce ounces lb lbs pound pounds ml cl l liter liters litre litres gallon gallons pint pints cup cups s sec second seconds "
     "min minute minutes h hr hour hours day days week weeks month months year years ms hz khz mhz ghz w kw v a j kj cal kcal n pa k c f "
-    "degree degrees percent cent cents dollar dollars usd euro euros eur pence gbp yen b kb mb gb tb mph kmh"
+    "degree degrees percent cent cents dollar dollars usd euro euros eur pence gbp yen b kb mb gb tb mph kmh "
+    "millimeter millimeters millimetre millimetres centimeter centimeters centimetre centimetres meter meters metre metres "
+    "kilometer kilometers kilometre kilometres milliliter milliliters millilitre millilitres milligram milligrams acre acres hectare hectares "
+    "meile meilen stunde stunden minuten tag tage tagen woche wochen monat monate jahr jahre gramm kilogramm pfund prozent "
+    "heure heures jour jours semaine semaines mois années mètre mètres kilomètre kilomètres gramme grammes litro litros "
+    "hora horas minuto minutos día días semana semanas mes meses años metro metros kilómetro kilómetros gramo gramos"
+).split()
+
+#: Number words and fractions of English, German, French and Spanish, without the articles.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty "
+    "thirty forty fifty sixty seventy eighty ninety hundred thousand million half third quarter dozen "
+    "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig "
+    "dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend millionen halb hälfte drittel viertel dutzend "
+    "zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante mille "
+    "moitié tiers quart douzaine "
+    "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte "
+    "treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón mitad tercio cuarto docena"
 ).split()
+#: Pronouns that change with a name.
+PRONOUNS = "he she they him her them his hers their theirs himself herself themselves er sie ihm ihn ihr ihre sein seine il elle lui él ella".split()
 
+RUN = 3  # words that one placeholder of the looser form stands for, at most
 BITS = 22  # of the bitmap's address
 _ASCII_WORD = np.zeros(256, bool)
 _ASCII_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -49,15 +74,20 @@ _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:;\n\"("]] = True
-NUMBER, UNIT, NAME = (U(_text.mix_int(9000 + i)) for i in range(3))
+NUMBER, UNIT, NAME, PRONOUN = (U(_text.mix_int(9000 + i)) for i in range(4))
 
 
-def _unit_hashes() -> np.ndarray:
-    data = np.frombuffer("".join(UNITS).encode(), np.uint8)
-    ends = np.cumsum([len(u) for u in UNITS])
+def _word_hashes(words: list[str]) -> np.ndarray:
+    words = [w.encode() for w in words]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
     return np.sort(_text.hash_runs(data, np.concatenate([[0], ends[:-1]]), ends))
 
 
+def _among(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return words[np.minimum(np.searchsorted(words, hashes), len(words) - 1)] == hashes
+
+
 def template(data: np.ndarray, offsets: np.ndarray):
     """(hash, kind, start, end, row, literal) of each template word; kind 0: literal, else 1 number, 2 unit, 3 name."""
     return _template(data, offsets)[:6]
@@ -83,9 +113,7 @@ def _template(data: np.ndarray, offsets: np.ndarray):
     kind[digit[start]] = 1
     after_number = np.zeros(len(start), bool)
     after_number[1:] = (kind[:-1] == 1) & (row[1:] == row[:-1])
-    units = _unit_hashes()
-    at = np.minimum(np.searchsorted(units, hashes), len(units) - 1)
-    kind[after_number & (units[at] == hashes) & (kind == 0)] = 2
+    kind[after_number & _among(hashes, _word_hashes(UNITS)) & (kind == 0)] = 2
     # a capital (ASCII, or the second byte of a Latin-1 capital) not at the start of a sentence
     second = data[np.minimum(start + 1, n - 1)]
     capital = _CAPITAL[data[start]] | ((data[start] == 0xC3) & (second >= 0x80) & (second <= 0x9E))
@@ -139,9 +167,71 @@ def _forms(words, width: int, of_items: bool):
     yield other(holds((kind == 1) | (kind == 2)), np.zeros_like(kind))
 
 
+def _loose(data: np.ndarray, words, opening: bool):
+    """(hash, kind, start, end, row, place, needed) of the placeholders and words of the looser form; ``opening``: with
+    capitalised words that open a sentence as names.
+
+    ``place`` is the place of the first word among the template words; ``needed`` are the counts, up to each place, of what a window has to
+    hold for this form to say something else than the others.
+    """
+    _, kind, start, end, row, literal, opens = words
+    n = len(kind)
+    spelt = _among(literal, _word_hashes(NUMBER_WORDS)) & ((kind == 0) | (kind == 3))
+    loose = np.where(spelt, np.int8(1), kind)
+    number = loose == 1
+    behind = np.zeros(n, bool)
+    behind[1:] = number[:-1] & (row[1:] == row[:-1])
+    unit = _among(literal, _word_hashes([u for u in UNITS if len(u) >= 3])) | (behind & _among(literal, _word_hashes(UNITS)))
+    loose[unit & (loose == 0)] = 2
+    loose[_among(literal, _word_hashes(PRONOUNS)) & (loose == 0)] = 4
+    opened = opens & (loose == 0) if opening else np.zeros(n, bool)
+    loose[opened] = 3
+    changed = (loose != kind) & ~opened
+    # words of one run stand beside each other with one byte between them
+    joins = np.zeros(n, bool)
+    side = (row[1:] == row[:-1]) & (start[1:] == end[:-1] + 1) & (loose[1:] == loose[:-1])
+    gap = data[np.minimum(end[:-1], max(len(data) - 1, 0))]
+    joins[1:] = side & ((gap == 32) | (gap == 45)) & ((spelt[1:] & spelt[:-1]) | (loose[1:] == 3))
+    firsts = np.maximum.accumulate(np.where(joins, 0, np.arange(n)))
+    head = np.flatnonzero((np.arange(n) - firsts) % RUN == 0)
+    size = np.diff(np.concatenate([head, [n]]))
+    last = head + size - 1
+    hashes = literal[head].copy()
+    for i, mark in enumerate((NUMBER, UNIT, NAME, PRONOUN), 1):
+        hashes[loose[head] == i] = mark
+    sums = np.concatenate([[0], np.cumsum(changed)])
+    new = (sums[last + 1] > sums[head]) | (size > 1)
+    sums = np.concatenate([[0], np.cumsum(opened)])
+    names = sums[last + 1] > sums[head]
+    needed = [np.concatenate([[0], np.cumsum(x)]) for x in ((new, names) if opening else (new,))]
+    return hashes, loose[head], start[head], end[last], row[head], head, needed
+
+
+def _streams(data: np.ndarray, offsets: np.ndarray, widths, of_items: bool):
+    """For the words as they are and in both looser forms: (kind, start, end, row, place, [(width, hash, first, kinds)])."""
+    words = _template(data, offsets)
+    _, kind, start, end, row, _, _ = words
+    plain = ((width, *form) for width in widths for form in _forms(words, width, of_items))
+    yield kind, start, end, row, np.arange(len(kind)), plain
+    if not len(kind):
+        return
+    for opening in (False, True):
+        hashes, kind, start, end, row, place, needed = _loose(data, words, opening)
+
+        def looser():
+            for width in widths:
+                total, first = _windows(hashes, row, width)
+                keep = np.ones(len(first), bool)
+                for sums in needed:
+                    keep &= sums[first + width] > sums[first]
+                yield width, _text.mix(total[keep]).view(np.int64), first[keep], kind
+
+        yield kind, start, end, row, place, looser()
+
+
 def _slots(data: bytes, kind, start, end, first: int, width: int, plain: bool) -> list[str]:
     at = range(first + plain, first + width)
-    return [f"{kind[i]}{data[start[i]:end[i]].decode('utf8', 'replace').lower()}" for i in at if kind[i]]
+    return [f"{kind[i]}{data[start[i]:end[i]].decode('utf8', 'replace').lower()}" for i in at if 0 < kind[i] < 4]
 
 
 def _window_rows(column: int, widths, bitmap: np.ndarray | None, whole_only: int | None):
@@ -149,16 +239,17 @@ def _window_rows(column: int, widths, bitmap: np.ndarray | None, whole_only: int
     def run(batches):
         for batch in batches:
             for at, data, offsets in _text.slices(batch.column(column)):
-                words = _template(data, offsets)
-                _, kind, start, end, row, _, _ = words
                 raw = data.tobytes()
                 out_row, out_hash, out_place, out_slots = [], [], [], []
-                first_word = np.searchsorted(row, np.arange(len(offsets)))
-                for width in widths:
-                    for found, first, kinds in _forms(words, width, whole_only is not None):
+                origin = None  # the place of each row's first word
+                for kind, start, end, row, place, windows in _streams(data, offsets, widths, whole_only is not None):
+                    if origin is None:
+                        origin = np.searchsorted(row, np.arange(len(offsets)))
+                    length = np.bincount(row, minlength=len(offsets))
+                    for width, found, first, kinds in windows:
                         keep = np.ones(len(first), bool)
                         if whole_only and width < whole_only:
-                            keep = np.diff(np.concatenate([first_word, [len(row)]]))[row[first]] == width
+                            keep = length[row[first]] == width
                         if bitmap is not None:
                             cell = found.view(U) >> U(64 - BITS)
                             keep &= (bitmap[(cell >> U(3)).astype(np.int64)] >> (cell & U(7)).astype(np.uint8) & 1).astype(bool)
@@ -167,7 +258,7 @@ def _window_rows(column: int, widths, bitmap: np.ndarray | None, whole_only: int
                             r = int(row[f])
                             out_row.append(r)
                             out_hash.append(h)
-                            out_place.append(f - int(first_word[r]))
+                            out_place.append(int(place[f]) - int(origin[r]))
                             out_slots.append(_slots(raw, kind if kinds is None else kinds, start, end, f, width, kinds is None))
                 if out_row:
                     others = [batch.column(i).slice(at, len(offsets) - 1).take(pa.array(out_row)) for i in range(batch.num_columns) if i != column]
@@ -241,7 +332,7 @@ def _lengths(column: int, width: int):
     def run(batches):
         for batch in batches:
             for _, data, offsets in _text.slices(batch.column(column)):
-                row = template(data, offsets)[4]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(np.bincount(row, minlength=len(offsets) - 1), width).astype(np.int32))], ["n"])
+                for _, _, _, row, _, _ in _streams(data, offsets, (), True):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(np.bincount(row, minlength=len(offsets) - 1), width).astype(np.int32))], ["n"])
 
     return run

@@ -148,3 +148,84 @@ def test_windows_do_not_depend_on_the_slice(monkeypatch):
     small = sorted((r for b in decontam._window_rows(1, [8], None, None)([batch]) for r in b.to_pylist()), key=str)
     monkeypatch.setattr(_text, "SLICE", 1 << 20)
     assert small == sorted((r for b in decontam._window_rows(1, [8], None, None)([batch]) for r in b.to_pylist()), key=str)
+
+
+NOUNS = ("apple pear lamp chair wheel brick shell stone candle carpet bottle ribbon basket ladder button hammer kettle mirror pillow saddle "
+         "anchor barrel blanket bucket cabinet").split()
+VERBS = "buys sells paints counts moves stacks cleans borrows gathers throws carries wraps".split()
+PLACES = "market harbour station garden library bakery workshop museum stable office".split()
+ONE_NAME, OTHER_NAME = "Maria Tom Anna Peter Lucy Omar".split(), ["Mary Ann", "Jean Luc Picard", "Otto", "Rosa Maria Lopez", "Li Wei", "Karim"]
+SPELT = "two three four five six seven eight nine ten eleven twelve".split()
+
+
+def asked(rng, number=str, unit="miles", name="Maria", opens=False):
+    a, b, c = rng.choices(NOUNS, k=3)
+    there, verb, again = rng.choice(PLACES), rng.choice(VERBS), rng.choice(VERBS)
+    start = name if opens else f"At the {there} today {name}"
+    return (f"{start} {verb} {number(0)} {a}s and a {b} that lie {number(1)} {unit} from the {c}. Later {name} {again} {number(2)} more. "
+            f"How many {unit} does {name} walk with the {a}s and the {b}?")
+
+
+def other_question(rng):
+    """As many numbers, names and units in another wording; ``asked`` with other nouns shares up to half of its windows."""
+    a, b = rng.choices(NOUNS, k=2)
+    n = [rng.choice([str(rng.randint(2, 90)), rng.choice(SPELT)]) for _ in range(3)]
+    return (f"After {n[0]} hours {rng.choice(ONE_NAME)} and {rng.choice(OTHER_NAME)} reach the {rng.choice(PLACES)}, {n[1]} miles away. There he "
+            f"{rng.choice(VERBS)} a {a} for {n[2]} dollars while she {rng.choice(VERBS)} the {b}s. Who of them has more {b}s than {rng.choice(ONE_NAME)}?")
+
+
+def test_recall_for_each_kind_of_change(spark):
+    """Fifty questions a kind, asked anew in a longer text: at least nine of ten are found, and nothing in other questions' texts."""
+    def digits(rng):
+        values = rng.sample(range(2, 90), 3)
+        return lambda i: str(values[i])
+
+    def spelt(rng):
+        values = rng.sample(SPELT, 3)
+        return lambda i: values[i]
+
+    def spelt_in_two(rng):
+        values = [f"{t}{rng.choice(' -')}{u}" for t, u in zip(rng.sample("twenty thirty forty fifty".split(), 3), rng.sample(SPELT[:6], 3))]
+        return lambda i: values[i]
+
+    kinds = {  # how the item is asked, and how it is asked anew
+        "number": (dict(number=digits), dict(number=digits)),
+        "number word": (dict(number=spelt), dict(number=spelt)),
+        "number word for digits": (dict(number=digits), dict(number=spelt_in_two)),
+        "unit": (dict(unit="miles"), dict(unit="kilometers")),
+        "unit and number word": (dict(number=spelt, unit="yards"), dict(number=spelt, unit="feet")),
+        "name of other length": (dict(name=ONE_NAME), dict(name=OTHER_NAME)),
+        "opening name": (dict(name=ONE_NAME, opens=True), dict(name=OTHER_NAME, opens=True, number=digits)),
+        "small letters": ({}, {}),
+    }
+    items, rows, clean, of = [], [], [], {}
+    for k, (kind, ways) in enumerate(kinds.items()):
+        for i in range(50):
+            pair = []
+            for at, way in enumerate(ways):
+                values = random.Random(f"{k}:{i}:{at}:values")
+                way = {a: (v(values) if a == "number" else values.choice(v) if a == "name" else v) for a, v in way.items()}
+                way.setdefault("number", digits(random.Random(f"{k}:{i}")))
+                pair.append(asked(random.Random(f"{k}:{i}:words"), **way))
+            key = k * 1000 + i
+            items.append((key, pair[0]))
+            rows.append((key, f"{PROSE}. {pair[1].lower() if kind == 'small letters' else pair[1]} {PROSE}."))
+            of[key] = kind
+            other = random.Random(f"{k}:{i}:clean")
+            clean.append((10**6 + key, f"{PROSE}. {other_question(other)} {PROSE}."))
+    got = run(spark, rows + clean, items)
+    share = {kind: sum((key, key) in got for key, x in of.items() if x == kind) / 50 for kind in kinds}
+    assert min(share.values()) >= 0.9, share
+    assert not [pair for pair in got if pair[0] >= 10**6]
+
+
+def test_looser_words():
+    def loose(text, opening=False):
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, kind, start, end, _, place, _ = decontam._loose(data, decontam._template(data, np.array([0, len(data)])), opening)
+        return [(int(k), text.encode()[s:e].decode(), int(p)) for k, s, e, p in zip(kind, start, end, place)]
+
+    assert loose("Now twenty-five miles, five km") == [(0, "Now", 0), (1, "twenty-five", 1), (2, "miles", 3), (1, "five", 4), (2, "km", 5)]
+    assert loose("so Mary Ann Lee Fox saw him in May")[1:] == [(3, "Mary Ann Lee", 1), (3, "Fox", 4), (0, "saw", 5), (4, "him", 6), (0, "in", 7), (3, "May", 8)]
+    assert loose("Jean Luc ran. Ann ran", True) == [(3, "Jean Luc", 0), (0, "ran", 2), (3, "Ann", 3), (0, "ran", 4)]
+    assert loose("Jean Luc ran")[:2] == [(0, "Jean", 0), (3, "Luc", 1)] and loose("") == []
