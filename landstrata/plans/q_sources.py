@@ -10,6 +10,7 @@ from ..session import scratch_path
 from ..sources import manifest as MF
 from ..sources import scans as SC
 from ..sources import sinks as SK
+from ..sources import sketches as KS
 from ..sources import stats_store as SS
 from ..streaming import streams as ST
 from .fixtures import ctes, fx, read
@@ -237,6 +238,30 @@ def _(spark, d):
     return rounded(out, {"energy": 5})
 
 
+@query("s19_stored_sketches", """with v as (select 'quantity' channel, l_quantity::double v from lineitem union all select 'price', l_extendedprice::double from lineitem)
+select channel, count(*) n, round(avg(v), 4) mean, round(stddev_pop(v), 4) sd, min(v) "min", max(v) "max", true as ranks_hold from v group by 1""")
+def _(spark, d):
+    li = read(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("quantity"), F.col("l_extendedprice").cast("double").alias("price"), (F.col("l_suppkey") % 3).alias("tile"))
+    folder = scratch_path(spark, "sketches")
+
+    def tile(i, scale=1):
+        rows = li.filter(F.col("tile") == i).withColumn("quantity", F.col("quantity") * scale)
+        return lambda: KS.sketch_parts(rows, ["quantity", "price"])
+
+    KS.stored_stats(spark, folder, {i: tile(i) for i in (0, 1)})
+    # later tiles are added; what is stored is not computed again, so the other scale never shows
+    stats = KS.stored_stats(spark, folder, {0: tile(0, 100), 1: tile(1, 100), 2: tile(2)})
+    # share of rows below and up to each quantile, from the values themselves
+    probs = {"q02": 0.02, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q98": 0.98}
+    long = T.long_channels(li, ["quantity", "price"]).join(stats.select("channel", *probs), "channel")
+    holds = F.lit(True)
+    for name, p in probs.items():
+        below, upto = F.avg((F.col("value") < F.col(name)).cast("int")), F.avg((F.col("value") <= F.col(name)).cast("int"))
+        holds = holds & (below - 2 * KS.RANK_ERROR <= p) & (upto + 2 * KS.RANK_ERROR >= p)
+    ranks = long.groupBy("channel").agg(holds.alias("ranks_hold"))
+    return rounded(stats.join(ranks, "channel").select("channel", "n", "mean", "sd", "min", "max", "ranks_hold"), {"mean": 4, "sd": 4})
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 
