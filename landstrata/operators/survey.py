@@ -155,15 +155,13 @@ def strata_efficiency(df: DataFrame, unit: str, schemes: dict[str, str], y: str,
         F.count(y).alias("n"), F.avg(y).alias("mu"), _ss(y).alias("ss")
     )
     long = cells.withColumn("s", F.explode(F.array(*labels))).select(unit, "s.scheme", "s.stratum", "n", "mu", "ss")
-    # combine cells: SS = sum(ss) + sum(n*(mu - group mean)^2), centred to avoid cancellation
+    # combine cells by sums of n, n*e and n*e*e, where e is the cell's mean less the mean of all rows, so that no stratum's
+    # cells are gathered in one place and the squares stay of the size of the spread
+    centre = cells.agg(F.sum(F.col("n") * F.col("mu")) / F.sum("n")).scalar()
+    e = F.col("mu") - centre
     per = long.groupBy("scheme", unit, "stratum").agg(
-        F.sum("n").alias("n_cell"),
-        F.sum("ss").alias("ss_in"),
-        F.sum(F.col("n") * F.col("mu")).alias("s1"),
-        F.collect_list(F.struct("n", "mu")).alias("parts"),
-    )
-    gm = F.col("s1") / F.col("n_cell")
-    between = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["n"] * (p["mu"] - gm) * (p["mu"] - gm))
+        F.sum("n").alias("n_cell"), F.sum("ss").alias("ss_in"), F.sum(F.col("n") * e).alias("s1"), F.sum(F.col("n") * e * e).alias("s2"))
+    between = F.greatest(F.lit(0.0), F.col("s2") - F.col("s1") * F.col("s1") / F.col("n_cell"))
     v = per.groupBy("scheme").agg(
         F.sum("n_cell").alias("n"),
         F.try_divide(F.sum(F.col("ss_in") + between), F.sum("n_cell") - F.count("*")).alias("within_var"),
