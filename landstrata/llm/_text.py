@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Bytes handled at once; one longer text is handled alone.
 SLICE = 1 << 20
+#: Rows whose offsets are widened at once.
+ROWS = 4096
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict = {}
@@ -55,19 +57,20 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(texts: pa.Array):
-    """(first row, bytes, offsets) of successive parts of a text column; a null text is empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2], np.uint8) if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
-        if len(data):
-            yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        else:
-            yield at, data, np.zeros(to - at + 1, np.int64)
-        at = to
+def slices(texts: pa.Array, size: int = SLICE):
+    """(first row, bytes, offsets) of successive parts of a text column, of ``size`` bytes or one text; a null text is empty."""
+    for first in range(0, len(texts), ROWS):
+        part = pc.fill_null(texts.slice(first, ROWS).cast(pa.large_string()), "")
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(part.buffers()[2], np.uint8) if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+        at = 0
+        while at < len(part):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+            if len(data):
+                yield first + at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            else:
+                yield first + at, data, np.zeros(to - at + 1, np.int64)
+            at = to
 
 
 def runs(member: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None):

@@ -66,6 +66,7 @@ PRONOUNS = "he she they him her them his hers their theirs himself herself thems
 
 RUN = 3  # words that one placeholder of the looser form stands for, at most
 BITS = 22  # of the bitmap's address
+PART = 1 << 18  # bytes of text taken at once: all forms of their windows are in memory together
 _ASCII_WORD = np.zeros(256, bool)
 _ASCII_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _DIGIT = np.zeros(256, bool)
@@ -238,7 +239,7 @@ def _window_rows(column: int, widths, bitmap: np.ndarray | None, whole_only: int
     """mapInArrow function: (the other columns, hash, place, slots) of windows; ``whole_only``: shorter rows are one window."""
     def run(batches):
         for batch in batches:
-            for at, data, offsets in _text.slices(batch.column(column)):
+            for at, data, offsets in _text.slices(batch.column(column), PART):
                 raw = data.tobytes()
                 out_row, out_hash, out_place, out_slots = [], [], [], []
                 origin = None  # the place of each row's first word
@@ -265,6 +266,7 @@ def _window_rows(column: int, widths, bitmap: np.ndarray | None, whole_only: int
                     yield pa.RecordBatch.from_arrays(
                         [*others, pa.array(out_hash, pa.int64()), pa.array(out_place, pa.int32()), pa.array(out_slots, pa.list_(pa.string()))],
                         [*[batch.schema.names[i] for i in range(batch.num_columns) if i != column], "hash", "place", "slots"])
+            _text.give_back()
 
     return run
 
@@ -331,7 +333,7 @@ def _schema(names: str) -> str:
 def _lengths(column: int, width: int):
     def run(batches):
         for batch in batches:
-            for _, data, offsets in _text.slices(batch.column(column)):
+            for _, data, offsets in _text.slices(batch.column(column), PART):
                 for _, _, _, row, _, _ in _streams(data, offsets, (), True):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(np.bincount(row, minlength=len(offsets) - 1), width).astype(np.int32))], ["n"])
 
