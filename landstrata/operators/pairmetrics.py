@@ -12,7 +12,7 @@ from ..functions import vectors as V
 from ..functions.special import log_gamma, log_softmax_pick, softplus
 from .ranks import SALTS
 from .stats import with_row
-from .neighbors import QUERY_BLOCK, REF_BLOCK, _exact, _scoped_join, _stack, block_product, finite_vectors
+from .neighbors import QUERY_BLOCK, REF_BLOCK, _Same, _scoped_join, _sq, _stack, block_product, finite_vectors, rounded_distances, square_error
 
 # Ordering constraints of three sampled years (closer pair, farther pair, large margin).
 TRIPLET_CASES = {
@@ -276,25 +276,34 @@ def class_distance_profile(queries: DataFrame, refs: DataFrame, key: str, vec: s
         qv, rv, lab = _stack(qp["_qv"]), _stack(rp["_rv"]), rp["_l"].to_numpy()
         qid, rid = qp["_q"].to_numpy(), rp["_r"].to_numpy()
         codes, inv = np.unique(lab, return_inverse=True)
-        groups = [np.flatnonzero(inv == c) for c in range(len(codes))]
-        out = [empty]
-        for s in range(0, len(qv), 128):
-            part, ids = qv[s : s + 128], qid[s : s + 128]
-            qi, ri = np.divmod(np.arange(len(part) * len(rv)), len(rv))
-            d = _exact(part, rv, qi, ri).reshape(len(part), len(rv))
+        order = np.argsort(inv, kind="stable")  # the columns of a class lie side by side
+        rv, rid = rv[order], rid[order]
+        starts = np.searchsorted(inv[order], np.arange(len(codes) + 1))
+        same, unit, rmax = _Same(qid, rid), square_error(rv.shape[1], np.finfo(float).eps / 2), (rv * rv).sum(1).max()
+        rows = max(1, (1 << 19) // len(rv))
+        found: list[tuple] = []
+        for s in range(0, len(qv), rows):
+            at = slice(s, s + rows)
+            part, ids = qv[at], qid[at]
+            d2 = _sq(part, rv).ravel()
+            d = rounded_distances(d2, unit * ((part * part).sum(1).max() + rmax), part, rv, np.arange(len(d2))).reshape(len(part), len(rv))
             if exclude_self:
-                d[ids[:, None] == rid[None]] = np.inf
-            for c, cols in zip(codes, groups):
-                block = d[:, cols]
+                same.forbid(d, at)
+            for c, (a, b) in enumerate(zip(starts, starts[1:])):
+                block = d[:, a:b]
                 ok = np.isfinite(block)
                 n = ok.sum(1)
                 lo = block.min(1)
                 keep = n > 0
                 if keep.any():
-                    b, o = block[keep], ok[keep]
-                    out.append(pd.DataFrame({"i": ids[keep], "label": c, "n": n[keep], "s": np.where(o, b, 0).sum(1), "lo": lo[keep],
-                                             "e": np.where(o, np.exp(-(b - lo[keep][:, None]) / tau), 0).sum(1)}))
-        return pd.concat(out, ignore_index=True)
+                    x, low = (block, lo) if keep.all() else (block[keep], lo[keep])
+                    total = x.sum(1) if (n == b - a).all() else np.where(ok[keep], x, 0).sum(1)
+                    e = np.exp((low[:, None] - x) / tau).sum(1)  # nothing for an excluded row
+                    found.append((ids[keep], np.full(len(low), c), n[keep], total, low, e))
+        if not found:
+            return empty
+        parts = [np.concatenate(x) for x in zip(*found)]
+        return pd.DataFrame({"i": parts[0], "label": codes[parts[1]], "n": parts[2], "s": parts[3], "lo": parts[4], "e": parts[5]})
 
     if within:
         parts = _scoped_join(q, r, kernel, schema, [f"_w{i}" for i in range(len(within))], ref_block, query_block)
