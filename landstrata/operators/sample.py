@@ -19,8 +19,11 @@ def seeded(seed: int, *keys) -> Column:
 
 def mixed(key, seed: int = 0) -> Column:
     """Small arithmetic mix of an integer key into 0 .. 2^31-2; the same in any SQL engine."""
-    k = F.col(key) if isinstance(key, str) else key
-    return ((k * 2654435761 + seed * 40503) % _M * 48271) % _M
+    k = (F.col(key) if isinstance(key, str) else key).cast("bigint")
+    # the product is taken of remainders, so that a large key does not overflow; below zero a remainder keeps its sign
+    low = F.pmod(F.pmod(k, F.lit(_M)) * (2654435761 % _M) + seed * 40503 % _M, F.lit(_M))
+    below = k < -(seed * 40503 // 2654435761)
+    return (F.when(below & (low > 0), low - _M).otherwise(low) * 48271) % _M
 
 
 def uniform(h: Column) -> Column:
