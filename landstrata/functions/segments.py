@@ -319,18 +319,23 @@ def with_sentinel(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.fillna(SENTINEL, subset=columns)
 
 
-def segments_from_rows(rows: DataFrame, key: str = "pixel", order: str = "seg_no") -> DataFrame:
-    """Flat segment rows ({band}_c0, _c1, _cos, _sin, _rmse, _mag) to one array per pixel."""
-    bands = [
-        F.struct(
-            F.array(*[F.col(f"{b}_{c}").cast("double") for c in ("c0", "c1", "cos", "sin")]).alias("coefs"),
-            F.col(f"{b}_rmse").cast("double").alias("rmse"),
-            F.col(f"{b}_mag").cast("double").alias("mag"),
-        ).alias(b)
-        for b in BANDS
-    ]
-    seg = F.struct(F.col(order), *[F.col(c).cast("double").alias(c) for c in ("t_start", "t_end", "t_break")], *bands)
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(seg)).alias("segs"))
+def segments_from_rows(rows: DataFrame, key: str = "pixel", order: str = "seg_no", columns: dict[str, str] | None = None) -> DataFrame:
+    """Flat segment rows ({band}_c0, _c1, _cos, _sin, _rmse, _mag) to one array per pixel.
+
+    ``columns`` gives columns that the rows lack as SQL over a row ``s``. They are made inside the array, so what is
+    grouped, sorted and spilled are the rows' own columns and not some 30 numbers a segment.
+    """
+    columns = columns or {}
+
+    def num(name: str) -> str:
+        return f"cast({columns.get(name, f's.`{name}`')} as double)"
+
+    bands = [f"""'{b}', named_struct('coefs', array({", ".join(num(f"{b}_{c}") for c in ("c0", "c1", "cos", "sin"))}),
+        'rmse', {num(f"{b}_rmse")}, 'mag', {num(f"{b}_mag")})""" for b in BANDS]
+    times = [f"'{c}', {num(c)}" for c in ("t_start", "t_end", "t_break")]
+    seg = f"""named_struct('{order}', s.`{order}`, {", ".join(times + bands)})"""
+    own = F.struct(order, *[c for c in rows.columns if c not in (key, order)])
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(own)).alias("_rows")).select(key, F.expr(f"transform(_rows, s -> {seg})").alias("segs"))
 
 
 def assert_disjoint(segs) -> Column:

@@ -8,7 +8,7 @@ from ..functions import indices as I
 from ..functions import segments as G
 from ..functions import transforms as T
 from ..functions import vectors as V
-from .fixtures import BANDS, ctes, fx, read
+from .fixtures import BANDS, SEG_COLUMNS, ctes, fx, read, seg_parts
 from .registry import R, query, rounded, rounds
 
 # --- QA and indices --------------------------------------------------------------------------
@@ -233,7 +233,7 @@ SNAP_T = 1999.5
 
 
 def _segs(spark, d):
-    return G.segments_from_rows(fx(spark, d, "seg_rows"))
+    return G.segments_from_rows(seg_parts(spark, d), columns=SEG_COLUMNS)
 
 
 _SEG = ctes("seg_rows")

@@ -95,3 +95,16 @@ def test_mixed_keys_do_not_overflow(spark):
         got = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", sample.mixed("k", seed).alias("h")).collect()
         assert {r["k"]: r["h"] for r in got} == {k: by_hand(k, seed) for k in keys}
     assert spark.range(1).select(sample.mixed(F.lit(None).cast("bigint"), 3)).first()[0] is None
+
+
+def test_segments_shuffle_once_and_stay_narrow(spark):
+    from landstrata.functions import segments
+    from landstrata.plans import fixtures, q_scalar
+
+    d = "/root/testdata/sf0.001"
+    got = q_scalar._segs(spark, d)
+    want = segments.segments_from_rows(fixtures.fx(spark, d, "seg_rows"))
+    assert sorted(got.collect()) == sorted(want.collect()) and got.schema.simpleString() == want.schema.simpleString()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "collect_list(struct(seg_no" in plan and "0.05" not in plan.split("collect_list(struct(seg_no")[-1]
