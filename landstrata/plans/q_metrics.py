@@ -141,7 +141,7 @@ _SIM = {
  l_{k} as (select i, ln(sum(exp(z - m)) + 1e-8) - ln(sum(exp(z - m)) filter (where positive) + 1e-8) l from (select *, max(z) over (partition by i) m from z_{k}) group by 1)""" for k, s in _SIM.items())
        + " " + " union all ".join(f"select '{k}' similarity, round(avg(l), 6) loss, count(*) n_anchors from l_{k}" for k in _SIM))
 def _(spark, d):
-    e, p = emb(spark, d), _contrast_pairs(spark, d)
+    e, p = emb(spark, d), cut_lineage(_contrast_pairs(spark, d))  # one search for all similarities
     out = None
     for kind in _SIM:
         r = M.infonce(p, e, "id", "z", 64, 0.1, kind).withColumn("similarity", F.lit(kind))
