@@ -17,7 +17,7 @@ from .pairmetrics import class_distance_profile
 from .quantiles import exact_quantiles, q_name
 from .ranks import global_rank
 from .sample import reservoir, seeded
-from .spanning import density_components, density_links
+from .spanning import connected_components, density_components, density_links  # noqa: F401
 from .survey import pooled_within
 
 MAX_CLASSES = 2000
@@ -525,23 +525,6 @@ def link_within(df: DataFrame, key: str, vec: str, cut: float, ref_block: int =
     return parts.select(F.col("_q").alias("i"), F.col("_r").alias("j")).distinct()
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, key: str, out: str = "component", max_rounds: int = 64) -> DataFrame:
-    """Smallest reachable id per node: neighbours' minimum, then a jump to the label's own label, until stable."""
-    both = edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
-    both = cut_lineage(both)
-    lab = cut_lineage(nodes.select(F.col(key).alias("v"), F.col(key).alias("l")))
-    for _ in range(max_rounds):
-        low = both.join(lab.withColumnsRenamed({"v": "j", "l": "lj"}), "j").groupBy(F.col("i").alias("v")).agg(F.min("lj").alias("m"))
-        step = lab.join(low, "v", "left").select("v", "l", F.least("l", F.coalesce("m", "l")).alias("n"))
-        jump = step.join(lab.withColumnsRenamed({"v": "n", "l": "ln"}), "n").select("v", "l", F.least("n", "ln").alias("n"))
-        jump = cut_lineage(jump)
-        changed = jump.filter("n <> l").limit(1).count()
-        lab = jump.select("v", F.col("n").alias("l"))
-        if not changed:
-            return lab.select(F.col("v").alias(key), F.col("l").alias(out))
-    raise RuntimeError(f"components not stable after {max_rounds} rounds")
-
-
 def _density_runs(df: DataFrame, key: str, vec: str, min_pts: list[int], cut_quantiles: list[float], cut: float | None, **kw) -> tuple[list, DataFrame, DataFrame]:
     """Runs (minPts, quantile, cut), their components of minPts rows or more, and the rows of each run and component."""
     top = max(min_pts)

@@ -2,9 +2,10 @@
 
 The mutual reachability of two rows is the largest of their distance and their core distances. A pair of blocks keeps the
 smallest spanning forest of the links between them, fewer links than it has rows: a link left out there joins nothing that
-shorter links do not join. The forests of all pairs of blocks are then thinned to the forest of the table by Boruvka
-rounds: each component picks its smallest link, picked links merge components by pointer jumping, and of the links
-between two components only the smallest goes on, so components at least halve in a round.
+shorter links do not join. The forests of all pairs of blocks are then thinned to the forest of the table: tasks thin parts of
+a bounded number of links to their own forests, and while links fill more than one part, Boruvka rounds follow: each
+component picks its smallest link, picked links merge components by pointer jumping, and of the links between two components
+only the smallest goes on, so components at least halve in a round. Components of links are found in the same parts.
 
 The forest of the largest minPts, joined by the neighbour lists, serves every smaller minPts too. Rows that are in neither
 one's list are at least as far apart as both core distances of the largest minPts, so their reachability is their
@@ -20,6 +21,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,8 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from .neighbors import DIGITS, MAX_PIVOTS, REF_BLOCK, _cell_join, _side, _stack, block_product
 
+MOST_LINKS = 1 << 19  # in a part that one task thins
+
 
 def _forest_kernel(cut: float):
     """Smallest spanning forest of the links between a block of queries and a block of references (Prim's algorithm).
@@ -72,12 +76,58 @@ def _forest_kernel(cut: float):
     return kernel
 
 
+def _merged(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Boruvka's rounds on links between nodes 0..n-1, shortest first: places of the forest's links, and a node of each one's component."""
+    lab, left, found = np.arange(n), np.arange(len(a)), []
+    while True:
+        x, y = lab[a[left]], lab[b[left]]
+        left, x, y = (v[x != y] for v in (left, x, y))
+        if not len(left):
+            return np.sort(np.concatenate(found)) if found else left, lab
+        best = np.full(n, len(a))
+        best[x[::-1]] = left[::-1]  # the last one written is the shortest
+        other = np.full(n, len(a))
+        other[y[::-1]] = left[::-1]
+        best = np.minimum(best, other)
+        at = np.flatnonzero(best < len(a))
+        link = best[at]
+        to = np.arange(n)
+        to[at] = lab[a[link]] + lab[b[link]] - at
+        root = at[(to[to[at]] == at) & (at < to[at])]
+        to[root] = root
+        while (to != to[to]).any():
+            to = to[to]
+        lab = to[lab]
+        found.append(np.unique(link))
+
+
+def _forest_of_part(batches):
+    """The smallest forest of a part's links (a, b, w, i, j)."""
+    pdf = pd.concat(list(batches), ignore_index=True)
+    if not len(pdf):
+        return
+    pdf = pdf.sort_values(["w", "i", "j"], kind="stable", ignore_index=True)
+    code, names = pd.factorize(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
+    yield pdf.iloc[_merged(code[: len(pdf)], code[len(pdf) :], len(names))[0]]
+
+
 def spanning_forest(links: DataFrame) -> DataFrame:
-    """The smallest spanning forest of links (i, j, w), by Boruvka rounds; equal weights are ordered by the ends."""
+    """The smallest spanning forest of links (i, j, w), by Boruvka rounds; equal weights are ordered by the ends.
+
+    Before a round the links are dealt to parts of about MOST_LINKS, and of a part only its own forest goes on; links that
+    fit into one part need no round.
+    """
     left = links.filter("i <> j").groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.min("w").alias("w"))
     left = cut_lineage(left.select(F.col("i").alias("a"), F.col("j").alias("b"), "w", "i", "j"))
     out = left.select("i", "j", "w").limit(0)
-    while not left.isEmpty():
+    while True:
+        parts = math.ceil(left.count() / MOST_LINKS)
+        if not parts:
+            break
+        left = cut_lineage(left.repartition(parts, "i", "j").mapInPandas(_forest_of_part, left.schema))
+        if parts == 1:
+            out = out.unionByName(left.select("i", "j", "w"))
+            break
         ends = left.select(F.col("a").alias("c"), F.col("b").alias("o"), "w", "i", "j").unionByName(left.select(F.col("b").alias("c"), F.col("a").alias("o"), "w", "i", "j"))
         pick = cut_lineage(ends.groupBy("c").agg(F.min(F.struct("w", "i", "j", "o")).alias("m")).select("c", "m.*"))
         out = out.unionByName(pick.select("i", "j", "w").distinct())
@@ -92,7 +142,65 @@ def spanning_forest(links: DataFrame) -> DataFrame:
         left = left.join(root.withColumnsRenamed({"c": "a", "p": "ra"}), "a").join(root.withColumnsRenamed({"c": "b", "p": "rb"}), "b").filter("ra <> rb")
         left = left.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min(F.struct("w", "i", "j")).alias("m"))
         left = cut_lineage(left.select("a", "b", "m.*"))
-    return cut_lineage(out)
+    return out
+
+
+def _stars_of_part(batches):
+    """A link (a, b) from each node of a part to the smallest node of its component there, itself included."""
+    table = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := [x for x in batches if x.num_rows]) else None
+    if table is None:
+        return
+    ends = pa.concat_arrays([c for k in (0, 1) for c in table.column(k).chunks])
+    fields = ends.flatten() if pa.types.is_struct(ends.type) else [ends]
+    frame = pd.DataFrame({str(k): x.to_pandas() for k, x in enumerate(fields)})
+    code = frame.groupby(list(frame), sort=True, dropna=False).ngroup().to_numpy()
+    first = np.empty(code.max() + 1, np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    lab = _merged(code[: len(table)], code[len(table) :], len(first))[1]
+    least = np.full(len(first), len(first))
+    np.minimum.at(least, lab, np.arange(len(first)))
+    nodes = ends.take(pa.array(first))
+    yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(least[lab]))], ["a", "b"])
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, key: str, out: str = "component", max_rounds: int = 64) -> DataFrame:
+    """Smallest reachable id per node; edges (i, j) count where both ends are nodes.
+
+    Edges are dealt to parts of about MOST_LINKS and each part's components become stars, so edges that fit into one part
+    are done at once. Else each node goes to its neighbour that comes first in a scrambled order, and from there to that
+    one's, until no edge is left.
+    """
+    names = cut_lineage(nodes.select(F.col(key).alias("v")))
+    left = edges.filter("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    for c in "ab":
+        left = left.join(names.withColumnRenamed("v", c), c, "left_semi")
+    left, home = cut_lineage(left.select("a", "b").distinct()), None
+    for _ in range(max_rounds):
+        parts = math.ceil(left.count() / MOST_LINKS)
+        if not parts:
+            break
+        left = cut_lineage(left.repartition(parts, "a", "b").mapInArrow(_stars_of_part, left.schema))
+        if parts == 1:
+            step = left.select(F.col("a").alias("v"), F.col("b").alias("to"))
+        else:
+            both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
+            hop = cut_lineage(both.groupBy("a").agg(F.min(place("b")).alias("m")).select(F.col("a").alias("v"), F.least("m", place("a"))["v"].alias("to")))
+            step = cut_lineage(hop.join(hop.select(F.col("v").alias("to"), F.col("to").alias("next")), "to").select("v", F.col("next").alias("to")))
+        after = step.select(F.col("v").alias("to"), F.col("to").alias("next"))
+        home = step if home is None else cut_lineage(home.join(after, "to", "left").select("v", F.coalesce("next", "to").alias("to")))
+        if parts == 1:
+            break
+        for c in "ab":
+            left = left.join(step.withColumnsRenamed({"v": c, "to": f"r{c}"}), c)
+        left = cut_lineage(left.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    else:
+        raise RuntimeError(f"components not found in {max_rounds} rounds")
+    if home is None:
+        return names.select(F.col("v").alias(key), F.col("v").alias(out))
+    least = home.groupBy("to").agg(F.min("v").alias("least"))
+    home = home.join(least, "to").select("v", "least")
+    return names.join(home, "v", "left").select(F.col("v").alias(key), F.coalesce("least", "v").alias(out))
 
 
 def core_distances(nn: DataFrame, key: str, min_pts: int) -> DataFrame:
@@ -136,8 +244,6 @@ def density_components(links: DataFrame, nn: DataFrame, key: str, runs: list[tup
 
     A component is named by its smallest key. Rows whose core distance exceeds the run's cut are in none.
     """
-    from .cluster import connected_components
-
     if not runs:
         raise ValueError("no runs")
     wanted = F.array(*[F.struct(F.lit(i).alias("run"), F.lit(max(mp - 1, 1)).alias("rank"), F.lit(float(c)).alias("cut")) for i, (mp, c) in enumerate(runs)])
@@ -145,6 +251,5 @@ def density_components(links: DataFrame, nn: DataFrame, key: str, runs: list[tup
     dense = cut_lineage(dense.select(F.struct(F.col("w.run").alias("run"), F.col("i").alias("id")).alias("v")))
     each = links.withColumn("w", F.explode(F.filter(wanted, lambda x: F.col("d") <= x["cut"])))
     each = each.select(*[F.struct(F.col("w.run").alias("run"), F.col(c).alias("id")).alias(c) for c in "ij"])
-    each = each.join(dense.withColumnRenamed("v", "i"), "i", "left_semi").join(dense.withColumnRenamed("v", "j"), "j", "left_semi")
     out = connected_components(dense, each, "v")
     return out.select("v.run", F.col("v.id").alias(key), F.col("component.id").alias("component"))

@@ -91,3 +91,23 @@ def test_density_grid_edges(spark):
     # no row of the largest minPts has that many neighbours, the smaller one still has its clusters
     few = C.density_grid(df.orderBy("id").limit(4).withColumn("z", F.array(F.lit(0.0), F.lit(1.0), F.lit(2.0))), "id", "z", [3, 9], cut=0.5).orderBy("min_pts").collect()
     assert [(r["min_pts"], r["k"], r["noise"]) for r in few] == [(3, 1, 0.0), (9, 0, 1.0)]
+
+
+@pytest.mark.parametrize("most", [1 << 19, 60])
+def test_long_chains_in_parts_of_any_size(spark, monkeypatch, most):
+    """Long chains, in one part and in many; one part takes a fixed number of steps, whatever the length."""
+    steps = []
+    monkeypatch.setattr(SP, "MOST_LINKS", most)
+    monkeypatch.setattr(SP, "cut_lineage", lambda df, cut=SP.cut_lineage: (steps.append(1), cut(df))[1])
+    rng = np.random.default_rng(2)
+    names = rng.permutation(600).tolist()
+    pairs = [(names[i], names[i + 1], float(rng.integers(1, 50))) for i in range(599) if i % 200 != 199]
+    extra = [(names[a], names[a + 5], 60.0) for a in range(0, 190, 7)]
+    links = spark.createDataFrame(pairs + extra, "i long, j long, w double")
+    forest = SP.spanning_forest(links).collect()
+    assert sorted((r["i"], r["j"], r["w"]) for r in forest) == sorted((min(i, j), max(i, j), w) for i, j, w in pairs)
+    want = {x: min(names[k : k + 200]) for k in (0, 200, 400) for x in names[k : k + 200]}
+    nodes = spark.createDataFrame([(x,) for x in names] + [(900,)], "id long")
+    got = {r["id"]: r["component"] for r in SP.connected_components(nodes, links, "id").collect()}
+    assert got == want | {900: 900}
+    assert most < 600 or len(steps) <= 5
