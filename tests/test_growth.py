@@ -108,3 +108,16 @@ def test_segments_shuffle_once_and_stay_narrow(spark):
     assert sorted(got.collect()) == sorted(want.collect()) and got.schema.simpleString() == want.schema.simpleString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "collect_list(struct(seg_no" in plan and "0.05" not in plan.split("collect_list(struct(seg_no")[-1]
+
+
+def test_quantiles_keep_the_values_where_they_are(spark, monkeypatch):
+    """The brackets go to the values; no join sorts all values of a group in one task."""
+    from landstrata.operators import quantiles
+
+    plans = []
+    monkeypatch.setattr(quantiles, "cut_lineage", lambda df, cut=quantiles.cut_lineage: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    t = spark.range(2000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7 % 1009).cast("double").alias("x"))
+    got = {r["g"]: r["q50"] for r in quantiles.exact_quantiles(t, ["g"], "x", [0.5]).collect()}
+    x = np.arange(2000) * 7 % 1009
+    assert got == {g: float(np.median(x[g::2])) for g in (0, 1)}
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
