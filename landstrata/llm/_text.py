@@ -57,8 +57,9 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(texts: pa.Array, size: int = SLICE):
-    """(first row, bytes, offsets) of successive parts of a text column, of ``size`` bytes or one text; a null text is empty."""
+def slices(texts: pa.Array, size: int | None = None):
+    """(first row, bytes, offsets) of successive parts of a text column, of ``size`` bytes (SLICE) or one text; a null text is empty."""
+    size = SLICE if size is None else size
     for first in range(0, len(texts), ROWS):
         part = pc.fill_null(texts.slice(first, ROWS).cast(pa.large_string()), "")
         offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
