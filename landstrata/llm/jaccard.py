@@ -17,10 +17,13 @@ neither, so they still meet there.
 Sets that are equal are one class from the start. In the bucket of a part value each class is paired with the first one
 in one of ORDERS orders, which the part chooses, so a class meets different pivots in its buckets. Pairs whose parity
 sketches are near enough are verified on the full sets, and links give components. Buckets that hold several components
-still are compared inside tasks, in blocks of bounded size, and only pairs of different components with near sketches
-leave them and are verified. So no link between components is lost, and a large group of near copies costs one pair a
-document instead of all pairs. The verified links span each component (``verified_links``); those inside a component are
-not all looked for.
+still are compared inside tasks, in blocks of bounded size. The pairs of different components with near sketches are a
+graph, of which a block gives a spanning forest only, so a bucket never gives more pairs than it has classes. The forests'
+components are families: two classes with near sketches are in one. The full sets of a family then meet in tasks, in blocks
+of bounded size again, and the links that join two components leave them, one for each that joins. So no link between
+components is lost, and a large group of near copies costs a few rows a document instead of all pairs, also where its pairs
+lie just below the limit. The verified links span each component (``verified_links``); those inside a component are not
+all looked for.
 
 What travels with the rows of a bucket is bounded: sets of more than SAMPLED elements are compared there on a sketch of the
 elements whose hash begins with some zero bits, so many that at most SAMPLED are expected. The symmetric difference among
@@ -51,6 +54,7 @@ U = np.uint64
 ORDERS = 8
 PART_BITS = 1 << 20  # so many that parts with a single element rarely agree by chance
 BLOCK = 2048  # classes of a bucket that meet in one task, at most twice as many
+ELEMENTS = 1 << 19  # of a family's full sets that meet in one task, about twice as many in all
 SAMPLED = 512  # elements of the sketch that travels with buckets
 LEFT_OUT = 20  # one part for so many of the needed ones may be left out
 HELD = 1 << 16  # rows of a bucket that wait in a task for its size; larger buckets count as this large
@@ -320,10 +324,9 @@ def _near_pairs(pairs: DataFrame, classes: DataFrame, percent: int, sampled: boo
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, doc: str, text: str) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+def _sets(asked: DataFrame, docs: DataFrame, classes: DataFrame, k: int, doc: str, text: str) -> DataFrame:
+    """``fp, elements``: the full sets of the classes ``asked`` (fp), and maybe others."""
     spark = docs.sparkSession
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     ids = classes.join(asked, "fp").select(F.col("doc_id").alias("__id"))
     path = scratch_path(spark, "ids")
     ids.distinct().write.parquet(path)
@@ -345,6 +348,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     found = spark.read.parquet(path)
     if found.count() > found.select("fp").distinct().count():  # rows that share an id or a text
         found = found.groupBy("fp").agg(F.first("elements").alias("elements"))
+    return found
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, doc: str, text: str) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    found = _sets(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), docs, classes, k, doc, text)
 
     def verify(batches):
         for batch in batches:
@@ -366,37 +375,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     )
 
 
-def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Near pairs of different components within buckets; ``rows``: key, fp, comp, n, sampled, size of the bucket.
+def _in_blocks(rows: DataFrame, compare) -> DataFrame:
+    """``a, b``: what ``compare(own, fp, comp, n, data, lo, hi)`` gives for each block; ``rows``: key, fp, comp, n, data, chunks.
 
-    A bucket is dealt into chunks of about BLOCK classes, and each two chunks meet in one task.
+    The rows of a key are dealt into its number of chunks, and each two chunks meet in one task.
     """
-    chunks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     dealt = (
-        rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+        rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp", "comp", "n", "sampled")
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp", "comp", "n", "data")
     )
 
-    def compare(own, fp, comp, n, sketches, lo, hi):
-        levels = _level(n)
-        level = int(levels.max())
-        lifted = [_lift(_stack([x]), level - at) for x, at in zip(sketches, levels.tolist())]
-        words = min(x.shape[1] for x in lifted)
-        cells = np.concatenate([_fold(x, words) for x in lifted]) if words else np.zeros((len(fp), 0), U)
-        a, b = [], []
-        for i in range(len(fp) - 1):
-            j = slice(i + 1, None)
-            ok = (comp[j] != comp[i]) & _ratio(n[j], n[i], percent)
-            if lo != hi:  # pairs inside a chunk meet where the chunk meets itself
-                ok &= own[j] != own[i]
-            if ok.any():
-                at = np.flatnonzero(ok) + i + 1
-                near = np.bitwise_count(cells[at] ^ cells[i]).sum(axis=1) <= _limit(bound(n[at], n[i], percent), level)
-                a += [fp[i]] * int(near.sum())
-                b += fp[at[near]].tolist()
-        return a, b
-
     def run(batches):
         held = None
         for batch in batches:
@@ -421,7 +410,92 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a bigint, b bigint")
+
+
+def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests of the near pairs of different components within buckets; ``rows``: key, fp, comp, n, sampled,
+    size of the bucket. A block has about BLOCK classes of each of its two chunks."""
+    def compare(own, fp, comp, n, sketches, lo, hi):
+        levels = _level(n)
+        level = int(levels.max())
+        lifted = [_lift(_stack([x]), level - at) for x, at in zip(sketches, levels.tolist())]
+        words = min(x.shape[1] for x in lifted)
+        cells = np.concatenate([_fold(x, words) for x in lifted]) if words else np.zeros((len(fp), 0), U)
+        left = np.argsort(fp, kind="stable")  # classes that no tree has reached; buckets with the same classes give the same pairs
+        a, b, reached = [], [], []
+        while len(left):
+            if reached:
+                i = reached.pop()
+            else:
+                i, left = int(left[0]), left[1:]
+            ok = (comp[left] != comp[i]) & _ratio(n[left], n[i], percent)
+            if lo != hi:  # pairs inside a chunk meet where the chunk meets itself
+                ok &= own[left] != own[i]
+            if ok.any():
+                at = left[ok]
+                near = np.bitwise_count(cells[at] ^ cells[i]).sum(axis=1) <= _limit(bound(n[at], n[i], percent), level)
+                ok[ok] = near
+                a += [int(fp[i])] * int(near.sum())
+                b += fp[at[near]].tolist()
+                reached += at[near].tolist()
+                left = left[~ok]
+        return a, b
+
+    rows = rows.withColumn("chunks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")).withColumnRenamed("sampled", "data")
+    return _in_blocks(rows, compare).distinct()
+
+
+def _family_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links between components of a family, as many as join them; ``rows``: key (the family), fp, comp, n, elements.
+
+    Elements of a block are sorted once, so a class meets all others of the block by the places of its own elements.
+    """
+    def compare(own, fp, comp, n, sets, lo, hi):
+        hashes = np.frombuffer(b"".join(sets), U)
+        first = np.concatenate([[0], np.cumsum(n)])
+        order = np.argsort(hashes, kind="stable")
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[order][1:] != hashes[order][:-1]
+        holder = np.repeat(np.arange(len(n)), n)[order]  # classes by element
+        start = np.flatnonzero(new)
+        held = np.diff(np.append(start, len(hashes)))
+        number = np.empty(len(hashes), np.int64)
+        number[order] = np.cumsum(new) - 1
+        group = np.unique(comp, return_inverse=True)[1]
+        by_group = np.argsort(group, kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(group))])
+        left = np.ones(len(n), bool)  # classes whose component no tree has reached
+        a, b, reached = [], [], []
+
+        def reach(g):
+            members = by_group[edges[g] : edges[g + 1]]
+            left[members] = False
+            reached.extend(members.tolist())
+
+        while left.any():
+            if not reached:
+                reach(group[left.argmax()])
+                continue
+            i = reached.pop()
+            ok = left & _ratio(n, n[i], percent)
+            if lo != hi:
+                ok &= own != own[i]
+            if not ok.any():
+                continue
+            of = number[first[i] : first[i + 1]]
+            size = held[of]
+            at = np.repeat(start[of] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            same = np.bincount(holder[at], minlength=len(n))
+            for j in np.flatnonzero(ok & (100 * same >= percent * (n + n[i] - same))).tolist():
+                if left[j]:
+                    a.append(int(fp[i]))
+                    b.append(int(fp[j]))
+                    reach(group[j])
+        return a, b
+
+    sizes = rows.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(ELEMENTS)).cast("int").alias("chunks"))
+    return _in_blocks(rows.join(sizes, "key").withColumnRenamed("elements", "data"), compare).distinct()
 
 
 def _linked(docs: DataFrame, k: int, percent: int, doc: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -441,12 +515,9 @@ def _linked(docs: DataFrame, k: int, percent: int, doc: str, text: str) -> tuple
     buckets = stored(_shared_buckets(_without_largest(met, classes)), "buckets")
     pairs = buckets.filter("fp <> pivot").select(F.least("pivot", "fp").alias("a"), F.greatest("pivot", "fp").alias("b")).distinct()
 
-    def links_of(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        near = stored(_near_pairs(pairs, classes, percent, True), "near")
-        near = stored(_near_pairs(near, classes, percent, False), "near")
-        return near, stored(_verified(near, docs, classes, k, percent, doc, text), "links")
-
-    tested, links = links_of(pairs)
+    near = stored(_near_pairs(pairs, classes, percent, True), "near")
+    near = stored(_near_pairs(near, classes, percent, False), "near")
+    links = stored(_verified(near, docs, classes, k, percent, doc, text), "links")
 
     # buckets that hold several components besides their pivot's pairs
     known = components(links)
@@ -454,9 +525,13 @@ def _linked(docs: DataFrame, k: int, percent: int, doc: str, text: str) -> tuple
     other = other.select("key", "fp", F.coalesce("comp", "fp").alias("comp"))
     mixed = other.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
     members = other.join(mixed.select("key", "size"), "key").join(classes.select("fp", "n", "sampled"), "fp")
-    more = stored(_block_pairs(members, percent).join(tested, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = links.unionByName(links_of(more)[1])
+    forest = stored(_block_pairs(members, percent), "forest")
+    if not forest.isEmpty():
+        family = stored(components(forest).select(F.col("root").alias("key"), F.col("id").alias("fp")), "families")
+        sets = _sets(family.select("fp"), docs, classes, k, doc, text)
+        family = family.join(known.withColumnsRenamed({"id": "fp", "root": "comp"}), "fp", "left").join(classes.select("fp", "n"), "fp").join(sets, "fp")
+        more = stored(_family_links(family.select("key", "fp", F.coalesce("comp", "fp").alias("comp"), "n", "elements"), percent), "more")
+        links = links.unionByName(more)
         known = components(links)
     return rows, classes, links, known
 

@@ -215,3 +215,63 @@ def test_a_passage_in_all_documents_and_long_texts(spark):
                 copy[at] = f"n{rng.randrange(10**9)}"
             rows.append((len(rows), " ".join(copy)))
     check(rows, run(spark, rows, 4, 85), 4, 85)
+
+
+def test_blocks_give_a_forest_and_not_all_near_pairs(spark, monkeypatch):
+    """Classes of one bucket that are all near each other, each a component of its own, and two that are near nothing."""
+    rng = np.random.default_rng(5)
+    base, far = (np.unique(rng.integers(0, 2**63, 200).astype(np.uint64)) for _ in range(2))
+
+    def pairs(size):
+        rows = []
+        for fp, x in [*((i, base) for i in range(size)), (size, far), (size + 1, far ^ np.uint64(1 << 40))]:
+            sketch = jaccard._sketches(x, np.array([0, len(x)]), True)[0]
+            rows.append((7, fp, fp, len(x), bytearray(sketch), size + 2))
+        table = spark.createDataFrame(rows, "key long, fp long, comp long, n long, sampled binary, size long")
+        return {(r["a"], r["b"]) for r in jaccard._block_pairs(table, 85).collect()}
+
+    for size in (20, 80):
+        got = pairs(size)
+        assert len(got) == size - 1 and {x for p in got for x in p} == set(range(size))
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    got = pairs(80)
+    assert {x for p in got for x in p} == set(range(80)) and len(got) < 80 * 79 // 8
+
+
+@pytest.mark.parametrize("elements", [1 << 19, 700])
+def test_a_family_just_below_the_limit(spark, monkeypatch, elements):
+    """Copies of one base that are near each other but seldom linked, and a few linked ones far from the family's pivots."""
+    monkeypatch.setattr(jaccard, "ELEMENTS", elements, raising=False)
+    rng = random.Random(31)
+    base = [f"b{i}" for i in range(140)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for at in rng.sample(range(140), 3):
+            copy[at] = f"c{i}x{at}"
+        rows.append((len(rows), " ".join(copy)))
+        if i % 9 == 0:  # shares the copy's changes
+            copy[rng.randrange(140)] = f"e{i}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [shingle_set(t, 4) for _, t in rows]
+    assert 5 < len(set(groups(sets, 85))) < len(rows) and len({frozenset(s) for s in sets}) == len(rows)
+    check(rows, run(spark, rows, 4, 85), 4, 85)
+
+
+def test_family_links_join_components_once(spark):
+    """Eight equal-sized sets in three linked groups, of which two are partly joined before; one more set is far from all."""
+    bases = [np.arange(100 * g, 100 * g + 100, dtype=np.uint64) for g in range(3)]
+    rows = []
+    for i in range(8):
+        x = bases[i % 3].copy()
+        x[i] = 10_000 + i
+        rows.append((1, i, {3: 0, 4: 1}.get(i, i), 100, bytearray(np.sort(x).tobytes())))
+    rows.append((1, 8, 8, 100, bytearray(np.arange(5000, 5100, dtype=np.uint64).tobytes())))
+    got = [(r["a"], r["b"]) for r in jaccard._family_links(spark.createDataFrame(rows, "key long, fp long, comp long, n long, elements binary"), 85).collect()]
+    assert all(a % 3 == b % 3 and b < 8 for a, b in got)
+    root = {i: c for _, i, c, _, _ in rows}
+    for a, b in got:
+        assert root[a] != root[b]  # none is superfluous
+        old, new = root[a], root[b]
+        root = {i: new if c == old else c for i, c in root.items()}
+    assert len(set(root.values())) == 4
