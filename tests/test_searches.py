@@ -53,6 +53,20 @@ def test_few_exact_distances_on_the_test_vectors(spark, monkeypatch):
     assert left[0] < 0.1 * n * (n - 1)  # also what the blocks return stays below a tenth of all pairs
 
 
+def test_joined_vectors_grow_with_the_queries_only(spark, monkeypatch):
+    """The bounds leave little more than the answers, however many references there are."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1600, 32))
+    asked, whole = [], vafile.exact_distances
+    monkeypatch.setattr(vafile, "exact_distances", lambda p, *a: (asked.append(p.count()), whole(p, *a))[1])
+    for n in (400, 1600):
+        t = table(spark, v[:n])
+        got = neighbors.knn_join(t.filter("id < 200"), t, 3, bits=6, ref_block=100).collect()
+        want = [x for x in nearest(distances(v[:n]), 3) if x[0] < 200]
+        assert sorted((r["i"], r["j"], r["rank"]) for r in got) == sorted((i, j, r) for i, j, _, r in want)
+    assert all(600 <= x < 700 for x in asked)
+
+
 def test_file_radius_predicate_and_no_rows(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(150, 6))
