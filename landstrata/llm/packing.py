@@ -27,7 +27,10 @@ from pyspark.sql.window import Window
 
 from landstrata.session import scratch_path
 
+from ._text import give_back
+
 CACHE = 250_000  # remembered strings of a Python worker, some 50 MB
+CHARS = 250_000  # encoded at once, or one longer text; what the tokenizer makes of them takes some fifty times the room
 _tokenizers: dict = {}
 
 #: Letters whose class no Unicode version changes; texts with others are split by the tokenizer itself.
@@ -95,35 +98,41 @@ def tokenizer(path: str, ranks: str) -> ByteBpe:
     return _tokenizers[path]
 
 
+def cut(batches, encoder, part: int, size: int, closing: bytes):
+    """Record batches of the pieces of (id, text) batches, from CHARS characters at a time; memory goes back after each batch."""
+    count = np.zeros(size + 1, np.int64)
+    for batch in batches:
+        names, texts = batch.column(0), batch.column(1)
+        at = 0
+        while at < len(texts):
+            chunk, chars, to = [], 0, at
+            while to < len(texts) and chars < CHARS:
+                chunk.append(texts[to].as_py() or "")
+                chars += len(chunk[-1])
+                to += 1
+            rows: list = [[] for _ in range(8)]
+            for name, ids in zip(names.slice(at, to - at).to_pylist(), encoder.encode(chunk)):
+                ids += closing
+                for s in range(0, len(ids), 4 * size):
+                    piece = ids[s : s + 4 * size]
+                    n = len(piece) // 4
+                    for column, x in zip(rows, (name, s // 4, n, len(ids) // 4, piece, zlib.crc32(piece), part, int(count[n]))):
+                        column.append(x)
+                    count[n] += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(rows, [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.int32(), pa.int64()])],
+                ["doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32", "part", "local"])
+            at = to
+        del batch, names, texts
+        give_back()
+
+
 def pieces(docs: DataFrame, vocabulary: str, ranks: str, size: int, end: int, doc: str, text: str) -> DataFrame:
     """``doc_id, start, length, doc_tokens, ids, ids_crc32, part, local``: the cut documents, ``local`` counts per task and length."""
     closing = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        encoder, part = tokenizer(vocabulary, ranks), TaskContext.get().partitionId()
-        count = np.zeros(size + 1, np.int64)
-        for batch in batches:
-            names, texts = batch.column(0), batch.column(1)
-            at = 0
-            while at < len(texts):
-                chunk, chars, to = [], 0, at
-                while to < len(texts) and chars < 1_000_000:
-                    chunk.append(texts[to].as_py() or "")
-                    chars += len(chunk[-1])
-                    to += 1
-                rows: list = [[] for _ in range(8)]
-                for name, ids in zip(names.slice(at, to - at).to_pylist(), encoder.encode(chunk)):
-                    ids += closing
-                    for s in range(0, len(ids), 4 * size):
-                        piece = ids[s : s + 4 * size]
-                        n = len(piece) // 4
-                        for column, x in zip(rows, (name, s // 4, n, len(ids) // 4, piece, zlib.crc32(piece), part, int(count[n]))):
-                            column.append(x)
-                        count[n] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(rows, [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.int32(), pa.int64()])],
-                    ["doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32", "part", "local"])
-                at = to
+        yield from cut(batches, tokenizer(vocabulary, ranks), TaskContext.get().partitionId(), size, closing)
 
     return docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, ids_crc32 bigint, part int, local bigint")

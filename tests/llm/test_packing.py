@@ -1,8 +1,11 @@
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from helpers import docs
 from tokenizers import Tokenizer
 
@@ -91,3 +94,24 @@ def test_remembered_words_do_not_change_ids(monkeypatch):
     encoder = packing.ByteBpe(*FILES)
     for _ in range(2):
         assert [np.frombuffer(b, "<u4").tolist() + [0] for b in encoder.encode(TEXTS)] == [ids_of(t) for t in TEXTS]
+
+
+@pytest.mark.parametrize("words", [1, 40, 3000])
+def test_a_worker_encodes_little_at_once_and_gives_memory_back(monkeypatch, words):
+    """A batch of wide texts is encoded in parts of bounded size, and the freed memory is returned behind each batch."""
+    seen, back = [], []
+
+    class Encoder:
+        def encode(self, texts):
+            seen.append([len(t) for t in texts])
+            return [array("I", range(t.count(" "))).tobytes() for t in texts]
+
+    monkeypatch.setattr(packing, "give_back", lambda: back.append(len(seen)))
+    texts = ["word " * (words * (i % 3)) for i in range(400)] + [None, "long " * 200_000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    rows = [r for b in packing.cut(iter([batch, batch]), Encoder(), 3, 1024, np.array([0], "<u4").tobytes()) for r in b.to_pylist()]
+    assert [n for part in seen for n in part] == [len(t or "") for t in texts] * 2
+    assert all(sum(part[:-1]) < 250_000 for part in seen)
+    assert back == [len(seen) // 2, len(seen)]
+    assert sum(r["length"] for r in rows) == 2 * sum((t or "").count(" ") + 1 for t in texts)
+    assert {(r["length"], r["local"]) for r in rows} == {(n, i) for n, c in Counter(r["length"] for r in rows).items() for i in range(c)}
