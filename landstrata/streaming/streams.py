@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -11,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.timeseries import BASE_YEAR, FAST_CODES
 from ..session import scratch_path
 
+BUCKETS = 2048  # of pixels that share one state
+SPAN = 1 << 33  # more than two years can lie apart
+
 
 def read_table_stream(spark: SparkSession, folder: str, file_glob: str, max_files: int | None = None) -> DataFrame:
     """File stream over the files of a folder that match a glob; the schema comes from the files."""
@@ -21,33 +25,56 @@ def read_table_stream(spark: SparkSession, folder: str, file_glob: str, max_file
     return reader.parquet(folder)
 
 
-def stream_change_state(records: DataFrame, key: str, year: str, change: str, fast_codes: list[int] = FAST_CODES, base: int = BASE_YEAR) -> DataFrame:
+def stream_change_state(records: DataFrame, key: str, year: str, change: str, fast_codes: list[int] = FAST_CODES, base: int = BASE_YEAR,
+                        buckets: int = BUCKETS) -> DataFrame:
     """Yearly change records to (key, year, last_fast_year, cum_events, ysfc, censored, late).
 
     The state of a pixel is (last fast year, events, last seen year): three numbers.  Records of a batch are
     applied in year order, the first of a year counts.  A record that is not newer than the state's year changes
     nothing and comes out with ``late`` true and no state, so a caller can count or replay such rows.
+
+    Pixels are dealt to ``buckets`` by a hash, and a bucket keeps one table of its pixels' states: a call of the fold serves
+    all pixels of a bucket at once.  The number must stay the same for the life of a stream's checkpoint.
     """
     ktype = records.schema[key].dataType.simpleString()
-    fast = set(fast_codes)
+    fast = list(fast_codes)
 
     def fold(k: tuple, batches, state: GroupState):
-        last, events, seen = state.get if state.exists else (base, 0, -1)
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values([year, change], kind="stable")
-        years = pdf[year].to_numpy(np.int64)
-        late = (years <= seen) | pdf.duplicated(year).to_numpy()
+        pdf = pd.concat(list(batches), ignore_index=True)
+        old = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else None
+        names = pdf[key] if old is None else pd.concat([old["key"], pdf[key]], ignore_index=True)
+        code, names = pd.factorize(names, use_na_sentinel=False)
+        known = 0 if old is None else len(old)  # a state's pixels come first, so theirs are the first codes
+        last, events, seen = (np.concatenate([old[c].to_numpy(np.int64) if known else [], np.full(len(names) - known, x)]).astype(np.int64)
+                              for c, x in (("last", base), ("events", 0), ("seen", -1)))
+        code = code[known:]
+        order = np.lexsort((pdf[change], pdf[year], code))
+        pdf, code = pdf.iloc[order], code[order]
+        with np.errstate(invalid="ignore"):
+            years = pdf[year].to_numpy(np.int64)
+        first = np.append(True, code[1:] != code[:-1])
+        late = (years <= seen[code]) | ~first & np.append(False, years[1:] == years[:-1])
         hit = pdf[change].isin(fast).to_numpy() & ~late
-        lasts, counts = np.maximum.accumulate(np.where(hit, years, last)), events + np.cumsum(hit)
-        out = pd.DataFrame({key: k[0], year: years, "last_fast_year": lasts, "cum_events": counts, "ysfc": years - lasts, "censored": lasts == base})
-        for c, kind in (("last_fast_year", "Int64"), ("cum_events", "Int64"), ("ysfc", "Int64"), ("censored", "boolean")):
-            out[c] = out[c].astype(kind).mask(late)
-        if len(out):
-            state.update((int(lasts[-1]), int(counts[-1]), int(max(seen, years[-1]))))
-        yield out.assign(late=late)
-
-    return records.select(key, F.col(year).cast("int").alias(year), F.col(change).cast("int").alias(change)).groupBy(key).applyInPandasWithState(
+        # running maxima and sums of each pixel: pixels lie one after the other, SPAN apart
+        lasts = np.maximum.accumulate(np.where(hit, np.maximum(years, last[code]), last[code]) + code * SPAN) - code * SPAN
+        ran = np.cumsum(hit)
+        counts = events[code] + ran - np.repeat((ran - hit)[first], np.diff(np.append(np.flatnonzero(first), len(code))))
+        ends = np.append(first[1:], True)
+        at = code[ends]
+        last[at], events[at], seen[at] = lasts[ends], counts[ends], np.maximum(seen[at], years[ends])
+        table, sink = pa.table({"key": pa.array(names, from_pandas=True), "last": last, "events": events, "seen": seen}), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+        gone = lambda x, kind: pd.Series(x).astype(kind).mask(late)
+        yield pd.DataFrame({key: pdf[key].to_numpy(), year: years, "last_fast_year": gone(lasts, "Int64"), "cum_events": gone(counts, "Int64"),
+                            "ysfc": gone(years - lasts, "Int64"), "censored": gone(lasts == base, "boolean"), "late": late})
+
+    bucket = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(buckets))).otherwise(-1)  # no null beside keys, which would turn into floats
+    rows = records.select(key, F.col(year).cast("int").alias(year), F.col(change).cast("int").alias(change), bucket.alias("_bucket"))
+    return rows.groupBy("_bucket").applyInPandasWithState(
         fold, f"`{key}` {ktype}, `{year}` int, last_fast_year int, cum_events int, ysfc int, censored boolean, late boolean",
-        "last_fast_year int, cum_events int, seen int", "append", GroupStateTimeout.NoTimeout)
+        "pixels binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_channel_moments(df: DataFrame, channels: list[str]) -> DataFrame:
