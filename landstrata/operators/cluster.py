@@ -260,7 +260,7 @@ def silhouette_euclidean(df: DataFrame, key: str, vec: str, label: str, sample:
     rows = cut_lineage(rows)
     if rows.select(label).distinct().count() < 2:
         return -1.0
-    prof = class_distance_profile(rows, rows, key, vec, label, 1.0)
+    prof = class_distance_profile(rows, rows, key, vec, label, 1.0, shares=False)
     own = rows.select(F.col(key).alias("i"), F.col(label).alias("own"))
     mean = F.col("s") / F.col("n")
     per = own.join(prof, "i").groupBy("i").agg(

@@ -12,7 +12,7 @@ from ..functions import vectors as V
 from ..functions.special import log_gamma, log_softmax_pick, softplus
 from .ranks import SALTS
 from .stats import with_row
-from .neighbors import QUERY_BLOCK, REF_BLOCK, _Same, _scoped_join, _sq, _stack, block_product, finite_vectors, rounded_distances, square_error
+from .neighbors import QUERY_BLOCK, REF_BLOCK, _exact, _Same, _scoped_join, _stack, _Tiles, block_product, finite_vectors
 
 # Ordering constraints of three sampled years (closer pair, farther pair, large margin).
 TRIPLET_CASES = {
@@ -253,9 +253,9 @@ def reduced(df: DataFrame, loss: Column, mask: Column | None, how: str, out: str
 
 
 def class_distance_profile(queries: DataFrame, refs: DataFrame, key: str, vec: str, label: str, tau: float, exclude_self: bool = True,
-                           ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK, within: tuple[str, ...] = ()) -> DataFrame:
+                           ref_block: int = REF_BLOCK, query_block: int = QUERY_BLOCK, within: tuple[str, ...] = (), shares: bool = True) -> DataFrame:
     """(i, label, n, s, lo, e): per query and class of references the number, sum and minimum of the distances and
-    sum exp(-(d - lo)/tau).
+    sum exp(-(d - lo)/tau), which is 0 without ``shares``.
 
     Pairs exist only inside a task, in slices; what leaves it is one row per query, class and block, and
     blocks merge by shifting the exponentials to the common minimum. ``within`` names key columns (a batch, a patch): only
@@ -278,32 +278,35 @@ def class_distance_profile(queries: DataFrame, refs: DataFrame, key: str, vec: s
         codes, inv = np.unique(lab, return_inverse=True)
         order = np.argsort(inv, kind="stable")  # the columns of a class lie side by side
         rv, rid = rv[order], rid[order]
-        starts = np.searchsorted(inv[order], np.arange(len(codes) + 1))
-        same, unit, rmax = _Same(qid, rid), square_error(rv.shape[1], np.finfo(float).eps / 2), (rv * rv).sum(1).max()
-        rows = max(1, (1 << 19) // len(rv))
-        found: list[tuple] = []
-        for s in range(0, len(qv), rows):
-            at = slice(s, s + rows)
-            part, ids = qv[at], qid[at]
-            d2 = _sq(part, rv).ravel()
-            d = rounded_distances(d2, unit * ((part * part).sum(1).max() + rmax), part, rv, np.arange(len(d2))).reshape(len(part), len(rv))
+        sorted_codes = inv[order]
+        starts = np.searchsorted(sorted_codes, np.arange(len(codes) + 1))
+        tiles, same = _Tiles(qv, rv), _Same(qid, rid)
+        every = (len(qv), len(codes))
+        n, total, low, share = np.zeros(every, np.int64), np.zeros(every), np.full(every, np.inf), np.zeros(every)
+        for at, cols, d in tiles:
+            near = np.flatnonzero(d.ravel() <= 1e4 * tiles.error)  # too short for what a square may be off
+            np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+            if len(near):
+                d.ravel()[near] = _exact(qv[at], rv[cols], *np.divmod(near, d.shape[1]))
             if exclude_self:
-                same.forbid(d, at)
-            for c, (a, b) in enumerate(zip(starts, starts[1:])):
-                block = d[:, a:b]
-                ok = np.isfinite(block)
-                n = ok.sum(1)
+                same.forbid(d, at, cols)
+            whole = not exclude_self or not np.isinf(d.max())
+            for c in range(sorted_codes[cols.start], sorted_codes[cols.stop - 1] + 1):
+                block = d[:, max(starts[c] - cols.start, 0) : starts[c + 1] - cols.start]
                 lo = block.min(1)
-                keep = n > 0
-                if keep.any():
-                    x, low = (block, lo) if keep.all() else (block[keep], lo[keep])
-                    total = x.sum(1) if (n == b - a).all() else np.where(ok[keep], x, 0).sum(1)
-                    e = np.exp((low[:, None] - x) / tau).sum(1)  # nothing for an excluded row
-                    found.append((ids[keep], np.full(len(low), c), n[keep], total, low, e))
-        if not found:
-            return empty
-        parts = [np.concatenate(x) for x in zip(*found)]
-        return pd.DataFrame({"i": parts[0], "label": codes[parts[1]], "n": parts[2], "s": parts[3], "lo": parts[4], "e": parts[5]})
+                ok = None if whole else np.isfinite(block)
+                n[at, c] += block.shape[1] if whole else ok.sum(1)
+                total[at, c] += block.sum(1) if whole or ok.all() else np.where(ok, block, 0.0).sum(1)
+                if shares:
+                    # nothing for an excluded row, and what is there moves to the smaller minimum
+                    least = np.minimum(low[at, c], lo)
+                    shift = np.where(np.isfinite(least), least, 0.0)
+                    block -= shift[:, None]
+                    block *= -1.0 / tau
+                    share[at, c] = share[at, c] * np.exp((shift - low[at, c]) / tau) + np.exp(block, out=block).sum(1)
+                low[at, c] = np.minimum(low[at, c], lo)
+        at, c = np.nonzero(n)
+        return pd.DataFrame({"i": qid[at], "label": codes[c], "n": n[at, c], "s": total[at, c], "lo": low[at, c], "e": share[at, c]})
 
     if within:
         parts = _scoped_join(q, r, kernel, schema, [f"_w{i}" for i in range(len(within))], ref_block, query_block)

@@ -127,3 +127,21 @@ def test_tiles_equal_plain_distances(monkeypatch):
     assert sorted(zip(got["_q"], got["_r"], got["d"])) == [(i, j, d[i, j]) for i in range(60) for j in range(60) if i != j and 0.3 <= d[i, j] < 1.5]
     places, dist = (np.concatenate(x) for x in zip(*bands._block_distances(*frame, None)))
     assert sorted(places) == [p for p in range(3600) if p // 60 != p % 60] and (dist == d.ravel()[places]).all()
+
+
+def test_class_profile_over_many_tiles(spark):
+    from landstrata.operators import neighbors, pairmetrics
+
+    n = neighbors.TILE[1] + 300
+    rng = np.random.default_rng(7)
+    v, label = rng.normal(size=(n, 3)), rng.integers(0, 4, n)
+    v[3], v[4] = v[2], v[2] + 1e-9
+    t = vectors(spark, v, label)
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    for shares in (True, False):
+        got = pairmetrics.class_distance_profile(t, t, "id", "z", "label", 0.3, shares=shares).collect()
+        assert len(got) == len({(r["i"], r["label"]) for r in got}) == 4 * n
+        for r in got[::7]:
+            x = d[r["i"], (label == r["label"]) & (np.arange(n) != r["i"])]
+            assert r["n"] == len(x) and abs(r["s"] - x.sum()) < 1e-6 and abs(r["lo"] - x.min()) < 1e-8
+            assert abs(r["e"] - (np.exp((x.min() - x) / 0.3).sum() if shares else 0.0)) < 1e-6
