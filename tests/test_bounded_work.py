@@ -80,6 +80,23 @@ def test_file_radius_lists_no_pairs_for_a_join(spark, monkeypatch):
     assert sorted((r["i"], r["j"], r["d"]) for r in got) == [(i, j, d[i, j]) for i in range(200) for j in range(200) if i != j and d[i, j] < 4.0]
 
 
+def test_file_radius_with_ids_that_repeat(spark):
+    """A listed pair stands for every row of its two ids, as before."""
+    from landstrata.operators import neighbors
+
+    v = np.random.default_rng(5).normal(size=(60, 3))
+    ids = [0, 0, 0, *range(1, 58)]
+    t = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in zip(ids, v)], "id bigint, z array<double>")
+    d = np.round(np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)), 9)
+    inside = [(a, b) for a in range(60) for b in range(60) if ids[a] != ids[b] and d[a, b] < 1.5]
+    want = [(ids[a], ids[b], d[c, e]) for a, b in inside for c in range(60) for e in range(60) if ids[c] == ids[a] and ids[e] == ids[b] and d[c, e] < 1.5]
+    for bits in (8, 6):
+        got = neighbors.radius_join(t, t, 0.0, 1.5, bits=bits, ref_block=20, query_block=20).collect()
+        assert sorted((r["i"], r["j"], r["d"]) for r in got) == sorted(want)
+    none = t.filter("id < 0")
+    assert neighbors.radius_join(none, t, 0.0, 1.5, bits=8).count() == neighbors.radius_join(t, t.selectExpr("cast(null as bigint) id", "z"), 0.0, 1.5, bits=8).count() == 0
+
+
 def test_file_takes_few_bounds():
     """Bounds in eight bytes are taken of the pairs that a shorter product leaves; a predicate is asked of these only."""
     import pandas as pd
